@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import plans
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query and its SQL over the same tables; None where SQL can't express it."""
+
+    def register(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def _load() -> None:
+    for module in pkgutil.iter_modules(plans.__path__):
+        importlib.import_module(f"{plans.__name__}.{module.name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
