@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SortedMap, bounded, map_array, mixed, put_array, rolling, scratch, segment_of, word_hashes, written
+from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_array, rolling, scratch, segment_of, split_by, written
 
 VALUES, BANDS, STEP = 128, 32, 32
 ROWS = VALUES // BANDS
@@ -40,9 +40,8 @@ _ODD = 0xA0761D6478BD642F
 _GOLD = 0x9E3779B97F4A7C15
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
+def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of all ``width`` consecutive words; of all words, if there are fewer."""
-    words = word_hashes((text or "").encode("utf-8", "surrogatepass").split())
     return np.unique(rolling(words, max(1, min(width, len(words))), _ODD)) if len(words) else words
 
 
@@ -256,8 +255,8 @@ def jaccard_classes(
         made = set()
         for batch in bounded(batches):
             member, keys, counts, signs = [], [], [], []
-            for i, text in zip(batch["id"].to_pylist(), batch["text"].to_pylist()):
-                s = shingles(text, width)
+            for i, words in zip(batch["id"].to_pylist(), split_by(*hashed_words(batch["text"].to_pylist()))):
+                s = shingles(words, width)
                 key = int(set_key(s)) if len(s) else 0
                 member.append(i)
                 keys.append(key)
@@ -308,7 +307,7 @@ def jaccard_classes(
     def sets(batches):
         made = set()
         for batch in bounded(batches):
-            found = [(int(set_key(s)), s) for s in map(lambda t: shingles(t, width), batch["text"].to_pylist()) if len(s)]
+            found = [(int(set_key(s)), s) for s in (shingles(w, width) for w in split_by(*hashed_words(batch["text"].to_pylist()))) if len(s)]
             keys = np.array([k for k, _ in found], np.uint64)
             order = np.argsort(keys)
             hit = store.wanted.find(keys[order])[0]

@@ -27,38 +27,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SortedMap, bounded, mixed, put_array, scratch, segment_of, word_hashes, written
+from .shared import SortedMap, bounded, hashed_words, mixed, put_array, scratch, segment_of
 
 #: Word hashes have 56 bits: two of 10**9 words then share one in fewer than 10 cases.
 BITS = np.uint64((1 << 56) - 1)
 START, END = np.uint64(1), np.uint64(2)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-BIG = 255
-#: Tokens that one segment is planned for, that are counted and that are looked up together.
-SEGMENT_TOKENS, COUNTED, TOGETHER = 2_000_000, 1_500_000, 500_000
+#: Larger bigram counts stand apart; numbers of neighbours stop here (over 4 * 10**9 of one word).
+BIG, MOST = 255, 2**32 - 1
+#: Tokens that one segment is planned for, that are counted and that are looked up together, and
+#: distinct bigrams that a task holds before it sends them.
+SEGMENT_TOKENS, COUNTED, TOGETHER, HELD = 1_500_000, 500_000, 400_000, 1_500_000
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words (A-Z in lower case, split at ASCII white space) and of the end."""
-    words = word_hashes((text or "").encode("utf-8", "surrogatepass").lower().split()) & BITS
-    return np.append(np.maximum(words, np.uint64(3)), END)
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes u and w of all bigrams of the texts, and each text's number of tokens.
+
+    Words have A-Z in lower case and stand between ASCII white space; each text is opened by
+    the start mark and closed by the end token.
+    """
+    words, counts = hashed_words(texts, lower=True)
+    counts = counts + 1
+    last = np.cumsum(counts) - 1
+    w = np.empty(int(counts.sum()), np.uint64)
+    inside = np.ones(len(w), bool)
+    inside[last] = False
+    w[inside] = np.maximum(words & BITS, np.uint64(3))
+    w[last] = END
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[last - counts + 1] = START
+    return u, w, counts
 
 
 def _keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mixed(u * _FACTOR + w)
 
 
-def _pairs(texts) -> tuple[np.ndarray, np.ndarray]:
-    """All bigrams of the texts, each text opened by the start mark."""
-    each = [token_hashes(t) for t in texts]
-    w = np.concatenate(each)
-    first = np.cumsum([0] + [len(x) for x in each[:-1]])
-    u = np.empty_like(w)
-    u[1:] = w[:-1]
-    u[first] = START
-    return u, w
-
-
 def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and each column summed per key."""
     order = np.argsort(keys, kind="stable")
@@ -67,11 +72,40 @@ def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[at], *(np.add.reduceat(c[order], at) if len(keys) else c for c in columns)
 
 
+def _planes(*columns: np.ndarray) -> bytes:
+    """Columns as byte planes, the first (sorted) one as differences: what repeats stands together,
+    so that the shuffle's compression leaves little but the hashes."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in (first, *columns[1:]))
+
+
+def _columns(blobs: list[bytes], *dtypes) -> list[np.ndarray]:
+    """The columns of several ``_planes``, one after another."""
+    width = sum(np.dtype(d).itemsize for d in dtypes)
+    out = [[] for _ in dtypes]
+    for blob in blobs:
+        n, at = len(blob) // width, 0
+        for held, dtype in zip(out, map(np.dtype, dtypes)):
+            size = dtype.itemsize
+            held.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(dtype).ravel())
+            at += n * size
+        out[0][-1] = np.cumsum(out[0][-1], dtype=dtypes[0])
+    return [np.concatenate(x) for x in out]
+
+
+def _dealt(parts: np.ndarray, *columns: np.ndarray):
+    """(part, planes) for rows sorted by part and then by the first column."""
+    cuts = np.flatnonzero(np.diff(parts)) + 1
+    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(parts)]):
+        if hi > lo:
+            yield int(parts[lo]), _planes(*(c[lo:hi] for c in columns))
+
+
 class KneserNey:
     """A counted model: its folder, its number of segments, and its totals and discounts."""
 
     PAIR = {"c": "|u1"}
-    WORD = {"c": "<i8", "n1": "<i8", "n2": "<i8", "n3": "<i8", "a": "<i8"}
+    WORD = {"c": "<i8", "n1": "<u4", "n2": "<u4", "n3": "<u4", "a": "<u4"}
 
     def __init__(self, uri: str, parts: int, totals: dict):
         self.uri, self.parts, self.totals = uri, parts, totals
@@ -153,27 +187,41 @@ def train(texts: DataFrame, text_col: str = "text") -> KneserNey:
     column = text_col
 
     def count(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def sent():
+            u, w, n = map(np.concatenate, zip(*held))
+            part = segment_of(_keys(u, w), parts)
+            order = np.lexsort((w, u, part))
+            u, w, n, part = u[order], w[order], n[order], part[order]
+            at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
+            n = np.add.reduceat(n, at).astype(np.uint32)
+            rows = list(_dealt(part[at], u[at], w[at], n))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "blob"])
+
         for batch in bounded(batches, column, 6 * COUNTED):
-            u, w = _pairs(batch[column].to_pylist())
-            keys = _keys(u, w)
-            order = np.argsort(keys, kind="stable")
-            keys, u, w = keys[order], u[order], w[order]
-            at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            n = np.diff(np.r_[at, len(keys)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(segment_of(keys[at], parts).astype(np.int32)), pa.array(u[at].astype(np.int64)),
-                 pa.array(w[at].astype(np.int64)), pa.array(n.astype(np.int32))], names=["part", "u", "w", "n"])
+            u, w, _ = tokens(batch[column].to_pylist())
+            _, at, n = np.unique(_keys(u, w), return_index=True, return_counts=True)
+            held.append((u[at], w[at], n.astype(np.int64)))
+            size += len(at)
+            if size > HELD:
+                yield sent()
+                held, size = [], 0
+        if held:
+            yield sent()
 
     model = KneserNey(uri, parts, {})
     pairs, large, words = model.pairs, model.large, model.words
+    blobs = pa.schema([("part", pa.int32()), ("blob", pa.binary()), *((f"k{k}", pa.int64()) for k in (1, 2, 3, 4))])
+    counted = pa.schema([(c, pa.int64()) for c in ("n", "v", "a", "a1", "a2", "a3", "a4", "more", "k1", "k2", "k3", "k4")])
 
     def segment(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        u, w = (table[c].to_numpy().astype(np.uint64) for c in ("u", "w"))
-        n = table["n"].to_numpy().astype(np.int64)
+        u, w, n = _columns(table["blob"].to_pylist(), "<u8", "<u8", "<u4")
         keys = _keys(u, w)
         order = np.argsort(keys, kind="stable")
-        keys, u, w, n = keys[order], u[order], w[order], n[order]
+        keys, u, w, n = keys[order], u[order], w[order], n[order].astype(np.int64)
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         keys, u, w, n = keys[at], u[at], w[at], np.add.reduceat(n, at)
         pairs.put(part, keys, c=np.minimum(n, BIG))
@@ -181,47 +229,38 @@ def train(texts: DataFrame, text_col: str = "text") -> KneserNey:
         zero = np.zeros(len(n), np.int64)
         # as the left word: followers by count; as the right word: raw count and one predecessor
         got = _sums(
-            np.concatenate([u, w]), np.concatenate([zero, n]), *(np.concatenate([x.astype(np.int64), zero]) for x in (n == 1, n == 2, n >= 3)),
-            np.concatenate([zero, zero + 1]), np.concatenate([np.where(u == START, n, 0), zero]),
-        )
-        word = got[0].astype(np.int64)
-        totals = [(-k, int((n == k).sum())) for k in (1, 2, 3, 4)]
-        out = {"word": np.r_[word, [k for k, _ in totals]], "c": np.r_[got[1] + got[6], [v for _, v in totals]]}
-        out |= {name: np.r_[got[i], [0] * 4] for i, name in ((2, "n1"), (3, "n2"), (4, "n3"), (5, "a"))}
-        return pa.table({k: pa.array(v.astype(np.int64)) for k, v in out.items()})
-
-    columns = "word long, c long, n1 long, n2 long, n3 long, a long"
-    partial = (
-        texts.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, "part int, u long, w long, n int")
-        .groupBy("part").applyInArrow(segment, columns)
+            np.concatenate([mixed(u), mixed(w)]), np.concatenate([np.where(u == START, n, 0), n]),
+            *(np.concatenate([x.astype(np.int64), zero]) for x in (n == 1, n == 2, n >= 3)), np.concatenate([zero, zero + 1]))
+        rows = list(_dealt(segment_of(got[0], parts), got[0], *(x.astype(np.uint64) for x in got[1:])))
+        times = [[int((n == k).sum())] + [0] * (len(rows) - 1) for k in (1, 2, 3, 4)]
+        return pa.Table.from_arrays(
+            [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), *(pa.array(t, pa.int64()) for t in times)], schema=blobs)
+
+    start = mixed(np.array([START]))[0]
+
+    def by_word(table: pa.Table) -> pa.Table:
+        keys, *values = _sums(*_columns(table["blob"].to_pylist(), *["<u8"] * 6))
+        c, n1, n2, n3, a = (x.view(np.int64) for x in values)
+        words.put(table["part"][0].as_py(), keys, c=c, **{k: np.minimum(x, MOST) for k, x in (("n1", n1), ("n2", n2), ("n3", n3), ("a", a))})
+        true = keys != start
+        c, a = c[true], a[true]
+        sums = [c.sum(), len(c), a.sum(), *((a == k).sum() for k in (1, 2, 3, 4)), (a >= 3).sum()]
+        sums += [np.sum(table[f"k{k}"].to_numpy()) for k in (1, 2, 3, 4)]
+        return pa.Table.from_arrays([pa.array([int(x)], pa.int64()) for x in sums], schema=counted)
+
+    names = ", ".join(f"{f.name} long" for f in counted)
+    total = (
+        texts.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, "part int, blob binary")
+        .groupBy("part").applyInArrow(segment, "part int, blob binary, k1 long, k2 long, k3 long, k4 long")
+        .groupBy("part").applyInArrow(by_word, names).agg(*(F.sum(f.name) for f in counted)).first()
     )
-    summed = written(partial.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("c", "n1", "n2", "n3", "a"))), "kn-words")
-    true = summed.filter((F.col("word") > 1))
-    total = true.agg(
-        F.sum("c"), F.count("*"), F.sum("a"), *(F.sum((F.col("a") == k).cast("long")) for k in (1, 2, 3, 4)),
-        F.sum((F.col("a") >= 3).cast("long")),
-    ).first()
-    n, v, a, *seen = (int(x or 0) for x in total)
-    of_pairs = {-r["word"]: r["c"] for r in summed.filter("word < 0").collect()}
-    low = discounts(seen[:4])
+    n, v, a, *rest = (int(x or 0) for x in total)
+    seen, more, of_pairs = rest[:4], rest[4], rest[5:]
+    low = discounts(seen)
     model.totals = {
-        "N": n, "V": v, "A": a, "discounts1": low, "discounts2": discounts([of_pairs.get(k, 0) for k in (1, 2, 3, 4)]),
-        "mass1": (low[0] * seen[0] + low[1] * seen[1] + low[2] * seen[4]) / a if a else 1.0,
+        "N": n, "V": v, "A": a, "discounts1": low, "discounts2": discounts(of_pairs),
+        "mass1": (low[0] * seen[0] + low[1] * seen[1] + low[2] * more) / a if a else 1.0,
     }
-
-    def keep(table: pa.Table) -> pa.Table:
-        word = table["word"].to_numpy().astype(np.uint64)
-        keys = mixed(word)
-        order = np.argsort(keys)
-        words.put(table["part"][0].as_py(), keys[order], **{c: table[c].to_numpy()[order] for c in words.columns})
-        return pa.table({"n": pa.array([len(word)], pa.int64())})
-
-    def dealt(batches):
-        for batch in batches:
-            keys = mixed(batch["word"].to_numpy().astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(segment_of(keys, parts).astype(np.int32)), *batch.columns], names=["part", *batch.schema.names])
-
-    summed.filter("word > 0").mapInArrow(dealt, "part int, " + columns).groupBy("part").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
     return model
 
 
@@ -244,12 +283,8 @@ def score(texts: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
 
     def scored(batches):
         for batch in bounded(batches, "text", 6 * TOGETHER):
-            each = [token_hashes(x) for x in batch["text"].to_pylist()]
-            counts = np.array([len(x) for x in each])
-            first = np.r_[0, np.cumsum(counts)[:-1]]
-            w = np.concatenate(each)
-            u = np.r_[START, w[:-1]]
-            u[first] = START
+            u, w, counts = tokens(batch["text"].to_pylist())
+            first = np.cumsum(counts) - counts
             logs, raw = model.log_probs(u, w)
             base = np.log10(raw + 0.1) - lower
             total, simple, known = (np.add.reduceat(x, first) for x in (logs, base, (raw > 0).astype(np.int64)))

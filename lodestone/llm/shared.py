@@ -138,6 +138,38 @@ class SortedMap:
         for name, dtype in self.columns.items():
             put_array(self.uri, f"{part:07d}.{name}", values[name].astype(dtype))
 
+    #: Tables of at most so many keys are looked up through a bitmap of 2**27 bits (16 MB) first.
+    FILTERED = 1 << 24
+
+    def lookup(self, keys: np.ndarray, column: str, absent: int, total: int | None = None) -> np.ndarray:
+        """One column's values for keys in any order; ``total`` is the table's size, if known."""
+        out = np.full(len(keys), absent, np.dtype(self.columns[column]))
+        some = None
+        if total is not None and total <= self.FILTERED:
+            bits = self._bitmap()
+            at = (keys >> np.uint64(37)).astype(np.int64)
+            some = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            keys = keys[some]
+        order = np.argsort(keys)
+        hit, got = self.find(keys[order])
+        place = order if some is None else some[order]
+        out[place[hit]] = got[column][hit]
+        return out
+
+    def _bitmap(self) -> np.ndarray:
+        key = (self.uri, "bitmap")
+        if key not in _mapped:
+            bits = np.zeros(1 << 24, np.uint8)
+            for part in range(self.parts):
+                at = (np.asarray(map_array(self.uri, f"{part:07d}.key", "<u8")) >> np.uint64(37)).astype(np.int64)
+                if len(at):
+                    first = int(at[0]) & ~7
+                    own = np.zeros((int(at[-1]) | 7) + 1 - first, bool)
+                    own[at - first] = True
+                    bits[first >> 3 : (first + len(own)) >> 3] |= np.packbits(own, bitorder="little")
+            _mapped[key] = bits
+        return _mapped[key]
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """For sorted ``keys``: whether each is present, and its values (0 where absent)."""
         hit = np.zeros(len(keys), bool)
@@ -173,25 +205,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Word bytes -> 64-bit hash; forgets everything beyond ``LIMIT`` words, as it can be made anew."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh3_64_intdigest
-
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word)
-        return value
-
-
-_words = WordHashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+_CHUNK = 1 << 20
+_tables: list[np.ndarray] = []
+
+
+def _hash_tables(n: int) -> list[np.ndarray]:
+    """A number for each byte, white-space flags, and powers of an odd base and of its inverse."""
+    if not _tables or len(_tables[2]) < n:
+        size = max(n, _CHUNK + 1)
+        base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+        space = np.zeros(256, bool)
+        space[[9, 10, 11, 12, 13, 32]] = True
+        powers = []
+        for b in (base, inverse):
+            each = np.full(size + 1, b, np.uint64)
+            each[0] = 1
+            powers.append(np.multiply.accumulate(each))
+        _tables[:] = [mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)), space, *powers]
+    return _tables
+
+
+def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words between ASCII white space, and each text's number of words.
+
+    Polynomial in the bytes' numbers, from running sums, so that no word becomes an object;
+    ``lower`` takes A-Z in lower case.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = b" ".join(raw) + b" "
+    if lower:
+        joined = joined.lower()
+    buffer = np.frombuffer(joined, np.uint8)
+    space = _hash_tables(0)[1][buffer]
+    flips = np.flatnonzero(np.diff(space, prepend=True))
+    starts, ends = flips[0::2], flips[1::2]
+    out = np.empty(len(starts), np.uint64)
+    lo = 0
+    while lo < len(starts):  # some words at a time, so that the powers stay few
+        origin = starts[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, origin + _CHUNK, "right")))
+        size = int(ends[hi - 1] - origin)
+        numbers, _, powers, inverses = _hash_tables(size)
+        sums = numbers[buffer[origin : origin + size]]
+        sums *= powers[:size]
+        np.cumsum(sums, out=sums)
+        s, e = starts[lo:hi] - origin, ends[lo:hi] - origin
+        value = sums[e - 1]
+        value[1:] -= sums[s[1:] - 1]
+        out[lo:hi] = mixed(value * inverses[s] + (e - s).astype(np.uint64))
+        lo = hi
+    bounds = np.cumsum([len(r) + 1 for r in raw])
+    return out, np.diff(np.searchsorted(starts, bounds), prepend=0)
+
+
+def split_by(values: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(values, np.cumsum(counts)[:-1]) if len(counts) else []
 
 
 def rolling(hashes: np.ndarray, width: int, factor: int) -> np.ndarray:
