@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SortedMap, bounded, rolling, scratch, segment_of, word_hashes
+from .shared import SortedMap, bounded, hashed_words, rolling, scratch, segment_of, split_by
 
 _ODD7, _ODD13 = 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 TOGETHER = 2_000_000
@@ -48,27 +48,24 @@ def _lists(batches):
 
 def _least(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, and the least and the largest id of each."""
-    order = np.lexsort((ids, keys))
+    order = np.argsort(keys)
     keys, ids = keys[order], ids[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    last = np.r_[at[1:], len(keys)] - 1 if len(keys) else at
-    return keys[at], ids[at], ids[last]
+    if not len(keys):
+        return keys, ids, ids
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[at], np.minimum.reduceat(ids, at), np.maximum.reduceat(ids, at)
 
 
-def _looked_up(table: SortedMap, keys: np.ndarray, column: str, absent: int) -> np.ndarray:
-    distinct, at = np.unique(keys, return_inverse=True)
-    hit, got = table.find(distinct)
-    return np.where(hit, got[column], absent)[at]
+MOST, LEAST = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 
 
-def _spread(hits: np.ndarray, before: int, n: int) -> np.ndarray:
-    """Positions p < n with a hit in [p, p + before]."""
-    diff = np.zeros(n + 1, np.int32)
-    lo = np.maximum(hits - before, 0)
-    np.add.at(diff, lo[lo < n], 1)
-    hi = np.minimum(hits + 1, n)
-    np.add.at(diff, hi[lo < n], -1)
-    return np.cumsum(diff[:-1]) > 0
+def _windows(words: np.ndarray, counts: np.ndarray, width: int, factor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows that lie in one text, and their number per text."""
+    every = rolling(words, width, factor)
+    own = np.maximum(counts - width + 1, 0)
+    first = np.cumsum(counts) - counts
+    at = np.repeat(first - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    return every[at], own
 
 
 def covered(windows: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -131,54 +128,47 @@ def mark_repeats(
 
     def blocks(batches):
         for ids, texts in _lists(batches):
-            keys, owners = [], []
-            for i, t in zip(ids, texts):
-                k = rolling(word_hashes(words_of(t)), block, _ODD7)[::block]
-                keys.append(k)
-                owners.append(np.full(len(k), i, np.int64))
-            k, low, high = _least(np.concatenate(keys), np.concatenate(owners))
-            yield _keyed(k, low, high, parts)
+            keys, own = _windows(*hashed_words(texts), block, _ODD7)
+            first = np.repeat(np.cumsum(own) - own, own)
+            aligned = (np.arange(len(keys)) - first) % block == 0
+            yield _keyed(*_least(keys[aligned], np.repeat(np.array(ids, np.int64), own)[aligned]), parts)
 
     def probes(batches):
         for ids, texts in _lists(batches):
-            each = [rolling(word_hashes(words_of(t)), block, _ODD7) for t in texts]
-            owners = np.repeat(np.array(ids, np.int64), [len(x) for x in each])
-            keys = np.concatenate(each)
-            ok = _looked_up(index, keys, "low", np.iinfo(np.int64).max) < owners
-            k, low, high = _least(keys[ok], owners[ok])
-            yield _keyed(k, low, high, parts)
-
-    def around(h7: np.ndarray, me: int, low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
-        """Starts of windows around own aligned blocks that a larger document hits, and around own hits."""
-        own = np.arange(len(h7)) % block == 0
-        at = np.flatnonzero((low < me) | (own & (high > me)))
-        return np.flatnonzero(_spread(at, width - block, n)) if n > 0 else np.empty(0, np.int64)
+            keys, own = _windows(*hashed_words(texts), block, _ODD7)
+            owners = np.repeat(np.array(ids, np.int64), own)
+            ok = index.lookup(keys, "low", MOST) < owners
+            yield _keyed(*_least(keys[ok], owners[ok]), parts)
+
+    indexed = _stored(docs.mapInArrow(blocks, _SCHEMA), index, "low", False)
+    hit = _stored(docs.mapInArrow(probes, _SCHEMA), hits, "high", False)
 
     def windows(batches):
         for ids, texts in _lists(batches):
-            words = [word_hashes(words_of(t)) for t in texts]
-            each = [rolling(w, block, _ODD7) for w in words]
-            keys = np.concatenate(each)
-            high = _looked_up(hits, keys, "high", np.iinfo(np.int64).min)
+            words, counts = hashed_words(texts)
+            keys, own = _windows(words, counts, block, _ODD7)
+            high = hits.lookup(keys, "high", LEAST, hit)
             # a block that nothing hit can't be one of this document's own hits either
-            maybe = np.flatnonzero(high > np.iinfo(np.int64).min)
-            low = np.full(len(keys), np.iinfo(np.int64).max)
-            low[maybe] = _looked_up(index, keys[maybe], "low", np.iinfo(np.int64).max)
-            out, owners, pos = [], [], 0
-            for i, w, h in zip(ids, words, each):
-                cut = slice(pos, pos + len(h))
-                pos += len(h)
-                starts = around(h, i, low[cut], high[cut], len(w) - width + 1)
-                if len(starts):
-                    got = rolling(w, width, _ODD13)[starts]
-                    out.append(got)
-                    owners.append(np.full(len(got), i, np.int64))
-            if out:
-                yield _keyed(*_least(np.concatenate(out), np.concatenate(owners)), parts)
-
-    _stored(docs.mapInArrow(blocks, _SCHEMA), index, "low", False)
-    _stored(docs.mapInArrow(probes, _SCHEMA), hits, "high", False)
-    _stored(docs.mapInArrow(windows, _SCHEMA), shared, "low", True)
+            maybe = np.flatnonzero(high > LEAST)
+            owners = np.repeat(np.array(ids, np.int64), own)[maybe]
+            place = maybe - np.repeat(np.cumsum(own) - own, own)[maybe]
+            anchor = (index.lookup(keys[maybe], "low", MOST, indexed) < owners) | ((place % block == 0) & (high[maybe] > owners))
+            # window starts p with an anchor in [p, p + width - block], text by text
+            texts_of = np.repeat(np.arange(len(ids)), own)[maybe][anchor]
+            room = np.maximum(counts - width + 1, 0)
+            start = np.cumsum(room) - room
+            lo = np.maximum(place[anchor] - (width - block), 0)
+            hi = np.minimum(place[anchor] + 1, room[texts_of])
+            fits = lo < hi
+            diff = np.zeros(int(room.sum()) + 1, np.int32)
+            np.add.at(diff, start[texts_of[fits]] + lo[fits], 1)
+            np.add.at(diff, start[texts_of[fits]] + hi[fits], -1)
+            chosen = np.cumsum(diff[:-1]) > 0
+            if chosen.any():
+                whole, room = _windows(words, counts, width, _ODD13)
+                yield _keyed(*_least(whole[chosen], np.repeat(np.array(ids, np.int64), room)[chosen]), parts)
+
+    known = _stored(docs.mapInArrow(windows, _SCHEMA), shared, "low", True)
 
     schema = pa.schema([
         (id_col, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()),
@@ -188,18 +178,21 @@ def mark_repeats(
         for batch in bounded(batches, "text", TOGETHER):
             rows = []
             ids, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
-            words = [words_of(t) for t in texts]
-            hashed = [rolling(word_hashes(w), width, _ODD13) if i is not None else np.empty(0, np.uint64) for i, w in zip(ids, words)]
-            owners = np.repeat(np.array([i or 0 for i in ids], np.int64), [len(h) for h in hashed])
-            gone = _looked_up(shared, np.concatenate(hashed), "low", np.iinfo(np.int64).max) < owners
-            pos = 0
-            for i, w, h in zip(ids, words, hashed):
-                starts = np.flatnonzero(gone[pos : pos + len(h)])
-                pos += len(h)
-                removed = covered(starts, width, len(w))
-                edges = np.flatnonzero(np.diff(np.r_[False, removed, False])).reshape(-1, 2)
-                kept = b" ".join(w if not len(starts) else [x for x, r in zip(w, removed.tolist()) if not r])
-                rows.append((i, len(w), int(removed.sum()), kept.decode("utf-8", "replace"), sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in edges.tolist()]))
+            words, counts = hashed_words(texts)
+            keys, own = _windows(words, counts, width, _ODD13)
+            # a null id is smaller than all others: nothing is removed from it
+            owners = np.repeat(np.array([LEAST if i is None else i for i in ids], np.int64), own)
+            gone = shared.lookup(keys, "low", MOST, known) < owners
+            for i, text, n, starts in zip(ids, texts, counts.tolist(), split_by(gone, own)):
+                split = words_of(text)
+                if starts.any():
+                    removed = covered(np.flatnonzero(starts), width, n)
+                    split = [x for x, r in zip(split, removed.tolist()) if not r]
+                    edges = np.flatnonzero(np.diff(np.r_[False, removed, False])).reshape(-1, 2).tolist()
+                else:
+                    edges = []
+                kept = b" ".join(split)
+                rows.append((i, n, n - len(split), kept.decode("utf-8", "replace"), sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in edges]))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return docs.mapInArrow(
