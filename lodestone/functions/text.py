@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Glyphs of vulgar fractions and what they stand for.
 FRACTIONS = {
@@ -26,13 +27,13 @@ def plain(x: Column) -> Column:
     return F.lower(collapsed(x))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical(x: pd.Series) -> pd.Series:
     """NFKC, case-folded, collapsed; Spark has no function for the first two."""
     return x.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def unaccented(x: pd.Series) -> pd.Series:
     """Without combining marks."""
     return x.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
