@@ -25,14 +25,18 @@ from pyspark.sql import functions as F
 from .shared import bounded, small, written
 
 CAPACITY, GRAIN, END_ID = 2048, 4, 1
-#: Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+#: Words whose ids a worker keeps, about.
+KEPT_WORDS = 700_000
 #: Rows of a class that are ranked together.
 BUCKET_ROWS = 20_000
 
 
 class WordIds:
-    """Token ids of texts, word by word: white space never joins tokens, so words can be cached."""
+    """Token ids of texts, word by word: white space never joins tokens, so words can be kept.
+
+    Words of letters are looked up without the ``.,;:!?`` at their end, which the tokenizer
+    splits off; new ones are tokenized together, and the marks of word ends tell them apart.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,31 +44,61 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def each(self, words: list[bytes]) -> dict[bytes, bytes]:
+        got = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, got)}
+
+    def together(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that are one run of letters each."""
+        if not words:
+            return {}
+        ids = np.array(self.encode([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):
+            return self.each(words)
+        raw, cuts = ids.tobytes(), cuts.tolist()
+        return {w: raw[lo:hi] for w, lo, hi in zip(words, [0, *cuts], cuts)}
+
+    def learnt(self, new: list[bytes]) -> dict[bytes, bytes]:
+        known, plain, odd, parts = self.known, {}, [], []
+        for w in new:
+            stem = w.rstrip(b".,;:!?")
+            if stem and stem.decode("utf-8", "replace").isalpha():
+                parts.append((w, stem, w[len(stem) :]))
+                if stem not in known:
+                    plain[stem] = True
+                if len(stem) < len(w) and parts[-1][2] not in known:
+                    odd.append(parts[-1][2])
+            else:
+                odd.append(w)
+        found = self.together(list(plain)) | (self.each(list(dict.fromkeys(odd))) if odd else {})
+        get = lambda x: found[x] if x in found else known[x]
+        for w, stem, tail in parts:
+            if tail:
+                found[w] = get(stem) + get(tail)
+        return found
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Per text, its ids and the end id as little-endian 32-bit numbers."""
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        raw = ((t or "").encode("utf-8", "surrogatepass") for t in texts)
+        # lower-casing A-Z early makes fewer words, but could make a special token's string
+        words = [(x if b"<|" in x else x.lower()).split() for x in raw]
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
-        if new:
-            got = self.encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            found = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, got)}
-            if len(known) < KEPT_WORDS:
-                known.update(found)
-            else:
-                known = _Either(known, found)
+        full = len(known) >= KEPT_WORDS
+        found = self.learnt(new) if new else {}
+        known.update(found)
         end = END_ID.to_bytes(4, "little")
-        return [b"".join(map(known.__getitem__, w)) + end for w in words]
-
-
-class _Either(dict):
-    def __init__(self, first: dict, second: dict):
-        super().__init__(second)
-        self.first = first
-
-    def __missing__(self, key):
-        return self.first[key]
+        out = [b"".join(map(known.__getitem__, w)) + end for w in words]
+        if full:
+            for w in found:
+                del known[w]
+        return out
 
 
 _tokenizers: dict[str, WordIds] = {}
@@ -186,7 +220,7 @@ def pack(
     def cut(batches):
         ids_of = word_ids(tokenizer)
         salt = 0
-        for batch in bounded(batches):
+        for batch in bounded(batches, "text", 4_000_000):
             rows = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
                 for at in range(0, len(ids), step):
