@@ -216,11 +216,11 @@ def ded01(spark, d):
 
 
 @query("ded02_duplicate_status", """
-WITH x AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, CAST(l_partkey AS VARCHAR) AS c FROM lineitem WHERE l_orderkey < 2000),
+WITH x AS (SELECT l_orderkey AS id, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, CAST(l_partkey AS VARCHAR) AS c FROM lineitem),
 y AS (SELECT *, row_number() OVER (PARTITION BY c, n = 1 ORDER BY l_linenumber, l_partkey, l_suppkey, id) AS m FROM x)
 SELECT id, l_linenumber, l_partkey, CASE WHEN n > 1 THEN 'duplicate_id' WHEN m > 1 THEN 'duplicate_content' ELSE 'accepted' END AS status FROM y""")
 def ded02(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 2000").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_suppkey")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", "l_suppkey")
     return A.duplicate_status(li, "id", F.col("l_partkey").cast("string"), ["l_linenumber", "l_partkey", "l_suppkey", "id"]).drop("l_suppkey")
 
 

@@ -100,7 +100,7 @@ def evl09(spark, d):
     return run(spark, d).crossJoin(F.broadcast(configs)).filter("hits >= least and rank <= k").select("config", "case_id", "doc_id", "rank")
 
 
-_SWEEP = f"""WITH {JUDGMENTS_SQL}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id < 12),
+_SWEEP = f"""WITH {JUDGMENTS_SQL}, e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id IN (SELECT item_id FROM benchmark)),
 dd AS (SELECT q.vec_id AS case_id, e.vec_id AS doc_id, round(list_cosine_distance(q.v, e.v), 9) AS distance FROM q JOIN e ON q.vec_id <> e.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY distance, doc_id) AS rank FROM dd), t AS (SELECT r.*, grade, case_id % 4 <> 0 AS answerable FROM r LEFT JOIN judgments USING (doc_id) WHERE rank <= 20),
 grid AS (SELECT CAST(NULL AS DOUBLE) AS cutoff UNION ALL SELECT i / 100e0 FROM range(20, 101) x(i)),
@@ -110,7 +110,8 @@ curve AS (SELECT cutoff, avg(coalesce(1e0 / first, 0e0)) FILTER (answerable) AS
 
 def _curve(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("n", V.norm(F.col("v")))
-    q = e.filter("vec_id < 12").select(F.col("vec_id").alias("case_id"), F.col("v").alias("q"), F.col("n").alias("qn"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    q = e.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("case_id"), F.col("v").alias("q"), F.col("n").alias("qn"))
     distance = F.round(F.lit(1.0) - V.dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn")), 9)
     pairs = e.crossJoin(F.broadcast(q)).filter("case_id <> vec_id").select("case_id", F.col("vec_id").alias("doc_id"), distance.alias("distance"))
     w = Window.partitionBy("case_id").orderBy("distance", "doc_id")

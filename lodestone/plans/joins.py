@@ -110,11 +110,11 @@ def jn13(spark, d):
 
 
 @query("jn14_aligned_lines", """
-WITH a AS (SELECT l_orderkey AS doc, p_name AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 3000),
+WITH a AS (SELECT l_orderkey AS doc, p_name AS text, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey),
 p AS (SELECT *, row_number() OVER (PARTITION BY doc, text ORDER BY pos) AS n FROM a WHERE pos % 2 = 1), l AS (SELECT *, row_number() OVER (PARTITION BY doc, text ORDER BY pos) AS n FROM a)
 SELECT p.doc, p.text, p.pos, l.pos AS line FROM p LEFT JOIN l USING (doc, text, n)""")
 def jn14(spark, d):
-    li = table(spark, d, "lineitem").filter("l_orderkey < 3000").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     a = li.select(F.col("l_orderkey").alias("doc"), F.col("p_name").alias("text"), F.row_number().over(order).cast("long").alias("pos"))
     return J.aligned_lines(a.filter("pos % 2 = 1"), a)
@@ -209,14 +209,14 @@ def jn22(spark, d):
 
 
 @query("jn23_reconciled_results", """
-WITH asked AS (SELECT DISTINCT l_partkey AS custom_id FROM lineitem WHERE l_orderkey < 400), res AS (SELECT l_partkey AS custom_id, l_linenumber AS file, l_orderkey AS line, CASE WHEN l_returnflag = 'R' THEN 'bad' ELSE 'ok' END AS status FROM lineitem WHERE l_orderkey BETWEEN 200 AND 600),
+WITH asked AS (SELECT DISTINCT l_partkey AS custom_id FROM lineitem WHERE l_returnflag <> 'N' AND l_tax > 0.05), res AS (SELECT l_partkey AS custom_id, l_linenumber AS file, l_orderkey AS line, CASE WHEN l_returnflag = 'R' THEN 'bad' ELSE 'ok' END AS status FROM lineitem WHERE l_linestatus = 'F' AND l_tax > 0.04),
 r AS (SELECT *, row_number() OVER (PARTITION BY custom_id ORDER BY file, line) AS n FROM res)
 SELECT custom_id, file, line, CASE WHEN file IS NULL THEN 'missing' WHEN a.custom_id IS NULL THEN 'unknown' WHEN n > 1 THEN 'duplicate' WHEN status = 'ok' THEN 'ok' ELSE 'failed' END AS outcome
 FROM (SELECT coalesce(a.custom_id, r.custom_id) AS custom_id, file, line, n, status, a.custom_id AS aid FROM asked a FULL JOIN r ON a.custom_id = r.custom_id) x LEFT JOIN asked a USING (custom_id)""")
 def jn23(spark, d):
     li = table(spark, d, "lineitem")
-    asked = li.filter("l_orderkey < 400").select(F.col("l_partkey").alias("custom_id"))
-    res = li.filter("l_orderkey between 200 and 600").select(
+    asked = li.filter("l_returnflag <> 'N' and l_tax > 0.05").select(F.col("l_partkey").alias("custom_id"))
+    res = li.filter("l_linestatus = 'F' and l_tax > 0.04").select(
         F.col("l_partkey").alias("custom_id"), F.col("l_linenumber").alias("file"), F.col("l_orderkey").alias("line"), F.when(F.col("l_returnflag") == "R", "bad").otherwise("ok").alias("status"))
     return J.reconciled(asked, res)
 
@@ -233,12 +233,12 @@ def set01(spark, d):
 
 
 @query("set02_keep_first_union", """
-WITH u AS (SELECT l_suppkey, l_partkey, l_linenumber AS ord FROM lineitem WHERE l_suppkey < 5 UNION ALL SELECT l_suppkey, l_partkey, l_linenumber + 100 FROM lineitem WHERE l_suppkey < 8)
+WITH u AS (SELECT l_suppkey, l_partkey, l_linenumber AS ord FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_suppkey, l_partkey, l_linenumber + 100 FROM lineitem WHERE l_linestatus = 'F')
 SELECT l_suppkey, l_partkey, min(ord) AS ord FROM u GROUP BY ALL""")
 def set02(spark, d):
     li = table(spark, d, "lineitem")
-    a = li.filter("l_suppkey < 5").select("l_suppkey", "l_partkey", F.col("l_linenumber").alias("ord"))
-    b = li.filter("l_suppkey < 8").select("l_suppkey", "l_partkey", (F.col("l_linenumber") + 100).alias("ord"))
+    a = li.filter("l_returnflag = 'A'").select("l_suppkey", "l_partkey", F.col("l_linenumber").alias("ord"))
+    b = li.filter("l_linestatus = 'F'").select("l_suppkey", "l_partkey", (F.col("l_linenumber") + 100).alias("ord"))
     return a.union(b).groupBy("l_suppkey", "l_partkey").agg(F.min("ord").alias("ord"))
 
 

@@ -120,13 +120,13 @@ def fts10(spark, d):
     return found.groupBy("query_id", (F.col("source") == "src0").alias("scoped")).agg(F.count("*").alias("n"))
 
 
-_TITLES = f"""WITH {HITS_SQL}, t AS (SELECT doc_id, regexp_extract_all(lower(substring(text, 1, 80)), '[a-z0-9]+') AS title FROM documents),
+_TITLES = f"""WITH {HITS_SQL}, t AS (SELECT doc_id, regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+') AS title FROM documents),
 s AS (SELECT query_id, h.doc_id, hits, len(list_filter(title, lambda x: list_contains(terms, x))) AS in_title FROM hits h JOIN t USING (doc_id) JOIN cases c ON c.case_id = h.query_id WHERE matched = n_slots),
 """
 
 
 def _with_title(spark, d):
-    title = T.tokens(F.substring("text", 1, 80))
+    title = T.tokens(F.element_at(F.split("text", "\n"), 1))
     t = table(spark, d, "documents").select("doc_id", title.alias("title"))
     found = S.only_all(case_hits(spark, d)).join(t, "doc_id").join(F.broadcast(_queries(spark, d)), "query_id")
     return found.withColumn("in_title", F.size(F.filter("title", lambda x: F.array_contains("terms", x))))
@@ -166,23 +166,25 @@ def vectors(spark, d):
     return e.withColumn("n", V.norm(F.col("v")))
 
 
-def query_vectors(spark, d, ids):
-    return vectors(spark, d).filter(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("n").alias("qn"))
+def query_vectors(spark, d):
+    """The cases' vectors: those whose id is a benchmark item's."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return vectors(spark, d).join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("n").alias("qn"))
 
 
 VECTORS_SQL = """vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-dist AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_distance(e.v, q.v), 9) AS distance FROM vecs e JOIN vecs q ON q.vec_id IN (0, 1, 2, 3, 4))"""
+dist AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_distance(e.v, q.v), 9) AS distance FROM vecs e JOIN vecs q ON q.vec_id IN (SELECT item_id FROM benchmark))"""
 
 
 def distances(spark, d):
-    pairs = vectors(spark, d).crossJoin(F.broadcast(query_vectors(spark, d, range(5))))
+    pairs = vectors(spark, d).crossJoin(F.broadcast(query_vectors(spark, d)))
     distance = F.lit(1.0) - V.dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn"))
     return pairs.select("query_id", "vec_id", "label", F.round(distance, 9).alias("distance"))
 
 
 @query("vec01_best_owner", f"""WITH {VECTORS_SQL} SELECT query_id, label, round(min(distance), 6) AS distance, count(*) AS chunks FROM dist GROUP BY ALL""")
 def vec01(spark, d):
-    found = V.candidates(vectors(spark, d), query_vectors(spark, d, range(5)), ["label"])
+    found = V.candidates(vectors(spark, d), query_vectors(spark, d), ["label"])
     return found.select("query_id", "label", F.round("distance", 6).alias("distance"), "chunks")
 
 
@@ -190,7 +192,7 @@ def vec01(spark, d):
 r AS (SELECT *, label % 3 AS overlap, row_number() OVER (PARTITION BY query_id ORDER BY label % 3 DESC, distance, vec_id) AS rank FROM n WHERE nth <= 30)
 SELECT query_id, vec_id, CAST(overlap AS BIGINT) AS overlap, rank FROM r WHERE rank <= 10""")
 def vec02(spark, d):
-    found = V.candidates(vectors(spark, d), query_vectors(spark, d, range(5)), ["vec_id"], F.col("label") % 3, 10)
+    found = V.candidates(vectors(spark, d), query_vectors(spark, d), ["vec_id"], F.col("label") % 3, 10)
     return found.select("query_id", "vec_id", "overlap", F.col("rank").cast("long").alias("rank"))
 
 
@@ -216,9 +218,9 @@ def flt11(spark, d):
     return n.withColumn("reason", F.when((F.col("raw") > 0) & (F.col("kept") == 0), "vector_cutoff_abstention"))
 
 
-HYBRID_SQL = f"""{HITS_SQL}, f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, hits DESC, doc_id) AS rank FROM hits WHERE query_id < 5),
+HYBRID_SQL = f"""{HITS_SQL}, f AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, hits DESC, doc_id) AS rank FROM hits),
 vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-vd AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_distance(e.v, q.v), 9) AS distance FROM vecs e JOIN vecs q ON q.vec_id < 5),
+vd AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_distance(e.v, q.v), 9) AS distance FROM vecs e JOIN vecs q ON q.vec_id IN (SELECT item_id FROM benchmark)),
 v AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM vd),
 u AS (SELECT * FROM f WHERE rank <= 20 UNION ALL SELECT v.* FROM v JOIN vd USING (query_id, doc_id) WHERE rank <= 20 AND distance <= 0.9),
 s AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS rrf FROM u GROUP BY ALL),
@@ -227,7 +229,7 @@ fused AS (SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id
 
 def hybrid(spark, d, limit, cutoff=0.9):
     """Full-text and vector lists of 20, the cutoff before fusion, reciprocal ranks."""
-    full = S.top(case_hits(spark, d).filter("query_id < 5"), ["doc_id"], V.CANDIDATES, [F.desc("matched"), F.desc("hits")])
+    full = S.top(case_hits(spark, d), ["doc_id"], V.CANDIDATES, [F.desc("matched"), F.desc("hits")])
     near = distances(spark, d).withColumnRenamed("vec_id", "doc_id")
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     near = P.within_cutoff(near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= V.CANDIDATES), cutoff)
@@ -290,12 +292,12 @@ def vec09(spark, d):
 
 
 @query("vec10_vocabulary_ladder", r"""
-WITH v AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey < 500), q AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Red Bolts' WHEN 1 THEN '  fresh rings ' WHEN 2 THEN 'widgets' WHEN 3 THEN 'unknown thing' ELSE 'gear' END AS raw FROM nation),
+WITH v AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS term FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size < 10), q AS (SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'Red Bolts' WHEN 1 THEN '  fresh rings ' WHEN 2 THEN 'widgets' WHEN 3 THEN 'unknown thing' ELSE 'gear' END AS raw FROM nation),
 b AS (SELECT n_nationkey, lower(trim(raw)) AS w FROM q), c AS (SELECT n_nationkey, [w, regexp_replace(w, 's$', ''), split_part(w, ' ', -1), regexp_replace(split_part(w, ' ', -1), 's$', ''), split_part(w, ' ', 1)] AS cs FROM b)
 , l AS (SELECT list(term) AS vs FROM v) SELECT n_nationkey, list_filter(cs, lambda x: list_contains(vs, x))[1] AS term FROM c, l""")
 def vec10(spark, d):
     p = table(spark, d, "part")
-    known = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("term")).union(p.filter("p_partkey < 500").select("p_name")).distinct()
+    known = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("term")).union(p.filter("p_size < 10").select("p_name")).distinct()
     vocabulary = F.broadcast(known.agg(F.collect_set("term").alias("vocabulary")))  # the parts' names are a closed list of a few words
     k = F.col("n_nationkey") % 5
     raw = F.when(k == 0, "Red Bolts").when(k == 1, "  fresh rings ").when(k == 2, "widgets").when(k == 3, "unknown thing").otherwise("gear")
