@@ -238,6 +238,18 @@ def nst07(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(has("fatal"), "reject").when(has("major"), "quarantine").when(has("gap"), "accept_with_gaps").otherwise("accept").alias("verdict"))
 
 
+@query("nst08_response_problems")
+def nst08(spark, d):
+    """Lines interpreted by the parser, checked as if a model had returned them."""
+    from ..operators.validation import problems
+
+    items = lines(spark).select("id", "line", G.ingredient_line("line").alias("i")).select(
+        F.col("id").cast("string").alias("record"), F.lit(0).alias("position"), F.col("id").cast("string").alias("expected_record"), F.sha2("line", 256).alias("hash"),
+        F.sha2("line", 256).alias("expected_hash"), "line", F.coalesce("i.item", F.lit("")).alias("excerpt"), F.col("i.item").alias("name"), F.col("i.amount").alias("amount_text"),
+        F.when(~F.col("i.is_range"), F.col("i.amount")).alias("amount_value"), F.col("i.unit").alias("unit"), F.col("i.is_range").alias("is_range"), F.lit(False).alias("uncertain"))
+    return problems(items)
+
+
 @query("nst11_evidence_fingerprint", """SELECT doc_id, sha256('{"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS fingerprint FROM documents""")
 def nst11(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.to_json(F.struct("lang", "n_chars", "source")), 256).alias("fingerprint"))
