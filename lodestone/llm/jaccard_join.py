@@ -34,8 +34,8 @@ from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_arra
 VALUES, BANDS, STEP = 128, 32, 32
 ROWS = VALUES // BANDS
 TOLERANCE = 1e-9
-#: Nodes of a block, pairs examined together, nodes per segment of the signature table.
-BLOCK, CHUNK, SEGMENT_NODES = 256, 60_000, 8_192
+#: Nodes of a block, pairs examined and shingles verified together, nodes per signature segment.
+BLOCK, CHUNK, TOGETHER, SEGMENT_NODES = 256, 40_000, 500_000, 8_192
 _ODD = 0xA0761D6478BD642F
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -181,13 +181,24 @@ def verified(store: Store, left: np.ndarray, right: np.ndarray, band: np.ndarray
     low, high = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
     fits = low >= threshold * high - 1e-9
     a, b = a[fits], b[fits]
-    if not len(a):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    both = _shared_counts(a, b, sets)
+    both = np.empty(len(a), np.int64)
+    for lo, hi in _slices(a, b, sizes):
+        both[lo:hi] = _shared_counts(a[lo:hi], b[lo:hi], sets)
     ok = both >= threshold * (sizes[a] + sizes[b] - both) - 1e-9
     return nodes[used][a[ok]], nodes[used][b[ok]]
 
 
+def _slices(a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of pairs whose sets have about ``TOGETHER`` shingles; each node counts where it comes first."""
+    flat = np.stack([a, b], axis=1).ravel()
+    new = np.zeros(len(flat), np.int64)
+    at = np.unique(flat, return_index=True)[1]
+    new[at] = sizes[flat[at]]
+    run = np.cumsum(new.reshape(-1, 2).sum(axis=1)) // TOGETHER
+    cuts = np.flatnonzero(np.diff(run)) + 1
+    return [(int(lo), int(hi)) for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(a)]) if hi > lo]
+
+
 def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """The least member of each node's component, by minimum and pointer jumping."""
     root = np.arange(n)
