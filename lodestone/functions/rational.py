@@ -5,8 +5,14 @@ An amount that doesn't fit is null, never rounded.
 
 from __future__ import annotations
 
+from math import gcd
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Units by dimension, each with its factor to the first of its group as (num, den).
 UNITS: dict[str, dict[str, tuple[int, int]]] = {
@@ -20,25 +26,58 @@ ALIASES = {
 }
 
 
-def _pair(num: Column, den: Column) -> Column:
-    return F.struct(num.cast("long").alias("num"), den.cast("long").alias("den"))
+PAIR = StructType([StructField("num", LongType()), StructField("den", LongType())])
+_LIMIT = float(2**62)
 
 
-def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor by Euclid's steps; 92 are enough for 64 bits."""
-    start = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
-    steps = F.sequence(F.lit(1), F.lit(92))
-    return F.aggregate(
-        steps, start, lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % F.when(s["y"] == 0, 1).otherwise(s["y"])).alias("y"))),
-        lambda s: s["x"],
-    )
+def _integers(x: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit values (0 where null) and where they are there."""
+    there = x.notna().to_numpy()
+    return np.array([int(v) for v in x[there]], np.int64) if x.dtype.kind not in "iu" and there.any() else x[there].to_numpy(np.int64), there
+
+
+def _pairs(num: np.ndarray, den: np.ndarray, ok: np.ndarray) -> pd.DataFrame:
+    out = pd.DataFrame({"num": pd.array(num, "Int64"), "den": pd.array(den, "Int64")})
+    out[~ok] = pd.NA
+    return out
+
+
+def _filled(*columns: pd.Series) -> tuple[list[np.ndarray], np.ndarray]:
+    out, ok = [], np.ones(len(columns[0]), bool)
+    for x in columns:
+        values, there = _integers(x)
+        full = np.zeros(len(x), np.int64)
+        full[there] = values
+        out.append(full)
+        ok &= there
+    return out, ok
+
+
+# numpy has a greatest common divisor and Spark none: whole Arrow batches, not steps of Euclid per row
+@pandas_udf(PAIR)
+def _reduced(num: pd.Series, den: pd.Series) -> pd.DataFrame:
+    (n, d), ok = _filled(num, den)
+    ok &= d != 0
+    g = np.maximum(np.gcd(n, d), 1) * np.where(d < 0, -1, 1)
+    return _pairs(n // g, d // g, ok)
+
+
+@pandas_udf(PAIR)
+def _times(an: pd.Series, ad: pd.Series, bn: pd.Series, bd: pd.Series) -> pd.DataFrame:
+    (a, b, c, d), ok = _filled(an, ad, bn, bd)
+    ok &= (b != 0) & (d != 0)
+    g, h = np.maximum(np.gcd(a, d), 1), np.maximum(np.gcd(c, b), 1)
+    a, d, c, b = a // g, d // g, c // h, b // h
+    ok &= (np.abs(a.astype(float) * c) < _LIMIT) & (np.abs(b.astype(float) * d) < _LIMIT)
+    num, den = a * c, b * d
+    sign = np.where(den < 0, -1, 1)
+    return _pairs(num * sign, den * sign, ok)
 
 
 def reduced(num: Column, den: Column) -> Column:
     """Lowest terms with a positive denominator; null where either is null or den is 0."""
-    g = gcd(num, den)
-    sign = F.when(den < 0, -1).otherwise(1)
-    return F.when(den != 0, _pair(F.expr("1") * sign * (num / g).cast("long"), sign * (den / g).cast("long")))
+    pair = _reduced(num.cast("long"), den.cast("long"))
+    return F.when(pair["num"].isNotNull(), pair)
 
 
 def quantity(text: Column) -> Column:
@@ -60,15 +99,14 @@ def quantity(text: Column) -> Column:
 
 
 def times(a: Column, b: Column) -> Column:
-    """Product, crossed out before it is multiplied; null beyond 64 bits."""
-    g, h = gcd(a["num"], b["den"]), gcd(b["num"], a["den"])
-    num = F.try_multiply((a["num"] / g).cast("long"), (b["num"] / h).cast("long"))
-    den = F.try_multiply((a["den"] / h).cast("long"), (b["den"] / g).cast("long"))
-    return F.when(num.isNotNull() & den.isNotNull(), _pair(num, den))
+    """Product in lowest terms, crossed out before it is multiplied; null beyond 62 bits."""
+    pair = _times(a["num"], a["den"], b["num"], b["den"])
+    return F.when(pair["num"].isNotNull(), pair)
 
 
 def over(a: Column, b: Column) -> Column:
-    return F.when(b["num"] != 0, times(a, _pair(b["den"], b["num"])))
+    """Quotient; null for a divisor of 0."""
+    return times(a, F.when(b["num"] != 0, F.struct(b["den"].alias("num"), b["num"].alias("den"))))
 
 
 def text(a: Column) -> Column:
@@ -96,7 +134,8 @@ def factor(unit: Column) -> Column:
     out = None
     for units in UNITS.values():
         for u, (n, d) in units.items():
-            pair = reduced(F.lit(n).cast("long"), F.lit(d).cast("long"))
+            g = gcd(n, d)
+            pair = F.struct(F.lit(n // g).cast("long").alias("num"), F.lit(d // g).cast("long").alias("den"))
             out = F.when(unit == u, pair) if out is None else out.when(unit == u, pair)
     return out
 
