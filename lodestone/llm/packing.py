@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .shared import bounded, small, written
 
 CAPACITY, GRAIN, END_ID = 2048, 4, 1
-#: Words whose ids a worker keeps, about.
-KEPT_WORDS = 700_000
+#: Words whose ids a worker keeps, about (200 bytes each).
+KEPT_WORDS = 400_000
 #: Rows of a class that are ranked together.
 BUCKET_ROWS = 20_000
 
