@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .shared import small
 
-#: Rows per block; the most sources, and the largest sum of shares (slots of one period).
-BLOCK_ROWS, MOST_SOURCES, MOST_SLOTS = 64, 2_000, 1_000_000
+#: Rows per block; the most sources, and the most slots that the driver makes for all phases.
+BLOCK_ROWS, MOST_SOURCES, MOST_SLOTS = 64, 2_000, 4_000_000
 #: Rows of a source that are ranked in one task, about.
 BUCKET_ROWS = 20_000
 #: (source, bucket) counts that may be broadcast.
@@ -98,42 +98,44 @@ def mix(
 
     Edge cases: a null source is a source of its own; null ids come first in their source;
     rows that repeat are placed each; an empty table gives an empty result. All columns are
-    kept; input columns whose names begin with ``mix_`` are rejected.
+    kept, but input columns of the four results' names give way to them. More than MOST_SOURCES
+    sources, or shares whose sum times the number of sources is over MOST_SLOTS, are an error.
     """
-    if clash := [c for c in documents.columns if c.lower().startswith("mix_")]:
-        raise ValueError(f"columns {clash} have reserved names")
-    rows = documents.withColumn("mix_key", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
+    kept = [c for c in documents.columns if c.lower() not in ("mix_block", "mix_slot", "mix_phase", "mix_position")]
+    rows = documents.select(
+        F.struct(*(F.col(f"`{c}`") for c in kept)).alias("mix_row"), F.col(source_col).alias("mix_source"), F.col(id_col).alias("mix_id"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("mix_key"))
     total = documents.count()
     # the first hex digits of the key are the bucket, so that buckets follow the order
     digits = len(f"{total // BUCKET_ROWS:x}")
     rows = rows.withColumn("mix_bucket", F.substring("mix_key", 1, digits))
-    sums = rows.groupBy(F.col(source_col).alias("mix_s"), F.col("mix_bucket").alias("mix_b")).agg(F.count("*").alias("mix_n"))
+    sums = rows.groupBy(F.col("mix_source").alias("mix_s"), F.col("mix_bucket").alias("mix_b")).agg(F.count("*").alias("mix_n"))
     counts = sums.groupBy("mix_s").agg(F.sum("mix_n").alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     counts = sorted(((r["mix_s"], r["n"]) for r in counts), key=lambda x: (x[0] is not None, str(x[0])))
     names = [s for s, _ in counts]
     own = [int((shares or {}).get(s, default_share)) for s in names]
-    if any(s <= 0 for s in own) or sum(own) > MOST_SLOTS:
-        raise ValueError("shares are positive whole numbers with a sum of at most a million")
+    if any(s <= 0 for s in own) or sum(own) * len(own) > MOST_SLOTS:
+        raise ValueError(f"shares are positive whole numbers, and their sum times the number of sources is at most {MOST_SLOTS}")
     blocks = [ceil(n / block_rows) for _, n in counts]
     runs, slots = phases(blocks, own)
     spark = documents.sparkSession
-    # these three are bounded by MOST_SOURCES, its square and the periods of its phases
+    # these three are bounded by MOST_SOURCES, its square and MOST_SLOTS
     ids = spark.createDataFrame(list(enumerate(names)), "mix_i int, mix_name string")
     runs = spark.createDataFrame(runs, "mix_i int, mix_phase int, mix_lo long, mix_hi long, mix_first long, mix_period int, mix_share int")
     table = spark.createDataFrame(slots, "mix_i int, mix_phase int, mix_k int, mix_t int")
     before = Window.partitionBy("mix_s").orderBy("mix_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("mix_s", "mix_b", F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_before"))
-    order = Window.partitionBy(source_col, "mix_bucket").orderBy("mix_key", id_col)
+    order = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", "mix_id")
     ranked = rows.withColumn("mix_nth", F.row_number().over(order))
     starts = small(starts, BROADCAST_BUCKETS)
-    placed = ranked.join(starts, ranked[source_col].eqNullSafe(starts["mix_s"]) & (ranked["mix_bucket"] == starts["mix_b"]))
+    placed = ranked.join(starts, ranked["mix_source"].eqNullSafe(starts["mix_s"]) & (ranked["mix_bucket"] == starts["mix_b"]))
     placed = placed.withColumn("mix_rank", F.col("mix_before") + F.col("mix_nth") - 1).withColumn("mix_block", F.expr(f"mix_rank div {block_rows}"))
     placed = placed.join(F.broadcast(ids), placed["mix_s"].eqNullSafe(ids["mix_name"]))
     placed = placed.join(F.broadcast(runs), "mix_i").filter("mix_block >= mix_lo and mix_block < mix_hi")
     placed = placed.withColumn("mix_k", F.expr("cast((mix_block - mix_lo) % mix_share as int)")).join(F.broadcast(table), ["mix_i", "mix_phase", "mix_k"])
     placed = placed.withColumn("mix_slot", F.expr("mix_first + (mix_block - mix_lo) div mix_share * mix_period + mix_t"))
     return placed.withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + mix_rank % {block_rows}")).select(
-        *[placed[c] for c in documents.columns], "mix_block", "mix_slot", "mix_phase", "mix_position"
+        "mix_row.*", "mix_block", "mix_slot", "mix_phase", "mix_position"
     )

@@ -112,6 +112,10 @@ def test_mix_places_every_row_once(spark):
         done[s] += 1
         assert all(abs(Fraction(w * t, 10) - done[k]) < 1 for k, w in weights.items())
     assert mixing.mix(df.limit(0), SHARES).count() == 0
+    clash = df.selectExpr("*", "1 as mix_slot", "2 as mix_key", "3 as mix_i", "4 as `a.b`")
+    again = mixing.mix(clash, SHARES, block_rows=5)
+    assert set(again.columns) == {*df.columns, "mix_key", "mix_i", "a.b", "mix_block", "mix_slot", "mix_phase", "mix_position"}
+    assert sorted(r.mix_position for r in again.collect()) == sorted(r.mix_position for r in got)
     with pytest.raises(ValueError):
         mixing.mix(df, {"src0": 0})
 
