@@ -44,8 +44,9 @@ def hits(docs: DataFrame, queries: DataFrame, keys: list[str], text: str = "text
 
 def all_then_any(found: DataFrame) -> DataFrame:
     """Documents with all terms; for queries without any such document, those with any term."""
-    any_all = F.max((F.col("matched") == F.col("n_slots")).cast("int")).over(Window.partitionBy("query_id"))
-    out = found.withColumn("all_", any_all)
+    # one row per query; the hits' exchange is reused, no window gathers a frequent word's documents
+    best = found.groupBy("query_id").agg(F.max((F.col("matched") == F.col("n_slots")).cast("int")).alias("all_"))
+    out = found.join(F.broadcast(best), "query_id")
     return out.filter((F.col("all_") == 0) | (F.col("matched") == F.col("n_slots"))).withColumn("match", F.when(F.col("all_") == 1, "all").otherwise("any")).drop("all_")
 
 

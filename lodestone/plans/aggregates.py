@@ -284,8 +284,8 @@ def srt05(spark, d):
 
 @query("srt06_seeded_shuffle", "SELECT doc_id, row_number() OVER (ORDER BY sha256('11:' || doc_id), doc_id) AS place FROM labels WHERE toxic = 1")
 def srt06(spark, d):
-    pool = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
-    return pool.withColumn("place", F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit("11:"), F.col("doc_id").cast("string")), 256), "doc_id")).cast("long"))
+    pool = table(spark, d, "labels").filter("toxic = 1").select("doc_id", F.sha2(F.concat(F.lit("11:"), F.col("doc_id").cast("string")), 256).alias("h"))
+    return L.numbered(pool, "h").select("doc_id", F.col("r").alias("place"))
 
 
 @query("srt07_budget_fit", """
