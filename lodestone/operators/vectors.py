@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 #: Dampening of reciprocal ranks, candidates per list, over-fetch factor.
 RRF_K, CANDIDATES, OVERFETCH = 60, 20, 3
@@ -32,16 +36,55 @@ def valid_vector(v: Column, dimension: int) -> Column:
     return (F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+#: Query vectors that a plan may hold; more are searched in several plans.
+MOST_QUERIES = 10_000
+
+
+def scored(vectors: DataFrame, queries: DataFrame, vector: str = "v") -> DataFrame:
+    """Exact cosine distance of every row to each of a stated set of query vectors.
+
+    ``queries`` has query_id and q and is counted first; its matrix goes to the tasks, which
+    multiply whole Arrow batches with it. All columns but the vector are kept. Vectors that are
+    null, of another length, of norm 0 or not finite are not scored.
+    """
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).orderBy("query_id").limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors")
+    kept = [f for f in vectors.schema.fields if f.name != vector]
+    ids = np.array([r.query_id for r in asked], np.int64)
+    matrix = np.array([r.q for r in asked], float)
+    lengths = np.linalg.norm(matrix, axis=1) if len(asked) else matrix
+    dimension = matrix.shape[1] if len(asked) else 0
+    names = [f.name for f in kept]
+
+    def score(batches):
+        for batch in batches if len(ids) else ():
+            v = batch[vector]
+            fits = pc.fill_null(pc.equal(pc.list_value_length(v), dimension), False)
+            batch = batch.filter(fits)
+            if not batch.num_rows:
+                continue
+            rows = batch[vector].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimension)
+            norms = np.linalg.norm(rows, axis=1)
+            fine = np.flatnonzero(np.isfinite(norms) & (norms > 0))
+            d = 1.0 - (rows[fine] @ matrix.T) / (norms[fine, None] * lengths)
+            at = pa.array(np.repeat(fine, len(ids)))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[n].take(at) for n in names), pa.array(np.tile(ids, len(fine))), pa.array(d.ravel())], names=[*names, "query_id", "distance"])
+
+    schema = StructType([*kept, StructField("query_id", LongType()), StructField("distance", DoubleType())])
+    return vectors.mapInArrow(score, schema)
+
+
 def candidates(vectors: DataFrame, queries: DataFrame, keys: list[str], overlap: Column | None = None, limit: int = CANDIDATES) -> DataFrame:
     """Owners by the least distance of their vectors, over-fetched, then by overlap, distance, key.
 
-    ``vectors`` has the keys, v and n; ``queries`` (few, broadcast) has query_id, q and qn, both
-    with their norms. Chunks are merged before any limit. Returns query_id, keys, distance,
-    chunks, overlap, rank.
+    ``vectors`` has the keys and v. Chunks are merged before any limit. Returns query_id, keys,
+    distance, chunks, overlap, rank.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).withColumn("distance", F.lit(1.0) - dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn")))
-    merged = scored.groupBy("query_id", *keys).agg(
-        F.min("distance").alias("distance"), F.count("*").alias("chunks"), F.max(F.lit(0) if overlap is None else overlap).cast("long").alias("overlap"))
+    rows = vectors.withColumn("overlap", F.lit(0).cast("long") if overlap is None else overlap.cast("long"))
+    merged = scored(rows, queries).groupBy("query_id", *keys).agg(
+        F.min("distance").alias("distance"), F.count("*").alias("chunks"), F.max("overlap").alias("overlap"))
     near = Window.partitionBy("query_id").orderBy("distance", *keys)
     final = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "distance", *keys)
     return (

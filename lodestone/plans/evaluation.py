@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import search as S
 from ..operators import vectors as V
 from ..sources.tables import JUDGMENTS_SQL, judgments, table
-from .search import HITS_SQL, case_hits
+from .search import HITS_SQL, case_hits, query_vectors, vectors
 
 RUN_SQL = f"""{HITS_SQL}, {JUDGMENTS_SQL},
 run AS (SELECT query_id AS case_id, doc_id, hits, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, hits DESC, doc_id) AS rank FROM hits),
@@ -109,11 +109,8 @@ curve AS (SELECT cutoff, avg(coalesce(1e0 / first, 0e0)) FILTER (answerable) AS
 
 
 def _curve(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("n", V.norm(F.col("v")))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
-    q = e.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("case_id"), F.col("v").alias("q"), F.col("n").alias("qn"))
-    distance = F.round(F.lit(1.0) - V.dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn")), 9)
-    pairs = e.crossJoin(F.broadcast(q)).filter("case_id <> vec_id").select("case_id", F.col("vec_id").alias("doc_id"), distance.alias("distance"))
+    near = V.scored(vectors(spark, d).select("vec_id", "v"), query_vectors(spark, d)).filter("query_id <> vec_id")
+    pairs = near.select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("doc_id"), F.round("distance", 9).alias("distance"))
     w = Window.partitionBy("case_id").orderBy("distance", "doc_id")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")
     return E.sweep(E.judged(ranked, judgments(spark, d), ["doc_id"]).withColumn("answerable", F.col("case_id") % 4 != 0), spark)

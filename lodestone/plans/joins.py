@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import text as T
 from ..operators import joins as J
+from ..operators import search as S
 from ..operators.vectors import cosine_distance
 from ..sources.tables import CASES_SQL, JUDGMENTS_SQL, RECIPES_SQL, SESSIONS_SQL, cases, judgments, recipes, session_events, table
 
@@ -168,13 +169,13 @@ f AS (SELECT *, row_number() OVER (PARTITION BY case_id, doc_id ORDER BY src, ra
 p AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY src, rank, doc_id) AS pool_rank FROM f WHERE n = 1)
 SELECT * FROM p WHERE pool_rank <= 20""")
 def jn19(spark, d):
-    w = table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("ws"))
-    both = w.crossJoin(F.broadcast(cases(spark, d)))
-    hits = F.size(F.filter("ws", lambda x: F.array_contains("terms", x)))
-    per = Window.partitionBy("case_id")
-    a = both.filter(F.size(F.array_except("terms", "ws")) == 0).withColumn("rank", F.row_number().over(per.orderBy(hits.desc(), "doc_id"))).filter("rank <= 15")
-    b = both.filter(F.array_contains("ws", F.element_at("terms", 1))).withColumn("rank", F.row_number().over(per.orderBy("doc_id"))).filter("rank <= 10")
-    return J.pooled([a, b], ["doc_id"]).withColumn("pool_rank", F.col("pool_rank").cast("long"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    asked = cases(spark, d).withColumnRenamed("case_id", "query_id")
+    opener = asked.select("query_id", F.slice("terms", 1, 1).alias("terms"))
+    first = S.top(S.only_all(S.hits(docs, asked, ["doc_id"])), ["doc_id"], 15, [F.desc("hits")])
+    second = S.top(S.hits(docs, opener, ["doc_id"]), ["doc_id"], 10, [F.col("doc_id")])
+    lists = [x.withColumnRenamed("query_id", "case_id") for x in (first, second)]
+    return J.pooled(lists, ["doc_id"]).withColumn("pool_rank", F.col("pool_rank").cast("long"))
 
 
 @query("jn20_verified_urls", r"""

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import chunking as H
 from ..functions import parsing as G
-from ..functions import text as T
 from ..operators import rules as R
 from ..sources.tables import RECIPES_SQL, SESSIONS_SQL, recipes, session_events, table
 from .strings import LINES, lines

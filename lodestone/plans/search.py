@@ -177,9 +177,8 @@ dist AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_dista
 
 
 def distances(spark, d):
-    pairs = vectors(spark, d).crossJoin(F.broadcast(query_vectors(spark, d)))
-    distance = F.lit(1.0) - V.dot(F.col("v"), F.col("q")) / (F.col("n") * F.col("qn"))
-    return pairs.select("query_id", "vec_id", "label", F.round(distance, 9).alias("distance"))
+    near = V.scored(vectors(spark, d).select("vec_id", "label", "v"), query_vectors(spark, d))
+    return near.select("query_id", "vec_id", "label", F.round("distance", 9).alias("distance"))
 
 
 @query("vec01_best_owner", f"""WITH {VECTORS_SQL} SELECT query_id, label, round(min(distance), 6) AS distance, count(*) AS chunks FROM dist GROUP BY ALL""")
