@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bounded, small, written
+from .shared import bounded, written
 
 CAPACITY, GRAIN, END_ID = 2048, 4, 1
 #: Words whose ids a worker keeps, about (200 bytes each).

@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 
 from lodestone.llm import kneser_ney, quality, topk
-from lodestone.llm.catalog import tokenizer_path  # noqa: F401
 
 from .test_dedup import frame, lower
 
