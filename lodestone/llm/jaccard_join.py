@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_array, rolling, scratch, segment_of, split_by, written
+from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_array, rolling, scratch, segment_of, split_by, tidy, written
 
 VALUES, BANDS, STEP = 128, 32, 32
 ROWS = VALUES // BANDS
@@ -365,6 +365,7 @@ def jaccard_classes(
                     held, n = [], 0
         if held:
             yield _linked(store, *verified(store, *map(np.concatenate, zip(*held)), threshold))
+        tidy()
 
     spread = tasks.repartition(max(1, ceil(total / 2048)), F.xxhash64("left", "right", "band"))
     links = written(spread.mapInArrow(examined, "node long, root long, links long"), "verified")

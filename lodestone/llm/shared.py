@@ -8,6 +8,8 @@ under a temporary name and rename them, so a task that runs twice leaves one cop
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -274,6 +276,15 @@ def rolling(hashes: np.ndarray, width: int, factor: int) -> np.ndarray:
     return mixed(out)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers are kept, and idle ones count, too."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def bounded(batches, text_col: str = "text", limit: int = 2_000_000):
     """Slices of Arrow batches with about ``limit`` bytes of text each (one row at least)."""
     import pyarrow.compute as pc
@@ -288,3 +299,5 @@ def bounded(batches, text_col: str = "text", limit: int = 2_000_000):
             hi = max(lo + 1, int(np.searchsorted(size, before + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+        del batch
+    tidy()
