@@ -27,6 +27,8 @@ from .shared import bounded, written
 CAPACITY, GRAIN, END_ID = 2048, 4, 1
 #: Words whose ids a worker keeps, about (200 bytes each).
 KEPT_WORDS = 400_000
+#: New words that are tokenized at once.
+TOGETHER = 16_384
 #: Rows of a class that are ranked together.
 BUCKET_ROWS = 20_000
 
@@ -76,7 +78,10 @@ class WordIds:
                     odd.append(parts[-1][2])
             else:
                 odd.append(w)
-        found = self.together(list(plain)) | (self.each(list(dict.fromkeys(odd))) if odd else {})
+        found: dict[bytes, bytes] = {}
+        for words, ids_of in ((list(plain), self.together), (list(dict.fromkeys(odd)), self.each)):
+            for lo in range(0, len(words), TOGETHER):  # the tokenizer needs some 500 bytes a word while it works
+                found |= ids_of(words[lo : lo + TOGETHER])
         get = lambda x: found[x] if x in found else known[x]
         for w, stem, tail in parts:
             if tail:
@@ -137,7 +142,7 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
     return float(best[capacity]), pattern
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4, rounds: int = 5000) -> list[tuple[int, np.ndarray]]:
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 5000) -> list[tuple[int, np.ndarray]]:
     """Whole (copies, pattern) pairs that never exceed the demand, from the rounded LP solution.
 
     Stops at the optimum, or when the dual bound shows that the value is within ``gap`` of it.
