@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Callable
 from math import ceil
 
 import numpy as np
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 from .shared import bounded, written
 
 CAPACITY, GRAIN, END_ID = 2048, 4, 1
-#: Words whose ids a worker keeps, about (200 bytes each).
-KEPT_WORDS = 400_000
+#: Words whose ids a worker keeps, about (200 bytes each), and bytes of text per kept word that it
+#: takes at once. Fewer words take less memory and more time; the rows are the same.
+KEPT_WORDS, BYTES_A_WORD = 400_000, 10
 #: New words that are tokenized at once.
 TOGETHER = 16_384
 #: Rows of a class that are ranked together.
@@ -40,7 +42,7 @@ class WordIds:
     splits off; new ones are tokenized together, and the marks of word ends tell them apart.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,6 +52,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.kept = kept
 
     def each(self, words: list[bytes]) -> dict[bytes, bytes]:
         got = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -95,7 +98,7 @@ class WordIds:
         words = [(x if b"<|" in x else x.lower()).split() for x in raw]
         known = self.known
         new = [w for w in set().union(*words) if w not in known]
-        full = len(known) >= KEPT_WORDS
+        full = len(known) >= self.kept
         found = self.learnt(new) if new else {}
         known.update(found)
         end = END_ID.to_bytes(4, "little")
@@ -106,13 +109,13 @@ class WordIds:
         return out
 
 
-_tokenizers: dict[str, WordIds] = {}
+_tokenizers: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    return _tokenizers[path]
+def word_ids(path: str, kept: int = KEPT_WORDS) -> WordIds:
+    if (path, kept) not in _tokenizers:
+        _tokenizers[path, kept] = WordIds(path, kept)
+    return _tokenizers[path, kept]
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -202,11 +205,13 @@ def _ranked(pieces: DataFrame, total: int) -> DataFrame:
 
 
 def pack(
-    documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grain: int = GRAIN
+    documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grain: int = GRAIN,
+    kept_words: int = KEPT_WORDS,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
-    ``tokenizer`` is the path of a tokenizer file that all machines have. A document's ids are
+    ``tokenizer`` is the path of a tokenizer file that all machines have; ``kept_words`` bounds
+    what a worker remembers of it. A document's ids are
     those of its text without special tokens, then id 1. Returns one row per piece: id,
     start, length, ids_crc32, doc_tokens, sequence_id, offset, padding (of the sequence). Every
     id is in exactly one piece; sequences have no gaps and are padded at their end to
@@ -222,10 +227,13 @@ def pack(
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     step = 4 * capacity
 
+    def word_ids_of() -> WordIds:
+        return word_ids(tokenizer, kept_words)
+
     def cut(batches):
-        ids_of = word_ids(tokenizer)
+        ids_of = word_ids_of()
         salt = 0
-        for batch in bounded(batches, "text", 4_000_000):
+        for batch in bounded(batches, "text", BYTES_A_WORD * kept_words):
             rows = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
                 for at in range(0, len(ids), step):
@@ -272,13 +280,13 @@ def pack(
     left = placed.filter(F.col("sequence_id").isNull()).drop("sequence_id").orderBy("doc_id", "start", "ids_crc32", "salt").collect()
     if len(left) > (capacity // grain) ** 2:
         raise AssertionError("more pieces left over than patterns allow")
-    rest = _recut(docs, left, sequence, tokenizer, capacity)
+    rest = _recut(docs, left, sequence, word_ids_of, capacity)
     out = whole if rest is None else whole.unionByName(rest)
     power = F.expr("used & (used - 1)") == 0
     return out.withColumn("padding", F.when(power, 0).otherwise(capacity - F.col("used")).cast("long")).drop("used").withColumnRenamed("doc_id", id_col)
 
 
-def _recut(docs: DataFrame, left: list, sequence: int, tokenizer: str, capacity: int) -> DataFrame | None:
+def _recut(docs: DataFrame, left: list, sequence: int, word_ids_of: Callable[[], WordIds], capacity: int) -> DataFrame | None:
     """Lay the given pieces end to end and cut them at sequence borders, the tail at powers of two."""
     if not left:
         return None
@@ -304,8 +312,8 @@ def _recut(docs: DataFrame, left: list, sequence: int, tokenizer: str, capacity:
     wanted = {(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in left}
 
     def again(batches):
-        ids_of = word_ids(tokenizer)
-        for batch in bounded(batches):
+        ids_of = word_ids_of()
+        for batch in bounded(batches, "text", 1_000_000):
             rows = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
                 start = (len(ids) // 4 - 1) // capacity * capacity
