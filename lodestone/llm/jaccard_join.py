@@ -26,7 +26,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_array, rolling, scratch, segment_of, split_by, tidy, written
@@ -240,15 +240,20 @@ def _classes(edges: DataFrame) -> DataFrame:
             return label
 
 
+def text_digest(text: Column) -> Column:
+    """SHA-256 of the unchanged text in lowercase hex; null counts as empty."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
+
+
 def jaccard_classes(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8
 ) -> DataFrame:
-    """One row per input row: id, class_id, n_links, is_first, n_shingles.
+    """One row per input row: id, class_id, n_links, is_first, n_shingles, text_sha256.
 
     Two rows are linked if the Jaccard similarity of their sets of ``width``-word shingles is at
     least ``threshold``; words are what stands between ASCII white space, unchanged. n_links
     is the number of rows that the row is linked with. class_id is the least id of the connected
-    component; is_first marks the row that has it.
+    component; is_first marks the row that has it. text_sha256 tells rows that repeat an id apart.
 
     Edge cases: a text of fewer than ``width`` words has one shingle, all its words; null and
     empty texts have none and are linked with nothing; rows that repeat an id are rows of their
@@ -280,10 +285,12 @@ def jaccard_classes(
             node = np.array(keys, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(member, pa.int64()), pa.array(node.view(np.int64)), pa.array(counts, pa.int64()),
-                 pa.array(segment_of(node, parts).astype(np.int32)), pa.array(signs, pa.binary())],
-                names=["id", "node", "n_shingles", "part", "sig"])
+                 pa.array(segment_of(node, parts).astype(np.int32)), pa.array(signs, pa.binary()), batch["digest"]],
+                names=["id", "node", "n_shingles", "part", "sig", "digest"])
 
-    rows = written(docs.mapInArrow(described, "id long, node long, n_shingles long, part int, sig binary"), "signatures")
+    rows = written(
+        docs.withColumn("digest", F.unhex(text_digest(F.col("text"))))
+        .mapInArrow(described, "id long, node long, n_shingles long, part int, sig binary, digest binary"), "signatures")
     sizes = written(rows.filter("n_shingles > 0").groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")), "nodes")
     joined = rows.filter("sig is not null").select("part", "node", "sig").join(sizes.select("node", "size"), "node")
 
@@ -376,10 +383,10 @@ def jaccard_classes(
     info = written(
         info.join(least, "class").join(counted, "node", "left")
         .select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")), "classes")
-    out = rows.select("id", "node", "n_shingles").join(info, "node", "left")
+    out = rows.select("id", "node", "n_shingles", "digest").join(info, "node", "left")
     lone = F.col("n_shingles") == 0
     class_id = F.when(lone, F.col("id")).otherwise(F.col("class_id"))
     return out.select(
         F.col("id").alias(id_col), class_id.alias("class_id"), F.when(lone, 0).otherwise(F.col("links")).cast("long").alias("n_links"),
-        (lone | F.col("id").eqNullSafe(class_id)).alias("is_first"), "n_shingles",
+        (lone | F.col("id").eqNullSafe(class_id)).alias("is_first"), "n_shingles", F.lower(F.hex("digest")).alias("text_sha256"),
     )

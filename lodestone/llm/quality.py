@@ -157,6 +157,16 @@ def score(documents: DataFrame, model: BradleyTerry, id_col: str = "doc_id", tex
     return docs.mapInArrow(scored, f"{id_col} long, score double, predicted int")
 
 
+def only_good(documents: DataFrame, model: BradleyTerry, text_col: str = "text") -> DataFrame:
+    """The rows predicted 1, with all their columns; each is judged by its own text."""
+    def kept(batches):
+        for batch in bounded(batches, text_col):
+            x = np.array([features(t) for t in batch[text_col].to_pylist()], dtype=float)
+            yield batch.filter(pa.array(model.score(x) >= CUT))
+
+    return documents.mapInArrow(kept, documents.schema)
+
+
 def classify(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5,
     most_labels: int = MOST_LABELS,

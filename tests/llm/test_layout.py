@@ -212,3 +212,41 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
     assert kept["mixing sources to target weights"] == kept["n-gram Jaccard join"]
     assert set(kept["packing"]) == set(kept["n-gram Jaccard join"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["packing"])
+
+
+def test_stages_judge_rows_not_ids(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    text = lambda n=60: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    poor = lambda: " ".join(f"w{rng.randrange(900)}###" for _ in range(60))
+    docs = [(i, text() if i % 5 else poor()) for i in range(300)]
+    labels = [(i, int(i % 5 > 0), 0) for i in range(300)]
+    path = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+
+    def left(stage, rows):
+        df = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in rows], schema)
+        return sorted(((r.doc_id, r.text) for r in stage(spark, df, path).collect()), key=str)
+
+    def same(rows):
+        return sorted(rows, key=str)
+
+    ids = [None, None, None, 700, 700, 700, 701]
+    clean = [(i, text()) for i in ids]
+    rejected = [(i, poor()) for i in ids]
+    good = [d for d in docs if d[0] % 5]
+    twice = [clean[0], clean[3]]
+    assert left(corpus_pipeline.quality_classifier, docs + clean + rejected + twice) == same(good + clean + twice)
+
+    exact = [(None, good[0][1]), (None, good[1][1].upper()), (-5, clean[3][1]), (-5, clean[1][1]), (700, good[2][1]), (None, text()), (700, text())]
+    # a copy with a larger id goes on, one with a smaller or null id goes
+    want = good[:2] + good[3:] + [c for c in clean if c != clean[1]] + [exact[3], exact[4], exact[5], exact[6]]
+    assert left(corpus_pipeline.exact_dedup, good + clean + twice + exact) == same(want)
+
+    near = [(None, good[0][1] + " more"), (None, good[1][1] + " more"), (700, good[2][1] + " more"), (700, good[3][1] + " more"), (None, ""), (None, None), (700, "")]
+    kept = good + clean + [r for r in near if not r[1]]
+    assert left(corpus_pipeline.jaccard_join, good + clean + near) == same(kept)
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 0)
+    assert left(corpus_pipeline.exact_dedup, good + clean + twice + exact) == same(want)
+    assert left(corpus_pipeline.jaccard_join, good + clean + near) == same(kept)
