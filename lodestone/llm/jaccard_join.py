@@ -253,11 +253,11 @@ def jaccard_classes(
     Two rows are linked if the Jaccard similarity of their sets of ``width``-word shingles is at
     least ``threshold``; words are what stands between ASCII white space, unchanged. n_links
     is the number of rows that the row is linked with. class_id is the least id of the connected
-    component; is_first marks the row that has it. text_sha256 tells rows that repeat an id apart.
+    component; is_first marks one row that has it, of several the one with the least digest. text_sha256 tells rows that repeat an id apart.
 
     Edge cases: a text of fewer than ``width`` words has one shingle, all its words; null and
     empty texts have none and are linked with nothing; rows that repeat an id are rows of their
-    own (all with the class's least id are is_first); null ids count as larger than all others
+    own, and one row of a class is is_first; null ids count as larger than all others
     and give the class id null only where all ids of a class are null; an empty table gives an
     empty result. Other columns are ignored.
     """
@@ -288,10 +288,13 @@ def jaccard_classes(
                  pa.array(segment_of(node, parts).astype(np.int32)), pa.array(signs, pa.binary()), batch["digest"]],
                 names=["id", "node", "n_shingles", "part", "sig", "digest"])
 
+    # the number tells apart what has the same id and text; it is written once, so that it stays
     rows = written(
         docs.withColumn("digest", F.unhex(text_digest(F.col("text"))))
-        .mapInArrow(described, "id long, node long, n_shingles long, part int, sig binary, digest binary"), "signatures")
-    sizes = written(rows.filter("n_shingles > 0").groupBy("node").agg(F.count("*").alias("size"), F.min("id").alias("least")), "nodes")
+        .mapInArrow(described, "id long, node long, n_shingles long, part int, sig binary, digest binary")
+        .withColumn("row", F.monotonically_increasing_id()), "signatures")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "digest", "row")
+    sizes = written(rows.filter("n_shingles > 0").groupBy("node").agg(F.count("*").alias("size"), F.min(place).alias("least")), "nodes")
     joined = rows.filter("sig is not null").select("part", "node", "sig").join(sizes.select("node", "size"), "node")
 
     def nodes(table: pa.Table) -> pa.Table:
@@ -379,14 +382,14 @@ def jaccard_classes(
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     label = _classes(links.select("node", "root"))
     info = sizes.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    least = info.groupBy("class").agg(F.min("least").alias("class_id"))
+    least = info.groupBy("class").agg(F.min("least").alias("least")).select("class", F.col("least.id").alias("class_id"), F.col("least.row").alias("first"))
     info = written(
         info.join(least, "class").join(counted, "node", "left")
-        .select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")), "classes")
-    out = rows.select("id", "node", "n_shingles", "digest").join(info, "node", "left")
+        .select("node", "class_id", "first", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")), "classes")
+    out = rows.select("id", "node", "n_shingles", "digest", "row").join(info, "node", "left")
     lone = F.col("n_shingles") == 0
     class_id = F.when(lone, F.col("id")).otherwise(F.col("class_id"))
     return out.select(
         F.col("id").alias(id_col), class_id.alias("class_id"), F.when(lone, 0).otherwise(F.col("links")).cast("long").alias("n_links"),
-        (lone | F.col("id").eqNullSafe(class_id)).alias("is_first"), "n_shingles", F.lower(F.hex("digest")).alias("text_sha256"),
+        (lone | (F.col("row") == F.col("first"))).alias("is_first"), "n_shingles", F.lower(F.hex("digest")).alias("text_sha256"),
     )

@@ -168,3 +168,19 @@ def test_pruning_keeps_likely_pairs():
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], SCHEMA)).count() == 0
     assert op(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 1
+
+
+def test_one_first_row_per_class(spark):
+    rng = random.Random(4)
+    groups = [[" ".join(words(rng, 100))] for _ in range(4)]
+    for g in groups:
+        g += [g[0] + " a", g[0] + " b", g[0]]
+    # all ids null; the least id repeated; rows that repeat id and text; ids and nulls
+    ids = [[None] * 4, [7, 7, 9, 9], [12, 14, 14, 12], [None, 20, 20, None]]
+    rows = [(i, t) for own, g in zip(ids, groups) for i, t in zip(own, g)] + [(None, ""), (None, None)]
+    got = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
+    first = [(r.class_id, r.doc_id) for r in got if r.is_first and r.n_shingles]
+    assert sorted(first, key=str) == sorted([(None, None), (7, 7), (12, 12), (20, 20)], key=str)
+    assert sum(r.is_first for r in got if not r.n_shingles) == 2
+    by_text = {hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows if i == 7}
+    assert [r.text_sha256 for r in got if r.is_first and r.doc_id == 7] == [min(by_text)]
