@@ -20,6 +20,8 @@ from ..functions.text import tokens
 
 #: Weight of one occurrence, of pantry terms and of title terms.
 WEIGHT, PANTRY_WEIGHT, TITLE_WEIGHT = 0.1, 0.25, 2.0
+#: Queries that one ranking function holds; more are ranked by several in the same pass.
+QUERY_BLOCK = 1000
 #: Birds whose names also find "poultry".
 POULTRY = ("chicken", "turkey", "duck", "goose")
 

@@ -284,3 +284,12 @@ def test_interpreted_lines_are_checked(spark):
         got[r.position].add(r.code)
     assert got == {i: want for i, (_, want) in enumerate(cases)}
     assert validation.verdicts(df).first().verdict == "rejected"
+
+
+def test_cover_density_ranks_every_case(spark, tmp_path):
+    from lodestone.plans.search import fts06b
+
+    spark.createDataFrame([(i, f"term{i}") for i in range(2100)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "term0 x term999"), (2, "term1000 term2099 y term2099"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in fts06b(spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 0.1), (999, 1, 0.1), (1000, 2, 0.1), (2099, 2, 0.2)]
