@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,20 +37,26 @@ def valid_vector(v: Column, dimension: int) -> Column:
     return (F.size(v) == dimension) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
-#: Query vectors that a plan may hold; more are searched in several plans.
-MOST_QUERIES = 10_000
+#: Query vectors that a plan may hold; more are searched in several plans. Distances of one batch.
+MOST_QUERIES, MOST_DISTANCES = 10_000, 4_000_000
 
 
 def scored(vectors: DataFrame, queries: DataFrame, vector: str = "v") -> DataFrame:
     """Exact cosine distance of every row to each of a stated set of query vectors.
 
-    ``queries`` has query_id and q and is counted first; its matrix goes to the tasks, which
-    multiply whole Arrow batches with it. All columns but the vector are kept. Vectors that are
+    ``queries`` has query_id and q and is read in blocks of MOST_QUERIES; each block's matrix goes
+    to the tasks, which multiply Arrow batches with it. All columns but the vector are kept. Vectors that are
     null, of another length, of norm 0 or not finite are not scored.
     """
-    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).orderBy("query_id").limit(MOST_QUERIES + 1).collect()
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors")
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).orderBy("query_id").toLocalIterator()
+    out = None
+    while (block := list(islice(asked, MOST_QUERIES))) or out is None:
+        part = _scored_block(vectors, block, vector)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _scored_block(vectors: DataFrame, asked: list, vector: str) -> DataFrame:
     kept = [f for f in vectors.schema.fields if f.name != vector]
     ids = np.array([r.query_id for r in asked], np.int64)
     matrix = np.array([r.q for r in asked], float)
@@ -67,10 +74,12 @@ def scored(vectors: DataFrame, queries: DataFrame, vector: str = "v") -> DataFra
             rows = batch[vector].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimension)
             norms = np.linalg.norm(rows, axis=1)
             fine = np.flatnonzero(np.isfinite(norms) & (norms > 0))
-            d = 1.0 - (rows[fine] @ matrix.T) / (norms[fine, None] * lengths)
-            at = pa.array(np.repeat(fine, len(ids)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch[n].take(at) for n in names), pa.array(np.tile(ids, len(fine))), pa.array(d.ravel())], names=[*names, "query_id", "distance"])
+            step = max(1, MOST_DISTANCES // len(ids))
+            for some in (fine[lo : lo + step] for lo in range(0, len(fine), step)):
+                d = 1.0 - (rows[some] @ matrix.T) / (norms[some, None] * lengths)
+                at = pa.array(np.repeat(some, len(ids)))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[n].take(at) for n in names), pa.array(np.tile(ids, len(some))), pa.array(d.ravel())], names=[*names, "query_id", "distance"])
 
     schema = StructType([*kept, StructField("query_id", LongType()), StructField("distance", DoubleType())])
     return vectors.mapInArrow(score, schema)

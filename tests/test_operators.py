@@ -293,3 +293,14 @@ def test_cover_density_ranks_every_case(spark, tmp_path):
     spark.createDataFrame([(1, "term0 x term999"), (2, "term1000 term2099 y term2099"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in fts06b(spark, str(tmp_path)).collect())
     assert got == [(0, 1, 0.1), (999, 1, 0.1), (1000, 2, 0.1), (2099, 2, 0.2)]
+
+
+def test_query_vectors_beyond_one_block(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(30)], "vec_id long, v array<double>")
+    asked = v.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    want = rows(vectors.scored(v, asked).withColumn("distance", F.round("distance", 9)), "vec_id", "query_id")
+    assert len(want) == 900
+    monkeypatch.setattr(vectors, "MOST_QUERIES", 7)
+    monkeypatch.setattr(vectors, "MOST_DISTANCES", 20)
+    assert rows(vectors.scored(v, asked).withColumn("distance", F.round("distance", 9)), "vec_id", "query_id") == want
+    assert vectors.scored(v, asked.limit(0)).count() == 0
