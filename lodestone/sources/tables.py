@@ -26,7 +26,7 @@ def recipes(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("o_orderkey")
     minutes = (
         F.when(k % 11 == 0, F.lit(None).cast("double")).when(k % 13 == 0, 0.0).when(k % 17 == 0, -5.0)
-        .when(k % 19 == 0, F.lit(float("nan"))).otherwise(F.round(F.col("o_totalprice") / 1000, 2))
+        .when(k % 19 == 0, F.lit(float("nan"))).otherwise(F.floor(F.col("o_totalprice").cast("double") / 10) / 100)
     )
     orders = table(spark, folder, "orders")
     return orders.join(names, orders["o_orderkey"] == names["l_orderkey"]).select(
@@ -45,7 +45,7 @@ recipe_lines AS (
   SELECT o_orderpriority AS dataset_id, lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS source_id, o_orderkey AS okey,
     'dish ' || names[1] || ' status ' || o_orderstatus AS title,
     CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 0.0 WHEN o_orderkey % 17 = 0 THEN -5.0
-      WHEN o_orderkey % 19 = 0 THEN CAST('NaN' AS DOUBLE) ELSE round(o_totalprice / 1000, 2) END AS minutes,
+      WHEN o_orderkey % 19 = 0 THEN CAST('NaN' AS DOUBLE) ELSE floor(CAST(o_totalprice AS DOUBLE) / 10) / 100 END AS minutes,
     CAST(o_orderkey % 9 AS DOUBLE) AS servings, names
   FROM orders JOIN recipe_lines ON o_orderkey = l_orderkey
 )"""
