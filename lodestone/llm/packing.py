@@ -6,9 +6,9 @@ numbers, whatever the input) goes to the driver. There a linear program over pat
 solved: a revised simplex keeps one pattern per class in its basis, and a knapsack dynamic
 program prices new patterns by the dual values, until none would improve. Patterns are
 rounded down; ranks of the remainders within their class, made of per-bucket counts and
-positions in a bucket, tell each its sequence. What rounding leaves over (bounded by one
-copy of each basic pattern) is laid end to end and cut at sequence borders; its tail is cut
-into powers of two, which need no padding.
+positions in a bucket, tell each its sequence. What rounding leaves over (fewer pieces than
+one full pattern of each single class holds, some 3,500 at most) is laid end to end and cut at
+sequence borders; its tail is cut into powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -118,81 +118,144 @@ def word_ids(path: str, kept: int = KEPT_WORDS) -> WordIds:
     return _tokenizers[path, kept]
 
 
-def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: the most worthy multiset of sizes that fits."""
-    use = worth > 1e-12
-    items = np.flatnonzero(use)
+def best_patterns(sizes: np.ndarray, worth: np.ndarray, capacity: int, most: int = 1) -> list[tuple[float, np.ndarray]]:
+    """Unbounded knapsack by dynamic programming: the most worthy multiset of sizes that fits first.
+
+    One table gives ``most`` patterns: the others are the best that hold a given size.
+    """
+    items = np.flatnonzero(worth > 1e-12)
+    items = items[np.argsort(sizes[items], kind="stable")]
+    s, w = sizes[items], worth[items]
     best = np.zeros(capacity + 1)
     took = np.full(capacity + 1, -1)
-    s, w = sizes[items], worth[items]
-    order = np.argsort(s)
-    items, s, w = items[order], s[order], w[order]
+    fits = np.searchsorted(s, np.arange(capacity + 1), "right").tolist()
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
-        n = int(np.searchsorted(s, c, "right"))
+        n = fits[c]
         if n:
             value = best[c - s[:n]] + w[:n]
-            i = int(value.argmax())
+            i = value.argmax()
             if value[i] > best[c] + 1e-12:
                 best[c], took[c] = value[i], i
-    pattern, c = np.zeros(len(sizes), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[items[took[c]]] += 1
-            c -= s[took[c]]
-    return float(best[capacity]), pattern
 
+    def filled(c: int, first: int | None = None) -> np.ndarray:
+        pattern = np.zeros(len(sizes), np.int64)
+        if first is not None:
+            pattern[items[first]] += 1
+            c -= s[first]
+        while c > 0:
+            if took[c] < 0:
+                c -= 1
+            else:
+                pattern[items[took[c]]] += 1
+                c -= s[took[c]]
+        return pattern
+
+    out = [(float(best[capacity]), filled(capacity))]
+    if most > 1 and fits[capacity]:
+        n = fits[capacity]
+        value = best[capacity - s[:n]] + w[:n]
+        out += [(float(value[i]), filled(capacity, i)) for i in np.argsort(-value, kind="stable")[: most - 1].tolist()]
+    return out
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 5000) -> list[tuple[int, np.ndarray]]:
-    """Whole (copies, pattern) pairs that never exceed the demand, from the rounded LP solution.
 
-    Stops at the optimum, or when the dual bound shows that the value is within ``gap`` of it.
+#: Patterns that one knapsack table prices.
+PRICED = 24
+
+
+def fractional_plan(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 5000) -> list[tuple[float, np.ndarray]]:
+    """(copies, pattern) of the cutting-stock linear program, by revised simplex and column generation.
+
+    The patterns cover the demand, perhaps with a surplus of some sizes. Stops at the optimum, or
+    when the dual bound shows that the value is within ``gap`` of it.
     """
     m = len(sizes)
-    if not m:
-        return []
     columns = np.diag(capacity // sizes).astype(float)  # column j: pattern of basis variable j
     cost = np.ones(m)
     inverse = np.diag(1.0 / np.diag(columns))
     x = inverse @ demand
-    for _ in range(rounds):
-        dual = cost @ inverse
-        worst = int(dual.argmin())
-        if dual[worst] < -1e-9:  # more of a class than asked for would help: its surplus enters
-            column, price = np.zeros(m), 0.0
-            column[worst] = -1.0
-        else:
-            value, pattern = best_pattern(sizes, dual, capacity)
-            if value <= 1 + 1e-7 or 1 - 1 / value < gap:
-                break
-            column, price = pattern.astype(float), 1.0
+
+    def entered(column: np.ndarray, price: float) -> bool:
         step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1.0), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
-            break
+            return False
         amount = max(ratio[out], 0.0)
-        x -= amount * step
+        x[:] -= amount * step
         x[out] = amount
         inverse[out] /= step[out]
-        others = np.arange(m) != out
-        inverse[others] -= np.outer(step[others], inverse[out])
+        step[out] = 0.0
+        inverse[:] -= np.outer(step, inverse[out])
         columns[:, out], cost[out] = column, price
-    left, plan = demand.astype(np.int64).copy(), []
-    for j in np.argsort(-x):
-        pattern = columns[:, j].astype(np.int64)
-        if cost[j] == 0 or not pattern.any():
+        return True
+
+    for _ in range(rounds):
+        dual = cost @ inverse
+        worst = int(dual.argmin())
+        if dual[worst] < -1e-9:  # more of a class than asked for would help: its surplus enters
+            column = np.zeros(m)
+            column[worst] = -1.0
+            if not entered(column, 0.0):
+                break
             continue
-        used = pattern > 0
-        copies = min(int(x[j] + 1e-6), int((left[used] // pattern[used]).min()))
-        if copies > 0:
-            plan.append((copies, pattern))
-            left -= copies * pattern
+        found = best_patterns(sizes, dual, capacity, PRICED)
+        if found[0][0] <= 1 + 1e-7 or 1 - 1 / found[0][0] < gap:
+            break
+        moved = False
+        for _, pattern in found:
+            if dual @ pattern > 1 + 1e-7:
+                moved |= entered(pattern.astype(float), 1.0)
+                dual = cost @ inverse
+        if not moved:
+            break
+    return [(float(n), columns[:, j].astype(np.int64)) for j, n in enumerate(x) if cost[j] > 0 and n > 0]
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 5e-4, rounds: int = 5000) -> list[tuple[int, np.ndarray]]:
+    """Whole (copies, pattern) pairs that never exceed the demand, from the rounded linear program.
+
+    Copies are rounded down. Where a pattern holds more of a size than is left, it goes on
+    without what is too much, so that no other size loses its place. What is left after that is
+    solved again while it has more pieces than one copy of each pattern could hold, and at last
+    goes into patterns of one size: fewer than ``most_left`` pieces stay, whatever the demand.
+    """
+    left, plan = demand.astype(np.int64).copy(), []
+    for _ in range(4):
+        open_ = np.flatnonzero(left)
+        if int(left.sum()) < most_left(sizes, capacity) or not len(open_):
+            break
+        before = int(left.sum())
+        found = fractional_plan(sizes[open_], left[open_], capacity, gap, rounds)
+        for n, part in sorted(found, key=lambda f: -f[0]):
+            pattern, copies = np.zeros(len(sizes), np.int64), int(n + 1e-6)
+            pattern[open_] = part
+            while copies > 0 and pattern.any():
+                used = pattern > 0
+                now = min(copies, int((left[used] // pattern[used]).min()))
+                if now:
+                    plan.append((now, pattern.copy()))
+                    left -= now * pattern
+                    copies -= now
+                pattern = np.minimum(pattern, left)
+        if int(left.sum()) == before:
+            break
+    if int(left.sum()) >= most_left(sizes, capacity):
+        for i in np.flatnonzero(left):
+            copies = int(left[i] // (capacity // sizes[i]))
+            if copies:
+                pattern = np.zeros(len(sizes), np.int64)
+                pattern[i] = capacity // sizes[i]
+                plan.append((copies, pattern))
+                left -= copies * pattern
     return plan
 
 
+def most_left(sizes: np.ndarray, capacity: int) -> int:
+    """More pieces than this never stay unplaced: one full pattern of each single size."""
+    return int((capacity // sizes).sum())
+
+
 def _ranked(pieces: DataFrame, total: int) -> DataFrame:
     """Adds rank: a distinct number from 0 within each class, without one task per class."""
     buckets = max(1, ceil(total / BUCKET_ROWS))
@@ -263,6 +326,8 @@ def pack(
     if full in demand:
         runs.append((full, 0, demand[full], sequence, 1))
         sequence += demand[full]
+    if sum(demand[int(c)] - served[int(c)] for c in classes) > most_left(classes, capacity // grain):
+        raise AssertionError("more pieces left over than a pattern of each class holds")
     table = spark.createDataFrame(runs, "c int, lo long, hi long, first long, each int")
     ranked = _ranked(pieces, sum(demand.values()))
     placed = written(
@@ -276,10 +341,8 @@ def pack(
         *columns, (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
         F.sum("length").over(Window.partitionBy("sequence_id")).alias("used"),
     )
-    # at most one copy of each basic pattern is left: (capacity / grain) ** 2 pieces at the very most
+    # cutting_stock leaves fewer than most_left pieces, whatever the histogram
     left = placed.filter(F.col("sequence_id").isNull()).drop("sequence_id").orderBy("doc_id", "start", "ids_crc32", "salt").collect()
-    if len(left) > (capacity // grain) ** 2:
-        raise AssertionError("more pieces left over than patterns allow")
     rest = _recut(docs, left, sequence, word_ids_of, capacity)
     out = whole if rest is None else whole.unionByName(rest)
     power = F.expr("used & (used - 1)") == 0

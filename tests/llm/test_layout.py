@@ -77,10 +77,47 @@ def test_column_generation_reaches_the_bound():
     assert (used <= demand).all() and all((p * sizes).sum() <= 64 for _, p in plan)
     bins = sum(c for c, _ in plan)
     assert (used * sizes).sum() > 0.999 * 64 * bins and (demand - used).sum() < 64 * 64
-    value, pattern = packing.best_pattern(np.array([3, 5]), np.array([0.4, 0.7]), 11)
+    value, pattern = packing.best_patterns(np.array([3, 5]), np.array([0.4, 0.7]), 11)[0]
     assert value == pytest.approx(1.5) and pattern.tolist() == [2, 1]
 
 
+def left_over(sizes, demand, capacity):
+    plan = packing.cutting_stock(sizes, demand, capacity)
+    assert all(c > 0 and (p >= 0).all() and (p * sizes).sum() <= capacity for c, p in plan)
+    left = demand - sum((c * p for c, p in plan), np.zeros(len(sizes), np.int64))
+    assert (left >= 0).all()
+    return int(left.sum()), sum(c for c, _ in plan)
+
+
+def test_rounding_leaves_few_pieces_on_skewed_lengths():
+    eight = {3: 227, 4: 9, 5: 1, 6: 1, 7: 1021, 9: 2383, 11: 175, 13: 500}
+    sizes, demand = np.array(list(eight)), np.array(list(eight.values()))
+    assert left_over(sizes, demand, 16)[0] <= packing.most_left(sizes, 16)
+    rng = np.random.default_rng(5)
+    for k in range(200):
+        capacity = int(rng.choice([16, 64, 128]))
+        sizes = np.sort(rng.choice(np.arange(1, capacity + 1), rng.integers(1, min(capacity, 40)), replace=False))
+        demand = (10 ** rng.uniform(0, 7, len(sizes))).astype(np.int64) + 1
+        left, bins = left_over(sizes, demand, capacity)
+        assert left <= packing.most_left(sizes, capacity)
+        assert bins <= demand.sum() and bins >= (sizes * demand).sum() / capacity - left
+    sizes = np.sort(rng.choice(np.arange(1, 513), 40, replace=False))
+    demand = (10 ** rng.uniform(2, 6.8, 40)).astype(np.int64)
+    assert left_over(sizes, demand, 512)[0] <= packing.most_left(sizes, 512)
+
+
+def test_pack_of_eight_lengths(spark):
+    eight = {3: 227, 4: 9, 5: 1, 6: 1, 7: 1021, 9: 2383, 11: 175, 13: 500}
+    lengths = [4 * c for c, n in eight.items() for _ in range(n)]
+    rows = [(i, " ".join(["a"] * (n - 1))) for i, n in enumerate(lengths)]
+    got = packing.pack(frame(spark, rows), tokenizer_path(), capacity=64).collect()
+    assert sum(r.length for r in got) == sum(lengths) and {r.doc_id for r in got} == set(range(len(rows)))
+    used = defaultdict(int)
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 64
+
+
 @pytest.mark.parametrize("shares", [[1], [4, 2, 2, 1, 1], [1, 1, 1], [50, 1, 7], [3, 5, 9, 11]])
 def test_pfair_lag_is_below_one_block(shares):
     order, total = mixing.period(shares), sum(shares)
