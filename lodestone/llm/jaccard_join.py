@@ -8,7 +8,8 @@ verified on the whole shingle sets, exactly.
 
 Layout: signatures and the shingle sets of candidate nodes are sorted arrays in the shared
 folder, mapped into memory by the workers. Buckets of a band are cut into blocks of at most
-``BLOCK`` nodes; a task gets two blocks' node ids, makes their pairs in memory in bounded
+``BLOCK`` nodes; a block meets each later one of its bucket by (bucket, block), so
+that a hot bucket's work spreads; a task gets two blocks' node ids, makes their pairs in memory in bounded
 chunks, and keeps a pair only in the first band that both share. It returns one row per node
 and chunk: the number of its links, and its representative among the nodes it is connected
 with there. So a group of many near copies gives rows in proportion to its size and blocks,
@@ -29,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_array, rolling, scratch, segment_of, split_by, tidy, written
+from .shared import SortedMap, bounded, hashed_words, map_array, mixed, part_of, put_array, rolling, scratch, segment_of, split_by, tidy, written
 
 VALUES, BANDS, STEP = 128, 32, 32
 ROWS = VALUES // BANDS
 TOLERANCE = 1e-9
-#: Nodes of a block, pairs examined and shingles verified together, nodes per signature segment.
-BLOCK, CHUNK, TOGETHER, SEGMENT_NODES = 256, 40_000, 500_000, 8_192
+#: Nodes of a block, pairs examined and shingles verified together.
+BLOCK, CHUNK, TOGETHER = 256, 40_000, 500_000
+#: Nodes per segment: a 64th of them all, within these bounds.
+FEWEST_NODES, MOST_NODES = 1_024, 16_384
 _ODD = 0xA0761D6478BD642F
 _GOLD = 0x9E3779B97F4A7C15
 
@@ -264,7 +267,7 @@ def jaccard_classes(
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = docs.count()
-    parts = max(1, ceil(total / SEGMENT_NODES))
+    parts = max(1, ceil(total / min(max(total // 64, FEWEST_NODES), MOST_NODES)))
     store = Store(scratch(spark, "jaccard"), parts, parts)
 
     def described(batches):
@@ -311,19 +314,17 @@ def jaccard_classes(
             "node": pa.array(np.repeat(keys, BANDS).view(np.int64))})
 
     bands = written(joined.groupBy("part").applyInArrow(nodes, "bucket long, band int, node long"), "bands")
+    store.nodes.seal(r[0] for r in sizes.select(part_of(F.col("node"), parts)).distinct().collect())
     full = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = written(bands.join(full, "bucket").withColumn("block", F.expr(f"pmod(xxhash64(node), ceil(n / {BLOCK}))")), "members")
+    members = written(
+        bands.join(full, "bucket").withColumn("last", F.expr(f"ceil(n / {BLOCK}) - 1")).withColumn("block", F.expr("pmod(xxhash64(node), last + 1)")).drop("n"), "members")
 
     def want(table: pa.Table) -> pa.Table:
         store.wanted.put(table["part"][0].as_py(), np.sort(table["node"].to_numpy().view(np.uint64)))
-        return pa.table({"n": pa.array([table.num_rows], pa.int64())})
+        return pa.table({"part": table["part"][:1]})
 
-    def dealt(batches):
-        for batch in batches:
-            part = segment_of(batch["node"].to_numpy().view(np.uint64), parts).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), batch["node"]], names=["part", "node"])
-
-    members.select("node").distinct().mapInArrow(dealt, "part int, node long").groupBy("part").applyInArrow(want, "n long").agg(F.sum("n")).collect()
+    wanted = members.select("node").distinct().withColumn("part", part_of(F.col("node"), parts))
+    store.wanted.seal(r.part for r in wanted.groupBy("part").applyInArrow(want, "part int").collect())
 
     def sets(batches):
         made = set()
@@ -347,14 +348,16 @@ def jaccard_classes(
     def keep(table: pa.Table) -> pa.Table:
         keys, at = np.unique(table["node"].to_numpy().view(np.uint64), return_index=True)
         store.put_sets(table["part"][0].as_py(), keys, [np.frombuffer(x, "<u8") for x in table["hashes"].take(pa.array(at)).to_pylist()])
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+        return pa.table({"part": table["part"][:1]})
 
-    docs.mapInArrow(sets, "part int, node long, hashes binary").groupBy("part").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
+    kept = docs.mapInArrow(sets, "part int, node long, hashes binary").groupBy("part").applyInArrow(keep, "part int")
+    store.sets.seal(r.part for r in kept.collect())
 
-    blocks = written(members.groupBy("bucket", "band", "block").agg(F.collect_list("node").alias("nodes")), "blocks")
+    blocks = written(members.groupBy("bucket", "band", "block").agg(F.collect_list("node").alias("nodes"), F.first("last").alias("last")), "blocks")
     alone = blocks.select("band", F.col("nodes").alias("left"), F.lit(None).cast("array<long>").alias("right")).filter("size(left) > 1")
-    other = blocks.select("bucket", F.col("block").alias("b"), F.col("nodes").alias("right"))
-    crossed = blocks.join(other, "bucket").filter("block < b").select("band", F.col("nodes").alias("left"), "right")
+    # each block asks for those after it by (bucket, block), so that no task makes all pairs of a bucket
+    asked = blocks.filter("block < last").select("bucket", "band", F.col("nodes").alias("left"), F.explode(F.expr("sequence(block + 1, last)")).alias("block"))
+    crossed = asked.join(blocks.select("bucket", "block", F.col("nodes").alias("right")), ["bucket", "block"]).select("band", "left", "right")
     tasks = alone.unionByName(crossed)
 
     def examined(batches):

@@ -213,8 +213,9 @@ def train(texts: DataFrame, text_col: str = "text") -> KneserNey:
 
     model = KneserNey(uri, parts, {})
     pairs, large, words = model.pairs, model.large, model.words
-    blobs = pa.schema([("part", pa.int32()), ("blob", pa.binary()), *((f"k{k}", pa.int64()) for k in (1, 2, 3, 4))])
-    counted = pa.schema([(c, pa.int64()) for c in ("n", "v", "a", "a1", "a2", "a3", "a4", "more", "k1", "k2", "k3", "k4")])
+    blobs = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("own", pa.int32()), *((f"k{k}", pa.int64()) for k in (1, 2, 3, 4))])
+    sums_of = ("n", "v", "a", "a1", "a2", "a3", "a4", "more", "k1", "k2", "k3", "k4")
+    counted = pa.schema([("part", pa.int32()), ("owns", pa.list_(pa.int32())), *((c, pa.int64()) for c in sums_of)])
 
     def segment(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
@@ -234,7 +235,8 @@ def train(texts: DataFrame, text_col: str = "text") -> KneserNey:
         rows = list(_dealt(segment_of(got[0], parts), got[0], *(x.astype(np.uint64) for x in got[1:])))
         times = [[int((n == k).sum())] + [0] * (len(rows) - 1) for k in (1, 2, 3, 4)]
         return pa.Table.from_arrays(
-            [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), *(pa.array(t, pa.int64()) for t in times)], schema=blobs)
+            [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.array([part] + [None] * (len(rows) - 1), pa.int32()),
+             *(pa.array(t, pa.int64()) for t in times)], schema=blobs)
 
     start = mixed(np.array([START]))[0]
 
@@ -246,15 +248,18 @@ def train(texts: DataFrame, text_col: str = "text") -> KneserNey:
         c, a = c[true], a[true]
         sums = [c.sum(), len(c), a.sum(), *((a == k).sum() for k in (1, 2, 3, 4)), (a >= 3).sum()]
         sums += [np.sum(table[f"k{k}"].to_numpy()) for k in (1, 2, 3, 4)]
-        return pa.Table.from_arrays([pa.array([int(x)], pa.int64()) for x in sums], schema=counted)
+        return pa.Table.from_arrays(
+            [table["part"][:1], pa.array([table["own"].drop_null().to_pylist()], pa.list_(pa.int32())), *(pa.array([int(x)], pa.int64()) for x in sums)], schema=counted)
 
-    names = ", ".join(f"{f.name} long" for f in counted)
-    total = (
+    made = (  # a row per segment
         texts.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, "part int, blob binary")
-        .groupBy("part").applyInArrow(segment, "part int, blob binary, k1 long, k2 long, k3 long, k4 long")
-        .groupBy("part").applyInArrow(by_word, names).agg(*(F.sum(f.name) for f in counted)).first()
+        .groupBy("part").applyInArrow(segment, "part int, blob binary, own int, k1 long, k2 long, k3 long, k4 long")
+        .groupBy("part").applyInArrow(by_word, "part int, owns array<int>, " + ", ".join(f"{c} long" for c in sums_of)).collect()
     )
-    n, v, a, *rest = (int(x or 0) for x in total)
+    words.seal(r.part for r in made)
+    for table in (pairs, large):
+        table.seal(p for r in made for p in r.owns)
+    n, v, a, *rest = (sum(r[c] for r in made) for c in sums_of)
     seen, more, of_pairs = rest[:4], rest[4], rest[5:]
     low = discounts(seen)
     model.totals = {

@@ -2,7 +2,9 @@
 
 Every intermediate that is read more than once is written below the folder named by
 ``spark.checkpoint.dir`` so that it survives lost executors. Tasks write array segments
-under a temporary name and rename them, so a task that runs twice leaves one copy.
+under a temporary name and rename them, so a task that runs twice leaves one copy. A table
+of segments is sealed with the list of those that exist; a reader that misses one of them,
+or the list itself, raises instead of taking it for empty.
 """
 
 from __future__ import annotations
@@ -14,18 +16,22 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
+from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[str] = []
 
 
 def base_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is configured."""
+    """The cluster's shared folder; in local mode, where none is configured, a folder of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
         _made.append(found)
@@ -44,6 +50,10 @@ def _remove() -> None:
     for uri in _made:
         if local_path(uri):
             shutil.rmtree(local_path(uri), ignore_errors=True)
+            continue
+        with contextlib.suppress(Exception):  # the store may be gone before this process ends
+            store, at = _store(uri)
+            store.delete_dir(at)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -97,17 +107,16 @@ _mapped: dict[tuple[str, str], np.ndarray] = {}
 
 
 def map_array(uri: str, name: str, dtype) -> np.ndarray:
-    """Memory-map a segment; an absent one is empty. Remote segments are fetched once per worker."""
+    """Memory-map a segment; an absent one is an error. Remote segments are fetched once per worker."""
     key = (uri, name)
     if key not in _mapped:
         if len(_mapped) > 8192:
             _mapped.clear()
         path = local_path(uri)
         file = f"{path}/{name}" if path else _fetched(uri, name)
-        if file is None or not os.path.exists(file) or not os.path.getsize(file):
-            _mapped[key] = np.empty(0, dtype)
-        else:
-            _mapped[key] = np.memmap(file, dtype, "r")
+        if file is None or not os.path.exists(file):
+            raise FileNotFoundError(f"no segment {name} in {uri}: is spark.checkpoint.dir shared by all machines?")
+        _mapped[key] = np.memmap(file, dtype, "r") if os.path.getsize(file) else np.empty(0, dtype)
     return _mapped[key]
 
 
@@ -130,11 +139,26 @@ def segment_of(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 class SortedMap:
-    """Sorted unsigned 64-bit keys with one value column each, in ``parts`` range segments of files."""
+    """Sorted unsigned 64-bit keys with one value column each, in ``parts`` range segments of files.
+
+    ``put`` writes a segment, ``seal`` the list of the segments that have keys; both are needed
+    before a lookup.
+    """
 
     def __init__(self, uri: str, parts: int, columns: dict[str, str]):
         self.uri, self.parts, self.columns = uri, parts, columns
 
+    def seal(self, present: Iterable[int]) -> None:
+        """State which segments exist; on the driver, when all of them are written."""
+        there = np.zeros(self.parts, np.uint8)
+        there[list(present)] = 1
+        put_array(self.uri, "sealed", there)
+
+    def _keys(self, part: int) -> np.ndarray:
+        if not map_array(self.uri, "sealed", "|u1")[part]:
+            return np.empty(0, "<u8")
+        return map_array(self.uri, f"{part:07d}.key", "<u8")
+
     def put(self, part: int, keys: np.ndarray, **values: np.ndarray) -> None:
         put_array(self.uri, f"{part:07d}.key", keys.astype("<u8"))
         for name, dtype in self.columns.items():
@@ -163,7 +187,7 @@ class SortedMap:
         if key not in _mapped:
             bits = np.zeros(1 << 24, np.uint8)
             for part in range(self.parts):
-                at = (np.asarray(map_array(self.uri, f"{part:07d}.key", "<u8")) >> np.uint64(37)).astype(np.int64)
+                at = (np.asarray(self._keys(part)) >> np.uint64(37)).astype(np.int64)
                 if len(at):
                     first = int(at[0]) & ~7
                     own = np.zeros((int(at[-1]) | 7) + 1 - first, bool)
@@ -182,7 +206,7 @@ class SortedMap:
         cuts = np.flatnonzero(np.diff(at)) + 1
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
             part = int(at[lo])
-            known = map_array(self.uri, f"{part:07d}.key", "<u8")
+            known = self._keys(part)
             if not len(known):
                 continue
             pos = np.searchsorted(known, keys[lo:hi])
@@ -195,6 +219,11 @@ class SortedMap:
         return hit, out
 
 
+def part_of(key: Column, parts: int) -> Column:
+    """``segment_of`` as a column of signed keys."""
+    return F.shiftright(F.shiftrightunsigned(key, 32) * F.lit(parts).cast("long"), 32).cast("int")
+
+
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -207,14 +236,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Bytes of the longest word that the polynomial hashes.
+LONG = 40
 _CHUNK = 1 << 20
 _tables: list[np.ndarray] = []
 
 
-def _hash_tables(n: int) -> list[np.ndarray]:
+def _hash_tables() -> list[np.ndarray]:
     """A number for each byte, white-space flags, and powers of an odd base and of its inverse."""
-    if not _tables or len(_tables[2]) < n:
-        size = max(n, _CHUNK + 1)
+    if not _tables:
+        size = _CHUNK + 1
         base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
         space = np.zeros(256, bool)
         space[[9, 10, 11, 12, 13, 32]] = True
@@ -230,15 +261,18 @@ def _hash_tables(n: int) -> list[np.ndarray]:
 def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words between ASCII white space, and each text's number of words.
 
-    Polynomial in the bytes' numbers, from running sums, so that no word becomes an object;
-    ``lower`` takes A-Z in lower case.
+    Words of up to ``LONG`` bytes: polynomial in the bytes' numbers, from running sums, so that
+    none becomes an object. Modulo 2**64 that is sound for short words only (some words of 1024
+    bytes would share one whatever the numbers are), so longer words, of which there are few,
+    take BLAKE2b. ``lower`` takes A-Z in lower case.
     """
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     joined = b" ".join(raw) + b" "
     if lower:
         joined = joined.lower()
     buffer = np.frombuffer(joined, np.uint8)
-    space = _hash_tables(0)[1][buffer]
+    numbers, spaces, powers, inverses = _hash_tables()
+    space = spaces[buffer]
     flips = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = flips[0::2], flips[1::2]
     out = np.empty(len(starts), np.uint64)
@@ -247,7 +281,9 @@ def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarr
         origin = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, origin + _CHUNK, "right")))
         size = int(ends[hi - 1] - origin)
-        numbers, _, powers, inverses = _hash_tables(size)
+        if size > _CHUNK:  # one long word
+            lo = hi
+            continue
         sums = numbers[buffer[origin : origin + size]]
         sums *= powers[:size]
         np.cumsum(sums, out=sums)
@@ -256,6 +292,8 @@ def hashed_words(texts: list[str | None], lower: bool = False) -> tuple[np.ndarr
         value[1:] -= sums[s[1:] - 1]
         out[lo:hi] = mixed(value * inverses[s] + (e - s).astype(np.uint64))
         lo = hi
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(joined[starts[i] : ends[i]], digest_size=8).digest(), "little")
     bounds = np.cumsum([len(r) + 1 for r in raw])
     return out, np.diff(np.searchsorted(starts, bounds), prepend=0)
 

@@ -95,9 +95,11 @@ def _stored(rows: DataFrame, table: SortedMap, column: str, only_shared: bool) -
         keys = found["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         table.put(found["part"][0].as_py(), keys[order], **{column: found[column].to_numpy()[order]})
-        return pa.table({"n": pa.array([len(keys)], pa.int64())})
+        return pa.table({"part": found["part"][:1], "n": pa.array([len(keys)], pa.int64())})
 
-    return merged.groupBy("part").applyInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+    made = merged.groupBy("part").applyInArrow(put, "part int, n long").collect()  # a row per segment
+    table.seal(r.part for r in made)
+    return sum(r.n for r in made)
 
 
 def mark_repeats(

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestone.llm import exact_dedup, jaccard_join, substring_dedup
+from lodestone.llm import exact_dedup, jaccard_join, shared, substring_dedup
 
 SCHEMA = "doc_id long, text string, n long, len int, keep_id string, id string"
 
@@ -184,3 +184,34 @@ def test_one_first_row_per_class(spark):
     assert sum(r.is_first for r in got if not r.n_shingles) == 2
     by_text = {hashlib.sha256((t or "").encode()).hexdigest() for i, t in rows if i == 7}
     assert [r.text_sha256 for r in got if r.is_first and r.doc_id == 7] == [min(by_text)]
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_long_words_that_a_polynomial_takes_for_equal(spark):
+    long = [thue_morse(1024), thue_morse(1024, "b", "a")]
+    rows = [(i, " ".join(f"{w}{k}" for k in range(13)) if i < 2 else w) for i, w in enumerate([*long, *long])]
+    assert {r.n_removed for r in substring_dedup.mark_repeats(frame(spark, rows)).collect()} == {0}
+    got = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
+    assert {r.class_id for r in got} == {0, 1, 2, 3} and {r.n_links for r in got} == {0}
+    hashes, counts = shared.hashed_words([" ".join(long), "x" * 3_000_000 + " y", "", "y " + long[0]])
+    assert counts.tolist() == [2, 2, 0, 2] and len(set(hashes.tolist())) == 4 and hashes[0] == hashes[5] and hashes[3] == hashes[4]
+
+
+def test_missing_segments_raise(tmp_path):
+    table = shared.SortedMap(f"file://{tmp_path}/t", 4, {"v": "<i8"})
+    keys = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 50).astype(np.uint64))  # in the lower two segments
+    at = shared.segment_of(keys, 4)
+    for part in (0, 1):
+        table.put(part, keys[at == part], v=np.arange(int((at == part).sum())))
+    with pytest.raises(FileNotFoundError):
+        table.find(keys)
+    table.seal([0])
+    assert table.find(keys)[0].tolist() == (at == 0).tolist()
+    table = shared.SortedMap(f"file://{tmp_path}/u", 4, {"v": "<i8"})
+    table.put(0, keys[at == 0], v=np.arange(int((at == 0).sum())))
+    table.seal([0, 1])
+    with pytest.raises(FileNotFoundError):
+        table.find(keys)
