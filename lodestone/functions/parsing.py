@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import heapq
 import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -18,6 +20,9 @@ LEADING_UNIT = r"^([0-9 /½⅓¾.-]+)(cups|cup|tbsp|tsp|g|kg|ml|l|oz|lb)\b"
 #: Words that carry no content.
 PLAIN_WORDS = ("that", "this", "with", "from")
 NEGATIONS = frozenset("no not never without don't doesn't avoid skip omit".split())
+#: Cues that negate what follows, and how many words they reach over.
+NEGATION = r"\b(?:no|not|without|never|omit\w*|exclud\w*|avoid\w*|skip\w*|instead of|rather than|free of)\b"
+REACH = 8
 
 
 def spaced(x: Column) -> Column:
@@ -74,30 +79,37 @@ def r_vector(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
-@pandas_udf(BooleanType())
-def negated(text: pd.Series, term: pd.Series) -> pd.Series:
-    """Whether a negation stands among the eight words before the term, in the same clause."""
-    def one(t, w):
-        if t is None or w is None:
-            return None
-        for clause in re.split(r"[.;!?,]", t.lower()):
-            words = re.findall(r"[\w']+", clause)
-            if w in words and any(x in NEGATIONS for x in words[max(0, words.index(w) - 8) : words.index(w)]):
-                return True
-        return False
+def negated(text: Column, term: str) -> Column:
+    """Whether the term occurs and a cue stands among the eight words before each of its
+    mentions, in the same clause."""
+    whole = r"\b" + re.escape(term).replace(r"\ ", " ") + r"\b"
+
+    def clause_cues(clause: Column) -> Column:
+        parts = F.split(clause, whole)
+
+        def cue(i: Column) -> Column:
+            words = F.filter(F.split(F.array_join(F.slice(parts, F.lit(1), i), term), r"\s+"), lambda w: w != "")
+            return F.array_join(F.slice(words, F.greatest(F.lit(1), F.size(words) - (REACH - 1)), F.lit(REACH)), " ").rlike(NEGATION)
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0), cue)
 
-    return pd.Series([one(a, b) for a, b in zip(text, term)], dtype=object)
+    cues = F.flatten(F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), "[.!?;:]"), clause_cues))
+    return (F.size(cues) > 0) & F.forall(cues, lambda c: c)
 
 
-def vocabulary_terms(terms: list[str]):
-    """A function that finds the terms of a text, longest first; words of a hit serve no other."""
-    pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(terms, key=lambda t: (-len(t), t)))) + r")\b", re.I)
+def longest_first(terms: list[str]) -> list[str]:
+    return sorted(set(terms), key=lambda t: (-len(t), t))
 
-    @pandas_udf(ArrayType(StringType()))
-    def found(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: [] if t is None else [m.lower() for m in pattern.findall(t)])
 
-    return found
+def vocabulary_terms(text: Column, terms: list[str]) -> Column:
+    """The terms of a closed vocabulary that a text names, sorted; the first mention of a longer one
+    is blanked before shorter ones are looked for."""
+    t, found = F.lower(F.coalesce(text, F.lit(""))), []
+    for term in longest_first(terms):
+        whole = r"\b" + re.escape(term).replace(r"\ ", " ") + r"\b"
+        found.append(F.when(t.rlike(whole), term))
+        t = F.regexp_replace(t, "(?s)^(.*?)" + whole, "$1" + " " * len(term))
+    return F.sort_array(F.array_compact(F.array(*found)))
 
 
 @pandas_udf(BooleanType())
@@ -117,54 +129,64 @@ def claims_fidelity(x: pd.Series) -> pd.Series:
     return x.map(one)
 
 
-def suggestions(vocabulary: list[str], most: int = 5):
-    """Close names (ratio 0.6 or more), then names that contain the term, alphabetically."""
-    names = sorted(set(vocabulary))
+def suggestions(vocabulary: DataFrame, asked: list[tuple[int, str]], most: int = 8) -> DataFrame:
+    """(id, suggestions) for a stated set of terms: names of ratio 0.6 or more, the closest first,
+    then names that contain the term or lie in it, alphabetically.
+
+    ``vocabulary`` has distinct names; each task compares its names with the terms and sends on
+    no more than ``most`` of either kind per term.
+    """
+    def compared(batches):
+        near: dict[int, list] = {i: [] for i, _ in asked}
+        part: dict[int, list] = {i: [] for i, _ in asked}
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                for i, term in asked:
+                    if not name or not term:
+                        continue
+                    match = difflib.SequenceMatcher(None, name, term)
+                    ratio = match.ratio() if match.real_quick_ratio() >= 0.6 and match.quick_ratio() >= 0.6 else 0.0
+                    if ratio >= 0.6:
+                        near[i] = heapq.nlargest(most, [*near[i], (ratio, name)])
+                    elif term in name or name in term:
+                        part[i] = heapq.nsmallest(most, [*part[i], name])
+        rows = [(i, r, n) for i, found in near.items() for r, n in found] + [(i, 0.0, n) for i, found in part.items() for n in found]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.string()))], names=["id", "ratio", "name"])
+
+    rows = vocabulary.select("name").mapInArrow(compared, "id long, ratio double, name string")
+    close = F.sort_array(F.collect_list(F.when(F.col("ratio") > 0, F.struct("ratio", "name"))), asc=False)
+    # at most ``most`` names per task and term are collected
+    found = rows.groupBy("id").agg(F.transform(F.slice(close, 1, most), lambda c: c["name"]).alias("near"), F.sort_array(F.collect_list(F.when(F.col("ratio") == 0, F.col("name")))).alias("part"))
+    ids = vocabulary.sparkSession.createDataFrame([(i,) for i, _ in asked], "id long")
+    both = F.slice(F.concat("near", "part"), 1, most)
+    return ids.join(found, "id", "left").select("id", F.coalesce(both, F.array().cast("array<string>")).alias("suggestions"))
 
-    @pandas_udf(ArrayType(StringType()))
-    def found(x: pd.Series) -> pd.Series:
-        def one(t):
-            if not t:
-                return []
-            close = difflib.get_close_matches(t, names, most, 0.6)
-            return [*close, *(n for n in names if t in n and n not in close)][:most]
 
-        return x.map(one)
-
-    return found
-
-
-LINE = StructType([
-    StructField("amount", StringType()), StructField("amount_high", StringType()), StructField("unit", StringType()), StructField("item", StringType()),
-    StructField("preparation", StringType()), StructField("is_range", BooleanType()), StructField("optional", BooleanType()), StructField("qualitative", BooleanType()),
-    StructField("alternatives", BooleanType()),
-])
 _NUMBER = r"(?:[0-9]+ [0-9]+/[0-9]+|[0-9]+/[0-9]+|[0-9]+(?:\.[0-9]+)?)"
+LINE_START = rf"^\s*({_NUMBER})(?:\s*(?:-|to)\s*({_NUMBER}))?\s*(.*)$"
 
 
-@pandas_udf(LINE)
-def ingredient_line(x: pd.Series) -> pd.DataFrame:
-    """One written line as a struct; a range keeps both ends and never a midpoint."""
+def unit_words() -> dict[str, str]:
+    """Each known unit word with its canonical unit."""
     from .rational import ALIASES, UNITS
 
-    units = {u for g in UNITS.values() for u in g} | set(ALIASES)
-    start = re.compile(rf"^\s*({_NUMBER})(?:\s*(?:-|to)\s*({_NUMBER}))?\s*(.*)$")
-
-    def one(t):
-        if t is None or not t.strip():
-            return dict.fromkeys(LINE.names)
-        m = start.match(t)
-        amount, high, rest = (m[1], m[2], m[3]) if m else (None, None, t.strip())
-        first = rest.split(" ", 1)
-        unit = first[0].rstrip(".").lower() if first and first[0].rstrip(".").lower() in units else None
-        body = (first[1] if len(first) > 1 else "") if unit else rest
-        item, _, preparation = body.partition(",")
-        return {
-            "amount": amount, "amount_high": high, "unit": ALIASES.get(unit, unit), "item": item.strip() or None, "preparation": preparation.strip() or None, "is_range": high is not None,
-            "optional": "optional" in t.lower(), "qualitative": bool(re.search(r"\bto taste\b|\bas needed\b", t, re.I)), "alternatives": bool(re.search(r"\bor\b", t, re.I)),
-        }
-
-    return pd.DataFrame([one(t) for t in x], columns=LINE.names)
+    return {u: u for g in UNITS.values() for u in g} | ALIASES
+
+
+def ingredient_line(x: Column) -> Column:
+    """One written line as a struct; a range keeps both ends and never a midpoint. Blank lines give nulls."""
+    start = lambda i: F.nullif(F.regexp_extract(x, LINE_START, i), F.lit(""))
+    known = F.create_map(*(F.lit(v) for pair in unit_words().items() for v in pair))
+    rest = F.when(start(1).isNotNull(), F.regexp_extract(x, LINE_START, 3)).otherwise(F.trim(x))
+    unit = F.try_element_at(known, F.lower(F.regexp_replace(F.regexp_extract(rest, "^[^ ]*", 0), r"\.+$", "")))
+    body = F.when(unit.isNotNull(), F.regexp_replace(rest, "^[^ ]* ?", "")).otherwise(rest)
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    parts = {
+        "amount": start(1), "amount_high": start(2), "unit": unit, "item": text(F.regexp_extract(body, "^[^,]*", 0)), "preparation": text(F.regexp_replace(body, "^[^,]*,?", "")),
+        "is_range": start(2).isNotNull(), "optional": F.lower(x).contains("optional"), "qualitative": x.rlike(r"(?i)\bto taste\b|\bas needed\b"), "alternatives": x.rlike(r"(?i)\bor\b"),
+    }
+    blank = F.coalesce(F.trim(x), F.lit("")) == ""
+    return F.struct(*(F.when(~blank, c).alias(n) for n, c in parts.items()))
 
 
 ATTRIBUTION = ArrayType(StructType([StructField("amount", StringType()), StructField("position", IntegerType()), StructField("item", StringType()), StructField("distance", DoubleType())]))

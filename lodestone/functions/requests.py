@@ -7,6 +7,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .text import collapsed
+
 #: Most pantry terms that count, longest query and longest dish, minutes allowed.
 PANTRY_TERMS, QUERY_CHARS, DISH_CHARS, MINUTES = 5, 500, 200, (1, 1440)
 #: Constraints that a search keeps but can't enforce.
@@ -71,3 +76,28 @@ def cutoff(configured: Any = None) -> float:
     except (TypeError, ValueError):
         return DEFAULT_CUTOFF
     return value if math.isfinite(value) else DEFAULT_CUTOFF
+
+
+def search_columns(dish: Column, pantry: Column, minutes: Column) -> Column:
+    """``search_arguments`` for rows: struct(query, by_overlap, hints, max_minutes, changes).
+
+    ``pantry`` is an array of texts, ``minutes`` a text; what isn't a number is no ceiling.
+    """
+    whole = collapsed(dish)
+    named = F.filter(F.transform(F.coalesce(pantry, F.array().cast("array<string>")), lambda x: F.substring(collapsed(x), 1, DISH_CHARS)), lambda x: x != "")
+    hints = F.slice(named, 1, PANTRY_TERMS)
+    number = minutes.try_cast("double")
+    fine = ~F.isnan(number) & number.between(*MINUTES)
+    changes = F.array_compact(F.array(F.when(F.length(whole) > DISH_CHARS, "dish_shortened"), F.when(F.size(named) > PANTRY_TERMS, "pantry_capped")))
+    by_overlap = whole == ""
+    return F.struct(
+        F.substring(F.when(by_overlap, F.array_join(hints, " ")).otherwise(F.substring(whole, 1, DISH_CHARS)), 1, QUERY_CHARS).alias("query"), by_overlap.alias("by_overlap"),
+        hints.alias("hints"), F.when(fine, number).alias("max_minutes"), changes.alias("changes"))
+
+
+def mode_columns(requested: Column, configured: Column) -> Column:
+    """``mode`` for rows: struct(mode, source)."""
+    asked, fallback = F.coalesce(requested.isin(*MODES), F.lit(False)), F.coalesce(configured.isin(*MODES), F.lit(False))
+    return F.struct(
+        F.when(asked, requested).when(fallback, configured).otherwise(DEFAULT_MODE).alias("mode"),
+        F.when(asked, "explicit").when(fallback, "configured").otherwise("default").alias("source"))

@@ -69,16 +69,19 @@ def ascii_fractions(x: Column) -> Column:
     return t
 
 
+#: What personal data looks like and what stands in its place, in the order of replacement.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9][0-9() .-]{7,}[0-9]"
-ADDRESS = r"[0-9]{1,5} [A-Z][a-z]+ (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr)\b"
-NAMED = r"(?i)\bmy name is [A-Za-z]+"
+PHONE = r"(?:\+\d[\d\s().-]{7,}\d|\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b|\(\d{3}\)\s*\d{3}[-.\s]?\d{4})"
+STREETS = "street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|court|ct|circle|cir|place|pl|terrace|ter|way|plaza|parkway|pkwy"
+ADDRESS = rf"(?i)\b\d{{1,6}}\s+[A-Za-z0-9.'-]{{2,}}(?:\s+[A-Za-z0-9.'-]{{2,}}){{0,3}}\s+(?:{STREETS})\b\.?"
+NAMED = r"\bmy\s+[A-Z][a-zA-Z'-]{1,40}(?:\s+[A-Z][a-zA-Z'-]{1,40})?"
+MARKS = ((EMAIL, "[redacted-email]"), (PHONE, "[redacted-phone]"), (ADDRESS, "[redacted-address]"), (NAMED, "my [redacted-name]"))
 
 
 def scrubbed(x: Column, limit: int = 500) -> Column:
-    """E-mail, then phone, address and name, each replaced by its kind; cut to ``limit``."""
-    t = collapsed(x)
-    for pattern, mark in ((EMAIL, "[email]"), (PHONE, "[phone]"), (ADDRESS, "[address]"), (NAMED, "my name is [name]")):
+    """Each kind of personal data replaced by its mark, then cut to ``limit`` characters; null as empty."""
+    t = F.coalesce(x, F.lit(""))
+    for pattern, mark in MARKS:
         t = F.regexp_replace(t, pattern, mark)
     return F.substring(t, 1, limit)
 

@@ -65,6 +65,13 @@ def check_search(query: str | None, limit: int, minutes: float | None) -> None:
         raise ValueError("the query is blank")
 
 
+def search_problem(query: Column, limit: Column, minutes: Column) -> Column:
+    """``check_search`` for rows of arguments: what is wrong with them, or null."""
+    blank = F.coalesce(F.trim(F.regexp_replace(query, r"\s+", " ")), F.lit("")) == ""
+    odd = minutes.isNotNull() & (F.isnan(minutes) | (F.abs(minutes) == float("inf")) | (minutes <= 0))
+    return F.when(blank | ~limit.between(1, 50), "query_or_limit").when(odd, "max_minutes")
+
+
 def within_cutoff(df: DataFrame, cutoff: float | None, distance: str = "distance") -> DataFrame:
     """Rows of finite distance up to the cutoff; None keeps all."""
     if cutoff is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import requests as Q
 from ..functions import text as T
 from ..operators import filters as P
 from ..sources.tables import RECIPES_SQL, recipes, table
@@ -95,6 +96,26 @@ def flt07(spark, d):
     return P.in_dataset(recipes(spark, d), "2-HIGH", known).select("source_id", "title")
 
 
+@query("flt08_argument_problems", f"""
+WITH {RECIPES_SQL} SELECT dataset_id, source_id, CASE WHEN okey % 7 = 0 OR NOT okey % 60 BETWEEN 1 AND 50 THEN 'query_or_limit' WHEN isnan(minutes) OR isinf(minutes) OR minutes <= 0 THEN 'max_minutes' END AS problem FROM recipes""")
+def flt08(spark, d):
+    asked = F.when(F.col("okey") % 7 == 0, " \t ").otherwise(F.col("title"))
+    return recipes(spark, d).select("dataset_id", "source_id", P.search_problem(asked, F.col("okey") % 60, F.col("minutes")).alias("problem"))
+
+
+@query("flt19_search_arguments", f"""
+WITH {RECIPES_SQL}, a AS (SELECT source_id, CASE okey % 3 WHEN 0 THEN '  ' WHEN 1 THEN ' ' || title || '  x ' ELSE repeat(title || ' ', 20) END AS dish, names, CASE okey % 4 WHEN 0 THEN 'soon' WHEN 1 THEN CAST(okey % 3000 AS VARCHAR) WHEN 2 THEN '12.5' END AS t FROM recipes),
+b AS (SELECT *, trim(regexp_replace(dish, '\\s+', ' ', 'g')) AS whole, names[1:5] AS hints, try_cast(t AS DOUBLE) AS n FROM a)
+SELECT source_id, substring(CASE WHEN whole = '' THEN array_to_string(hints, ' ') ELSE substring(whole, 1, 200) END, 1, 500) AS query, whole = '' AS by_overlap, array_to_string(hints, ',') AS hints,
+  CASE WHEN n BETWEEN 1 AND 1440 THEN n END AS max_minutes, concat_ws(',', CASE WHEN length(whole) > 200 THEN 'dish_shortened' END, CASE WHEN len(names) > 5 THEN 'pantry_capped' END) AS changes FROM b""")
+def flt19(spark, d):
+    k = F.col("okey")
+    dish = F.when(k % 3 == 0, "  ").when(k % 3 == 1, F.concat(F.lit(" "), "title", F.lit("  x "))).otherwise(F.repeat(F.concat("title", F.lit(" ")), 20))
+    minutes = F.when(k % 4 == 0, "soon").when(k % 4 == 1, (k % 3000).cast("string")).when(k % 4 == 2, "12.5")
+    return recipes(spark, d).select("source_id", Q.search_columns(dish, F.col("names"), minutes).alias("a")).select(
+        "source_id", "a.query", "a.by_overlap", F.array_join("a.hints", ",").alias("hints"), "a.max_minutes", F.array_join("a.changes", ",").alias("changes"))
+
+
 @query("flt09_current_versions", """
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_tax = 0.03 AND l_linenumber = 2""")
 def flt09(spark, d):

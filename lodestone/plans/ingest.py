@@ -15,15 +15,16 @@ from ..sources.tables import table
 
 
 def _folder(spark) -> str:
-    """A fresh folder under the cluster's shared one; a temporary one where none is set."""
+    """A fresh folder under the cluster's shared one; in local mode, where none is set, a temporary one."""
     import atexit
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/io-{uuid.uuid4().hex[:12]}"
-    made = tempfile.mkdtemp(prefix="lodestone-io-")
-    atexit.register(shutil.rmtree, made, True)
-    return "file://" + made + "/io"
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    at = f"{shared.rstrip('/')}/io-{uuid.uuid4().hex[:12]}" if shared else "file://" + tempfile.mkdtemp(prefix="lodestone-io-") + "/io"
+    if at.startswith(("file:", "/")):
+        atexit.register(shutil.rmtree, "/" + at.removeprefix("file:").lstrip("/"), True)
+    return at
 
 
 @query("src01_strict_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")
@@ -36,7 +37,7 @@ def src01(spark, d):
 @query("src02_numbered_texts", "SELECT row_number() OVER (ORDER BY s_suppkey) AS row_number, s_name AS texts FROM supplier")
 def src02(spark, d):
     at = _folder(spark)
-    table(spark, d, "supplier").orderBy("s_suppkey").coalesce(1).select(F.col("s_name").alias("texts")).write.option("header", True).csv(at)
+    table(spark, d, "supplier").orderBy("s_suppkey").select(F.col("s_name").alias("texts")).write.option("header", True).csv(at)
     return I.read_texts(spark, at)
 
 
@@ -85,7 +86,7 @@ def snk05(spark, d):
     return spark.read.schema("p_partkey long, p_name string").json(at)
 
 
-@query("snk06_atomic_cache")
+@query("snk06_atomic_cache", "SELECT true AS fresh, true AS stale")
 def snk06(spark, d):
     from ..functions.manifest import Cache
 
@@ -109,7 +110,15 @@ def snk08(spark, d):
     return I.rebuilt(docs, "search_text", T.collapsed(F.col("text")))[1]
 
 
-@query("snk09_schema_pins")
+def _schema_json(*fields: tuple[str, str]) -> str:
+    return '{"fields":[' + ",".join(f'{{"metadata":{{}},"name":"{n}","nullable":true,"type":"{t}"}}' for n, t in fields) + '],"type":"struct"}'
+
+
+_DOCUMENTS = _schema_json(("doc_id", "long"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))
+_LABELS = _schema_json(("doc_id", "long"), ("quality", "integer"), ("toxic", "integer"))
+
+
+@query("snk09_schema_pins", f"SELECT 'documents' AS name, sha256('{_DOCUMENTS}') AS pin, true AS unchanged UNION ALL SELECT 'labels', sha256('{_LABELS}'), true")
 def snk09(spark, d):
     from ..functions.manifest import canonical_hash, verify_frozen
 
@@ -125,10 +134,10 @@ def inc01(spark, d):
     return I.changed(ledger, docs, "doc_id", "identity").select("doc_id")
 
 
-@query("inc02_recheck_before_commit", "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0")
+@query("inc02_recheck_before_commit", "SELECT doc_id FROM documents WHERE doc_id % 5 <> 0")
 def inc02(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("now"))
-    made = docs.filter("doc_id % 3 = 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "before").otherwise(F.col("now")).alias("then"))
+    made = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "before").otherwise(F.col("now")).alias("then"))
     return made.join(docs, "doc_id").filter("then = now").select("doc_id")
 
 

@@ -101,12 +101,12 @@ def jn12(spark, d):
 
 @query("jn13_products_without_self", """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
-SELECT a.vec_id AS seed, b.vec_id, round(list_inner_product(a.v, b.v), 6) AS product FROM e a JOIN e b ON a.vec_id IN (3, 8) AND a.vec_id <> b.vec_id""")
+SELECT a.vec_id AS seed, b.vec_id, round(list_inner_product(a.v, b.v), 6) AS product FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id""")
 def jn13(spark, d):
     from ..operators.vectors import dot
 
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    seeds = e.filter("vec_id in (3, 8)").select(F.col("vec_id").alias("seed"), F.col("v").alias("s"))
+    seeds = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("s"))
     return e.crossJoin(F.broadcast(seeds)).filter("vec_id <> seed").select("seed", "vec_id", F.round(dot(F.col("s"), F.col("v")), 6).alias("product"))
 
 
@@ -179,12 +179,14 @@ def jn19(spark, d):
 
 
 @query("jn20_verified_urls", r"""
-WITH p AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^www\.', ''), '/+$', '')) AS k FROM pages)
-SELECT page_id, k IN (SELECT k FROM p WHERE page_id % 2 = 0) AS verified FROM p WHERE page_id % 2 = 1""")
+WITH p AS (SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^www\.', ''), '/+$', '')) AS k FROM pages),
+q AS (SELECT page_id, k || CASE WHEN page_id % 3 = 0 THEN '/moved' ELSE '' END AS k FROM p) SELECT page_id, k IN (SELECT k FROM p) AS verified FROM q""")
 def jn20(spark, d):
+    """Every page's URL, a third of them changed, against all URLs that were retrieved."""
     p = table(spark, d, "pages").select("page_id", T.url_key(F.col("url")).alias("k"))
-    known = p.filter("page_id % 2 = 0").select("k").distinct().withColumn("there", F.lit(True))
-    return p.filter("page_id % 2 = 1").join(known, "k", "left").select("page_id", F.col("there").isNotNull().alias("verified"))
+    known = p.select("k").distinct().withColumn("there", F.lit(True))
+    parsed = p.withColumn("k", F.when(F.col("page_id") % 3 == 0, F.concat("k", F.lit("/moved"))).otherwise(F.col("k")))
+    return parsed.join(known, "k", "left").select("page_id", F.col("there").isNotNull().alias("verified"))
 
 
 @query("jn21_reference_reasons", f"""

@@ -10,7 +10,7 @@ from ..functions import chunking as H
 from ..functions import parsing as G
 from ..operators import rules as R
 from ..sources.tables import RECIPES_SQL, SESSIONS_SQL, recipes, session_events, table
-from .strings import LINES, lines
+from .strings import L, lines
 
 _RULES = """rules(diet, word, exc) AS (VALUES ('red_free', 'red', 'red ring'), ('metal_free', 'bolt', 'small nut'), ('metal_free', 'nut', 'small nut'), ('metal_free', 'gear', 'small nut'), ('round_free', 'ring', ''), ('round_free', 'wheel', '')),
 names AS (SELECT DISTINCT dataset_id, source_id, unnest(names) AS name FROM recipes),
@@ -152,9 +152,16 @@ def marked(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n", "\n## part\n").alias("text"))
 
 
-@query("htm01_html_sections")
+#: Pages as they are here: a heading and paragraphs in one article; an open paragraph loses what it held.
+@query("htm01_html_sections", r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g') AS x FROM pages),
+h AS (SELECT page_id, regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1) AS title, list_transform(regexp_extract_all(x, '(?s)<p>.*?</p>'), lambda p: string_split(p, '<p>')[-1]) AS ps FROM a),
+t AS (SELECT page_id, unnest([title]) AS title, list_transform(ps, lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS ps FROM h),
+j AS (SELECT page_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, array_to_string(list_filter(ps, lambda p: p <> ''), chr(10) || chr(10)) AS text FROM t)
+SELECT page_id, replace(title, '&amp;', '&') AS title, 0 AS n, replace(title, '&amp;', '&') AS section, replace(text, '&amp;', '&') AS text FROM j WHERE text <> ''""")
 def htm01(spark, d):
-    return table(spark, d, "pages").select("page_id", F.posexplode(H.html_sections("html")).alias("n", "s")).select("page_id", "n", "s.section", "s.text")
+    pages = table(spark, d, "pages").select("page_id", H.html_page("html").alias("p"))
+    return pages.select("page_id", "p.title", F.posexplode("p.sections").alias("n", "s")).select("page_id", "title", "n", "s.section", "s.text")
 
 
 @query("htm02_sections", """
@@ -165,16 +172,37 @@ def htm02(spark, d):
         "doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.when(F.col("p") == 0, "").otherwise("part").alias("section"), F.length("t").cast("long").alias("chars"))
 
 
+#: A section of 800 tokens at most is one chunk: its paragraphs, with blank lines between them.
+_SECTION = r"array_to_string(list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda p: trim(p, ' ' || chr(10) || chr(9))), lambda p: p <> ''), chr(10) || chr(10))"
+
+
 @query("htm03_packed_chunks")
 def htm03(spark, d):
     return H.chunked(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("tokens").alias("largest"))
 
 
+@query("htm03_whole_sections", f"""
+WITH s AS (SELECT doc_id, {_SECTION.replace('(t,', '(text,')} AS whole FROM documents WHERE length(text) < 3200)
+SELECT doc_id, sha256(whole) AS sha256, CAST(greatest(1, length(whole) // 4) AS BIGINT) AS tokens FROM s WHERE whole <> ''""")
+def htm03b(spark, d):
+    docs = table(spark, d, "documents").filter(F.length("text") < 4 * H.MAX_TOKENS)
+    return H.chunked(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", "sha256", "tokens")
+
+
 @query("htm04_document_chunks")
 def htm04(spark, d):
     return H.chunked(marked(spark, d), "doc_id", "text").select("doc_id", "chunk_id", "section", "sha256", "tokens")
 
 
+@query("htm04_whole_sections", f"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE length(text) < 3200), p AS (SELECT doc_id, unnest(ls) AS t, generate_subscripts(ls, 1) AS pos FROM s),
+w AS (SELECT doc_id, pos, {_SECTION} AS whole FROM p)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_id, CASE WHEN pos = 1 THEN '' ELSE 'part' END AS section, sha256(whole) AS sha256 FROM w WHERE whole <> ''""")
+def htm04b(spark, d):
+    docs = marked(spark, d).join(table(spark, d, "documents").filter(F.length("text") < 4 * H.MAX_TOKENS).select("doc_id"), "doc_id", "left_semi")
+    return H.chunked(docs, "doc_id", "text").select("doc_id", "chunk_id", "section", "sha256")
+
+
 @query("htm05_admission", r"""
 WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words FROM documents) SELECT doc_id, CAST(words AS BIGINT) AS words, CASE WHEN words < 150 THEN 'too-short: ' || words || ' words' END AS drop_reason FROM w""")
 def htm05(spark, d):
@@ -183,16 +211,34 @@ def htm05(spark, d):
 
 # --- nested documents
 
-@query("nst01_ingredient_lines")
+_UNIT_LIST = "[" + ", ".join(f"'{u}'" for u in G.unit_words()) + "]"
+_UNIT_MAP = "map {" + ", ".join(f"'{u}': '{c}'" for u, c in G.unit_words().items()) + "}"
+LINES_SQL = L + rf""", m AS (SELECT id, line, nullif(regexp_extract(line, '{G.LINE_START}', 1), '') AS amount, nullif(regexp_extract(line, '{G.LINE_START}', 2), '') AS amount_high,
+  CASE WHEN regexp_matches(line, '{G.LINE_START}') THEN regexp_extract(line, '{G.LINE_START}', 3) ELSE trim(line) END AS rest FROM l WHERE trim(line) <> ''),
+u AS (SELECT *, lower(regexp_replace(regexp_extract(rest, '^[^ ]*'), '\.+$', '')) AS word FROM m), b AS (SELECT *, CASE WHEN list_contains({_UNIT_LIST}, word) THEN regexp_replace(rest, '^[^ ]* ?', '') ELSE rest END AS body FROM u),
+i AS (SELECT id, line, amount, amount_high, CASE WHEN list_contains({_UNIT_LIST}, word) THEN {_UNIT_MAP}[word] END AS unit, nullif(trim(regexp_extract(body, '^[^,]*')), '') AS item,
+  nullif(trim(regexp_replace(body, '^[^,]*,?', '')), '') AS preparation, amount_high IS NOT NULL AS is_range, contains(lower(line), 'optional') AS optional,
+  regexp_matches(line, '(?i)\bto taste\b|\bas needed\b') AS qualitative, regexp_matches(line, '(?i)\bor\b') AS alternatives FROM b)"""
+
+
+@query("nst01_ingredient_lines", f"WITH {LINES_SQL} SELECT l.id, i.* EXCLUDE (id, line) FROM l LEFT JOIN i ON l.id = i.id")
 def nst01(spark, d):
-    return lines(spark).select("id", G.ingredient_line("line").alias("i")).select("id", "i.*")
+    return lines(spark, d).select("id", G.ingredient_line(F.col("line")).alias("i")).select("id", "i.*")
 
 
-@query("nst02_normalized_documents")
+@query("nst02_normalized_documents", r"""
+WITH n AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS steps, list_filter([CASE WHEN length(text) < 30 THEN 'too_short' END, CASE WHEN contains(text, '|') THEN 'list_layout' END,
+  CASE WHEN regexp_matches(text, '[*#$%&]{3}') THEN 'symbols' END, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'contact_data' END], lambda x: x IS NOT NULL) AS flags FROM documents)
+SELECT source AS dataset_id, CAST(doc_id AS VARCHAR) AS source_id, trim(regexp_replace(string_split_regex(text, '[.\n]')[1], '\s+', ' ', 'g')) AS title, len(steps) AS n_steps, md5(array_to_string(steps, chr(10))) AS steps_md5,
+  array_to_string(flags, ',') AS flags, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS content_hash, '1' AS version,
+  CASE WHEN list_contains(flags, 'too_short') THEN 'quarantined' WHEN list_contains(flags, 'symbols') THEN 'rejected' ELSE 'accepted' END AS status FROM n""")
 def nst02(spark, d):
     from ..operators.ingest import normalised
 
-    return normalised(table(spark, d, "documents"))
+    steps = F.transform("document.instructions", lambda i: i["text"])
+    return normalised(table(spark, d, "documents")).select(
+        "dataset_id", "source_id", "document.title", F.size(steps).cast("long").alias("n_steps"), F.md5(F.array_join(steps, "\n").cast("binary")).alias("steps_md5"),
+        F.array_join("document.flags", ",").alias("flags"), "document.content_hash", "document.version", "status")
 
 
 @query("nst03_heading_groups", """
@@ -237,12 +283,17 @@ def nst07(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(has("fatal"), "reject").when(has("major"), "quarantine").when(has("gap"), "accept_with_gaps").otherwise("accept").alias("verdict"))
 
 
-@query("nst08_response_problems")
+@query("nst08_response_problems", f"""
+WITH {LINES_SQL}, x AS (SELECT l.id, l.line, lower(trim(regexp_replace(coalesce(i.item, ''), '\\s+', ' ', 'g'))) AS excerpt, i.item, i.amount, i.is_range FROM l LEFT JOIN i ON l.id = i.id),
+c AS (SELECT id, unnest(list_filter([CASE WHEN excerpt = '' THEN 'missing_evidence' END, CASE WHEN excerpt <> '' AND NOT contains(lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))), excerpt) THEN 'fabricated_evidence' END,
+  CASE WHEN is_range AND amount IS NOT NULL THEN 'quantity_uncertain' END, CASE WHEN NOT is_range AND regexp_matches(amount, '^0+(\\.0+)?$|/0+$|(^| )0+/') THEN 'malformed_amount' END,
+  CASE WHEN regexp_matches(item, '^\\s*[0-9]') AND NOT regexp_matches(item, '^\\s*[0-9]+\\s*%') THEN 'name_contains_measure' END], lambda x: x IS NOT NULL)) AS code FROM x)
+SELECT CAST(id AS VARCHAR) AS record, 0 AS position, code FROM c""")
 def nst08(spark, d):
     """Lines interpreted by the parser, checked as if a model had returned them."""
     from ..operators.validation import problems
 
-    items = lines(spark).select("id", "line", G.ingredient_line("line").alias("i")).select(
+    items = lines(spark, d).select("id", "line", G.ingredient_line(F.col("line")).alias("i")).select(
         F.col("id").cast("string").alias("record"), F.lit(0).alias("position"), F.col("id").cast("string").alias("expected_record"), F.sha2("line", 256).alias("hash"),
         F.sha2("line", 256).alias("expected_hash"), "line", F.coalesce("i.item", F.lit("")).alias("excerpt"), F.col("i.item").alias("name"), F.col("i.amount").alias("amount_text"),
         F.when(~F.col("i.is_range"), F.col("i.amount")).alias("amount_value"), F.col("i.unit").alias("unit"), F.col("i.is_range").alias("is_range"), F.lit(False).alias("uncertain"))
@@ -272,14 +323,14 @@ def nst13(spark, d):
 @query("nst14_attributed_amounts")
 def nst14(spark, d):
     items = F.array(*map(F.lit, ("flour", "sugar", "milk", "eggs", "egg")))
-    return lines(spark).select("id", F.explode(G.attributed_amounts("line", items)).alias("a")).select("id", "a.*")
+    return lines(spark, d).select("id", F.explode(G.attributed_amounts("line", items)).alias("a")).select("id", "a.*")
 
 
 @query("nst15_quantity_errors")
 def nst15(spark, d):
     """Amounts of the prose that the lines' own amounts do not hold."""
-    own = lines(spark).select("id", G.ingredient_line("line").alias("i"))
-    prose = lines(spark).select("id", F.explode(G.attributed_amounts(F.regexp_replace("line", "2", "3"), F.array(F.lit("sugar"), F.lit("eggs")))).alias("a"))
+    own = lines(spark, d).select("id", G.ingredient_line(F.col("line")).alias("i"))
+    prose = lines(spark, d).select("id", F.explode(G.attributed_amounts(F.regexp_replace("line", "2", "3"), F.array(F.lit("sugar"), F.lit("eggs")))).alias("a"))
     return prose.join(own, "id").filter("a.item is not null and not (a.amount <=> i.amount)").select("id", "a.amount", "a.item", F.col("i.amount").alias("expected"))
 
 
@@ -289,4 +340,3 @@ def nst16(spark, d):
     return recipes(spark, d).select("source_id", F.when(F.size(F.array_except("names", known)) == 0, "source").otherwise("model_adaptation").alias("attribution"))
 
 
-assert len({i for i, _ in LINES}) == len(LINES)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import requests as Q
 from ..functions import text as T
 from ..operators import filters as P
 from ..operators import search as S
@@ -248,6 +249,16 @@ def vec05(spark, d):
     return docs.join(best, "doc_id").select("query_id", "source", "doc_id", F.round("rrf", 6).alias("rrf"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("fts15_modes", """
+WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'vector' WHEN 1 THEN 'fulltext' WHEN 2 THEN 'hybrid' END AS asked, CASE doc_id % 3 WHEN 0 THEN 'vector' WHEN 1 THEN 'odd' END AS configured FROM documents)
+SELECT doc_id, CASE WHEN asked IN ('fulltext', 'vector') THEN asked WHEN configured = 'vector' THEN 'vector' ELSE 'fulltext' END AS mode,
+  CASE WHEN asked IN ('fulltext', 'vector') THEN 'explicit' WHEN configured = 'vector' THEN 'configured' ELSE 'default' END AS source FROM m""")
+def fts15(spark, d):
+    asked = F.when(F.col("doc_id") % 4 == 0, "vector").when(F.col("doc_id") % 4 == 1, "fulltext").when(F.col("doc_id") % 4 == 2, "hybrid")
+    configured = F.when(F.col("doc_id") % 3 == 0, "vector").when(F.col("doc_id") % 3 == 1, "odd")
+    return table(spark, d, "documents").select("doc_id", Q.mode_columns(asked, configured).alias("m")).select("doc_id", "m.*")
+
+
 @query("vec05_fulltext_gate", f"""WITH {HYBRID_SQL} SELECT query_id, fused.doc_id, fused.rank FROM fused WHERE rank <= 20 AND EXISTS (SELECT 1 FROM hits h WHERE h.query_id = fused.query_id AND h.doc_id = fused.doc_id AND matched = n_slots)""")
 def vec05b(spark, d):
     gate = S.only_all(case_hits(spark, d)).select("query_id", "doc_id")
@@ -260,7 +271,7 @@ def vec06(spark, d):
 
 
 _NEAR = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e),
-p AS (SELECT s.vec_id AS seed, s.label AS variant, c.vec_id, round(list_inner_product(s.v, c.v), 9) AS similarity FROM u s JOIN u c ON s.vec_id IN (10, 20, 30) AND c.vec_id <> s.vec_id {0}),
+p AS (SELECT s.vec_id AS seed, s.label AS variant, c.vec_id, round(list_inner_product(s.v, c.v), 9) AS similarity FROM u s JOIN u c ON s.vec_id % 100 = 0 AND c.vec_id <> s.vec_id {0}),
 r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, vec_id) AS rank FROM p) """
 
 
@@ -271,14 +282,14 @@ def _unit(spark, d):
 @query("vec07_neighbours", _NEAR.format("") + "SELECT seed, vec_id, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 10")
 def vec07(spark, d):
     u = _unit(spark, d)
-    found = V.neighbours(u.select("vec_id", "v"), u.filter("vec_id in (10, 20, 30)"), "vec_id", 10)
+    found = V.neighbours(u.select("vec_id", "v"), u.filter("vec_id % 100 = 0"), "vec_id", 10)
     return found.select("seed", "vec_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("vec08_variants", _NEAR.format("AND c.label = s.label") + "SELECT seed, variant, vec_id, rank FROM r WHERE rank <= 5")
 def vec08(spark, d):
     u = _unit(spark, d)
-    seeds = u.filter("vec_id in (10, 20, 30)").select(F.col("vec_id").alias("seed"), F.col("label").alias("variant"), F.col("v").alias("s"))
+    seeds = u.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"), F.col("label").alias("variant"), F.col("v").alias("s"))
     pairs = u.join(F.broadcast(seeds), F.col("label") == F.col("variant")).filter("vec_id <> seed").withColumn("similarity", F.round(V.dot(F.col("v"), F.col("s")), 9))
     w = Window.partitionBy("seed").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("seed", "variant", "vec_id", "rank")
@@ -287,7 +298,7 @@ def vec08(spark, d):
 @query("vec09_substitutions", _NEAR.format("") + "SELECT seed, vec_id, rank, 'unverified' AS status FROM r WHERE rank <= 3")
 def vec09(spark, d):
     u = _unit(spark, d)
-    found = V.neighbours(u.select("vec_id", "v"), u.filter("vec_id in (10, 20, 30)"), "vec_id", 3)
+    found = V.neighbours(u.select("vec_id", "v"), u.filter("vec_id % 100 = 0"), "vec_id", 3)
     return found.select("seed", "vec_id", F.col("rank").cast("long").alias("rank"), F.lit("unverified").alias("status"))
 
 
@@ -328,12 +339,15 @@ def vec13(spark, d):
     return s.join(used, T.plain(F.col("name")) == F.col("u"), "left").select("name", F.when(F.col("u").isNull(), "rejected").otherwise("used").alias("status"))
 
 
-@query("vec14_reproducible_vectors")
+@query("vec14_reproducible_vectors", """
+WITH r AS (SELECT doc_id, list_transform(range(1, 9), lambda i: (CAST('0x' || substring(md5(text || chr(31) || i), 1, 8) AS BIGINT) % 2001 - 1000) / 1e3) AS v FROM documents),
+n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM r) SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(CAST(round(x / n * 1e6) AS BIGINT) AS VARCHAR)), ' ') AS millionths FROM n""")
 def vec14(spark, d):
-    """Unit vectors made from a hash of the text: the same in every process."""
-    raw = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.pmod(F.xxhash64(F.col("text"), i), F.lit(2001)) - 1000) / 1000.0)
+    """Unit vectors made from a hash of the text: the same in every process and engine."""
+    digits = lambda i: F.substring(F.md5(F.concat("text", F.lit(chr(31)), i.cast("string")).cast("binary")), 1, 8)
+    raw = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: (F.conv(digits(i), 16, 10).cast("long") % 2001 - 1000) / 1000.0)
     made = table(spark, d, "documents").select("doc_id", raw.alias("v")).withColumn("n", V.norm(F.col("v")))
-    return made.select("doc_id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    return made.select("doc_id", F.array_join(F.transform("v", lambda x: F.round(x / F.col("n") * 1e6).cast("long").cast("string")), " ").alias("millionths"))
 
 
 @query("vec15_embedding_cost", """

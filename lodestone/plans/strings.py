@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..catalog import query
+from ..functions import bounded as B
 from ..functions import parsing as G
 from ..functions import text as T
 from ..sources.tables import table
@@ -15,17 +16,23 @@ LINES = [
     (6, "My name is Ann, 12 Main Street"), (7, "salt to taste"), (8, "Makes 2 dozen"), (9, "cook 1 hour 15 minutes"), (10, "steps 2-4 and 7"), (11, "olive oil"), (12, ""),
     (13, "no recipe of mine"), (14, "Ingredients"), (15, "3/4 cup milk (warm)"), (16, "1-2 eggs"),
 ]
+#: And one line of written kind per part, in both dialects of SQL.
+PART_LINE = """CASE p_partkey % 8 WHEN 0 THEN concat(p_size, ' cups ', p_name, ', ', lower(p_type)) WHEN 1 THEN concat(p_size, '-', p_size + 2, ' tbsp. ', p_name)
+  WHEN 2 THEN concat('1 1/2 kg ', p_name, ' (optional)') WHEN 3 THEN concat(p_name, ' or oil to taste') WHEN 4 THEN concat('Bake at ', 150 + p_size, '°C for ', p_size, '-', p_size + 5, ' minutes')
+  WHEN 5 THEN concat('Serves ', p_size, ', steps 2-', 2 + p_size % 7) WHEN 6 THEN concat('makes ', p_size, ' dozen ', p_name, '; my Ann lives at ', p_size + 1, ' Long ', p_name, ' Rd.')
+  ELSE concat('mail ', replace(p_name, ' ', '.'), '@example.org or 555-123-', 1000 + p_size) END"""
 
 
-def lines(spark):
-    return spark.createDataFrame(LINES, "id long, line string")
+def lines(spark, d):
+    """(id, line): the written lines, and one per part."""
+    parts = table(spark, d, "part").select((F.col("p_partkey") + 100).alias("id"), F.expr(PART_LINE).alias("line"))
+    return spark.createDataFrame(LINES, "id long, line string").unionByName(parts)
 
 
-def _values() -> str:
-    return "l(id, line) AS (SELECT CAST(a AS BIGINT), b FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in LINES) + ") v(a, b))"
-
-
-L = _values()
+L = (
+    "l(id, line) AS (SELECT CAST(a AS BIGINT), b FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in LINES) + ") v(a, b) "
+    "UNION ALL SELECT p_partkey + 100, " + PART_LINE + " FROM part)"
+)
 
 
 def docs(spark, d):
@@ -47,16 +54,19 @@ def str02(spark, d):
     return docs(spark, d).select("doc_id", T.collapsed(F.col("text")).alias("t"))
 
 
-@query("str03_r_vectors")
+@query("str03_r_vectors", """
+SELECT raw, items FROM (VALUES ('c("eggs", "olive oil")', ['eggs', 'olive oil']), ('character(0)', []), ('NA', NULL), ('eggs', ['eggs']), ('c("a \\"b\\"", NA)', ['a "b"', NULL]), ('c("egg",)', NULL), ('c("a" "b")', NULL)) v(raw, items)
+UNION ALL SELECT 'c("' || p_name || '", NA, "' || p_type || '")', [p_name, NULL, p_type] FROM part""")
 def str03(spark, d):
     rows = [('c("eggs", "olive oil")',), ("character(0)",), ("NA",), ("eggs",), ('c("a \\"b\\"", NA)',), ('c("egg",)',), ('c("a" "b")',)]
-    return spark.createDataFrame(rows, "raw string").select("raw", G.r_vector("raw").alias("items"))
+    parts = table(spark, d, "part").select(F.concat(F.lit('c("'), "p_name", F.lit('", NA, "'), "p_type", F.lit('")')).alias("raw"))
+    return spark.createDataFrame(rows, "raw string").unionByName(parts).select("raw", G.r_vector("raw").alias("items"))
 
 
 @query("str04_fractions", "WITH " + L + """, g AS (SELECT id, regexp_replace(line, '([0-9])([½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞])', '\\1 \\2', 'g') AS t FROM l)
 SELECT id, replace(replace(replace(t, '½', '1/2'), '⅓', '1/3'), '¾', '3/4') AS t FROM g""".replace("\\\\", "\\"))
 def str04(spark, d):
-    return lines(spark).select("id", T.ascii_fractions(F.col("line")).alias("t"))
+    return lines(spark, d).select("id", T.ascii_fractions(F.col("line")).alias("t"))
 
 
 @query("str05_spacing", r"""
@@ -67,13 +77,13 @@ def str05(spark, d):
 
 @query("str06_leading_unit", "WITH " + L + r""" SELECT id, nullif(regexp_extract(line, '^([0-9 /½⅓¾.-]+)(cups|cup|tbsp|tsp|g|kg|ml|l|oz|lb)\b', 2), '') AS unit FROM l""")
 def str06(spark, d):
-    return lines(spark).select("id", F.nullif(F.regexp_extract("line", G.LEADING_UNIT, 2), F.lit("")).alias("unit"))
+    return lines(spark, d).select("id", F.nullif(F.regexp_extract("line", G.LEADING_UNIT, 2), F.lit("")).alias("unit"))
 
 
 @query("str07_preparation", "WITH " + L + r""" SELECT id, regexp_extract(line, '^([^,]*)(?:, *(.*))?$', 1) AS item, nullif(regexp_extract(line, '^([^,]*)(?:, *(.*))?$', 2), '') AS preparation FROM l""")
 def str07(spark, d):
     pattern = r"^([^,]*)(?:, *(.*))?$"
-    return lines(spark).select("id", F.regexp_extract("line", pattern, 1).alias("item"), F.nullif(F.regexp_extract("line", pattern, 2), F.lit("")).alias("preparation"))
+    return lines(spark, d).select("id", F.regexp_extract("line", pattern, 1).alias("item"), F.nullif(F.regexp_extract("line", pattern, 2), F.lit("")).alias("preparation"))
 
 
 @query("str08_sections", """
@@ -118,14 +128,18 @@ def str12(spark, d):
     return table(spark, d, "events").select("event_id", T.first_match(F.col("event_type"), [("failure", "err"), ("browse", "^(click|view)$")], "other").alias("bucket"))
 
 
-_SCRUB = r"""substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace({0}, '\s+', ' ', 'g')),
-  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', '[email]', 'g'), '\+?[0-9][0-9() .-]{{7,}}[0-9]', '[phone]', 'g'), '[0-9]{{1,5}} [A-Z][a-z]+ (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr)\b', '[address]', 'g'),
-  '(?i)\bmy name is [A-Za-z]+', 'my name is [name]', 'g'), 1, 500)"""
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_SCRUB = "coalesce(line, '')"
+for _pattern, _mark in T.MARKS:
+    _SCRUB = f"regexp_replace({_SCRUB}, {_quoted(_pattern)}, {_quoted(_mark)}, 'g')"
 
 
-@query("str13_scrubbed", "WITH " + L + ", x AS (SELECT id, line FROM l UNION ALL SELECT doc_id + 1000, text FROM documents) SELECT id, " + _SCRUB.format("line") + " AS t FROM x")
+@query("str13_scrubbed", "WITH " + L + ", x AS (SELECT id, line FROM l UNION ALL SELECT -1 - doc_id, text FROM documents) SELECT id, substring(" + _SCRUB + ", 1, 500) AS t FROM x")
 def str13(spark, d):
-    rows = lines(spark).union(docs(spark, d).select(F.col("doc_id") + 1000, "text"))
+    rows = lines(spark, d).union(docs(spark, d).select(-1 - F.col("doc_id"), "text"))
     return rows.select("id", T.scrubbed(F.col("line")).alias("t"))
 
 
@@ -150,7 +164,7 @@ def str15(spark, d):
   nullif(regexp_extract(line, '([0-9]{2,3})°[FC]', 1), '') AS temperature FROM l""")
 def str16(spark, d):
     x = lambda pattern, i=1: F.nullif(F.regexp_extract("line", pattern, i), F.lit(""))
-    return lines(spark).select(
+    return lines(spark, d).select(
         "id", x(r"([0-9]+) ?(?:-|to) ?([0-9]+) minutes", 2).alias("longest"), x(r"(?i)serves ([0-9]+)").alias("serves"),
         (x(r"(?i)makes ([0-9]+) dozen").cast("long") * 12).alias("pieces"), x(r"([0-9]{2,3})°[FC]").alias("temperature"))
 
@@ -180,28 +194,40 @@ def str20(spark, d):
     return w.join(b, ["conv_id", "turn"]).select("conv_id", "turn", (F.size(F.array_except("ws", "before")) == 0).alias("subset"))
 
 
-@query("str21_negated_mentions")
+@query("str21_negated_mentions", f"""
+WITH c AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[.!?;:]')) AS clause FROM documents), p AS (SELECT doc_id, string_split_regex(clause, '\\bthe\\b') AS parts FROM c),
+b AS (SELECT doc_id, unnest(list_transform(range(1, len(parts)), lambda i: list_filter(string_split_regex(array_to_string(parts[1:i], 'the'), '\\s+'), lambda w: w <> ''))) AS before FROM p),
+m AS (SELECT doc_id, bool_and(regexp_matches(array_to_string(before[greatest(1, len(before) - 7):], ' '), {_quoted(G.NEGATION)})) AS negated FROM b GROUP BY 1)
+SELECT doc_id, coalesce(negated, false) AS negated FROM documents LEFT JOIN m USING (doc_id)""")
 def str21(spark, d):
-    rows = [(1, "do not add any of the nuts", "nuts"), (2, "not today. add nuts", "nuts"), (3, "add nuts", "nuts"), (4, "without sugar, nuts", "nuts"), (5, None, "nuts")]
-    return spark.createDataFrame(rows, "id long, text string, term string").select("id", G.negated("text", "term").alias("negated"))
+    return docs(spark, d).select("doc_id", G.negated(F.col("text"), "the").alias("negated"))
 
 
-@query("str22_vocabulary_terms")
+_VOCABULARY = ["olive oil", "oil", "flour", "milk", "eggs", "egg", "the and", "the", "red ring", "ring"]
+_TERMS_SQL = "SELECT id, lower(line) AS t0, ARRAY[]::VARCHAR[] AS f0 FROM x"
+for _n, _term in enumerate(G.longest_first(_VOCABULARY)):
+    _TERMS_SQL = (
+        f"SELECT id, regexp_replace(t{_n}, '\\b{_term}\\b', '{' ' * len(_term)}') AS t{_n + 1}, CASE WHEN regexp_matches(t{_n}, '\\b{_term}\\b') THEN list_append(f{_n}, '{_term}') ELSE f{_n} END AS f{_n + 1} "
+        f"FROM ({_TERMS_SQL})"
+    )
+
+
+@query("str22_vocabulary_terms", "WITH " + L + f", x AS (SELECT id, line FROM l UNION ALL SELECT -1 - doc_id, text FROM documents) SELECT id, list_sort(f{len(_VOCABULARY)}) AS terms FROM ({_TERMS_SQL})")
 def str22(spark, d):
-    found = G.vocabulary_terms(["olive oil", "oil", "flour", "milk", "eggs", "egg"])
-    return lines(spark).select("id", found("line").alias("terms"))
+    rows = lines(spark, d).union(docs(spark, d).select(-1 - F.col("doc_id"), "text"))
+    return rows.select("id", G.vocabulary_terms(F.col("line"), _VOCABULARY).alias("terms"))
 
 
 @query("str23_time_claims", "WITH " + L + r""", s(v) AS (VALUES ('25-30 minutes'), ('350°F')), c AS (SELECT id, unnest(regexp_extract_all(line, '[0-9]+(?:-[0-9]+)? ?(?:minutes|hour|°[FC])')) AS claim FROM l)
 SELECT id, claim, claim IN (SELECT v FROM s) AS supported FROM c""")
 def str23(spark, d):
-    c = lines(spark).select("id", F.explode(F.regexp_extract_all("line", F.lit(r"[0-9]+(?:-[0-9]+)? ?(?:minutes|hour|°[FC])"), F.lit(0))).alias("claim"))
+    c = lines(spark, d).select("id", F.explode(F.regexp_extract_all("line", F.lit(r"[0-9]+(?:-[0-9]+)? ?(?:minutes|hour|°[FC])"), F.lit(0))).alias("claim"))
     return c.withColumn("supported", F.col("claim").isin("25-30 minutes", "350°F"))
 
 
 @query("str24_imperative_guard", "WITH " + L + r""" SELECT id, regexp_matches(line, '(?i)^(?:bake|cook|mix|add|stir)\b') AS imperative, CAST(len(regexp_extract_all(line, '[0-9]+')) AS BIGINT) AS numbers FROM l""")
 def str24(spark, d):
-    return lines(spark).select("id", F.col("line").rlike(r"(?i)^(?:bake|cook|mix|add|stir)\b").alias("imperative"), F.regexp_count("line", F.lit("[0-9]+")).cast("long").alias("numbers"))
+    return lines(spark, d).select("id", F.col("line").rlike(r"(?i)^(?:bake|cook|mix|add|stir)\b").alias("imperative"), F.regexp_count("line", F.lit("[0-9]+")).cast("long").alias("numbers"))
 
 
 @query("str25_token_estimates", "SELECT doc_id, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS estimated, CAST(octet_length(encode(text)) + 8 AS BIGINT) AS reserved FROM documents")
@@ -221,8 +247,9 @@ def str27(spark, d):
     return docs(spark, d).select("doc_id", F.substring(F.concat_ws("\n", "source", "lang", "text"), 1, 7000).alias("chunk"))
 
 
-@query("str28_privacy_scan", r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS emails, CAST(len(regexp_extract_all(text, '\+?[0-9][0-9() .-]{7,}[0-9]')) AS BIGINT) AS phones FROM documents WHERE regexp_matches(text, '@|[0-9]{3}')""")
+@query("str28_privacy_scan", f"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, {_quoted(T.EMAIL)})) AS BIGINT) AS emails, CAST(len(regexp_extract_all(text, {_quoted(T.PHONE)})) AS BIGINT) AS phones FROM documents
+WHERE regexp_matches(text, '@|[0-9]{{3}}')""")
 def str28(spark, d):
     count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
     return docs(spark, d).filter(F.col("text").rlike("@|[0-9]{3}")).select("doc_id", count(T.EMAIL).alias("emails"), count(T.PHONE).alias("phones"))
@@ -237,11 +264,19 @@ def str29(spark, d):
 @query("str30_step_ranges", "WITH " + L + r""", r AS (SELECT id, unnest(regexp_extract_all(line, '[0-9]+(?:-[0-9]+)?')) AS part FROM l WHERE regexp_matches(line, '(?i)steps?'))
 SELECT id, CAST(unnest(range(CAST(split_part(part, '-', 1) AS BIGINT), CAST(split_part(part, '-', -1) AS BIGINT) + 1)) AS BIGINT) AS step FROM r""")
 def str30(spark, d):
-    return lines(spark).filter(F.col("line").rlike("(?i)steps?")).select("id", F.explode(G.step_numbers(F.col("line"))).alias("step"))
+    return lines(spark, d).filter(F.col("line").rlike("(?i)steps?")).select("id", F.explode(G.step_numbers(F.col("line"))).alias("step"))
 
 
 @query("vec11_suggestions")
 def vec11(spark, d):
-    names = [r.p_name for r in table(spark, d, "part").select("p_name").distinct().orderBy("p_name").limit(1000).collect()]  # a closed vocabulary
-    asked = spark.createDataFrame([(1, "red bolts"), (2, "widgt"), (3, "zzz"), (4, "ring")], "id long, term string")
-    return asked.select("id", G.suggestions(names)("term").alias("suggestions"))
+    names = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    return G.suggestions(names, [(1, "red bolts"), (2, "widgt"), (3, "zzz"), (4, "ring"), (5, "a very large bolt")])
+
+
+@query("srt12_bounded_json", r"""
+WITH t AS (SELECT doc_id, lang, n_chars, source, regexp_replace(text, '[^ !#-\[\]-~]', '?', 'g') AS x FROM documents),
+j AS (SELECT *, '{"lang": "' || lang || '", "n_chars": ' || n_chars || ', "source": "' || source || '", "text": "' || x || '"}' AS whole FROM t)
+SELECT doc_id, CASE WHEN length(whole) <= 300 THEN whole ELSE '{"lang": "' || lang || '", "_truncated": true, "n_chars": ' || n_chars || ', "source": "' || source || '"}' END AS json FROM j""")
+def srt12(spark, d):
+    x = F.regexp_replace("text", r"[^ !#-\[\]-~]", "?")
+    return docs(spark, d).select("doc_id", B.bounded_json(F.to_json(F.struct("lang", "n_chars", "source", x.alias("text"))), 300).alias("json"))

@@ -1,5 +1,7 @@
 """Operators on edge tables that the shipped tables do not hold."""
 
+import difflib
+import json
 import math
 from fractions import Fraction
 
@@ -8,8 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.functions import chunking, parsing, rational, text
-from lodestone.functions import requests
+from lodestone.functions import bounded, chunking, parsing, rational, requests, text
 from lodestone.functions.manifest import Cache, canonical_hash, verify_frozen
 from lodestone.operators import aggregate, evaluation, events, filters, ingest, joins, limits, rules, search, validation, vectors
 
@@ -89,7 +90,7 @@ def test_rational_overflow_is_null_and_conversion_refuses(spark):
 def test_written_lines(spark):
     df = spark.createDataFrame([('c("eggs", "olive oil")',), ("character(0)",), ('c("egg",)',), ('c("a" "b")',), ("eggs",), (None,)], "x string")
     assert [r[0] for r in df.select(parsing.r_vector("x")).collect()] == [["eggs", "olive oil"], [], None, None, ["eggs"], None]
-    line = spark.createDataFrame([("1 1/2 - 2 cups flour, sifted",), ("salt to taste",), ("",), (None,)], "x string").select(parsing.ingredient_line("x").alias("i"))
+    line = spark.createDataFrame([("1 1/2 - 2 cups flour, sifted",), ("salt to taste",), ("",), (None,)], "x string").select(parsing.ingredient_line(F.col("x")).alias("i"))
     got = [r.i for r in line.collect()]
     assert (got[0].amount, got[0].amount_high, got[0].unit, got[0].item, got[0].preparation, got[0].is_range) == ("1 1/2", "2", "cup", "flour", "sifted", True)
     assert got[1].qualitative and got[1].amount is None and got[2].item is None and got[3].item is None
@@ -103,30 +104,91 @@ def test_nearest_mention_takes_the_amount(spark):
 
 def test_text_helpers(spark):
     r = spark.range(1).select(
-        text.canonical(F.lit("  ＡＢ\tStraße ")).alias("c"), text.scrubbed(F.lit("write a@b.org, call +1 555 123 4567; my name is Bo")).alias("s"), text.url_key(F.lit("https://www.A.org/x/?q#f")).alias("u"),
+        text.canonical(F.lit("  ＡＢ\tStraße ")).alias("c"), text.scrubbed(F.lit("write a@b.org, call +1 555 123 4567 for my Bo Derek at 12 Long Oak rd.; my name is Bo")).alias("s"), text.url_key(F.lit("https://www.A.org/x/?q#f")).alias("u"),
         text.within_domain(F.lit("notexample.org"), "example.org").alias("w"), text.ascii_fractions(F.lit("1½ cups")).alias("f"), text.singular(F.lit("berries")).alias("g")).first()
-    assert tuple(r) == ("ab strasse", "write [email], call [phone]; my name is [name]", "a.org/x", False, "1 1/2 cups", "berry")
+    assert tuple(r) == ("ab strasse", "write [redacted-email], call [redacted-phone] for my [redacted-name] at [redacted-address]; my name is Bo", "a.org/x", False, "1 1/2 cups", "berry")
 
 
-HTML = """<html><nav>menu</nav><div class="ad">buy</div><h1>Title</h1><p>First <b>bold</b>.<p>Bake at 180<sup>o</sup>C
-<table><tr><td>layout</td></tr></table><h2>Times</h2><table><tr><th>Cut</th><th>Min</th></tr><tr><td>thin</td><td>5</td></tr></table>
-<script>var x="</p>";</script><h2>References</h2><p>gone</p></html>"""
+HTML = """<html><nav>menu<p>in</p></nav><div class="site-toc">buy<img></div><header class="row content-header"><h1>Title</h1><p>First <b>bold</b>.</p></header>
+<p>lost <p>Bake at 180<sup>o</sup>C, 160&deg;F<br>or x<sup>2</sup></p>loose text
+<table><tr><td>layout</td></tr></table><h2>Times</h2><table><caption>How long</caption><tr><th>Cut</th><th>Min</th></tr><tr><td>thin</td><td></td><td>5</td></tr></table>
+<script>var x="</p>";</script><p id="mw-editsection-1">edit</p><h2>Works cited</h2><p>gone</p><table><tr><th>gone</th></tr></table><h3>Last &amp;amp; least</h3><ul><li>end</ul></html>"""
 
 
 def test_html_keeps_what_is_content():
-    assert chunking.sections_of(HTML) == [("Title", "First bold.\nBake at 180°C"), ("Times", "Cut | Min\nthin | 5")]
-    assert chunking.sections_of(None) == [] and chunking.sections_of("plain") == [("", "plain")]
+    title, whole = chunking.page_text(HTML)
+    assert title == "Title" and whole.startswith("## Title\n\nFirst bold.")
+    assert chunking.sections_of(HTML) == [
+        ("Title", "First bold.\n\nBake at 180 °C, 160 °F or x2"), ("Times", "How long\n\nCut | Min\n\nthin | 5")]
+    assert "## Last & least" in whole  # a heading without closed text is a section without text
+    assert chunking.sections_of(None) == [] and chunking.sections_of("plain") == []
+    assert chunking.sections_of("<h2>A</h2><p>one<h3>B</h3><li>two</li>") == [("A", "one"), ("B", "two")]
+
+
+def test_sections_and_sentences_by_hand():
+    assert chunking.marked_sections("lead\n  ## One \nx\n##no\n## Two\n\n### deep") == [("", "lead"), ("One", "x\n##no"), ("Two", "### deep")]
+    long = " ".join(["Word" * 5 + "."] * 8)  # 8 sentences of 21 characters, 5 tokens each
+    assert chunking.chunks_of("short one\n \n" + long, 12) == ["short one\n\n" + "Word" * 5 + "."] + ["\n\n".join(["Word" * 5 + "."] * 2)] * 3 + ["Word" * 5 + "."]
+    assert chunking.chunks_of("aaaa. bbbb. cccc", 2) == ["aaaa. bb", "bb. cccc"]  # a sentence starts with a capital or a digit
+    assert chunking.chunks_of("x" * 41 + "\n\ny", 5) == ["x" * 20, "x" * 20, "x\n\ny"]
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab .\n", max_size=300), max_size=6), st.integers(3, 40))
+@given(st.lists(st.text("abA .\n", max_size=300), max_size=6), st.integers(3, 40))
 def test_chunks_fit_and_lose_nothing(parts, most):
-    whole = "\n".join(parts)
+    whole = "\n\n".join(parts)
     chunks = chunking.chunks_of(whole, most)
-    assert all(chunking.estimated(c) <= most for c in chunks)
+    for c in chunks[: len(chunks) if len(chunks) > 1 else 0]:
+        pieces = c.split("\n\n")
+        assert sum(map(chunking.estimated, pieces)) + len(pieces) - 1 <= most or len(pieces) == 1
     assert "".join("".join(chunks).split()) == "".join(whole.split())
 
 
+def test_bounded_json_is_valid_and_short():
+    args = {"b": "x" * 50, "a": 1, "c": [1, 2]}
+    assert bounded.bounded_arguments(args, 2000) == args
+    assert json.dumps(bounded.bounded_arguments(args, 60)) == '{"a": 1, "_truncated": true, "c": [1, 2]}'
+    assert bounded.bounded_arguments({"a": "x" * 90}, 30) == {"_truncated": True}
+    result = {"tool": "t", "ok": True, "results": [{"t": "word " * 20} for _ in range(30)]}
+    got = bounded.bounded_result(result, 560)
+    assert len(json.dumps(got)) <= 560 and got["truncated"] and got["dropped_items"] == 30 - len(got["results"]) and len(result["results"]) == 30
+    long = bounded.bounded_result({"tool": "t", "ok": False, "note": "word " * 200}, 150)
+    assert long["note"].endswith("word…") and long["dropped_items"] == 0 and len(json.dumps(long)) <= 150
+    assert bounded.bounded_result({"tool": "t" * 5, "ok": True, "x": [["y" * 900]]}, 150) == {
+        "tool": "ttttt", "ok": True, "truncated": True, "dropped_items": 0, "note": "output too large; see the tool_call event"}
+    assert bounded.shortened("ab cd", 4) == "ab…" and bounded.shortened("abcdef", 4) == "abcd…"
+
+
+def test_mentions_terms_and_suggestions(spark):
+    texts = [(1, "Contains no olive oil; add oil"), (2, "without any of the oil"), (3, "oil"), (4, "no. oil"), (5, None), (6, "no a b c d e f g h oil"), (7, "coil")]
+    df = spark.createDataFrame(texts, "id long, t string")
+    assert [r.n for r in df.select("id", parsing.negated(F.col("t"), "oil").alias("n")).orderBy("id").collect()] == [False, True, False, False, False, False, False]
+    found = {r.id: r.f for r in df.select("id", parsing.vocabulary_terms(F.col("t"), ["oil", "olive oil", "no olive"]).alias("f")).collect()}
+    assert found == {1: ["oil", "olive oil"], 2: ["oil"], 3: ["oil"], 4: ["oil"], 5: [], 6: ["oil"], 7: []}
+    names = [f"name{i}" for i in range(30)] + ["red bolt", "bolt", "a bolt", "thunderbolts are loud things"]
+    asked = [(1, "bolt"), (2, "name1"), (3, "zzz"), (4, "")]
+    got = {r.id: r.suggestions for r in parsing.suggestions(spark.createDataFrame([(n,) for n in names], "name string").repartition(3), asked).collect()}
+    for i, term in asked:
+        close = difflib.get_close_matches(term, sorted(names), 8, 0.6) if term else []
+        rest = [n for n in sorted(names) if n not in close and term and (term in n or n in term)]
+        assert got[i] == [*close, *rest][:8]
+
+
+def test_requests_as_columns(spark):
+    long = "x" * 250
+    data = [(" soup  of day ", ["a", " ", "b"], "30"), ("", ["p1", "p2", "p3", "p4", "p5", "p6"], "soon"), (None, None, "nan"), (long, [long], "1441")]
+    df = spark.createDataFrame(data, "dish string, pantry array<string>, minutes string")
+    for row, (dish, pantry, minutes) in zip(df.select(requests.search_columns(F.col("dish"), F.col("pantry"), F.col("minutes")).alias("a")).collect(), data):
+        want = requests.search_arguments({"dish": dish, "pantry": pantry, "time_minutes": minutes})
+        assert (row.a.query, row.a.by_overlap, tuple(row.a.hints), row.a.max_minutes, tuple(row.a.changes)) == (want.query, want.by_overlap, want.pantry, want.max_minutes, want.changes)
+    cases = [(a, b) for a in ("vector", "fulltext", "hybrid", None) for b in ("vector", "odd", None)]
+    got = spark.createDataFrame(cases, "a string, b string").select("a", "b", requests.mode_columns(F.col("a"), F.col("b")).alias("m")).collect()
+    assert all((r.m.mode, r.m.source) == requests.mode(r.a, r.b) for r in got)
+    args = [(" ", 5, None), ("q", 0, None), ("q", 51, None), ("q", 5, float("nan")), ("q", 5, -1.0), ("q", 50, 10.0), (None, 5, None)]
+    bad = spark.createDataFrame(args, "q string, n int, m double").select(filters.search_problem(F.col("q"), F.col("n"), F.col("m"))).collect()
+    assert [r[0] for r in bad] == ["query_or_limit"] * 3 + ["max_minutes"] * 2 + [None, "query_or_limit"]
+
+
 def test_chunks_do_not_cross_sections(spark):
     doc = "intro\n## One\n" + "word " * 900 + "\n## Two\nshort"
     got = rows(chunking.chunked(spark.createDataFrame([(1, doc), (2, None)], "id long, t string"), "id", "t").select("id", "chunk_id", "section", "tokens"))
