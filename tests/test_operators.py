@@ -152,8 +152,8 @@ def test_bounded_json_is_valid_and_short():
     result = {"tool": "t", "ok": True, "results": [{"t": "word " * 20} for _ in range(30)]}
     got = bounded.bounded_result(result, 560)
     assert len(json.dumps(got)) <= 560 and got["truncated"] and got["dropped_items"] == 30 - len(got["results"]) and len(result["results"]) == 30
-    long = bounded.bounded_result({"tool": "t", "ok": False, "note": "word " * 200}, 150)
-    assert long["note"].endswith("word…") and long["dropped_items"] == 0 and len(json.dumps(long)) <= 150
+    long = bounded.bounded_result({"tool": "t", "ok": False, "note": "word " * 200}, 200)
+    assert long["note"].endswith("word…") and long["dropped_items"] == 0 and len(json.dumps(long)) <= 200
     assert bounded.bounded_result({"tool": "t" * 5, "ok": True, "x": [["y" * 900]]}, 150) == {
         "tool": "ttttt", "ok": True, "truncated": True, "dropped_items": 0, "note": "output too large; see the tool_call event"}
     assert bounded.shortened("ab cd", 4) == "ab…" and bounded.shortened("abcdef", 4) == "abcd…"
