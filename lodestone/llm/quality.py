@@ -1,8 +1,9 @@
 """Quality classifier: Bradley-Terry scores learnt from preference pairs.
 
 Every pair of a good and a poor labelled text is a preference. The score is linear in text
-features, and its weights minimise the logistic loss on feature differences (Newton steps, a
-small ridge). The share of poor texts among the labels gives the quantile of training scores
+features: measured shares (words, lines, marks, case), and hashed words and byte trigrams. The
+weights minimise the logistic loss on feature differences (Newton steps, a small ridge, a
+larger one for hashed features, so that they speak where the measured ones are silent). The share of poor texts among the labels gives the quantile of training scores
 that becomes the threshold; scores are mapped so that the threshold is 0.3. Labels are taken
 from a sample of at most ``MOST_LABELS`` rows, chosen by a hash of the id; features and scores
 are computed for every whole text.
@@ -19,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded
+from .shared import bounded, hashed_words
 
-#: Labelled rows that the model is fitted on at most; preference pairs per poor text.
-MOST_LABELS, PAIRS = 20_000, 24
+#: Labelled rows that the model is fitted on at most; preference pairs per text of the rarer kind
+#: (each text of the other kind is in one more).
+MOST_LABELS, PAIRS = 20_000, 8
 CUT = 0.3
-RIDGE = 1e-3
+RIDGE, GRAM_RIDGE = 1e-3, 5e-2
+#: Classes of hashed words, and of hashed byte trigrams; pairs of a Newton step's block.
+GRAMS, BLOCK_PAIRS = 128, 4096
 
 _ODD = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"?!()-|")
 _ASCII_LETTERS = bytes(b for b in range(128) if chr(b).isalpha())
@@ -67,10 +71,35 @@ def features(text: str | None) -> list[float]:
 _ODD_SET = frozenset(bytes([b]) for b in _ODD)
 
 
+WIDTH = len(NAMES) + 2 * GRAMS
+
+
+def trigrams(text: str | None) -> np.ndarray:
+    """Shares of the classes of byte trigrams, A-Z in lower case."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
+    out = np.zeros(GRAMS)
+    for lo in range(0, max(0, len(raw) - 2), 1 << 20):
+        b = raw[lo : lo + (1 << 20) + 2].astype(np.uint32)
+        out += np.bincount(((b[:-2] | b[1:-1] << 8 | b[2:] << 16) * np.uint32(2654435761) >> 16) % GRAMS, minlength=GRAMS)
+    return out / max(1, len(raw) - 2)
+
+
+def described(texts: list[str | None]) -> np.ndarray:
+    """One row of WIDTH numbers per whole text: ``features``, then square roots of the shares of
+    hashed words and of byte trigrams."""
+    out = np.zeros((len(texts), WIDTH))
+    if texts:
+        words, counts = hashed_words(texts, lower=True)
+        at = np.repeat(np.arange(len(texts)), counts) * GRAMS + (words >> np.uint64(32)).astype(np.int64) % GRAMS
+        shares = np.bincount(at, minlength=len(texts) * GRAMS).reshape(-1, GRAMS) / np.maximum(counts, 1)[:, None]
+        out[:, : len(NAMES)] = [features(t) for t in texts]
+        out[:, len(NAMES) :] = np.sqrt(np.hstack([shares, [trigrams(t) for t in texts]]))
+    return out
+
+
 def expanded(x: np.ndarray) -> np.ndarray:
     """Features and the logarithms of those in LOGGED."""
-    at = [NAMES.index(k) for k in LOGGED]
-    return np.hstack([x, np.log(x[:, at] + 0.003)]) if len(x) else np.empty((0, len(NAMES) + len(at)))
+    return np.hstack([x, np.log(x[:, [NAMES.index(k) for k in LOGGED]] + 0.003)])
 
 
 class BradleyTerry:
@@ -98,14 +127,19 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 17, steps: int = 25) -> Bra
     z = (wide - mean) / scale
     rng = np.random.default_rng(seed)
     win, lose = np.flatnonzero(good), np.flatnonzero(~good)
-    left = rng.choice(win, len(lose) * PAIRS)
-    right = np.repeat(lose, PAIRS)
-    d = z[left] - z[right]
+    few, many = sorted((win, lose), key=len)
+    one, other = np.r_[np.repeat(few, PAIRS), rng.choice(few, len(many))], np.r_[rng.choice(many, len(few) * PAIRS), many]
+    left, right = (one, other) if few is win else (other, one)
     w = np.zeros(z.shape[1])
+    ridge = np.full(len(w), RIDGE)
+    ridge[len(NAMES) : WIDTH] = GRAM_RIDGE
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
-        gradient = d.T @ (p - 1) / len(d) + RIDGE * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + RIDGE * np.eye(len(w))
+        gradient, hessian = ridge * w, np.diag(ridge)
+        for lo in range(0, len(left), BLOCK_PAIRS):
+            d = z[left[lo : lo + BLOCK_PAIRS]] - z[right[lo : lo + BLOCK_PAIRS]]
+            p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
+            gradient = gradient + d.T @ (p - 1) / len(left)
+            hessian = hessian + (d * (p * (1 - p))[:, None]).T @ d / len(left)
         move = np.linalg.solve(hessian, gradient)
         w -= move
         if np.abs(move).max() < 1e-6:
@@ -124,23 +158,27 @@ def train(
     documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
     folds: int = 5, most_labels: int = MOST_LABELS,
 ) -> BradleyTerry:
-    """Fit on labelled rows outside the held-out fold; ids whose labels differ are left out."""
+    """Fit on labelled rows outside the held-out fold; ids whose labels differ are left out.
+
+    Of rows that repeat a labelled id, one counts (the least by its numbers).
+    """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(
         F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~fold_out("id", folds))
     known = known.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("id", "y")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(most_labels)
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    def described(batches):
+    def measured(batches):
         for batch in bounded(batches):
-            x = [features(t) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["y"], pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            x = described(batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
-    rows = docs.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(described, "y int, x array<double>").collect()
-    # rows that repeat an id add few; the sample is bounded by the labels' limit
-    x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), len(NAMES))
+    rows = docs.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(measured, "id long, y int, x binary")
+    # one row per labelled id, so that the sample is bounded however often an id repeats
+    rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect()
+    x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), WIDTH)
     y = np.array([r["y"] for r in rows], dtype=bool)
-    order = np.lexsort((y, *x.T)) if len(rows) else []  # the fit doesn't depend on the tasks' order
+    order = sorted(range(len(rows)), key=lambda i: rows[i]["id"])  # the fit doesn't depend on the tasks' order
     return fit(x[order], y[order])
 
 
@@ -150,8 +188,7 @@ def score(documents: DataFrame, model: BradleyTerry, id_col: str = "doc_id", tex
 
     def scored(batches):
         for batch in bounded(batches):
-            x = np.array([features(t) for t in batch["text"].to_pylist()], dtype=float)
-            s = model.score(x)
+            s = model.score(described(batch["text"].to_pylist()))
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(s), pa.array((s >= CUT).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return docs.mapInArrow(scored, f"{id_col} long, score double, predicted int")
@@ -161,8 +198,7 @@ def only_good(documents: DataFrame, model: BradleyTerry, text_col: str = "text")
     """The rows predicted 1, with all their columns; each is judged by its own text."""
     def kept(batches):
         for batch in bounded(batches, text_col):
-            x = np.array([features(t) for t in batch[text_col].to_pylist()], dtype=float)
-            yield batch.filter(pa.array(model.score(x) >= CUT))
+            yield batch.filter(pa.array(model.score(described(batch[text_col].to_pylist())) >= CUT))
 
     return documents.mapInArrow(kept, documents.schema)
 

@@ -107,6 +107,38 @@ def test_quality_on_held_out_rows(spark):
     assert {r.doc_id for r in got if r.held_out} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
 
 
+def test_bradley_terry_fit_is_the_minimum():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, quality.WIDTH)) ** 2
+    good = x[:, 1] + 0.3 * rng.normal(size=300) > 0.8
+    model = quality.fit(x, good)
+    z = (quality.expanded(x) - model.mean) / model.scale
+    ridge = np.full(z.shape[1], quality.RIDGE)
+    ridge[len(quality.NAMES) : quality.WIDTH] = quality.GRAM_RIDGE
+    few, many = sorted((np.flatnonzero(good), np.flatnonzero(~good)), key=len)
+    draw = np.random.default_rng(17)
+    pairs = [(a, b) for a, b in zip(np.r_[np.repeat(few, quality.PAIRS), draw.choice(few, len(many))], np.r_[draw.choice(many, len(few) * quality.PAIRS), many])]
+    pairs = [(a, b) if good[a] else (b, a) for a, b in pairs]
+
+    def loss(w):
+        u = z @ w
+        return np.mean([math.log1p(math.exp(-(u[a] - u[b]))) for a, b in pairs]) + 0.5 * (ridge * w * w).sum()
+
+    least = loss(model.weights)
+    for _ in range(20):
+        assert loss(model.weights + 1e-2 * rng.normal(size=len(ridge))) > least
+    assert len(pairs) == quality.PAIRS * len(few) + len(many)
+
+
+def test_quality_sample_is_one_row_per_label(spark, monkeypatch):
+    rows, labels = quality_rows()
+    rows += [(2, f"copy {i}") for i in range(500)]
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, good, whole=quality.fit: seen.append(len(x)) or whole(x, good))
+    quality.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _, _ in labels)]
+
+
 def test_quality_without_labels(spark):
     rows, _ = quality_rows()
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -119,20 +151,23 @@ def test_quality_without_labels(spark):
 def brute_top(rows, k=5):
     ok = [(i, np.floor(np.array(v, float) * 256).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for n, (i, q) in enumerate(ok):
         if i % 50 == 0:
-            scores = sorted(((-int(q @ v), j) for j, v in ok if j != i and len(v) == len(q)))[:k]
+            scores = sorted((-int(q @ v), j) for m, (j, v) in enumerate(ok) if m != n and len(v) == len(q))[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(scores, 1)]
     return sorted(out)
 
 
-def test_top_k_against_all_products(spark):
+@pytest.mark.parametrize("shard,tasks", [(16, 9), (64, 1)])
+def test_top_k_against_all_products(spark, monkeypatch, shard, tasks):
     rng = np.random.default_rng(3)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 8)) / 3)]
     rows += [(i, [0.25] * 8) for i in range(700, 900)]  # one vector in very many rows: ties
-    rows += [(950, None), (951, [1.0, None] + [0.0] * 6), (952, [float("nan")] * 8), (1000, [float("inf")] * 8), (None, [1.0] * 8), (1050, [1.0, 2.0]), (1051, [3.0, 1.0])]
+    rows += [(950, None), (951, [1.0, None] + [0.0] * 6), (952, [float("nan")] * 8), (1000, [float("inf")] * 8), (None, [1.0] * 8), (1050, [1.0, 2.0]), (1051, [3.0, 1.0]),
+             (1100, []), (1101, []), (1150, [0.5] * 8), (1150, [0.5] * 8), (1150, [0.25] * 8)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, dim int, score int")
-    got = topk.exact_top_k(df, shard_rows=64, block_rows=4, leaf=8)
+    monkeypatch.setattr(topk, "DIRECTORY", 3)
+    got = topk.exact_top_k(df, shard_rows=shard, block_rows=4, leaf=8, tasks=tasks)
     assert sorted(map(tuple, got.collect())) == brute_top(rows)
     assert topk.exact_top_k(df.limit(0)).count() == 0
 
