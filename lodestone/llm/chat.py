@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns whose positions are summed in one task.
-BLOCK_TURNS = 256
+from .shared import written
+
+#: Turn numbers whose rows are summed together, and distinct rows of one turn number that are.
+BLOCK_TURNS, MOST_TOGETHER = 256, 4096
 
 
 def perspective_rotation(
@@ -32,21 +34,27 @@ def perspective_rotation(
     where is_target is false). Joining the segments by position gives the dialogue. Rows stay
     single turns, so that a conversation of any length never meets in one task.
 
-    Turns are ordered by (turn, speaker, text), null turns last. Positions are summed in
-    blocks of ``block_turns`` turn numbers and the blocks' sums are then added up, so a
-    conversation that holds much of the table is spread over tasks.
+    Turns are ordered by (turn, md5 of speaker and text), null turns last. Equal turns become one
+    row with a number of copies before anything moves, and positions are summed on rows without
+    texts, in three levels: a piece of the rows of one turn number, ``block_turns`` turn numbers,
+    the conversation. So a conversation, a turn number or a turn that holds much of the table is
+    spread over tasks. Texts are joined to the placed rows at the end.
 
     Edge cases: null text is empty; a null speaker is a participant named ``unknown``; a null
     conversation id is one conversation of its own; repeated rows are repeated turns; a
     conversation of system turns only has no participant and gives no rows; an empty table
     gives an empty result. Other columns are ignored.
     """
-    base = turns.select(
-        F.col(conv_col).alias("conv_id"),
-        F.col(turn_col).cast("long").alias("turn"),
-        F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    speaker, text = F.coalesce(F.col(speaker_col), F.lit("unknown")), F.coalesce(F.col(text_col), F.lit(""))
+    base = written(
+        turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), speaker.alias("speaker"), text.alias("text"))
+        .groupBy("conv_id", "turn", "speaker", "text").agg(F.count("*").alias("copies"))
+        .withColumn("key", F.md5(F.concat(F.col("speaker"), F.lit("\n"), F.col("text")))).withColumn("text_len", F.length("text").cast("long")), "chat-turns",
     )
+    most = base.groupBy("conv_id", "turn").count().agg(F.max("count")).first()[0] or 0
+    digits = 0  # of the key, that cut the rows of one turn number into pieces
+    while most > MOST_TOGETHER << 4 * digits:
+        digits += 1
     people = (
         base.filter(~F.col("speaker").isin(*system_names)).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
     )
@@ -57,37 +65,49 @@ def perspective_rotation(
     head = F.when(F.col("role") == "user", F.concat(F.lit("<|user:"), "speaker", F.lit("|>\n"))).otherwise(
         F.concat(F.lit("<|"), "role", F.lit("|>\n"))
     )
+    close = "\n<|end|>\n"
+    narrow = base.select("conv_id", "turn", "speaker", "key", "copies", "text_len")
     seen = (
-        base.join(people, base["conv_id"].eqNullSafe(people["conv"]))
-        .withColumn("role", role)
-        .select(
-            "conv_id", "perspective", "turn", "role", "speaker", "text",
-            F.length(head).alias("head_len"), F.concat(head, "text", F.lit("\n<|end|>\n")).alias("segment"),
-            F.coalesce(F.floor(F.col("turn") / block_turns), F.lit((1 << 62) // block_turns)).alias("block"),
-        )
-        .withColumn("chars", F.length("segment").cast("long"))
-    )
-    keys = ["conv_id", "perspective", "block"]
-    before = Window.partitionBy("conv_id", "perspective").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = seen.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("chars").alias("chars")).select(
-        F.col("conv_id").alias("c"), F.col("perspective").alias("p"), F.col("block").alias("b"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_position"),
-        F.coalesce(F.sum("chars").over(before), F.lit(0)).alias("first_char"),
-    )
-    within = Window.partitionBy(*keys).orderBy(F.col("turn").asc_nulls_last(), "speaker", "text").rowsBetween(Window.unboundedPreceding, 0)
-    placed = seen.withColumns({"nth": F.count("*").over(within), "so_far": F.sum("chars").over(within)})
-    joined = placed.join(
-        starts, placed["conv_id"].eqNullSafe(starts["c"]) & (placed["perspective"] == starts["p"]) & (placed["block"] == starts["b"])
+        narrow.join(people, narrow["conv_id"].eqNullSafe(people["conv"])).withColumn("role", role)
+        .withColumns({
+            "head_len": F.length(head), "piece": F.substring("key", 1, digits),
+            "block": F.coalesce(F.floor(F.col("turn") / block_turns), F.lit((1 << 62) // block_turns)),
+        })
+        .withColumn("chars", F.col("head_len") + F.col("text_len") + len(close)).drop("conv", "text_len")
     )
+    sums = seen.groupBy("conv_id", "perspective", "block", "turn", "piece").agg(F.sum("copies").alias("n"), F.sum(F.col("copies") * F.col("chars")).alias("size"))
+    of_block = sums.groupBy("conv_id", "perspective", "block").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+    def before(df: DataFrame, window, *columns: str) -> DataFrame:
+        """What stands before each row; the key columns get names of their own."""
+        w = window.rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*(F.col(c).alias(f"{c}_{len(columns)}") for c in columns),
+                         F.coalesce(F.sum("n").over(w), F.lit(0)).alias(f"n_{len(columns)}"), F.coalesce(F.sum("size").over(w), F.lit(0)).alias(f"size_{len(columns)}"))
+
+    by_turn = Window.partitionBy("conv_id", "perspective", "block").orderBy(F.col("turn").asc_nulls_last(), "piece")
+    pieces = before(sums, by_turn, "conv_id", "perspective", "block", "turn", "piece")
+    blocks = before(of_block, Window.partitionBy("conv_id", "perspective").orderBy("block"), "conv_id", "perspective", "block")
+
+    def same(df: DataFrame, other: DataFrame, n: int, *columns: str):
+        out = F.lit(True)
+        for c in columns:
+            out = out & df[c].eqNullSafe(other[f"{c}_{n}"])
+        return out
+
+    within = Window.partitionBy("conv_id", "perspective", "block", "turn", "piece").orderBy("key", "speaker").rowsBetween(Window.unboundedPreceding, -1)
+    placed = seen.withColumns({"n_0": F.coalesce(F.sum("copies").over(within), F.lit(0)), "size_0": F.coalesce(F.sum(F.col("copies") * F.col("chars")).over(within), F.lit(0))})
+    placed = placed.join(pieces, same(placed, pieces, 5, "conv_id", "perspective", "block", "turn", "piece"))
+    placed = placed.join(blocks, same(placed, blocks, 3, "conv_id", "perspective", "block")).select(
+        "conv_id", "turn", "speaker", "key", "perspective", "role", "head_len", "chars", "copies",
+        F.expr("n_0 + n_3 + n_5").alias("n"), F.expr("size_0 + size_3 + size_5").alias("size"))
+    texts = base.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("speaker").alias("s"), F.col("key").alias("k"), "text")
+    whole = placed.join(texts, placed["conv_id"].eqNullSafe(texts["c"]) & placed["turn"].eqNullSafe(texts["t"]) & (F.col("speaker") == F.col("s")) & (F.col("key") == F.col("k")))
     target = F.col("role") == "assistant"
-    return joined.withColumns({
-        "position": F.col("first_position") + F.col("nth") - 1,
-        "char_end": F.col("first_char") + F.col("so_far"),
-    }).withColumn("char_start", F.col("char_end") - F.col("chars")).select(
-        "conv_id", "perspective", "position", "turn", "role", F.col("speaker").alias("name"), "segment",
-        target.alias("is_target"), "char_start", "char_end",
+    return whole.withColumn("copy", F.explode(F.expr("sequence(0L, copies - 1)"))).withColumn("char_start", F.expr("size + copy * chars")).select(
+        "conv_id", "perspective", F.expr("n + copy").alias("position"), "turn", "role", F.col("speaker").alias("name"), F.concat(head, "text", F.lit(close)).alias("segment"),
+        target.alias("is_target"), "char_start", F.expr("char_start + chars").alias("char_end"),
         F.when(target, F.col("char_start") + F.col("head_len")).alias("mask_start"),
-        F.when(target, F.col("char_end") - 1).alias("mask_end"),
+        F.when(target, F.expr("char_start + chars - 1")).alias("mask_end"),
     )
 
 
@@ -107,7 +127,7 @@ WITH base AS (
   SELECT *, head || text || chr(10) || '<|end|>' || chr(10) AS segment FROM headed
 ), placed AS (
   SELECT *, row_number() OVER w - 1 AS position, sum(length(segment)) OVER (w ROWS UNBOUNDED PRECEDING) AS char_end
-  FROM segments WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn ASC NULLS LAST, speaker, text)
+  FROM segments WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn ASC NULLS LAST, md5(speaker || chr(10) || text))
 )
 SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, role, speaker AS name, segment,
   role = 'assistant' AS is_target,

@@ -26,8 +26,8 @@ from .shared import small
 BLOCK_ROWS, MOST_SOURCES, MOST_SLOTS = 64, 2_000, 4_000_000
 #: Rows of a source that are ranked in one task, about.
 BUCKET_ROWS = 20_000
-#: (source, bucket) counts that may be broadcast.
-BROADCAST_BUCKETS = 200_000
+#: (source, bucket) counts, and rows of the schedule, that may be broadcast.
+BROADCAST_BUCKETS, BROADCAST_SLOTS = 200_000, 500_000
 
 
 def window_of(i: int, share: int, total: int) -> tuple[int, int]:
@@ -122,6 +122,8 @@ def mix(
     runs, slots = phases(blocks, own)
     spark = documents.sparkSession
     # these three are bounded by MOST_SOURCES, its square and MOST_SLOTS
+    hinted = lambda df, n: F.broadcast(df) if n <= BROADCAST_SLOTS else df
+    n_runs, n_slots = len(runs), len(slots)
     ids = spark.createDataFrame(list(enumerate(names)), "mix_i int, mix_name string")
     runs = spark.createDataFrame(runs, "mix_i int, mix_phase int, mix_lo long, mix_hi long, mix_first long, mix_period int, mix_share int")
     table = spark.createDataFrame(slots, "mix_i int, mix_phase int, mix_k int, mix_t int")
@@ -133,8 +135,8 @@ def mix(
     placed = ranked.join(starts, ranked["mix_source"].eqNullSafe(starts["mix_s"]) & (ranked["mix_bucket"] == starts["mix_b"]))
     placed = placed.withColumn("mix_rank", F.col("mix_before") + F.col("mix_nth") - 1).withColumn("mix_block", F.expr(f"mix_rank div {block_rows}"))
     placed = placed.join(F.broadcast(ids), placed["mix_s"].eqNullSafe(ids["mix_name"]))
-    placed = placed.join(F.broadcast(runs), "mix_i").filter("mix_block >= mix_lo and mix_block < mix_hi")
-    placed = placed.withColumn("mix_k", F.expr("cast((mix_block - mix_lo) % mix_share as int)")).join(F.broadcast(table), ["mix_i", "mix_phase", "mix_k"])
+    placed = placed.join(hinted(runs, n_runs), "mix_i").filter("mix_block >= mix_lo and mix_block < mix_hi")
+    placed = placed.withColumn("mix_k", F.expr("cast((mix_block - mix_lo) % mix_share as int)")).join(hinted(table, n_slots), ["mix_i", "mix_phase", "mix_k"])
     placed = placed.withColumn("mix_slot", F.expr("mix_first + (mix_block - mix_lo) div mix_share * mix_period + mix_t"))
     return placed.withColumn("mix_position", F.expr(f"mix_slot * {block_rows} + mix_rank % {block_rows}")).select(
         "mix_row.*", "mix_block", "mix_slot", "mix_phase", "mix_position"
