@@ -1,5 +1,6 @@
 """Packing, mixing, chat rotation, URL rules and the pipeline."""
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -8,8 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-import corpus_pipeline
-from lodestone.llm import chat, mixing, packing, url_filter
+from lodestone.llm import chat, mixing, packing, pipeline, url_filter
 from lodestone.llm.catalog import SHARES, tokenizer_path
 
 from .test_dedup import frame
@@ -157,14 +157,17 @@ def test_mix_places_every_row_once(spark):
         mixing.mix(df, {"src0": 0})
 
 
-def test_chat_rotation_by_hand(spark):
+@pytest.mark.parametrize("most", [2, 4096])
+def test_chat_rotation_by_hand(spark, monkeypatch, most):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, None, "ann", "late"), (2, 0, "system", "alone"),
              (None, 3, None, "who"), (3, 5, "x", "same"), (3, 5, "x", "same")] + [(4, i, "ab"[i % 2], str(i)) for i in range(40)]
+    turns += [(4, 7, "ab"[i % 2], f"again {i // 3}") for i in range(90)] + [(4, None, "a", f"null {i % 20}") for i in range(50)]
+    monkeypatch.setattr(chat, "MOST_TOGETHER", most)
     df = spark.createDataFrame([(*t, 1, "p") for t in turns], "conv_id long, turn long, role string, text string, position int, perspective string")
     got = chat.perspective_rotation(df, block_turns=4).collect()
     for conv in (1, None, 3, 4):
         own = [t for t in turns if t[0] == conv]
-        own.sort(key=lambda t: (t[1] is None, t[1] or 0, t[2] or "unknown", t[3] or ""))
+        own.sort(key=lambda t: (t[1] is None, t[1] or 0, hashlib.md5(f"{t[2] or 'unknown'}\n{t[3] or ''}".encode()).hexdigest()))
         for person in {t[2] or "unknown" for t in own} - {"system"}:
             rows = sorted((r for r in got if r.conv_id == conv and r.perspective == person), key=lambda r: r.position)
             assert [r.position for r in rows] == list(range(len(own)))
@@ -216,8 +219,17 @@ def test_url_list_without_false_positives(spark):
     pages = spark.createDataFrame([(i, f"http://h{i}.org/p{i}") for i in range(3000)], "page_id long, url string")
     got = url_filter.judge_urls(pages, listed).collect()
     assert all((r.verdict == "block") == (r.page_id % 2 == 0) for r in got) and len(got) == 3000
-    words, blocks = url_filter.blocked_bloom(listed.selectExpr("concat_ws('\\n', rule_host, rule_path) key"))
-    assert len(words.first().words) == blocks
+
+
+def test_bloom_of_many_segments(spark):
+    listed = spark.range(200_000).selectExpr("concat('host', id, '.org') key")
+    bloom = url_filter.blocked_bloom(listed, segment=1 << 12)
+    assert bloom.parts > 9
+    hashes = lambda df: np.array([r[0] for r in df.selectExpr("xxhash64(key)").collect()], np.int64).view(np.uint64)
+    assert bloom.passes(hashes(listed)).all()
+    others = bloom.passes(hashes(spark.range(200_000, 300_000).selectExpr("concat('host', id, '.org') key")))
+    assert 0 < others.mean() < 0.03
+    assert not url_filter.blocked_bloom(listed.limit(0)).passes(hashes(listed.limit(9))).any()
 
 
 def test_stages_keep_columns_and_rows(spark, tmp_path):
@@ -234,7 +246,7 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     frame_ = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {}
-    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+    for k, (name, stage) in enumerate(pipeline.STAGES):
         out = stage(spark, frame_, str(tmp_path))
         if k < 4:
             assert out.columns == frame_.columns
@@ -248,7 +260,7 @@ def test_stages_keep_columns_and_rows(spark, tmp_path):
     assert set(kept["n-gram Jaccard join"]) == set(after) - {402}
     assert kept["mixing sources to target weights"] == kept["n-gram Jaccard join"]
     assert set(kept["packing"]) == set(kept["n-gram Jaccard join"])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["packing"])
+    assert pipeline.run(spark, str(tmp_path)).count() == len(kept["packing"])
 
 
 def test_stages_judge_rows_not_ids(spark, tmp_path, monkeypatch):
@@ -273,17 +285,23 @@ def test_stages_judge_rows_not_ids(spark, tmp_path, monkeypatch):
     rejected = [(i, poor()) for i in ids]
     good = [d for d in docs if d[0] % 5]
     twice = [clean[0], clean[3]]
-    assert left(corpus_pipeline.quality_classifier, docs + clean + rejected + twice) == same(good + clean + twice)
+    assert left(pipeline.quality_classifier, docs + clean + rejected + twice) == same(good + clean + twice)
 
     exact = [(None, good[0][1]), (None, good[1][1].upper()), (-5, clean[3][1]), (-5, clean[1][1]), (700, good[2][1]), (None, text()), (700, text())]
     # a copy with a larger id goes on, one with a smaller or null id goes
     want = good[:2] + good[3:] + [c for c in clean if c != clean[1]] + [exact[3], exact[4], exact[5], exact[6]]
-    assert left(corpus_pipeline.exact_dedup, good + clean + twice + exact) == same(want)
+    assert left(pipeline.exact_dedup, good + clean + twice + exact) == same(want)
 
     near = [(None, good[0][1] + " more"), (None, good[1][1] + " more"), (700, good[2][1] + " more"), (700, good[3][1] + " more"), (None, ""), (None, None), (700, "")]
     kept = good + clean + [r for r in near if not r[1]]
-    assert left(corpus_pipeline.jaccard_join, good + clean + near) == same(kept)
-    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
-    monkeypatch.setattr(corpus_pipeline, "BROADCAST_KEYS", 0)
-    assert left(corpus_pipeline.exact_dedup, good + clean + twice + exact) == same(want)
-    assert left(corpus_pipeline.jaccard_join, good + clean + near) == same(kept)
+    assert left(pipeline.jaccard_join, good + clean + near) == same(kept)
+    monkeypatch.setattr(pipeline, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(pipeline, "BROADCAST_KEYS", 0)
+    assert left(pipeline.exact_dedup, good + clean + twice + exact) == same(want)
+    assert left(pipeline.jaccard_join, good + clean + near) == same(kept)
+
+
+def test_empty_documents_go_through(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
