@@ -1,94 +1,5 @@
-"""The corpus pipeline: five stages, each over all rows that the one before it kept.
+"""The corpus pipeline's stages, its SQL and ``run``; they live in ``lodestone.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. The driver writes each stage's rows as Parquet and reads them again.
-"""
+from lodestone.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from lodestone.llm.catalog import SHARES, tokenizer_path
-from lodestone.llm.exact_dedup import normalised, radix_dedup
-from lodestone.llm.jaccard_join import jaccard_classes, text_digest
-from lodestone.llm.mixing import mix
-from lodestone.llm.packing import pack
-from lodestone.llm.quality import only_good, train
-from lodestone.llm.shared import at_most, small, written
-
-#: Ids that a stage may broadcast to drop rows without moving texts (8 bytes each).
-BROADCAST_IDS = 1_000_000
-#: Ids with digests that may be broadcast (about 120 bytes each).
-BROADCAST_KEYS = 200_000
-#: Words that a packing worker keeps here, fewer than alone: its executor has sorted texts before.
-PACKING_WORDS = 80_000
-#: No SQL can train the classifier, schedule or pack; tests hold the stages against brute force.
-ORACLE_SQL = None
-
-
-def _kept(docs: DataFrame, judged: DataFrame, key: Column) -> DataFrame:
-    """The rows of ``docs`` that ``judged`` keeps, each judged by its id (nulls are matched) and text.
-
-    ``judged`` has one row (id, ``key`` of the row, kept) per row of docs. Rows whose id has no
-    row that goes stay where they are; only the others are looked up by id and key. Of rows that
-    share both, as many stay as were kept.
-    """
-    judged = judged.toDF("id_", "key_", "kept_")
-    gone = small(judged.filter("not kept_").select(F.col("id_").alias("gone_")).distinct(), BROADCAST_IDS)
-    again = judged.join(gone, F.col("id_").eqNullSafe(F.col("gone_")), "left_semi")
-    again = again.groupBy("id_", "key_").agg(F.count("*").alias("rows_"), F.count_if("kept_").alias("stay_")).filter("stay_ > 0")
-    again = written(again, "again")
-    out = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_")), "left_anti")
-    if at_most(again, 0):
-        return out
-    ids = small(again.select(F.col("id_").alias("again_")).distinct(), BROADCAST_IDS)
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("again_")), "left_semi").withColumn("own_", key)
-    rows = rows.join(small(again, BROADCAST_KEYS), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("own_") == F.col("key_")))
-    nth = F.row_number().over(Window.partitionBy("id_", "key_").orderBy(F.lit(0)))
-    repeated = rows.filter("stay_ < rows_").withColumn("nth_", nth).filter("nth_ <= stay_")
-    return out.unionByName(rows.filter("stay_ = rows_").select(docs.columns)).unionByName(repeated.select(docs.columns))
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be poor go."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return only_good(docs, model)
-
-
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays; one of rows that repeat it."""
-    return _kept(docs, written(radix_dedup(docs), "dedup").select("doc_id", "text_sha256", "kept"), F.sha2(normalised(F.col("text")).cast("binary"), 256))
-
-
-def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the row with the least doc_id stays."""
-    return _kept(docs, written(jaccard_classes(docs), "near").select("doc_id", "text_sha256", "is_first"), text_digest(F.col("text")))
-
-
-def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order of the mix: files by range of positions, rows sorted within."""
-    return mix(docs, SHARES).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(docs.columns)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2048 tokens."""
-    return pack(docs, tokenizer_path(), kept_words=PACKING_WORDS)
-
-
-STAGES = [
-    ("quality classifier", quality_classifier),
-    ("exact dedup", exact_dedup),
-    ("n-gram Jaccard join", jaccard_join),
-    ("mixing sources to target weights", source_mixing),
-    ("packing", packing),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, f"stage-{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
