@@ -28,8 +28,8 @@ def survivors(df: DataFrame, condemned: DataFrame, keys: list[str]) -> DataFrame
 def fetch(df: DataFrame, wanted: DataFrame, keys: list[str], default: str | None = None) -> DataFrame:
     """Rows of the wanted exact keys; with ``default``, one row per source id, that data set first."""
     if default is None:
-        return df.join(F.broadcast(wanted), keys)
-    found = df.join(F.broadcast(wanted), "source_id")
+        return df.join(wanted, keys)
+    found = df.join(wanted, "source_id")
     return first_per(found, ["source_id"], [F.col("dataset_id") != default, F.col("dataset_id")])
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 
 def ranged(items: Column, start: int, stop: int, most: int = 12) -> Column:
     """Items start to stop (exclusive), from 0; the range is checked before a plan is built."""
@@ -21,17 +23,22 @@ def stride_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     ordered = numbered(df, key)
     total = df.agg(F.count("*").alias("n"))
     picks = total.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("n") / float(n)) + 1)).alias("r")).distinct()
-    return ordered.join(F.broadcast(picks), "r", "left_semi").select(key, "r")
+    return ordered.join(F.broadcast(picks), "r", "left_semi").select(key, "r")  # n picks
 
 
 def numbered(df: DataFrame, key: str) -> DataFrame:
-    """Adds r: the position from 1 in the order of a unique key."""
-    parts = df.repartitionByRange(F.col(key)).withColumn("p_", F.spark_partition_id())
-    sizes = parts.groupBy("p_").agg(F.min(key).alias("lo_"), F.count("*").alias("n_"))
-    before = Window.orderBy("lo_").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select("lo_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"), F.coalesce(F.lead("lo_").over(Window.orderBy("lo_")), F.lit(None)).alias("hi_"))
-    own = df.join(F.broadcast(starts), (F.col(key) >= F.col("lo_")) & (F.col("hi_").isNull() | (F.col(key) < F.col("hi_"))))
-    return own.withColumn("r", F.col("before_") + F.row_number().over(Window.partitionBy("lo_").orderBy(key))).drop("lo_", "hi_", "before_")
+    """Adds r: the position from 1 in the order of a unique key; null keys come first.
+
+    Rows are sorted in range partitions and written with their place in them, as a range
+    partitioning made anew would have other borders; the partitions' sizes give the rest.
+    """
+    place = F.monotonically_increasing_id()  # the partition above 33 bits, the place below
+    parts = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("m_", place)
+    parts = written(parts.withColumns({"p_": F.shiftright("m_", 33), "i_": F.col("m_").bitwiseAND(F.lit((1 << 33) - 1))}).drop("m_"), "numbered")
+    sizes = parts.groupBy("p_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("p_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    return parts.join(F.broadcast(starts), "p_").withColumn("r", F.col("before_") + F.col("i_") + 1).drop("p_", "i_", "before_")
 
 
 def hash_ordered(df: DataFrame, key: str, seed: int) -> DataFrame:

@@ -31,9 +31,11 @@ def diet_rules(spark) -> DataFrame:
 
 def diet_hits(recipes: DataFrame, rules: DataFrame) -> DataFrame:
     """(dataset_id, source_id, diet, name): names that break a diet; excused and ``free`` names don't."""
-    names = recipes.select("dataset_id", "source_id", F.explode(F.array_distinct("names")).alias("name"))
-    words = tokens(F.col("name"))
-    found = names.join(F.broadcast(rules), says_word(words, F.col("word")) & ~F.array_contains("except", F.lower("name")) & ~F.array_contains(words, "free"))
+    names = recipes.select("dataset_id", "source_id", F.explode(F.array_distinct("names")).alias("name")).withColumn("tokens", F.array_distinct(tokens(F.col("name"))))
+    said = names.filter(~F.array_contains("tokens", "free")).select("dataset_id", "source_id", "name", F.explode("tokens").alias("token"))
+    # a word and its plurals, so that the join is one of equal values
+    forms = rules.select("diet", "except", F.explode(F.array(*(F.concat("word", F.lit(x)) for x in ("", "s", "es")))).alias("token"))
+    found = said.join(forms, "token").filter(~F.array_contains("except", F.lower("name")))
     return found.select("dataset_id", "source_id", "diet", "name").distinct()
 
 

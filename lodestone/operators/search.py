@@ -1,27 +1,21 @@
-"""Full-text search over many queries at once.
+"""Full-text search over many queries at once, on inverted tables (``postings``).
 
-Queries are few and broadcast; documents are tokenized once, and only tokens that some query
-asks for are joined and counted, so that a corpus of any size is read once and shuffles no
-more than its hits. Tokens are unstemmed runs of a-z and 0-9; ``lexemes`` is the stemmed
-variant for ranking by cover density.
+A search reads the rows of the terms that some query asks for and shuffles no more than its
+hits. Tokens are unstemmed runs of a-z and 0-9; cover density ranks stemmed words.
 """
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
-from ..functions.text import tokens
+from . import postings as P
 
 #: Weight of one occurrence, of pantry terms and of title terms.
 WEIGHT, PANTRY_WEIGHT, TITLE_WEIGHT = 0.1, 0.25, 2.0
-#: Queries that one ranking function holds; more are ranked by several in the same pass.
-QUERY_BLOCK = 1000
 #: Birds whose names also find "poultry".
 POULTRY = ("chicken", "turkey", "duck", "goose")
 
@@ -35,12 +29,17 @@ def with_synonyms(queries: DataFrame, synonyms: dict[str, list[str]]) -> DataFra
 
 
 def hits(docs: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """``hits_in`` of documents that have no stored table."""
+    return hits_in(P.terms(docs, keys, text), queries, keys, synonyms)
+
+
+def hits_in(postings: DataFrame, queries: DataFrame, keys: list[str], synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """Per query and document with any hit: matched (slots), n_slots, hits (occurrences), score."""
     wanted = with_synonyms(queries, synonyms or {})
-    words = docs.select(*keys, F.explode(tokens(F.col(text))).alias("term"))
-    found = words.join(F.broadcast(wanted), "term")
+    found = P.of_terms(postings, wanted).join(wanted, "term")
+    # a slot's alternatives are few rows per document: their slots are a set of at most n_slots
     return found.groupBy("query_id", *keys).agg(
-        F.countDistinct("slot").alias("matched"), F.first("n_slots").cast("long").alias("n_slots"), F.count("*").alias("hits"),
+        F.size(F.collect_set("slot")).cast("long").alias("matched"), F.first("n_slots").cast("long").alias("n_slots"), F.sum("n").alias("hits"),
     ).withColumn("score", F.col("hits") * WEIGHT)
 
 
@@ -48,7 +47,7 @@ def all_then_any(found: DataFrame) -> DataFrame:
     """Documents with all terms; for queries without any such document, those with any term."""
     # one row per query; the hits' exchange is reused, no window gathers a frequent word's documents
     best = found.groupBy("query_id").agg(F.max((F.col("matched") == F.col("n_slots")).cast("int")).alias("all_"))
-    out = found.join(F.broadcast(best), "query_id")
+    out = found.join(best, "query_id")
     return out.filter((F.col("all_") == 0) | (F.col("matched") == F.col("n_slots"))).withColumn("match", F.when(F.col("all_") == 1, "all").otherwise("any")).drop("all_")
 
 
@@ -62,57 +61,37 @@ def top(found: DataFrame, keys: list[str], limit: int, order: list[Column] | Non
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= limit)
 
 
-_STOP = frozenset(
-    "a an and are as at be but by for from had has have he her his i in is it its me my no not of on or our she so that the their them they this to was we "
-    "were what when which who will with you your".split()
-)
-
-
-def _measure_one(word: str) -> str:
-    """A light stemmer: plural, -ing, -ed and -ly endings; documented, not Porter's."""
-    for ending, least, with_ in (("ies", 5, "y"), ("sses", 5, "ss"), ("ing", 6, ""), ("edly", 7, ""), ("ed", 5, ""), ("ly", 5, ""), ("es", 5, "e"), ("s", 4, "")):
-        if word.endswith(ending) and len(word) >= least and not word.endswith("ss"):
-            return word[: -len(ending)] + with_
-    return word
-
-
-@pandas_udf(ArrayType(StructType([StructField("lexeme", StringType()), StructField("pos", IntegerType())])))
-def lexemes(x: pd.Series) -> pd.Series:
-    """Stemmed words outside the stop list with their positions from 1."""
-    def one(t):
-        return [] if t is None else [{"lexeme": _measure_one(w), "pos": i} for i, w in enumerate(re.findall(r"[^\W_]+", t.lower()), 1) if w not in _STOP]
-
-    return x.map(one)
-
-
-def _density(found, need: set[str]) -> float:
-    last: dict[str, int] = {}
-    total, previous = 0.0, -1
-    for item in found:
-        if item["lexeme"] in need:
-            last[item["lexeme"]] = item["pos"]
-            if len(last) == len(need):
-                lo = min(last.values())
-                if lo > previous:
-                    total += WEIGHT / (1 + item["pos"] - lo + 1 - len(need))
+@pandas_udf(DoubleType())
+def _density(places: pd.Series) -> pd.Series:
+    """Per document, the sum over minimal covers of its terms' positions (one sorted list per term)."""
+    def one(lists):
+        n = len(lists)
+        order = sorted((int(p), k) for k, at in enumerate(lists) for p in at)
+        last, seen, total, previous = [0] * n, 0, 0.0, 0
+        for p, k in order:
+            seen += not last[k]
+            last[k] = p
+            if seen == n:
+                lo = min(last)
+                if lo > previous:  # a cover that starts later than the one before is a minimal one
+                    total += WEIGHT / (1 + p - lo + 1 - n)
                     previous = lo
-    return total
+        return total
+
+    return places.map(one)
 
 
-def cover_density(queries: list[tuple[int, list[str]]]):
-    """A function of lexemes that ranks a document for each of a few queries.
+def cover_density(lexemes: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+    """(query_id, keys, score) of the documents that hold all of a query's stemmed words.
 
     Sums over minimal covers 0.1 / (1 + words inside that aren't terms). A cover is a shortest
-    run of positions that holds every term; a single term gives 0.1 per occurrence.
+    run of positions that holds every term; a single term gives 0.1 per occurrence. Queries
+    without a word outside the stop list find nothing. ``lexemes`` is an inverted table; only
+    documents that hold all words are ranked.
     """
-    needs = [(q, {_measure_one(t) for t in terms if t not in _STOP}) for q, terms in queries]
-
-    @pandas_udf(ArrayType(StructType([StructField("query_id", LongType()), StructField("score", DoubleType())])))
-    def ranked(lex: pd.Series) -> pd.Series:
-        def one(found):
-            held = {x["lexeme"] for x in found} if found is not None else set()
-            return [{"query_id": q, "score": _density(found, need)} for q, need in needs if need and need <= held]
-
-        return lex.map(one)
-
-    return ranked
+    words = queries.select("query_id", F.explode("terms").alias("word")).filter(~F.col("word").isin(P.STOP))
+    needs = words.select("query_id", P.stemmed(F.col("word")).alias("term")).distinct()
+    sizes = needs.groupBy("query_id").agg(F.count("*").alias("need"))
+    found = P.of_terms(lexemes, needs).join(needs.join(sizes, "query_id"), "term")
+    every = found.groupBy("query_id", *keys).agg(F.collect_list("at").alias("places"), F.first("need").alias("need")).filter("size(places) = need")
+    return every.select("query_id", *keys, _density("places").alias("score"))

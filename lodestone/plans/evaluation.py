@@ -109,7 +109,7 @@ curve AS (SELECT cutoff, avg(coalesce(1e0 / first, 0e0)) FILTER (answerable) AS
 
 
 def _curve(spark, d):
-    near = V.scored(vectors(spark, d).select("vec_id", "v"), query_vectors(spark, d)).filter("query_id <> vec_id")
+    near = V.scored(vectors(spark, d).select("vec_id", "v"), query_vectors(spark, d), best=21).filter("query_id <> vec_id")  # the item's own vector is one of them
     pairs = near.select(F.col("query_id").alias("case_id"), F.col("vec_id").alias("doc_id"), F.round("distance", 9).alias("distance"))
     w = Window.partitionBy("case_id").orderBy("distance", "doc_id")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 20")

@@ -2,29 +2,19 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import text as T
 from ..operators import ingest as I
+from ..operators.storage import fresh_folder
 from ..sources.tables import table
 
 
 def _folder(spark) -> str:
-    """A fresh folder under the cluster's shared one; in local mode, where none is set, a temporary one."""
-    import atexit
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    at = f"{shared.rstrip('/')}/io-{uuid.uuid4().hex[:12]}" if shared else "file://" + tempfile.mkdtemp(prefix="lodestone-io-") + "/io"
-    if at.startswith(("file:", "/")):
-        atexit.register(shutil.rmtree, "/" + at.removeprefix("file:").lstrip("/"), True)
-    return at
+    return fresh_folder(spark, "io")
 
 
 @query("src01_strict_csv", "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier")

@@ -9,7 +9,7 @@ from ..catalog import query
 from ..functions import text as T
 from ..operators import joins as J
 from ..operators import search as S
-from ..operators.vectors import cosine_distance
+from ..operators.vectors import scored
 from ..sources.tables import CASES_SQL, JUDGMENTS_SQL, RECIPES_SQL, SESSIONS_SQL, cases, judgments, recipes, session_events, table
 
 
@@ -94,20 +94,19 @@ def jn11(spark, d):
 WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)
 SELECT vec_id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), v), 6) AS distance FROM embeddings, q""")
 def jn12(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    q = e.filter("vec_id = 0").select(F.col("e").alias("v"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(cosine_distance(F.col("e"), F.col("v")), 6).alias("distance"))
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = e.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    return scored(e, q).select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 @query("jn13_products_without_self", """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT a.vec_id AS seed, b.vec_id, round(list_inner_product(a.v, b.v), 6) AS product FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id""")
 def jn13(spark, d):
-    from ..operators.vectors import dot
-
     e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    seeds = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"), F.col("v").alias("s"))
-    return e.crossJoin(F.broadcast(seeds)).filter("vec_id <> seed").select("seed", "vec_id", F.round(dot(F.col("s"), F.col("v")), 6).alias("product"))
+    seeds = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = scored(e, seeds, product=True).withColumnRenamed("query_id", "seed")
+    return found.filter("vec_id <> seed").select("seed", "vec_id", F.round("similarity", 6).alias("product"))
 
 
 @query("jn14_aligned_lines", """
@@ -169,11 +168,13 @@ f AS (SELECT *, row_number() OVER (PARTITION BY case_id, doc_id ORDER BY src, ra
 p AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY src, rank, doc_id) AS pool_rank FROM f WHERE n = 1)
 SELECT * FROM p WHERE pool_rank <= 20""")
 def jn19(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    from .search import term_table
+
+    found = term_table(spark, d)
     asked = cases(spark, d).withColumnRenamed("case_id", "query_id")
     opener = asked.select("query_id", F.slice("terms", 1, 1).alias("terms"))
-    first = S.top(S.only_all(S.hits(docs, asked, ["doc_id"])), ["doc_id"], 15, [F.desc("hits")])
-    second = S.top(S.hits(docs, opener, ["doc_id"]), ["doc_id"], 10, [F.col("doc_id")])
+    first = S.top(S.only_all(S.hits_in(found, asked, ["doc_id"])), ["doc_id"], 15, [F.desc("hits")])
+    second = S.top(S.hits_in(found, opener, ["doc_id"]), ["doc_id"], 10, [F.col("doc_id")])
     lists = [x.withColumnRenamed("query_id", "case_id") for x in (first, second)]
     return J.pooled(lists, ["doc_id"]).withColumn("pool_rank", F.col("pool_rank").cast("long"))
 

@@ -9,6 +9,7 @@ from ..catalog import query
 from ..functions import requests as Q
 from ..functions import text as T
 from ..operators import filters as P
+from ..operators import postings as N
 from ..operators import search as S
 from ..operators import vectors as V
 from ..sources.tables import CASES_SQL, RECIPES_SQL, cases, recipes, table
@@ -22,8 +23,13 @@ def _queries(spark, d):
     return cases(spark, d).withColumnRenamed("case_id", "query_id")
 
 
+def term_table(spark, d):
+    """Terms of the documents, stored by the first search of a session."""
+    return N.stored(spark, f"{d}/documents.parquet", "terms", lambda docs: N.terms(docs, ["doc_id"]), ["doc_id"])
+
+
 def case_hits(spark, d):
-    return S.hits(table(spark, d, "documents").select("doc_id", "text"), _queries(spark, d), ["doc_id"])
+    return S.hits_in(term_table(spark, d), _queries(spark, d), ["doc_id"])
 
 
 def _top(where: str, order: str, limit: int, columns: str = "") -> str:
@@ -67,7 +73,7 @@ h AS (SELECT query_id, doc_id, count(DISTINCT slot) AS matched, count(*) AS hits
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, hits FROM h WHERE matched = 2""")
 def fts05(spark, d):
     q = spark.createDataFrame([(1, ["the", "of"]), (2, ["der", "und"])], "query_id long, terms array<string>")
-    found = S.hits(table(spark, d, "documents").select("doc_id", "text"), q, ["doc_id"], synonyms={"the": ["and"], "und": ["die"]})
+    found = S.hits_in(term_table(spark, d), q, ["doc_id"], synonyms={"the": ["and"], "und": ["die"]})
     return S.only_all(found).select("query_id", "doc_id", "hits")
 
 
@@ -76,25 +82,25 @@ SELECT doc_id, round(1e-1 * len(list_filter(regexp_extract_all(lower(text), '[a-
 WHERE list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'thing')""")
 def fts06(spark, d):
     q = spark.createDataFrame([(1, ["thing"])], "query_id long, terms array<string>")
-    return S.hits(table(spark, d, "documents").select("doc_id", "text"), q, ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+    return S.hits_in(term_table(spark, d), q, ["doc_id"]).select("doc_id", F.round("score", 6).alias("score"))
+
+
+def lexeme_table(spark, d):
+    return N.stored(spark, f"{d}/documents.parquet", "lexemes", lambda docs: N.lexemes(docs, ["doc_id"]), ["doc_id"])
 
 
 @query("fts06_cover_density")
 def fts06b(spark, d):
-    asked = [(r.query_id, r.terms) for r in _queries(spark, d).orderBy("query_id").collect()]
-    blocks = [asked[i : i + S.QUERY_BLOCK] for i in range(0, len(asked), S.QUERY_BLOCK)] or [[]]
-    lex = table(spark, d, "documents").select("doc_id", S.lexemes(F.col("text")).alias("lex"))
-    return lex.select("doc_id", F.explode(F.concat(*(S.cover_density(b)("lex") for b in blocks))).alias("s")).select("s.query_id", "doc_id", F.round("s.score", 6).alias("score"))
+    return S.cover_density(lexeme_table(spark, d), _queries(spark, d), ["doc_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("fts07_pantry_boost", f"""WITH {HITS_SQL}, pw AS (SELECT doc_id, count(*) FILTER (term = 'and') AS a, count(*) FILTER (term = 'der') AS b FROM words GROUP BY 1),
 s AS (SELECT query_id, h.doc_id, round(hits * 1e-1 + 25e-2 * 1e-1 * greatest(coalesce(a, 0), coalesce(b, 0)), 6) AS score FROM hits h LEFT JOIN pw USING (doc_id) WHERE matched = n_slots),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, rank, score FROM r WHERE rank <= 10""")
 def fts07(spark, d):
-    w = T.tokens(F.col("text"))
-    count = lambda t: F.size(F.filter("w", lambda x: x == t))
-    pantry = table(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.array_max(F.array(count("and"), count("der"))).alias("best"))
-    boosted = S.only_all(case_hits(spark, d)).join(pantry, "doc_id").withColumn("score", F.round(F.col("score") + S.PANTRY_WEIGHT * S.WEIGHT * F.col("best"), 6))
+    pantry = term_table(spark, d).filter(F.col("term").isin("and", "der")).groupBy("doc_id").agg(F.max("n").alias("best"))
+    boost = S.PANTRY_WEIGHT * S.WEIGHT * F.coalesce(F.col("best"), F.lit(0))
+    boosted = S.only_all(case_hits(spark, d)).join(pantry, "doc_id", "left").withColumn("score", F.round(F.col("score") + boost, 6))
     return _shown(S.top(boosted, ["doc_id"], 10))
 
 
@@ -117,8 +123,8 @@ def fts09(spark, d):
 
 @query("fts10_single_and_all_datasets", f"""WITH {HITS_SQL} SELECT query_id, source = 'src0' AS scoped, count(*) AS n FROM hits JOIN documents USING (doc_id) WHERE matched = n_slots GROUP BY ALL""")
 def fts10(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    found = S.only_all(S.hits(docs, _queries(spark, d), ["doc_id", "source"]))
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    found = S.only_all(case_hits(spark, d)).join(docs, "doc_id")
     return found.groupBy("query_id", (F.col("source") == "src0").alias("scoped")).agg(F.count("*").alias("n"))
 
 
@@ -130,7 +136,7 @@ s AS (SELECT query_id, h.doc_id, hits, len(list_filter(title, lambda x: list_con
 def _with_title(spark, d):
     title = T.tokens(F.element_at(F.split("text", "\n"), 1))
     t = table(spark, d, "documents").select("doc_id", title.alias("title"))
-    found = S.only_all(case_hits(spark, d)).join(t, "doc_id").join(F.broadcast(_queries(spark, d)), "query_id")
+    found = S.only_all(case_hits(spark, d)).join(t, "doc_id").join(_queries(spark, d), "query_id")
     return found.withColumn("in_title", F.size(F.filter("title", lambda x: F.array_contains("terms", x))))
 
 
@@ -178,8 +184,8 @@ VECTORS_SQL = """vecs AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v
 dist AS (SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_distance(e.v, q.v), 9) AS distance FROM vecs e JOIN vecs q ON q.vec_id IN (SELECT item_id FROM benchmark))"""
 
 
-def distances(spark, d):
-    near = V.scored(vectors(spark, d).select("vec_id", "label", "v"), query_vectors(spark, d))
+def distances(spark, d, **bounds):
+    near = V.scored(vectors(spark, d).select("vec_id", "label", "v"), query_vectors(spark, d), **bounds)
     return near.select("query_id", "vec_id", "label", F.round("distance", 9).alias("distance"))
 
 
@@ -193,7 +199,7 @@ def vec01(spark, d):
 r AS (SELECT *, label % 3 AS overlap, row_number() OVER (PARTITION BY query_id ORDER BY label % 3 DESC, distance, vec_id) AS rank FROM n WHERE nth <= 30)
 SELECT query_id, vec_id, CAST(overlap AS BIGINT) AS overlap, rank FROM r WHERE rank <= 10""")
 def vec02(spark, d):
-    found = V.candidates(vectors(spark, d), query_vectors(spark, d), ["vec_id"], F.col("label") % 3, 10)
+    found = V.row_candidates(vectors(spark, d), query_vectors(spark, d), "vec_id", F.col("label") % 3, 10)
     return found.select("query_id", "vec_id", "overlap", F.col("rank").cast("long").alias("rank"))
 
 
@@ -202,13 +208,14 @@ SELECT * FROM r WHERE rank <= 8""")
 def vec03(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    found = distances(spark, d).join(docs, "vec_id").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 8")
+    chunks = vectors(spark, d).select("vec_id", "v").join(docs, "vec_id")
+    found = V.scored(chunks, query_vectors(spark, d), best=8).withColumn("distance", F.round("distance", 9)).withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 8")
     return found.select("query_id", "vec_id", "source", F.round("distance", 6).alias("distance"), "rank")
 
 
 @query("flt10_distance_cutoff", f"WITH {VECTORS_SQL} SELECT query_id, vec_id FROM dist WHERE distance <= 0.8 AND isfinite(distance)")
 def flt10(spark, d):
-    return P.within_cutoff(distances(spark, d), 0.8).select("query_id", "vec_id")
+    return P.within_cutoff(distances(spark, d, cutoff=0.8 + 1e-9), 0.8).select("query_id", "vec_id")
 
 
 @query("flt11_abstention", f"""WITH {VECTORS_SQL} SELECT query_id, count(*) AS raw, count(*) FILTER (distance <= 0.2 AND distance > 0.001) AS kept,
@@ -231,7 +238,7 @@ fused AS (SELECT query_id, doc_id, rrf, row_number() OVER (PARTITION BY query_id
 def hybrid(spark, d, limit, cutoff=0.9):
     """Full-text and vector lists of 20, the cutoff before fusion, reciprocal ranks."""
     full = S.top(case_hits(spark, d), ["doc_id"], V.CANDIDATES, [F.desc("matched"), F.desc("hits")])
-    near = distances(spark, d).withColumnRenamed("vec_id", "doc_id")
+    near = distances(spark, d, best=V.CANDIDATES).withColumnRenamed("vec_id", "doc_id")
     w = Window.partitionBy("query_id").orderBy("distance", "doc_id")
     near = P.within_cutoff(near.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= V.CANDIDATES), cutoff)
     return V.rrf([full, near], ["doc_id"], limit)
@@ -245,7 +252,7 @@ def vec04(spark, d):
 @query("vec05_hybrid_search", f"WITH {HYBRID_SQL} SELECT query_id, source, doc_id, round(rrf, 6) AS rrf, rank FROM fused JOIN documents USING (doc_id) WHERE rank <= 5")
 def vec05(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    best = F.broadcast(hybrid(spark, d, 5))  # five rows per query
+    best = hybrid(spark, d, 5)
     return docs.join(best, "doc_id").select("query_id", "source", "doc_id", F.round("rrf", 6).alias("rrf"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -289,8 +296,10 @@ def vec07(spark, d):
 @query("vec08_variants", _NEAR.format("AND c.label = s.label") + "SELECT seed, variant, vec_id, rank FROM r WHERE rank <= 5")
 def vec08(spark, d):
     u = _unit(spark, d)
-    seeds = u.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("seed"), F.col("label").alias("variant"), F.col("v").alias("s"))
-    pairs = u.join(F.broadcast(seeds), F.col("label") == F.col("variant")).filter("vec_id <> seed").withColumn("similarity", F.round(V.dot(F.col("v"), F.col("s")), 9))
+    seeds = u.filter("vec_id % 100 = 0")
+    asked = seeds.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "label")
+    pairs = V.scored(u, asked, best=6, product=True, within="label").withColumnsRenamed({"query_id": "seed", "label": "variant"})
+    pairs = pairs.filter("vec_id <> seed").withColumn("similarity", F.round("similarity", 9))
     w = Window.partitionBy("seed").orderBy(F.desc("similarity"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 5").select("seed", "variant", "vec_id", "rank")
 
@@ -309,14 +318,14 @@ b AS (SELECT n_nationkey, lower(trim(raw)) AS w FROM q), c AS (SELECT n_nationke
 def vec10(spark, d):
     p = table(spark, d, "part")
     known = p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("term")).union(p.filter("p_size < 10").select("p_name")).distinct()
-    vocabulary = F.broadcast(known.agg(F.collect_set("term").alias("vocabulary")))  # the parts' names are a closed list of a few words
     k = F.col("n_nationkey") % 5
     raw = F.when(k == 0, "Red Bolts").when(k == 1, "  fresh rings ").when(k == 2, "widgets").when(k == 3, "unknown thing").otherwise("gear")
     w = F.lower(F.trim(raw))
     last = F.element_at(F.split(w, " "), -1)
     ladder = F.array(w, T.singular(w), last, T.singular(last), F.element_at(F.split(w, " "), 1))
-    return table(spark, d, "nation").crossJoin(vocabulary).select(
-        "n_nationkey", F.try_element_at(F.filter(ladder, lambda x: F.array_contains("vocabulary", x)), F.lit(1)).alias("term"))
+    nations = table(spark, d, "nation")
+    found = nations.select("n_nationkey", F.posexplode(ladder).alias("step", "term")).join(known, "term").groupBy("n_nationkey").agg(F.min_by("term", "step").alias("term"))
+    return nations.select("n_nationkey").join(found, "n_nationkey", "left")
 
 
 @query("vec12_consultation", """

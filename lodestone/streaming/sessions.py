@@ -3,6 +3,8 @@
 Late rows: the watermark is one hour on ``ts``; windows drop what comes later. The folds keep
 one small state per session (or per session and call) and see a session's rows in time order
 within a micro-batch; rows that arrive in a later micro-batch are appended after it, as in a log.
+The folds' watermark is ``FORGET``: rows that come later are dropped, and so is the state of a
+session that was silent so long, so that states are in proportion to the sessions alive.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-WATERMARK = "1 hour"
+WATERMARK, FORGET = "1 hour", "30 days"
 
 
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -38,13 +40,19 @@ def run(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
 
 def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], start: tuple) -> DataFrame:
     def fold(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
+        last = held.getCurrentWatermarkMs()
         now = held.get if held.exists else start
+        # one session's rows of one micro-batch, which maxFilesPerTrigger bounds
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out, now = step(rows, now)
         held.update(now)
+        held.setTimeoutTimestamp(max(last, int(rows["ts"].max().timestamp() * 1000)) + 1)
         yield out
 
-    return df.groupBy(*keys).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.NoTimeout)
+    return df.withWatermark("ts", FORGET).groupBy(*keys).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def numbered(events: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import difflib
 import json
 import math
+import re
 from fractions import Fraction
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import bounded, chunking, parsing, rational, requests, text
 from lodestone.functions.manifest import Cache, canonical_hash, verify_frozen
-from lodestone.operators import aggregate, evaluation, events, filters, ingest, joins, limits, rules, search, validation, vectors
+from lodestone.operators import aggregate, evaluation, events, filters, ingest, joins, limits, postings, rules, search, validation, vectors
 
 
 def rows(df, *order):
@@ -202,11 +203,31 @@ def test_search_falls_back_only_on_empty(spark):
     assert rows(found.select("query_id", "doc_id", "hits", "match")) == [(1, 1, 3, "all"), (2, 2, 1, "any")]
 
 
-def test_cover_density_of_adjacent_terms(spark):
-    df = spark.createDataFrame([(1, "red bolts here"), (2, "red and big old bolts"), (3, "red red"), (4, None)], "id long, t string")
-    score = search.cover_density([(1, ["red", "bolt"]), (2, ["red"])])
-    got = {(r.id, s.query_id): s.score for r in df.select("id", score(search.lexemes("t")).alias("s")).collect() for s in r.s}
-    assert got[1, 1] > got[2, 1] and (3, 1) not in got and got[3, 2] == pytest.approx(0.2)
+def test_cover_density_against_all_windows(spark):
+    texts = [(1, "red bolts here"), (2, "red and big old bolts"), (3, "red red"), (4, None), (5, "bolt red x bolting y y red bolts"), (6, "Éclair bolts, éclair"), (7, "a red a a bolt")]
+    df = spark.createDataFrame(texts, "id long, t string").repartition(3)
+    asked = [(1, ["red", "bolt"]), (2, ["red"]), (3, ["the", "of"]), (4, ["éclair", "bolts", "bolt"]), (5, [])]
+    got = {(r.query_id, r.id): r.score for r in search.cover_density(postings.lexemes(df, ["id"], "t"), spark.createDataFrame(asked, "query_id long, terms array<string>"), ["id"]).collect()}
+    stem = lambda w: {"bolts": "bolt", "bolting": "bolt"}.get(w, w)
+    want = {}
+    for q, terms in asked:
+        need = {stem(t) for t in terms if t not in postings.STOP}
+        for i, t in texts:
+            w = [stem(x) for x in re.findall(r"\w+", (t or "").lower())]
+            holds = [(a, b) for a in range(len(w)) for b in range(a, len(w)) if need and need <= set(w[a : b + 1])]
+            least = [(a, b) for a, b in holds if not any((c, e) != (a, b) and a <= c and e <= b for c, e in holds)]
+            if least:
+                want[q, i] = sum(0.1 / (1 + b - a + 1 - len(need)) for a, b in least)
+    assert got == pytest.approx(want) and (1, 2) in got and (3, 1) not in got
+
+
+def test_stored_postings_follow_the_files(spark, tmp_path):
+    path = f"{tmp_path}/d.parquet"
+    made = lambda: {r.term: r.n for r in postings.stored(spark, path, "terms", lambda d: postings.terms(d, ["id"], "t"), ["id"]).collect()}
+    spark.createDataFrame([(1, "a b a")], "id long, t string").write.parquet(path)
+    assert made() == {"a": 2, "b": 1} and made() == {"a": 2, "b": 1}
+    spark.createDataFrame([(1, "c")], "id long, t string").write.mode("overwrite").parquet(path)
+    assert made() == {"c": 1}
 
 
 def test_fusion_and_neighbours_break_ties_by_key(spark):
@@ -363,6 +384,23 @@ def test_query_vectors_beyond_one_block(spark, monkeypatch):
     want = rows(vectors.scored(v, asked).withColumn("distance", F.round("distance", 9)), "vec_id", "query_id")
     assert len(want) == 900
     monkeypatch.setattr(vectors, "MOST_QUERIES", 7)
-    monkeypatch.setattr(vectors, "MOST_DISTANCES", 20)
+    monkeypatch.setattr(vectors, "MOST_SCORES", 20)
     assert rows(vectors.scored(v, asked).withColumn("distance", F.round("distance", 9)), "vec_id", "query_id") == want
     assert vectors.scored(v, asked.limit(0)).count() == 0
+
+
+def test_best_rows_of_tasks_hold_the_best_of_all(spark):
+    data = [(i, i % 3, [float((i * 7) % 11), float((i * 5) % 4), 1.0]) for i in range(200)] + [(200, 0, None), (201, 1, [0.0, 0.0, 0.0]), (202, 2, [1.0])]
+    v = spark.createDataFrame(data, "k long, g long, v array<double>").repartition(5)
+    asked = v.filter("k % 40 = 0 and v is not null").select(F.col("k").alias("query_id"), F.col("v").alias("q"), "g")
+    every = vectors.scored(v, asked).withColumn("distance", F.round("distance", 9)).collect()
+    for best, within in ((4, None), (3, "g")):
+        got = vectors.scored(v, asked, best=best, within=within).withColumn("distance", F.round("distance", 9)).collect()
+        for q in {r.query_id for r in every}:
+            own = sorted((r.distance, r.k) for r in every if r.query_id == q and (not within or r.g == q % 3))[:best]
+            assert sorted((r.distance, r.k) for r in got if r.query_id == q)[:best] == own
+        assert len(got) < len(every)
+    near = vectors.scored(v, asked, cutoff=0.1).collect()
+    assert len(near) == sum(r.distance <= 0.1 for r in every)
+    owners = {(r.query_id, r.g): (round(r.distance, 9), r.chunks) for r in vectors.owner_distances(v.select("g", "v", F.lit(0).cast("long").alias("overlap")), asked, ["g"]).collect()}
+    assert owners == {(q, g): (min(r.distance for r in every if (r.query_id, r.g) == (q, g)), sum((r.query_id, r.g) == (q, g) for r in every)) for q, g in {(r.query_id, r.g) for r in every}}
