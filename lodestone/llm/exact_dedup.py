@@ -6,6 +6,8 @@ have ended. Groups are formed on the bytes themselves; no digest decides equalit
 leaves as soon as it is alone, so that after the first level only texts with a partner of
 the same length and beginning are moved. Every level counts its groups with map-side sums;
 rows then find their group in a join, whose row side Spark splits where a group is hot.
+Texts are read twice: once for all rows' lengths, first digits and output digests, which are
+written, and once for the texts of groups.
 """
 
 from __future__ import annotations
@@ -32,20 +34,31 @@ def _after(rest: Column, n: int) -> Column:
     return F.substring(rest, n + 1, (1 << 31) - 1 - n)
 
 
-def radix_classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of two or more equal texts: one row (id, sha, keep_id, n) per distinct member id."""
+def _bytes(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, rest, len, digit): the normalised text's bytes, their number and the first of them."""
     rows = documents.select(
         F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("t")
     ).select("id", F.col("t").cast("binary").alias("rest"))
-    rows = rows.select("id", "rest", F.octet_length("rest").alias("len"), F.substring("rest", 1, FIRST).alias("digit"))
+    return rows.select("id", "rest", F.octet_length("rest").alias("len"), F.substring("rest", 1, FIRST).alias("digit"))
+
+
+def _sha(rest: Column) -> Column:
+    return F.unhex(F.sha2(rest, 256))
+
+
+def radix_classes(rows: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Groups of two or more equal texts: one row (id, sha, keep_id, n) per distinct member id.
+
+    ``rows`` has id, rest, len and digit of each text, ``narrow`` the same rows without rest.
+    """
     groups = written(
-        rows.groupBy("len", "digit").agg(F.count("*").alias("n"), F.max("id").alias("keep_id"))
+        narrow.groupBy("len", "digit").agg(F.count("*").alias("n"), F.max("id").alias("keep_id"))
         .filter("n > 1").withColumn("gid", F.monotonically_increasing_id()), "radix-groups",
     )
     done = []
     live = rows.join(small(groups, BROADCAST_GROUPS), ["len", "digit"])
     seen, width = FIRST, SECOND
-    sha = F.sha2(F.col("rest"), 256)
+    sha = _sha(F.col("rest"))
     keep = ["id", "gid", "n", "keep_id", "len", "sha", "rest"]
     live = written(live.withColumn("sha", sha).withColumn("rest", _after(F.col("rest"), FIRST)).select(*keep), "radix-0")
     level = 1
@@ -82,10 +95,10 @@ def radix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null ids, keep_id is null and one row is kept. Empty texts form one group. An empty table
     gives an empty result. Other columns are ignored.
     """
-    digests = documents.select(
-        F.col(id_col).cast("long").alias("id"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("sha")
-    )
-    found = radix_classes(documents, id_col, text_col).select(F.col("id").alias("m"), F.col("sha").alias("s"), "keep_id", "n")
+    rows = _bytes(documents, id_col, text_col)
+    narrow = written(rows.select("id", "len", "digit", _sha(F.col("rest")).alias("sha")), "radix-rows")
+    digests = narrow.select("id", "sha")
+    found = radix_classes(rows, narrow).select(F.col("id").alias("m"), F.col("sha").alias("s"), "keep_id", "n")
     joined = digests.join(found, F.col("id").eqNullSafe(F.col("m")) & (F.col("sha") == F.col("s")), "left")
     nth = F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(0)))
     return joined.withColumn("nth", nth).select(
@@ -93,7 +106,7 @@ def radix_dedup(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         ((F.col("nth") == 1) & (F.col("n").isNull() | F.col("id").eqNullSafe(F.col("keep_id")))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
