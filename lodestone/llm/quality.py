@@ -171,12 +171,12 @@ def train(
     def measured(batches):
         for batch in bounded(batches):
             x = described(batch["text"].to_pylist())
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["y"], pa.array([r.tobytes() for r in x.astype("<f4")], pa.binary())], names=["id", "y", "x"])
 
     rows = docs.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(measured, "id long, y int, x binary")
     # one row per labelled id, so that the sample is bounded however often an id repeats
     rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect()
-    x = np.frombuffer(b"".join(r["x"] for r in rows)).reshape(len(rows), WIDTH)
+    x = np.frombuffer(b"".join(r["x"] for r in rows), "<f4").reshape(len(rows), WIDTH).astype(float)
     y = np.array([r["y"] for r in rows], dtype=bool)
     order = sorted(range(len(rows)), key=lambda i: rows[i]["id"])  # the fit doesn't depend on the tasks' order
     return fit(x[order], y[order])
