@@ -13,6 +13,7 @@ sequence borders; its tail is cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable
@@ -35,10 +36,33 @@ TOGETHER = 16_384
 BUCKET_ROWS = 20_000
 
 
+def word_wise(path: str) -> bool:
+    """Whether the tokenizer lower-cases, splits at white space and marks each word's end, so that
+    words can be tokenized one by one."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+
+    def parts(part: dict | None) -> list[dict]:
+        return [] if not part else [part, *(q for k in ("normalizers", "pretokenizers") for p in part.get(k) or () for q in parts(p))]
+
+    lowers = any(p["type"] == "Lowercase" or p.get("lowercase") is True for p in parts(made.get("normalizer")))
+    # a removing split keeps only what its pattern matches
+    splits = any(
+        p["type"] in ("BertPreTokenizer", "Whitespace", "WhitespaceSplit") or (p["type"], p.get("behavior"), p.get("invert")) == ("Split", "Removed", True)
+        for p in parts(made.get("pre_tokenizer")))
+    if not (lowers and splits and (made.get("model") or {}).get("end_of_word_suffix") == "</w>"):
+        return False
+    from tokenizers import Tokenizer
+
+    ids_of = lambda t: Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids
+    words = ["Aa", "bB.", "c's", "1,5", "(d)"]
+    return ids_of("  ".join(words) + "\n\t" + words[0]) == [i for w in [*words, words[0]] for i in ids_of(w.lower())]
+
+
 class WordIds:
-    """Token ids of texts, word by word: white space never joins tokens, so words can be kept.
+    """Token ids of texts, word by word where ``word_wise`` allows it, else of whole texts.
 
-    Words of letters are looked up without the ``.,;:!?`` at their end, which the tokenizer
+    White space never joins tokens then, so words can be kept. Words of letters are looked up without the ``.,;:!?`` at their end, which the tokenizer
     splits off; new ones are tokenized together, and the marks of word ends tell them apart.
     """
 
@@ -53,6 +77,7 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.kept = kept
+        self.word_wise = word_wise(path)
 
     def each(self, words: list[bytes]) -> dict[bytes, bytes]:
         got = self.encode([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
@@ -93,6 +118,9 @@ class WordIds:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Per text, its ids and the end id as little-endian 32-bit numbers."""
+        if not self.word_wise:
+            whole = (self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts)
+            return [np.array([*ids, END_ID], "<u4").tobytes() for ids in whole]
         raw = ((t or "").encode("utf-8", "surrogatepass") for t in texts)
         # lower-casing A-Z early makes fewer words, but could make a special token's string
         words = [(x if b"<|" in x else x.lower()).split() for x in raw]

@@ -31,6 +31,23 @@ def test_word_ids_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_other_tokenizers_get_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert packing.word_wise(tokenizer_path())
+    made = json.loads(open(tokenizer_path(), encoding="utf-8").read())
+    made["normalizer"] = None  # upper case stays: word by word in lower case would be wrong
+    path = f"{tmp_path}/t.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(made, f)
+    assert not packing.word_wise(path)
+    whole = Tokenizer.from_file(path)
+    texts = ["Upper and lower", None, "x"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(path)(texts)] == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
 @pytest.mark.parametrize("n", [0, 3, 150])
 def test_pack_is_an_exact_cover(spark, n):
     rows = documents(n=150) if n == 150 else documents()[:n]
@@ -131,6 +148,43 @@ def test_pfair_lag_is_below_one_block(shares):
     assert done == shares
 
 
+def simulated(blocks, shares):
+    """Slot by slot: of the released blocks of the live sources the one due first; a source's end starts anew."""
+    done, out = [0] * len(blocks), []
+    while any(d < b for d, b in zip(done, blocks)):
+        live = [s for s in range(len(blocks)) if done[s] < blocks[s]]
+        total = sum(shares[s] for s in live)
+        own, t = dict.fromkeys(live, 0), 0
+        while True:
+            ready = [(Fraction((own[s] + 1) * total, shares[s]).__ceil__(), s) for s in live if own[s] * total // shares[s] <= t]
+            s = min(ready)[1]
+            if done[s] == blocks[s]:
+                break
+            out.append((s, done[s]))
+            done[s] += 1
+            own[s] += 1
+            t += 1
+            if all(d == b for d, b in zip(done, blocks)):
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_phases_equal_a_simulation(seed):
+    rng = random.Random(seed)
+    blocks = [rng.randrange(0, 40) for _ in range(rng.randrange(1, 7))]
+    shares = [rng.randrange(1, 9) for _ in blocks]
+    runs, slots = mixing.phases(blocks, shares)
+    at = {(s, p, k): t for s, p, k, t in slots}
+    got = {}
+    for s, phase, lo, hi, first, period, share in runs:
+        for b in range(lo, hi):
+            slot = first + (b - lo) // share * period + at[s, phase, (b - lo) % share]
+            assert slot not in got
+            got[slot] = (s, b)
+    assert [got[t] for t in sorted(got)] == simulated(blocks, shares) and sorted(got) == list(range(sum(blocks)))
+
+
 def test_mix_places_every_row_once(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["src0"] * 6 + ["src1", "src2", "s3", None])) for i in range(900)] + [(7, "s3"), (None, "s3")]
