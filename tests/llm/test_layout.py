@@ -211,6 +211,33 @@ def test_mix_places_every_row_once(spark):
         mixing.mix(df, {"src0": 0})
 
 
+def test_rows_in_the_order_of_the_mix(spark, monkeypatch):
+    rows = [(i, f"text {i} " * (i % 50), f"src{min(i % 7, 3)}" if i % 11 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    want = [r.doc_id for r in mixing.mix(df, SHARES, block_rows=5).orderBy("mix_position").collect()]
+    for size in (1 << 25, 1 << 12):  # one file, many
+        monkeypatch.setattr(mixing, "FILE_BYTES", size)
+        monkeypatch.setattr(mixing, "LEAST_BYTES", size)
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", 100)
+        got = mixing.in_mix_order(df, SHARES, block_rows=5)
+        assert got.columns == df.columns and [r.doc_id for r in got.collect()] == want
+    assert got.rdd.getNumPartitions() > 20 and sorted(got.collect()) == sorted(df.collect())
+    # repeated and null ids, equal rows, columns with the work columns' names
+    same = [(None, "x" * (i % 9), "src0") for i in range(300)] + [(7, "y", "src1")] * 300 + [(8, None, "src2"), (8, "", "src2")]
+    more = df.unionByName(spark.createDataFrame(same, df.schema)).selectExpr("*", "doc_id as mix_key", "source as mix_source", "1 as `a.b`")
+    got = mixing.in_mix_order(more, SHARES, block_rows=5)
+    places = {r.mix_position: r.source for r in mixing.mix(more, SHARES, block_rows=5).collect()}
+    assert got.columns == more.columns and sorted(map(str, got.collect())) == sorted(map(str, more.collect()))
+    assert len(places) == len(rows) + len(same)
+    monkeypatch.setattr(mixing, "FILE_BYTES", 1 << 25)
+    monkeypatch.setattr(mixing, "LEAST_BYTES", 1 << 25)
+    assert [r.source for r in mixing.in_mix_order(more, SHARES, block_rows=5).collect()] == [places[p] for p in sorted(places)]
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_BUCKETS", 0)
+    assert [r.doc_id for r in mixing.in_mix_order(df, SHARES, block_rows=5).collect()] == want
+    assert mixing.in_mix_order(df.limit(0), SHARES).count() == 0
+
+
 @pytest.mark.parametrize("most", [2, 4096])
 def test_chat_rotation_by_hand(spark, monkeypatch, most):
     turns = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi"), (1, 2, "bob", None), (1, None, "ann", "late"), (2, 0, "system", "alone"),
