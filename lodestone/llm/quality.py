@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, hashed_words
+from .shared import bounded, hashed_words, tidy
 
 #: Labelled rows that the model is fitted on at most; preference pairs per text of the rarer kind
 #: (each text of the other kind is in one more).
@@ -119,12 +119,14 @@ class BradleyTerry:
 def fit(x: np.ndarray, good: np.ndarray, seed: int = 17, steps: int = 25) -> BradleyTerry:
     """Fit weights on preference pairs (good over poor); with one kind of label only, every text
     scores alike: 1 if all are good, else 0."""
-    wide = expanded(x)
+    wide = expanded(x.astype(float))
     if not len(x) or good.all() or not good.any():
         width = wide.shape[1]
         return BradleyTerry(np.zeros(width), np.ones(width), np.zeros(width), -60.0 if not len(x) or good.all() else 60.0)
     mean, scale = wide.mean(axis=0), np.maximum(wide.std(axis=0), 1e-6)
-    z = (wide - mean) / scale
+    z = wide  # in place, as it is the driver's largest array
+    z -= mean
+    z /= scale
     rng = np.random.default_rng(seed)
     win, lose = np.flatnonzero(good), np.flatnonzero(~good)
     few, many = sorted((win, lose), key=len)
@@ -176,10 +178,16 @@ def train(
     rows = docs.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(measured, "id long, y int, x binary")
     # one row per labelled id, so that the sample is bounded however often an id repeats
     rows = rows.groupBy("id").agg(F.first("y").alias("y"), F.min("x").alias("x")).collect()
-    x = np.frombuffer(b"".join(r["x"] for r in rows), "<f4").reshape(len(rows), WIDTH).astype(float)
+    rows.sort(key=lambda r: r["id"])  # the fit doesn't depend on the tasks' order
     y = np.array([r["y"] for r in rows], dtype=bool)
-    order = sorted(range(len(rows)), key=lambda i: rows[i]["id"])  # the fit doesn't depend on the tasks' order
-    return fit(x[order], y[order])
+    x = np.empty((len(rows), WIDTH), "<f4")
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r["x"], "<f4")
+    del rows
+    model = fit(x, y)
+    del x
+    tidy()
+    return model
 
 
 def score(documents: DataFrame, model: BradleyTerry, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
