@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, jaccard_join, kneser_ney, mixing, packing, quality, substring_dedup, topk, url_filter
+from . import chat, collocations, divergence, exact_dedup, jaccard_join, kneser_ney, mixing, packing, quality, simhash, substring_dedup, topk, url_filter
 
 #: Target shares of sources; those not named have one share each.
 SHARES = {"src0": 4, "src1": 2, "src2": 2}
@@ -63,6 +63,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "is_first")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 #: Every query of vec_id divisible by 50 against all rows.
 TOPK_SQL = """
 WITH v AS (
@@ -91,4 +103,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_perspectives": chat.ROTATION_SQL,
         "op8_exact_dedup": exact_dedup.DEDUP_SQL,
         "op9_url_rules": url_filter.judge_sql(),
+        "op11_source_divergence": divergence.DIVERGENCE_SQL,
+        "op12_collocations": collocations.COLLOCATION_SQL,
+        
     }
