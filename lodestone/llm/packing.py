@@ -94,11 +94,19 @@ class WordIds:
         raw, cuts = ids.tobytes(), cuts.tolist()
         return {w: raw[lo:hi] for w, lo, hi in zip(words, [0, *cuts], cuts)}
 
+    def is_letters(self, word: bytes) -> bool:
+        """Whether the word is one run of letters for the tokenizer, which normalises it first: some
+        letters have a lower case or a composition that ends in a mark."""
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode("utf-8", "replace")
+        return (self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text).isalpha()
+
     def learnt(self, new: list[bytes]) -> dict[bytes, bytes]:
         known, plain, odd, parts = self.known, {}, [], []
         for w in new:
             stem = w.rstrip(b".,;:!?")
-            if stem and stem.decode("utf-8", "replace").isalpha():
+            if stem and self.is_letters(stem):
                 parts.append((w, stem, w[len(stem) :]))
                 if stem not in known:
                     plain[stem] = True

@@ -31,6 +31,20 @@ def test_word_ids_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_every_letter_beside_punctuation_gets_its_ids():
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    letters = [chr(c) for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    ids_of = packing.WordIds(tokenizer_path())
+    for shape in ("{}.", "a{}!", "{}b;", ".{}", "{}"):
+        texts = [shape.format(c) for c in letters]
+        for lo in range(0, len(texts), 4096):
+            block = texts[lo : lo + 4096]
+            want = [np.array([*e.ids, 1], "<u4").tobytes() for e in whole.encode_batch(block, add_special_tokens=False)]
+            assert [t for t, a, b in zip(block, ids_of(block), want) if a != b] == []
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path):
     import json
 
