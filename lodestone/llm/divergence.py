@@ -22,6 +22,7 @@ from __future__ import annotations
 from math import ceil, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
@@ -151,11 +152,11 @@ def exact_counts(partial: DataFrame, min_docs: int) -> DataFrame:
     keyed = partial.withColumn("key", F.xxhash64("lang", "term"))
     sketch = CountMin(scratch(spark, "df-sketch"), width, min_docs).fill(keyed.select("key", "df"))
 
-    def possible(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(sketch.at_least(batch["key"].to_numpy().view(np.uint64), min_docs)))
+    @F.pandas_udf("boolean")
+    def possible(keys: pd.Series) -> pd.Series:
+        return pd.Series(sketch.at_least(keys.to_numpy().view(np.uint64), min_docs))
 
-    left = keyed.mapInArrow(possible, keyed.schema)
+    left = keyed.filter(possible("key"))  # only keys go to Python
     return left.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
