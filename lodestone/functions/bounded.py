@@ -1,97 +1,53 @@
-"""JSON texts kept within a number of characters and always valid."""
+"""JSON texts kept within a number of characters: always valid, and counting what went."""
 
 from __future__ import annotations
 
-import json
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import Column
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql import functions as F
 
-#: Characters of arguments and of a result, lists that give up their tails first, in
-#: this order, and the lengths that long strings are cut to, one after another.
+#: Characters of arguments and of a result.
 ARGUMENT_CHARS, RESULT_CHARS = 2000, 4000
-LISTS = ("results", "ingredients", "pairings", "candidates")
-STRING_CHARS = (200, 100, 50, 25)
-
-
-def _size(value: Any) -> int:
-    return len(json.dumps(value))
-
-
-def bounded_arguments(value: dict[str, Any], limit: int = ARGUMENT_CHARS) -> dict[str, Any]:
-    """The value if it fits, else those of its keys, in order, that fit beside the flag ``_truncated``."""
-    if _size(value) <= limit:
-        return value
-    kept: dict[str, Any] = {}
-    for key in sorted(value):
-        if _size(kept | {key: value[key], "_truncated": True}) <= limit:
-            kept[key] = value[key]
-    # the flag stands where the first try put it: after the first key that was looked at
-    first = next(iter(sorted(value)), None)
-    if first in kept:
-        return {first: kept.pop(first), "_truncated": True, **kept}
-    return {"_truncated": True, **kept}
-
-
-def shortened(text: str, most: int) -> str:
-    """Cut at a word's end, with an ellipsis."""
-    if len(text) <= most:
-        return text
-    head, blank, _ = text[:most].rpartition(" ")
-    return (head if blank and head else text[:most]) + "…"
-
-
-def _cut_strings(value: Any, most: int) -> Any:
-    """Strings that are values of an object, at any depth, cut to ``most``; bare ones in lists stay."""
-    if isinstance(value, dict):
-        return {k: shortened(v, most) if isinstance(v, str) else _cut_strings(v, most) for k, v in value.items()}
-    if isinstance(value, list):
-        return [_cut_strings(v, most) if isinstance(v, dict | list) else v for v in value]
-    return value
-
-
-def bounded_result(value: dict[str, Any], limit: int = RESULT_CHARS) -> dict[str, Any]:
-    """The value if it fits; else without tails of its lists, then with shorter strings, at last
-    only its identity. What was done stands in ``truncated`` and ``dropped_items``."""
-    if _size(value) <= limit:
-        return value
-    out, dropped = dict(value), 0
-    for key in LISTS:
-        if isinstance(out.get(key), list):
-            out[key] = list(out[key])
-            while out[key] and _size(out) > limit:
-                out[key].pop()
-                dropped += 1
-    for most in STRING_CHARS:
-        if _size(out) <= limit:
-            break
-        cut = _cut_strings(out, most)
-        if cut == out:
-            break
-        out = cut
-    out |= {"truncated": True, "dropped_items": dropped}
-    if _size(out) <= limit:
-        return out
-    least = {"tool": value.get("tool"), "ok": value.get("ok"), "truncated": True, "dropped_items": dropped, "note": "output too large; see the tool_call event"}
-    return least if _size(least) <= limit else {"truncated": True}
-
-
-def bounded_json(x: Column, limit: int, result: bool = False) -> Column:
-    """JSON objects within ``limit`` characters; null for what is no object."""
-    bound = bounded_result if result else bounded_arguments
-
-    @pandas_udf(StringType())
-    def each(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                value = json.loads(t) if t is not None else None
-            except ValueError:
-                return None
-            return json.dumps(bound(value, limit)) if isinstance(value, dict) else None
 
-        return texts.map(one)
 
-    return each(x)
+def json_of(x: Column) -> Column:
+    """Any value as JSON text; null as ``null``."""
+    listed = F.to_json(F.array(x), {"ignoreNullFields": "false"})
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _fitting(parts: Column, room: Column) -> Column:
+    """(text, went): the parts, joined by ``, ``, that fit into ``room`` when taken in their order,
+    and the number of the others."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("went"))
+
+    def taken(state: Column, part: Column) -> Column:
+        longer = F.concat(state["text"], F.when(state["text"] == "", "").otherwise(", "), part)
+        fits = F.length(longer) <= room
+        return F.struct(F.when(fits, longer).otherwise(state["text"]).alias("text"), (state["went"] + (~fits).cast("int")).alias("went"))
+
+    return F.aggregate(parts, start, taken)
+
+
+def bounded_object(fields: dict[str, Column], limit: int = ARGUMENT_CHARS) -> Column:
+    """An object of the fields, by name, if it has at most ``limit`` characters. Else those that
+    fit, tried by name, and their number's rest as ``_truncated``; fields whose value is too
+    long go whole, so that no value is half a value."""
+    parts = F.array(*(F.concat(F.lit(f'"{name}": '), json_of(fields[name])) for name in sorted(fields)))
+    whole = F.concat(F.lit("{"), F.array_join(parts, ", "), F.lit("}"))
+    mark = F.lit('"_truncated": ')
+    spare = F.lit(limit - len('{, "_truncated": }') - len(str(len(fields))))
+    return F.when(F.length(whole) <= limit, whole).otherwise(F.transform(
+        F.array(_fitting(parts, spare)),
+        lambda kept: F.concat(F.lit("{"), kept["text"], F.when(kept["text"] == "", "").otherwise(", "), mark, kept["went"].cast("string"), F.lit("}")))[0])
+
+
+def bounded_items(items: Column, limit: int = RESULT_CHARS) -> Column:
+    """(json, dropped): the longest leading part of the items, as a JSON array, that has at most
+    ``limit`` characters, and the number of items behind it. Null is an empty list."""
+    items = F.coalesce(items, F.array().cast("array<string>"))
+    ends = F.aggregate(
+        F.transform(items, lambda x: F.length(json_of(x)) + 2), F.array(F.lit(0)),
+        lambda sums, size: F.concat(sums, F.array(F.element_at(sums, -1) + size)))
+    count = F.size(F.filter(ends, lambda end: (end > 0) & (end <= limit)))
+    json = F.concat(F.lit("["), F.array_join(F.transform(F.slice(items, F.lit(1), count), json_of), ", "), F.lit("]"))
+    return F.struct(json.alias("json"), (F.size(items) - count).alias("dropped"))

@@ -97,21 +97,6 @@ def negated(text: Column, term: str) -> Column:
     return (F.size(cues) > 0) & F.forall(cues, lambda c: c)
 
 
-def longest_first(terms: list[str]) -> list[str]:
-    return sorted(set(terms), key=lambda t: (-len(t), t))
-
-
-def vocabulary_terms(text: Column, terms: list[str]) -> Column:
-    """The terms of a closed vocabulary that a text names, sorted; the first mention of a longer one
-    is blanked before shorter ones are looked for."""
-    t, found = F.lower(F.coalesce(text, F.lit(""))), []
-    for term in longest_first(terms):
-        whole = r"\b" + re.escape(term).replace(r"\ ", " ") + r"\b"
-        found.append(F.when(t.rlike(whole), term))
-        t = F.regexp_replace(t, "(?s)^(.*?)" + whole, "$1" + " " * len(term))
-    return F.sort_array(F.array_compact(F.array(*found)))
-
-
 @pandas_udf(BooleanType())
 def claims_fidelity(x: pd.Series) -> pd.Series:
     """Whether a clause claims to be true to the source without one of the three words before negating it."""

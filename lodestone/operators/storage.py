@@ -1,13 +1,15 @@
-"""Tables that are written once and read again, below the folder that all machines share."""
+"""Tables and arrays that are written once and read again, below the folder that all machines share."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
@@ -44,3 +46,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     uri = fresh_folder(df.sparkSession, name)
     df.write.parquet(uri)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def _mounted(uri: str) -> str | None:
+    """The path of a URI that this machine mounts, or None."""
+    return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith(("file:", "/")) else None
+
+
+def put_array(uri: str, name: str, values: np.ndarray) -> None:
+    """Write an array below ``uri``, whole or not at all; a task that runs again leaves the same one."""
+    raw = np.ascontiguousarray(values)
+    folder = _mounted(uri)
+    if folder:
+        os.makedirs(folder, exist_ok=True)
+        part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+        raw.tofile(part)
+        os.replace(part, f"{folder}/{name}")
+        return
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(uri)
+    store.create_dir(at, recursive=True)
+    part = f"{at}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as out:
+        out.write(raw.tobytes())
+    store.move(part, f"{at}/{name}")
+
+
+#: Arrays that a worker holds, mapped or read; the oldest goes first.
+MOST_MAPPED = 512
+_mapped: dict[tuple[str, str], np.ndarray] = {}
+
+
+def mapped(uri: str, name: str, dtype) -> np.ndarray:
+    """An array written by ``put_array``: memory-mapped where its folder is mounted, else read once."""
+    key = (uri, name)
+    if key not in _mapped:
+        while len(_mapped) >= MOST_MAPPED:
+            _mapped.pop(next(iter(_mapped)))
+        folder = _mounted(uri)
+        if folder:
+            path = f"{folder}/{name}"
+            _mapped[key] = np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
+        else:
+            from pyarrow import fs
+
+            store, at = fs.FileSystem.from_uri(uri)
+            with store.open_input_stream(f"{at}/{name}") as src:
+                _mapped[key] = np.frombuffer(src.read(), dtype)
+    return _mapped[key]

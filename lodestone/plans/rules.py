@@ -152,16 +152,19 @@ def marked(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\n", "\n## part\n").alias("text"))
 
 
+#: Entities replaced, the ampersand's last.
+_PLAIN = """replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&')"""
+
+
 #: Pages as they are here: a heading and paragraphs in one article; an open paragraph loses what it held.
 @query("htm01_html_sections", r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g') AS x FROM pages),
 h AS (SELECT page_id, regexp_extract(x, '(?s)<h1>(.*?)</h1>', 1) AS title, list_transform(regexp_extract_all(x, '(?s)<p>.*?</p>'), lambda p: string_split(p, '<p>')[-1]) AS ps FROM a),
 t AS (SELECT page_id, unnest([title]) AS title, list_transform(ps, lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'))) AS ps FROM h),
 j AS (SELECT page_id, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, array_to_string(list_filter(ps, lambda p: p <> ''), chr(10) || chr(10)) AS text FROM t)
-SELECT page_id, replace(title, '&amp;', '&') AS title, 0 AS n, replace(title, '&amp;', '&') AS section, replace(text, '&amp;', '&') AS text FROM j WHERE text <> ''""")
+SELECT page_id, e(title) AS title, 0 AS n, e(title) AS section, e(text) AS text FROM j WHERE text <> ''""".replace("e(title)", _PLAIN.format("title")).replace("e(text)", _PLAIN.format("text")))
 def htm01(spark, d):
-    pages = table(spark, d, "pages").select("page_id", H.html_page("html").alias("p"))
-    return pages.select("page_id", "p.title", F.posexplode("p.sections").alias("n", "s")).select("page_id", "title", "n", "s.section", "s.text")
+    return H.html_sections(table(spark, d, "pages").select("page_id", "html"), "html").select("page_id", "title", "n", "section", "text")
 
 
 @query("htm02_sections", """

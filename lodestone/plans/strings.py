@@ -8,7 +8,8 @@ from ..catalog import query
 from ..functions import bounded as B
 from ..functions import parsing as G
 from ..functions import text as T
-from ..sources.tables import table
+from ..operators import phrases as H
+from ..sources.tables import RECIPES_SQL, recipes, table
 
 #: A few written lines, as (id, line), for functions that plain prose does not exercise.
 LINES = [
@@ -205,7 +206,7 @@ def str21(spark, d):
 
 _VOCABULARY = ["olive oil", "oil", "flour", "milk", "eggs", "egg", "the and", "the", "red ring", "ring"]
 _TERMS_SQL = "SELECT id, lower(line) AS t0, ARRAY[]::VARCHAR[] AS f0 FROM x"
-for _n, _term in enumerate(G.longest_first(_VOCABULARY)):
+for _n, _term in enumerate(sorted(set(_VOCABULARY), key=lambda t: (-len(t), t))):
     _TERMS_SQL = (
         f"SELECT id, regexp_replace(t{_n}, '\\b{_term}\\b', '{' ' * len(_term)}') AS t{_n + 1}, CASE WHEN regexp_matches(t{_n}, '\\b{_term}\\b') THEN list_append(f{_n}, '{_term}') ELSE f{_n} END AS f{_n + 1} "
         f"FROM ({_TERMS_SQL})"
@@ -215,7 +216,10 @@ for _n, _term in enumerate(G.longest_first(_VOCABULARY)):
 @query("str22_vocabulary_terms", "WITH " + L + f", x AS (SELECT id, line FROM l UNION ALL SELECT -1 - doc_id, text FROM documents) SELECT id, list_sort(f{len(_VOCABULARY)}) AS terms FROM ({_TERMS_SQL})")
 def str22(spark, d):
     rows = lines(spark, d).union(docs(spark, d).select(-1 - F.col("doc_id"), "text"))
-    return rows.select("id", G.vocabulary_terms(F.col("line"), _VOCABULARY).alias("terms"))
+    named = sorted(_VOCABULARY)
+    index = H.PhraseIndex.build(spark.createDataFrame(list(enumerate(named)), "phrase_id long, phrase string"))
+    found = H.longest_mentions(rows, index, ["id"], "line")
+    return found.select("id", F.transform("phrase_ids", lambda k: F.element_at(F.array(*map(F.lit, named)), (k + 1).cast("int"))).alias("terms"))
 
 
 @query("str23_time_claims", "WITH " + L + r""", s(v) AS (VALUES ('25-30 minutes'), ('350°F')), c AS (SELECT id, unnest(regexp_extract_all(line, '[0-9]+(?:-[0-9]+)? ?(?:minutes|hour|°[FC])')) AS claim FROM l)
@@ -276,7 +280,16 @@ def vec11(spark, d):
 @query("srt12_bounded_json", r"""
 WITH t AS (SELECT doc_id, lang, n_chars, source, regexp_replace(text, '[^ !#-\[\]-~]', '?', 'g') AS x FROM documents),
 j AS (SELECT *, '{"lang": "' || lang || '", "n_chars": ' || n_chars || ', "source": "' || source || '", "text": "' || x || '"}' AS whole FROM t)
-SELECT doc_id, CASE WHEN length(whole) <= 300 THEN whole ELSE '{"lang": "' || lang || '", "_truncated": true, "n_chars": ' || n_chars || ', "source": "' || source || '"}' END AS json FROM j""")
+SELECT doc_id, CASE WHEN length(whole) <= 300 THEN whole ELSE '{"lang": "' || lang || '", "n_chars": ' || n_chars || ', "source": "' || source || '", "_truncated": 1}' END AS json FROM j""")
 def srt12(spark, d):
     x = F.regexp_replace("text", r"[^ !#-\[\]-~]", "?")
-    return docs(spark, d).select("doc_id", B.bounded_json(F.to_json(F.struct("lang", "n_chars", "source", x.alias("text"))), 300).alias("json"))
+    fields = {"lang": F.col("lang"), "n_chars": F.col("n_chars"), "source": F.col("source"), "text": x}
+    return docs(spark, d).select("doc_id", B.bounded_object(fields, 300).alias("json"))
+
+
+@query("srt12_bounded_items", f"""
+WITH {RECIPES_SQL}, n AS (SELECT source_id, unnest(names) AS name, generate_subscripts(names, 1) AS i, len(names) AS total FROM recipes),
+e AS (SELECT *, sum(length(name) + 4) OVER (PARTITION BY source_id ORDER BY i) AS upto FROM n)
+SELECT source_id, '[' || coalesce(string_agg('"' || name || '"', ', ' ORDER BY i) FILTER (upto <= 50), '') || ']' AS json, CAST(count(*) FILTER (upto > 50) AS INTEGER) AS dropped FROM e GROUP BY source_id""")
+def srt12b(spark, d):
+    return recipes(spark, d).select("source_id", B.bounded_items(F.col("names"), 50).alias("b")).select("source_id", "b.json", "b.dropped")
