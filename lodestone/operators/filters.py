@@ -114,3 +114,16 @@ def ordered_pattern(title: Column, terms: Column, most: int = 3) -> Column:
     kept = F.slice(F.filter(terms, lambda t: F.length(t) > 2), 1, most)
     escaped = F.transform(kept, lambda t: F.regexp_replace(t, r"([%_\\])", r"\\$1"))
     return F.when(F.size(kept) > 0, F.call_function("ilike", title, F.concat(F.lit("%"), F.array_join(escaped, "%"), F.lit("%")))).otherwise(False)
+
+
+def trigrams(x: Column) -> Column:
+    """All distinct runs of three characters of the lower-cased text; null and short texts have none."""
+    t = F.lower(F.coalesce(x, F.lit("")))
+    return F.when(F.length(t) < 3, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t) - 2)), lambda i: F.substring(t, i, F.lit(3)))))
+
+
+def pattern_trigrams(terms: Column, most: int = 3) -> Column:
+    """What every text that ``ordered_pattern`` accepts has among its trigrams."""
+    kept = F.slice(F.filter(terms, lambda t: F.length(t) > 2), 1, most)
+    return F.array_distinct(F.flatten(F.transform(kept, trigrams)))

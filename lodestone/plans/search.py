@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import query
 from ..functions import requests as Q
 from ..functions import text as T
+from ..operators import blocks as B
 from ..operators import filters as P
 from ..operators import postings as N
 from ..operators import search as S
@@ -28,6 +29,15 @@ def term_table(spark, d):
     return N.stored(spark, f"{d}/documents.parquet", "terms", lambda docs: N.terms(docs, ["doc_id"]), ["doc_id"])
 
 
+def document_blocks(spark, d):
+    """Blocked posting lists of the documents' tokens, built by the first ranked search of a session."""
+    return B.stored(spark, [f"{d}/documents.parquet"], "tokens", lambda: B.build(table(spark, d, "documents"), ["doc_id"], T.tokens(F.col("text"))))
+
+
+def query_slots(spark, d):
+    return B.slots_of(_queries(spark, d))
+
+
 def case_hits(spark, d):
     return S.hits_in(term_table(spark, d), _queries(spark, d), ["doc_id"])
 
@@ -41,6 +51,10 @@ def _shown(df, *more):
     return df.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"), *more)
 
 
+def _best(df, *more):
+    return df.select("query_id", "doc_id", "rank", F.round(F.col("hits") * S.WEIGHT, 6).alias("score"), *more)
+
+
 @query("fts01_search_document", r"SELECT doc_id, trim(regexp_replace(concat_ws(' ', lang, source, text), '\s+', ' ', 'g')) AS document FROM documents")
 def fts01(spark, d):
     return table(spark, d, "documents").select("doc_id", T.collapsed(F.concat_ws(" ", "lang", "source", "text")).alias("document"))
@@ -57,14 +71,18 @@ def fts02(spark, d):
 
 @query("fts03_all_terms", _top("matched = n_slots", "hits DESC", 20))
 def fts03(spark, d):
-    return _shown(S.top(S.only_all(case_hits(spark, d)), ["doc_id"], 20, [F.desc("hits")]))
+    return _best(B.top(document_blocks(spark, d), query_slots(spark, d), 20, every=True))
 
 
 @query("fts04_all_then_any", f"""WITH {HITS_SQL}, m AS (SELECT *, max(CAST(matched = n_slots AS INT)) OVER (PARTITION BY query_id) AS a FROM hits),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, hits DESC, doc_id) AS rank FROM m WHERE a = 0 OR matched = n_slots)
 SELECT query_id, doc_id, rank, round(hits * 1e-1, 6) AS score, CASE WHEN a = 1 THEN 'all' ELSE 'any' END AS match FROM r WHERE rank <= 10""")
 def fts04(spark, d):
-    return _shown(S.top(S.all_then_any(case_hits(spark, d)), ["doc_id"], 10, [F.desc("matched"), F.desc("hits")]), "match")
+    found = B.top(document_blocks(spark, d), query_slots(spark, d), 10, by_match=True)
+    # the first of a query has all terms if any document has
+    whole = F.max(F.col("matched") == F.col("n_slots")).over(Window.partitionBy("query_id"))  # ten rows a query
+    found = found.withColumn("whole", whole).filter(~F.col("whole") | (F.col("matched") == F.col("n_slots")))
+    return _best(found, F.when(F.col("whole"), "all").otherwise("any").alias("match"))
 
 
 @query("fts05_synonyms", """
@@ -118,7 +136,7 @@ def fts08(spark, d):
 
 @query("fts09_top_k", _top("true", "hits DESC", 5))
 def fts09(spark, d):
-    return _shown(S.top(case_hits(spark, d), ["doc_id"], 5, [F.desc("hits")]))
+    return _best(B.top(document_blocks(spark, d), query_slots(spark, d), 5))
 
 
 @query("fts10_single_and_all_datasets", f"""WITH {HITS_SQL} SELECT query_id, source = 'src0' AS scoped, count(*) AS n FROM hits JOIN documents USING (doc_id) WHERE matched = n_slots GROUP BY ALL""")
