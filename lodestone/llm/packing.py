@@ -76,6 +76,8 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.plain_letters: set[str] = set()
+        self.odd: set[str] = set()
         self.kept = kept
         self.word_wise = word_wise(path)
 
@@ -94,19 +96,22 @@ class WordIds:
         raw, cuts = ids.tobytes(), cuts.tolist()
         return {w: raw[lo:hi] for w, lo, hi in zip(words, [0, *cuts], cuts)}
 
-    def is_letters(self, word: bytes) -> bool:
-        """Whether the word is one run of letters for the tokenizer, which normalises it first: some
-        letters have a lower case or a composition that ends in a mark."""
-        if word.isascii():
-            return word.isalpha()
-        text = word.decode("utf-8", "replace")
-        return (self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text).isalpha()
+    def odd_letters(self, words: list[bytes]) -> set[str]:
+        """Letters among the words that the tokenizer's normalising makes into more than letters: their
+        lower case or composition ends in a mark, which it joins with punctuation."""
+        normalizer = self.tokenizer.normalizer
+        for c in set(b"".join(words).decode("utf-8", "replace")) - self.plain_letters - self.odd:
+            kept = c.isascii() or not c.isalpha() or normalizer is None or normalizer.normalize_str(c).isalpha()
+            (self.plain_letters if kept else self.odd).add(c)
+        return self.odd
 
     def learnt(self, new: list[bytes]) -> dict[bytes, bytes]:
         known, plain, odd, parts = self.known, {}, [], []
+        marked = self.odd_letters(new)
         for w in new:
             stem = w.rstrip(b".,;:!?")
-            if stem and self.is_letters(stem):
+            text = stem.decode("utf-8", "replace")
+            if text.isalpha() and marked.isdisjoint(text):
                 parts.append((w, stem, w[len(stem) :]))
                 if stem not in known:
                     plain[stem] = True
