@@ -9,6 +9,7 @@ from ..functions import bounded as B
 from ..functions import parsing as G
 from ..functions import text as T
 from ..operators import phrases as H
+from ..operators import similar as S
 from ..sources.tables import RECIPES_SQL, recipes, table
 
 #: A few written lines, as (id, line), for functions that plain prose does not exercise.
@@ -277,6 +278,27 @@ def vec11(spark, d):
     return G.suggestions(names, [(1, "red bolts"), (2, "widgt"), (3, "zzz"), (4, "ring"), (5, "a very large bolt")])
 
 
+#: Terms as users type them: names with a letter less, one changed, in the plural, or as one word.
+_TYPED = """CASE p_partkey % 5 WHEN 0 THEN concat(substring(p_name, 1, 3), substring(p_name, 5, 100)) WHEN 1 THEN replace(p_name, 'e', 'a') WHEN 2 THEN concat(p_name, 's')
+  WHEN 3 THEN replace(p_name, ' ', '') ELSE substring(p_name, 1, 4) END"""
+
+
+@query("vec11_suggestions_table")
+def vec11_table(spark, d):
+    """Suggestions for every typed form of every part's name; difflib's ratio has no SQL."""
+    parts = table(spark, d, "part")
+    return S.suggestions(parts.select(F.col("p_name").alias("name")), parts.select(F.expr(_TYPED).alias("term")))
+
+
+@query("vec11_containing", f"""
+WITH n AS (SELECT DISTINCT p_name AS name, {_TYPED} AS term FROM part), a AS (SELECT DISTINCT name FROM n), b AS (SELECT DISTINCT term FROM n)
+SELECT term, count(*) AS names FROM a JOIN b ON contains(name, term) GROUP BY term""")
+def vec11_containing(spark, d):
+    parts = table(spark, d, "part")
+    found = S.containing(parts.select(F.expr(_TYPED).alias("inner")).distinct(), parts.select(F.col("p_name").alias("outer")).distinct())
+    return found.groupBy(F.col("inner").alias("term")).agg(F.count("*").alias("names"))
+
+
 @query("srt12_bounded_json", r"""
 WITH t AS (SELECT doc_id, lang, n_chars, source, regexp_replace(text, '[^ !#-\[\]-~]', '?', 'g') AS x FROM documents),
 j AS (SELECT *, '{"lang": "' || lang || '", "n_chars": ' || n_chars || ', "source": "' || source || '", "text": "' || x || '"}' AS whole FROM t)
