@@ -32,6 +32,8 @@ CAPACITY, GRAIN, END_ID = 2048, 4, 1
 KEPT_WORDS, BYTES_A_WORD = 400_000, 10
 #: New words that are tokenized at once.
 TOGETHER = 16_384
+#: Parts of the sequences that follow a given order.
+SLICES = 64
 #: Rows of a class that are ranked together.
 BUCKET_ROWS = 20_000
 
@@ -110,8 +112,7 @@ class WordIds:
         marked = self.odd_letters(new)
         for w in new:
             stem = w.rstrip(b".,;:!?")
-            text = stem.decode("utf-8", "replace")
-            if text.isalpha() and marked.isdisjoint(text):
+            if stem.isalpha() if stem.isascii() else (text := stem.decode("utf-8", "replace")).isalpha() and marked.isdisjoint(text):
                 parts.append((w, stem, w[len(stem) :]))
                 if stem not in known:
                     plain[stem] = True
@@ -297,23 +298,30 @@ def most_left(sizes: np.ndarray, capacity: int) -> int:
     return int((capacity // sizes).sum())
 
 
-def _ranked(pieces: DataFrame, total: int) -> DataFrame:
-    """Adds rank: a distinct number from 0 within each class, without one task per class."""
+def _ranked(pieces: DataFrame, total: int, ordered: bool) -> DataFrame:
+    """Adds rank: a distinct number from 0 within each class, without one task per class. It grows with
+    the pieces' window and place if they are ordered, else with a hash."""
     buckets = max(1, ceil(total / BUCKET_ROWS))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)).cast("int"))
+    hashed = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)).cast("int")
+    rows = pieces.withColumn("bucket", F.col("window") if ordered else hashed)
     sums = rows.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("class", "bucket").orderBy("doc_id", "start", "salt")
+    order = Window.partitionBy("class", "bucket").orderBy(*(["place"] if ordered else []), "doc_id", "start", "salt")
     return rows.withColumn("nth", F.row_number().over(order)).join(sums, ["class", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1).drop("bucket", "nth", "before")
 
 
 def pack(
     documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, grain: int = GRAIN,
-    kept_words: int = KEPT_WORDS,
+    kept_words: int = KEPT_WORDS, order: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
+    ``order`` names two columns of whole numbers: the window of each document in a given order, and its place
+    there. Sequences are then numbered in that order, as near as one of SLICES parts of all
+    sequences: a part's pieces of every class come from the same part of the documents. Pieces
+    that the plan leaves over, a bounded number of the last ones, come at the end.
+
     ``tokenizer`` is the path of a tokenizer file that all machines have; ``kept_words`` bounds
     what a worker remembers of it. A document's ids are
     those of its text without special tokens, then id 1. Returns one row per piece: id,
@@ -328,7 +336,8 @@ def pack(
     if capacity % grain:
         raise ValueError("capacity is a multiple of grain")
     spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    window, place = (F.col(c).cast("long") for c in order) if order else (F.lit(0).cast("long"),) * 2
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), window.alias("window"), place.alias("place"))
     step = 4 * capacity
 
     def word_ids_of() -> WordIds:
@@ -339,17 +348,16 @@ def pack(
         salt = 0
         for batch in bounded(batches, "text", BYTES_A_WORD * kept_words):
             rows = []
-            for doc, ids in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist())):
+            for doc, ids, w, p in zip(batch["doc_id"].to_pylist(), ids_of(batch["text"].to_pylist()), batch["window"].to_pylist(), batch["place"].to_pylist()):
                 for at in range(0, len(ids), step):
                     piece = ids[at : at + step]
-                    rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, salt))
+                    rows.append((doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, salt, w, p))
                     salt += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"])
+                [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 8)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt", "window", "place"])
 
     pieces = written(
-        docs.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long")
+        docs.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long, window long, place long")
         .withColumn("class", F.ceil(F.col("length") / grain).cast("int") + (F.col("length") == capacity).cast("int")),
         "pieces",
     )
@@ -357,29 +365,31 @@ def pack(
     demand = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}
     classes = np.array(sorted(c for c in demand if c != full), dtype=np.int64)
     plan = cutting_stock(classes, np.array([demand[c] for c in classes]), capacity // grain)
-    runs, served, sequence = [], dict.fromkeys(demand, 0), 0
-    for copies, pattern in plan:
-        for i in np.flatnonzero(pattern):
-            c, each = int(classes[i]), int(pattern[i])
-            runs.append((c, served[c], served[c] + copies * each, sequence, each))
-            served[c] += copies * each
-        sequence += copies
+    plan = [(copies, [(int(classes[i]), int(pattern[i])) for i in np.flatnonzero(pattern)]) for copies, pattern in plan]
     if full in demand:
-        runs.append((full, 0, demand[full], sequence, 1))
-        sequence += demand[full]
+        plan.append((demand[full], [(full, 1)]))
+    runs, served, sequence = [], dict.fromkeys(demand, 0), 0
+    slices = SLICES if order else 1
+    for k in range(slices):  # the same part of every pattern's copies
+        for copies, pattern in plan:
+            own = copies * (k + 1) // slices - copies * k // slices
+            for c, each in pattern if own else ():
+                runs.append((c, served[c], served[c] + own * each, sequence, each))
+                served[c] += own * each
+            sequence += own
     if sum(demand[int(c)] - served[int(c)] for c in classes) > most_left(classes, capacity // grain):
         raise AssertionError("more pieces left over than a pattern of each class holds")
     table = spark.createDataFrame(runs, "c int, lo long, hi long, first long, each int")
-    ranked = _ranked(pieces, sum(demand.values()))
+    ranked = _ranked(pieces, sum(demand.values()), order is not None)
     placed = written(
         ranked.join(F.broadcast(table), (F.col("class") == F.col("c")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt",
                 F.expr("first + (rank - lo) div each").alias("sequence_id")), "placed",
     )
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"]
-    order = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "salt")
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "doc_id", "start", "salt")
     whole = placed.filter(F.col("sequence_id").isNotNull()).select(
-        *columns, (F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
+        *columns, (F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")).alias("offset"),
         F.sum("length").over(Window.partitionBy("sequence_id")).alias("used"),
     )
     # cutting_stock leaves fewer than most_left pieces, whatever the histogram
@@ -432,7 +442,7 @@ def _recut(docs: DataFrame, left: list, sequence: int, word_ids_of: Callable[[],
 
     key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     owners = cuts.select(F.col("doc_id").alias("d")).distinct()
-    few = docs.join(F.broadcast(owners), docs["doc_id"].eqNullSafe(F.col("d")), "left_semi")
+    few = docs.drop("window", "place").join(F.broadcast(owners), docs["doc_id"].eqNullSafe(F.col("d")), "left_semi")
     # equal keys hold equal ids; one copy serves all rows that repeat them
     found = few.mapInArrow(again, ", ".join(f"{c} long" for c in key) + ", ids binary").dropDuplicates(key)
     same = cuts["doc_id"].eqNullSafe(found["doc_id"])

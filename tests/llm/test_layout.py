@@ -62,6 +62,39 @@ def test_other_tokenizers_get_whole_texts(tmp_path):
     assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(path)(texts)] == [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_sequences_follow_the_mix(spark, tmp_path):
+    """Every prefix of the sequences has the tokens of each source that the same prefix of the mix has."""
+    rng = random.Random(6)
+    sources = ["src0"] * 900 + ["src1"] * 300 + ["src9"] * 500
+    rows = [(i, " ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([20, 90, 300, 1100]))), s) for i, s in enumerate(sources)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixing.in_mix_order(df, SHARES, block_rows=10).write.parquet(f"{tmp_path}/mix")
+    docs = spark.read.parquet(f"{tmp_path}/mix")
+    files = docs.selectExpr("_metadata.file_name AS f", "_metadata.row_index AS r", "doc_id").collect()
+    assert len({r.f for r in files}) > 1
+    source, tokens = {i: s for i, _, s in rows}, {}
+    got = pipeline.packing(spark, docs, "").collect()
+    for r in got:
+        tokens[r.doc_id] = r.doc_tokens
+    last = max(r.sequence_id for r in got) + 1
+    in_order = [r.doc_id for r in sorted(files, key=lambda r: (r.f, r.r))]
+    total = sum(tokens.values())
+    assert sum(r.length for r in got) == total
+    for tenth in range(1, 11):
+        packed, mixed_, left = defaultdict(int), defaultdict(int), total * tenth / 10
+        for r in got:
+            if r.sequence_id < last * tenth / 10:
+                packed[source[r.doc_id]] += r.length
+        for i in in_order:
+            if left <= 0:
+                break
+            mixed_[source[i]] += tokens[i]
+            left -= tokens[i]
+        for s in set(sources):
+            assert abs(packed[s] / sum(packed.values()) - mixed_[s] / sum(mixed_.values())) < 0.06, (tenth, s, dict(packed), dict(mixed_))
+    assert {source[i] for i in in_order[-100:]} != set(sources)  # a source has ended by then, so that a random order would differ
+
+
 @pytest.mark.parametrize("n", [0, 3, 150])
 def test_pack_is_an_exact_cover(spark, n):
     rows = documents(n=150) if n == 150 else documents()[:n]
