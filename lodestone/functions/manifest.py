@@ -1,4 +1,4 @@
-"""Driver-side identities: canonical JSON hashes, frozen files, atomic writes, schema pins."""
+"""Identities: canonical JSON hashes, frozen files, atomic writes, schema pins."""
 
 from __future__ import annotations
 
@@ -9,6 +9,11 @@ import tempfile
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .bounded import json_of
+
 
 def canonical_json(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -49,3 +54,9 @@ class Cache:
 
     def write(self, key: Any, value: Any) -> None:
         write_atomic(self.path(key), {"value": value, "versions": self.versions})
+
+
+def object_hash(fields: Mapping[str, Column]) -> Column:
+    """SHA-256 of the canonical JSON of an object of columns: names sorted, no blanks."""
+    parts = [F.concat(F.lit(json.dumps(name) + ":"), json_of(fields[name])) for name in sorted(fields)]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import files_state, written
 
 #: Documents of a block, and blocks of a query that are scored first.
 BLOCK, FIRST_BLOCKS = 512, 2
@@ -74,14 +74,7 @@ _built: dict[tuple, Blocks] = {}
 
 def stored(spark: SparkSession, paths: list[str], kind: str, make: Callable[[], Blocks]) -> Blocks:
     """What ``make`` built of the files below ``paths``, again as long as every one of them is the same."""
-    jvm, seen = spark._jvm, []
-    for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
-        while files.hasNext():
-            f = files.next()
-            seen.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
-    key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, kind, tuple(sorted(seen)))
+    key = (kind, *files_state(spark, paths))
     if key not in _built:
         _built[key] = make()
     return _built[key]
@@ -151,14 +144,12 @@ def top(blocks: Blocks, slots: DataFrame, limit: int, every: bool = False, by_ma
     The order is by hits, or by matched slots and then hits (``by_match``), then by key. ``every`` asks for
     documents that match all slots. Queries without results have no rows.
     """
-    able = written(candidates(blocks, slots, every, by_match), "candidate-blocks")
     place = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    first = written(able.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= first_blocks), "first-blocks")
-    found = written(scored(blocks, slots, first, every, by_match, limit), "first-scores")
+    able = written(candidates(blocks, slots, every, by_match).withColumn("nth", F.row_number().over(place)), "candidate-blocks")
+    found = written(scored(blocks, slots, able.filter(F.col("nth") <= first_blocks), every, by_match, limit), "first-scores")
     last = _ranked(found, limit).filter(F.col("rank") == limit).select("query_id", F.col("score").alias("least"))
     # a block that can only draw level may hold a lesser key
-    rest = able.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti").join(last, "query_id", "left")
-    rest = written(rest.filter(F.col("least").isNull() | (F.col("bound") >= F.col("least"))), "open-blocks")
+    rest = able.filter(F.col("nth") > first_blocks).join(last, "query_id", "left").filter(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
     more = scored(blocks, slots, rest, every, by_match, limit)
     out = _ranked(found.unionByName(more), limit).join(blocks.numbers, "no")
     return out.select("query_id", *blocks.keys, "matched", "n_slots", "hits", "rank")

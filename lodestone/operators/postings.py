@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from .storage import written
+from .storage import files_state, written
 
 #: Terms that a search hands to the scan as a filter; more are only joined.
 MOST_LISTED = 1000
@@ -53,10 +53,7 @@ _stored: dict[tuple, DataFrame] = {}
 
 def stored(spark: SparkSession, path: str, kind: str, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     """The table that ``make`` makes of the Parquet files at ``path``, from disk if they haven't changed."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
-    key = (spark.sparkContext.applicationId, spark.sparkContext.startTime, path, kind, status.getModificationTime(), status.getLen())
+    key = (kind, *files_state(spark, [path]))
     if key not in _stored:
         made = make(spark.read.parquet(path))
         _stored[key] = written(made.repartitionByRange("term", *keys).sortWithinPartitions("term", *keys), f"postings-{kind}")

@@ -48,6 +48,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def files_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Every file below the paths with its time and length, and the application that looked: the same as long
+    as nothing is rewritten."""
+    jvm, seen = spark._jvm, []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return spark.sparkContext.applicationId, spark.sparkContext.startTime, *sorted(seen)
+
+
 def _mounted(uri: str) -> str | None:
     """The path of a URI that this machine mounts, or None."""
     return "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith(("file:", "/")) else None

@@ -9,7 +9,12 @@ from ..functions import rational as R
 from ..sources.tables import table
 
 AMOUNTS = [(1, "3"), (2, "1.5"), (3, "1/2"), (4, "1 1/2"), (5, "6/4"), (6, "to taste"), (7, "1-2"), (8, "1/0"), (9, "2 cups"), (10, "0"), (11, ""), (12, "10/5"), (13, "0.25")]
-_AMOUNTS = "a(id, t) AS (SELECT CAST(i AS BIGINT), s FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in AMOUNTS) + ") v(i, s))"
+#: And one amount per line of an order, in both dialects of SQL.
+LINE_AMOUNT = """CASE l_partkey % 8 WHEN 0 THEN CAST(CAST(l_quantity AS INT) AS STRING) WHEN 1 THEN concat(CAST(l_quantity AS INT), '.', l_linenumber) WHEN 2 THEN concat(l_linenumber, '/', CAST(l_quantity AS INT))
+  WHEN 3 THEN concat(l_linenumber, ' 1/', CAST(l_quantity AS INT) + 1) WHEN 4 THEN 'to taste' WHEN 5 THEN concat(CAST(l_quantity AS INT), '-', CAST(l_quantity AS INT) + 1)
+  WHEN 6 THEN concat(CAST(l_quantity AS INT), ' cups') ELSE concat(CAST(l_quantity AS INT), '/0') END"""
+_LINE_ID = "100 + l_orderkey * 10 + l_linenumber"
+_AMOUNTS = "a(id, t) AS (SELECT CAST(i AS BIGINT), s FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in AMOUNTS) + f") v(i, s) UNION ALL SELECT {_LINE_ID}, {LINE_AMOUNT.replace('AS STRING', 'AS VARCHAR')} FROM lineitem)"
 _PARTS = _AMOUNTS + r""", p AS (SELECT id, t, CASE WHEN regexp_full_match(t, '[0-9]+') THEN CAST(t AS BIGINT) WHEN regexp_full_match(t, '[0-9]+/[0-9]+') THEN CAST(split_part(t, '/', 1) AS BIGINT)
   WHEN regexp_full_match(t, '[0-9]+ [0-9]+/[0-9]+') THEN CAST(split_part(t, ' ', 1) AS BIGINT) * CAST(split_part(t, '/', 2) AS BIGINT) + CAST(split_part(split_part(t, ' ', 2), '/', 1) AS BIGINT)
   WHEN regexp_full_match(t, '[0-9]+\.[0-9]+') THEN CAST(replace(t, '.', '') AS BIGINT) END AS n, CASE WHEN contains(t, '/') THEN try_cast(split_part(t, '/', 2) AS BIGINT)
@@ -17,37 +22,66 @@ _PARTS = _AMOUNTS + r""", p AS (SELECT id, t, CASE WHEN regexp_full_match(t, '[0
 q AS (SELECT id, t, CASE WHEN n > 0 AND m > 0 THEN n // gcd(n, m) END AS num, CASE WHEN n > 0 AND m > 0 THEN m // gcd(n, m) END AS den FROM p)"""
 
 
-def amounts(spark):
-    return spark.createDataFrame(AMOUNTS, "id long, t string").withColumn("q", R.quantity(F.col("t")))
+def amounts(spark, d):
+    """(id, t, q): written amounts, and one per line of an order."""
+    lines = table(spark, d, "lineitem").select(F.expr(_LINE_ID).cast("long").alias("id"), F.expr(LINE_AMOUNT).alias("t"))
+    return spark.createDataFrame(AMOUNTS, "id long, t string").unionByName(lines).withColumn("q", R.quantity(F.col("t")))
 
 
 @query("mth01_quantity", f"WITH {_PARTS} SELECT id, num, den FROM q")
 def mth01(spark, d):
-    return amounts(spark).select("id", "q.num", "q.den")
+    return amounts(spark, d).select("id", "q.num", "q.den")
 
 
-@query("mth02_iso_minutes", r"""
-WITH t(id, x) AS (VALUES (1, 'PT10M'), (2, 'PT1H30M30S'), (3, 'PT'), (4, 'bad'), (5, 'PT1.5S'), (6, NULL)), p AS (SELECT id, x, regexp_full_match(x, 'PT([0-9]+H)?([0-9]+M)?([0-9]+(\.[0-9]+)?S)?') AND x <> 'PT' AS ok,
+#: A duration per part, in both dialects of SQL.
+_DURATION = """CASE p_partkey % 6 WHEN 0 THEN concat('PT', p_size, 'M') WHEN 1 THEN concat('PT', p_size, 'H', p_partkey % 60, 'M') WHEN 2 THEN concat('PT', p_size, '.5S')
+  WHEN 3 THEN concat('P', p_size, 'D') WHEN 4 THEN concat('PT', p_size, 'H', p_size, 'S') END"""
+
+
+@query("mth02_iso_minutes", rf"""
+WITH t(id, x) AS (SELECT * FROM (VALUES (1, 'PT10M'), (2, 'PT1H30M30S'), (3, 'PT'), (4, 'bad'), (5, 'PT1.5S'), (6, NULL)) UNION ALL SELECT p_partkey + 100, {_DURATION} FROM part), p AS (SELECT id, x, regexp_full_match(x, 'PT([0-9]+H)?([0-9]+M)?([0-9]+(\.[0-9]+)?S)?') AND x <> 'PT' AS ok,
   coalesce(try_cast(regexp_extract(x, '([0-9]+)H', 1) AS DOUBLE), 0) AS h, coalesce(try_cast(regexp_extract(x, '([0-9]+)M', 1) AS DOUBLE), 0) AS m, coalesce(try_cast(regexp_extract(x, '([0-9.]+)S', 1) AS DOUBLE), 0) AS s FROM t)
 SELECT CAST(id AS BIGINT) AS id, CASE WHEN ok THEN round(h * 60 + m + s / 60, 6) END AS minutes FROM p""")
 def mth02(spark, d):
     rows = [(1, "PT10M"), (2, "PT1H30M30S"), (3, "PT"), (4, "bad"), (5, "PT1.5S"), (6, None)]
-    return spark.createDataFrame(rows, "id long, x string").select("id", F.round(R.iso_minutes(F.col("x")), 6).alias("minutes"))
+    parts = table(spark, d, "part").select((F.col("p_partkey") + 100).alias("id"), F.expr(_DURATION).alias("x"))
+    return spark.createDataFrame(rows, "id long, x string").unionByName(parts).select("id", F.round(R.iso_minutes(F.col("x")), 6).alias("minutes"))
 
 
 UNIT_ROWS = [(1, "Cups"), (2, "tbsp."), (3, "grams"), (4, "lb"), (5, "pinch"), (6, ""), (7, None), (8, "L")]
 
 
-@query("mth03_canonical_units", """
-WITH u(id, unit, c) AS (VALUES (1, 'Cups', 'cup'), (2, 'tbsp.', 'tbsp'), (3, 'grams', 'g'), (4, 'lb', 'lb'), (5, 'pinch', NULL), (6, '', NULL), (7, NULL, NULL), (8, 'L', 'l')) SELECT CAST(id AS BIGINT) AS id, c AS unit FROM u""")
+#: Unit words, and one per part: as it is, in capitals, or with a full stop.
+_WORDS = [*sorted(u for g in R.UNITS.values() for u in g), *sorted(R.ALIASES), "pinch", "can"]
+_SHORT = {u: u for g in R.UNITS.values() for u in g} | R.ALIASES
+_FAMILY = {w: next(f for f, g in R.UNITS.items() if _SHORT[w] in g) for w in _SHORT}
+_WRITTEN = "CASE p_size % 3 WHEN 0 THEN w WHEN 1 THEN upper(w) ELSE concat(w, '.') END"
+_WORD_LIST = "[" + ", ".join(f"'{w}'" for w in _WORDS) + "]"
+_PART_WORDS = f"pw AS (SELECT p_partkey + 100 AS id, w, {_WRITTEN} AS unit FROM (SELECT p_partkey, p_size, {_WORD_LIST}[1 + p_partkey % {len(_WORDS)}] AS w FROM part))"
+
+
+def _pairs(found: dict, default: str) -> str:
+    return "CASE w " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in found.items()) + f" ELSE {default} END"
+
+
+def unit_rows(spark, d):
+    w = F.element_at(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % len(_WORDS) + 1).cast("int"))
+    parts = table(spark, d, "part").select((F.col("p_partkey") + 100).alias("id"), "p_size", w.alias("w")).select("id", F.expr(_WRITTEN).alias("unit"))
+    return spark.createDataFrame(UNIT_ROWS, "id long, unit string").unionByName(parts)
+
+
+@query("mth03_canonical_units", f"""
+WITH u(id, unit, c) AS (VALUES (1, 'Cups', 'cup'), (2, 'tbsp.', 'tbsp'), (3, 'grams', 'g'), (4, 'lb', 'lb'), (5, 'pinch', NULL), (6, '', NULL), (7, NULL, NULL), (8, 'L', 'l')), {_PART_WORDS}
+SELECT CAST(id AS BIGINT) AS id, c AS unit FROM u UNION ALL SELECT id, {_pairs(_SHORT, 'NULL')} FROM pw""")
 def mth03(spark, d):
-    return spark.createDataFrame(UNIT_ROWS, "id long, unit string").select("id", R.canonical_unit(F.col("unit")).alias("unit"))
+    return unit_rows(spark, d).select("id", R.canonical_unit(F.col("unit")).alias("unit"))
 
 
-@query("mth04_unit_families", """
-WITH u(id, f) AS (VALUES (1, 'volume'), (2, 'volume'), (3, 'mass'), (4, 'mass'), (5, 'other'), (6, 'none'), (7, 'none'), (8, 'volume')) SELECT CAST(id AS BIGINT) AS id, f AS family FROM u""")
+@query("mth04_unit_families", f"""
+WITH u(id, f) AS (VALUES (1, 'volume'), (2, 'volume'), (3, 'mass'), (4, 'mass'), (5, 'other'), (6, 'none'), (7, 'none'), (8, 'volume')), {_PART_WORDS}
+SELECT CAST(id AS BIGINT) AS id, f AS family FROM u UNION ALL SELECT id, {_pairs(_FAMILY, "'other'")} FROM pw""")
 def mth04(spark, d):
-    return spark.createDataFrame(UNIT_ROWS, "id long, unit string").select("id", R.unit_family(F.col("unit")).alias("family"))
+    return unit_rows(spark, d).select("id", R.unit_family(F.col("unit")).alias("family"))
 
 
 @query("mth05_conversion", """
@@ -71,15 +105,20 @@ def mth06(spark, d):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.text(scaled).alias("scaled"), (F.col("l_orderkey") % 7 == 0).alias("unknown"))
 
 
-@query("mth07_nutrition", """
-WITH n(id, raw) AS (VALUES (1, '12.5'), (2, 'NaN'), (3, '-3'), (4, 'x'), (5, NULL), (6, '0')), v AS (SELECT id, raw, try_cast(raw AS DOUBLE) AS x FROM n)
+#: A written number per customer, in both dialects of SQL.
+_RAW = """CASE c_custkey % 6 WHEN 0 THEN concat(c_custkey, '.5') WHEN 1 THEN 'NaN' WHEN 2 THEN concat('-', c_custkey) WHEN 3 THEN concat(c_custkey, ' g') WHEN 4 THEN concat(c_custkey, 'e1') END"""
+
+
+@query("mth07_nutrition", f"""
+WITH n(id, raw) AS (SELECT * FROM (VALUES (1, '12.5'), (2, 'NaN'), (3, '-3'), (4, 'x'), (5, NULL), (6, '0')) UNION ALL SELECT c_custkey + 100, {_RAW} FROM customer), v AS (SELECT id, raw, try_cast(raw AS DOUBLE) AS x FROM n)
 SELECT CAST(id AS BIGINT) AS id, CASE WHEN isfinite(x) AND x >= 0 THEN x END AS value, CASE WHEN raw IS NULL THEN 'missing' WHEN x IS NULL THEN 'malformed' WHEN NOT isfinite(x) THEN 'nonfinite' WHEN x < 0 THEN 'negative' END AS code FROM v""")
 def mth07(spark, d):
     rows = [(1, "12.5"), (2, "NaN"), (3, "-3"), (4, "x"), (5, None), (6, "0")]
     x = F.expr("try_cast(raw as double)")
     finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     code = F.when(F.col("raw").isNull(), "missing").when(x.isNull(), "malformed").when(~finite, "nonfinite").when(x < 0, "negative")
-    return spark.createDataFrame(rows, "id long, raw string").select("id", F.when(finite & (x >= 0), x).alias("value"), code.alias("code"))
+    own = table(spark, d, "customer").select((F.col("c_custkey") + 100).alias("id"), F.expr(_RAW).alias("raw"))
+    return spark.createDataFrame(rows, "id long, raw string").unionByName(own).select("id", F.when(finite & (x >= 0), x).alias("value"), code.alias("code"))
 
 
 @query("mth08_strict_numbers", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS usable FROM customer")
@@ -88,17 +127,18 @@ def mth08(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.when((b > 0) & ~F.isnan(b) & (b != float("inf")), b).alias("usable"))
 
 
-@query("mth09_equal_amounts", f"WITH {_PARTS} SELECT x.id AS a, y.id AS b FROM q x JOIN q y ON x.num = y.num AND x.den = y.den AND x.id < y.id")
+@query("mth09_equal_amounts", f"WITH {_PARTS} SELECT x.id AS a, y.id AS b FROM q x JOIN q y ON x.id // 10 = y.id // 10 AND x.num = y.num AND x.den = y.den AND x.id < y.id")
 def mth09(spark, d):
-    a = amounts(spark).select(F.col("id").alias("a"), F.col("q.num").alias("n"), F.col("q.den").alias("m"))
-    b = a.select(F.col("a").alias("b"), "n", "m")
-    return a.join(b, ["n", "m"]).filter("a < b").select("a", "b")
+    """Pairs of equal amounts within an order (ids of one ten)."""
+    a = amounts(spark, d).select(F.col("id").alias("a"), F.expr("id div 10").alias("ten"), F.col("q.num").alias("n"), F.col("q.den").alias("m"))
+    b = a.select(F.col("a").alias("b"), "ten", "n", "m")
+    return a.join(b, ["ten", "n", "m"]).filter("a < b").select("a", "b")
 
 
 @query("mth11_readable_amount", f"WITH {_PARTS} SELECT id, CASE WHEN num IS NULL THEN t WHEN t = CAST(num AS VARCHAR) THEN t ELSE CAST(num AS VARCHAR) || CASE WHEN den = 1 THEN '' ELSE '/' || den END END AS shown FROM q")
 def mth11(spark, d):
     shown = F.when(F.col("q").isNull(), F.col("t")).otherwise(R.text(F.col("q")))
-    return amounts(spark).select("id", shown.alias("shown"))
+    return amounts(spark, d).select("id", shown.alias("shown"))
 
 
 @query("mth12_number_evidence", r"SELECT doc_id, list_contains(regexp_extract_all(text, '[0-9]+'), '3') AS has_three, CAST(len(regexp_extract_all(text, '[0-9]+')) AS BIGINT) AS numbers FROM documents")

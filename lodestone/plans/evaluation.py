@@ -85,12 +85,19 @@ def evl07(spark, d):
 
 
 @query("evl08_decision", """
-WITH s(config, hit, mrr, ndcg, abstention, false_positives, net_wins) AS (VALUES ('base', 0.4, 0.3, 0.4, 1.0, 3, 0), ('a', 0.8, 0.7, 0.8, 1.0, 2, 5), ('b', 0.8, 0.7, 0.8, 1.0, 2, 5), ('c', 0.9, 0.8, 0.9, 0.5, 1, 9)),
+WITH s(config, hit, mrr, ndcg, abstention, false_positives, net_wins) AS (
+  SELECT * FROM (VALUES ('base', 0.4, 0.3, 0.4, 1.0, 3, 0), ('a', 0.8, 0.7, 0.8, 1.0, 2, 5), ('b', 0.8, 0.7, 0.8, 1.0, 2, 5), ('c', 0.9, 0.8, 0.9, 0.5, 1, 9))
+  UNION ALL SELECT source, round(avg(quality), 6), round(avg(1 - toxic), 6), round(avg((quality + 1 - toxic) / 2), 6), CASE WHEN sum(toxic) > 2 THEN 0.5 ELSE 1.0 END, sum(toxic), sum(quality) - sum(toxic)
+  FROM documents JOIN labels USING (doc_id) GROUP BY source),
 p AS (SELECT *, config = 'base' OR (hit >= 0.4 AND ndcg >= 0.4 AND abstention >= 1.0 AND false_positives <= 3 AND net_wins > 0) AS passes FROM s)
 SELECT config, passes, CAST(row_number() OVER (ORDER BY passes DESC, net_wins DESC, ndcg DESC, mrr DESC, config <> 'base', config) AS INTEGER) AS place FROM p""")
 def evl08(spark, d):
     rows = [("base", 0.4, 0.3, 0.4, 1.0, 3, 0), ("a", 0.8, 0.7, 0.8, 1.0, 2, 5), ("b", 0.8, 0.7, 0.8, 1.0, 2, 5), ("c", 0.9, 0.8, 0.9, 0.5, 1, 9)]
-    return E.decide(spark.createDataFrame(rows, "config string, hit double, mrr double, ndcg double, abstention double, false_positives int, net_wins int"), "base")
+    q, t = F.col("quality"), F.col("toxic")
+    own = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy(F.col("source").alias("config")).agg(
+        F.round(F.avg(q), 6).alias("hit"), F.round(F.avg(1 - t), 6).alias("mrr"), F.round(F.avg((q + 1 - t) / 2), 6).alias("ndcg"), F.when(F.sum(t) > 2, 0.5).otherwise(1.0).alias("abstention"),
+        F.sum(t).cast("int").alias("false_positives"), (F.sum(q) - F.sum(t)).cast("int").alias("net_wins"))
+    return E.decide(own.unionByName(spark.createDataFrame(rows, "config string, hit double, mrr double, ndcg double, abstention double, false_positives int, net_wins int")), "base")
 
 
 @query("evl09_derived_configs", f"""WITH {RUN_SQL}, c(config, least, k) AS (VALUES ('all', 0, 5), ('strict', 20, 5), ('short', 0, 2))
@@ -169,13 +176,15 @@ def evl15(spark, d):
         F.count_if(F.col("grade") >= 1).alias("good"), F.count_if(F.col("grade").isNull()).alias("unjudged"), F.count_if("bad").alias("malformed"))
 
 
-@query("evl16_config_hash", """SELECT sha256('{"k":60,"limit":20}') AS a, sha256('{"k":60,"limit":20}') AS b""")
+@query("evl16_config_hash", """
+SELECT p_partkey, sha256('{"k":' || p_size || ',"limit":' || p_partkey || ',"name":"' || p_name || '"}') AS a, a AS b FROM part""")
 def evl16(spark, d):
     """Canonical JSON with sorted keys, hashed: the same whatever the order of the settings."""
-    from ..functions.manifest import canonical_hash
+    from ..functions.manifest import object_hash
 
-    rows = [(canonical_hash({"k": 60, "limit": 20}), canonical_hash({"limit": 20, "k": 60}))]
-    return spark.createDataFrame(rows, "a string, b string")
+    k, limit, name = F.col("p_size"), F.col("p_partkey"), F.col("p_name")
+    a, b = object_hash({"k": k, "limit": limit, "name": name}), object_hash({"name": name, "limit": limit, "k": k})
+    return table(spark, d, "part").select("p_partkey", a.alias("a"), b.alias("b"))
 
 
 @query("evl17_case_checks", """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -76,15 +75,21 @@ def snk05(spark, d):
     return spark.read.schema("p_partkey long, p_name string").json(at)
 
 
-@query("snk06_atomic_cache", "SELECT true AS fresh, true AS stale")
+@query("snk06_atomic_cache", "SELECT p_size, count(*) AS entries, true AS fresh, true AS stale FROM part GROUP BY p_size")
 def snk06(spark, d):
-    from ..functions.manifest import Cache
-
-    with tempfile.TemporaryDirectory() as folder:
-        cache = Cache(folder, {"renderer": "1"})
-        cache.write({"id": 7}, {"ok": True})
-        rows = [(cache.read({"id": 7}) is not None, Cache(folder, {"renderer": "2"}).read({"id": 7}) is None)]
-    return spark.createDataFrame(rows, "fresh boolean, stale boolean")
+    """A result per part, stored under the hash of its request and its renderer's version: fresh for that version only."""
+    from ..functions.manifest import object_hash
+    from ..operators.committed import Store
+
+    part, store = table(spark, d, "part"), Store(spark, fresh_folder(spark, "cache"))
+    asked = part.select("p_partkey", "p_size", object_hash({"id": F.col("p_partkey")}).alias("key"))
+    t = store.begin()
+    t.upsert("results", part.select(object_hash({"id": F.col("p_partkey")}).alias("key"), F.lit("1").alias("renderer"), F.upper("p_name").alias("value")), ["key"])
+    t.commit()
+    found = asked.join(store.read("results"), "key", "left")
+    return found.groupBy("p_size").agg(
+        F.count("*").alias("entries"), F.bool_and(F.coalesce(F.col("renderer") == "1", F.lit(False))).alias("fresh"),
+        F.bool_and(F.coalesce(F.col("renderer") != "2", F.lit(True))).alias("stale"))
 
 
 @query("snk07_changed_documents", "SELECT doc_id, lang FROM documents WHERE doc_id % 10 = 0")

@@ -23,10 +23,13 @@ def rul01(spark, d):
 
 
 @query("rul01_diet_aliases", """
-WITH a(id, x) AS (VALUES (1, ' No Red '), (2, 'metal free'), (3, 'vegan'), (4, 'no rounds')) SELECT CAST(id AS BIGINT) AS id, CASE lower(trim(x)) WHEN 'no red' THEN 'red_free' WHEN 'metal free' THEN 'metal_free' WHEN 'no rounds' THEN 'round_free' ELSE lower(trim(x)) END AS diet FROM a""")
+WITH a(id, x) AS (SELECT * FROM (VALUES (1, ' No Red '), (2, 'metal free'), (3, 'vegan'), (4, 'no rounds')) UNION ALL
+  SELECT c_custkey + 100, CASE c_custkey % 4 WHEN 0 THEN 'NO RED' WHEN 1 THEN ' metal free' WHEN 2 THEN 'No Rounds ' ELSE c_mktsegment END FROM customer) SELECT CAST(id AS BIGINT) AS id, CASE lower(trim(x)) WHEN 'no red' THEN 'red_free' WHEN 'metal free' THEN 'metal_free' WHEN 'no rounds' THEN 'round_free' ELSE lower(trim(x)) END AS diet FROM a""")
 def rul01b(spark, d):
     rows = [(1, " No Red "), (2, "metal free"), (3, "vegan"), (4, "no rounds")]
-    return spark.createDataFrame(rows, "id long, x string").select("id", R.diet_alias(F.col("x")).alias("diet"))
+    said = "CASE c_custkey % 4 WHEN 0 THEN 'NO RED' WHEN 1 THEN ' metal free' WHEN 2 THEN 'No Rounds ' ELSE c_mktsegment END"
+    own = table(spark, d, "customer").select((F.col("c_custkey") + 100).alias("id"), F.expr(said).alias("x"))
+    return spark.createDataFrame(rows, "id long, x string").unionByName(own).select("id", R.diet_alias(F.col("x")).alias("diet"))
 
 
 @query("rul02_candidate_assessment", f"""WITH {RECIPES_SQL}, {_RULES}, v AS (SELECT r.dataset_id, r.source_id, minutes, EXISTS (SELECT 1 FROM broken b WHERE b.diet = 'red_free' AND b.dataset_id = r.dataset_id AND b.source_id = r.source_id) AS bad FROM recipes r)
@@ -309,11 +312,14 @@ def nst11(spark, d):
 
 
 @query("nst12_safe_lists", """
-WITH x(id, raw) AS (VALUES (1, '["a","b"]'), (2, 'not a list'), (3, '[]'), (4, NULL), (5, '["one"]')) SELECT CAST(id AS BIGINT) AS id, CASE WHEN raw LIKE '[%' THEN CAST(json_array_length(raw) AS INTEGER) END AS items FROM x""")
+WITH x(id, raw) AS (SELECT * FROM (VALUES (1, '["a","b"]'), (2, 'not a list'), (3, '[]'), (4, NULL), (5, '["one"]')) UNION ALL
+  SELECT p_partkey + 100, CASE p_partkey % 4 WHEN 0 THEN concat('["', p_name, '","', p_size, '"]') WHEN 1 THEN p_name WHEN 2 THEN '[]' END FROM part) SELECT CAST(id AS BIGINT) AS id, CASE WHEN raw LIKE '[%' THEN CAST(json_array_length(raw) AS INTEGER) END AS items FROM x""")
 def nst12(spark, d):
     rows = [(1, '["a","b"]'), (2, "not a list"), (3, "[]"), (4, None), (5, '["one"]')]
     parsed = F.when((F.length("raw") <= 100_000) & F.col("raw").startswith("["), F.from_json("raw", "array<string>"))
-    return spark.createDataFrame(rows, "id long, raw string").select("id", F.when(parsed.isNotNull(), F.size(parsed)).alias("items"))
+    raw = """CASE p_partkey % 4 WHEN 0 THEN concat('["', p_name, '","', p_size, '"]') WHEN 1 THEN p_name WHEN 2 THEN '[]' END"""
+    parts = table(spark, d, "part").select((F.col("p_partkey") + 100).alias("id"), F.expr(raw).alias("raw"))
+    return spark.createDataFrame(rows, "id long, raw string").unionByName(parts).select("id", F.when(parsed.isNotNull(), F.size(parsed)).alias("items"))
 
 
 @query("nst13_identities", f"WITH {SESSIONS_SQL} SELECT session_id, seq, 'doc' || (k % 50) AS identity, CASE WHEN event_type = 'purchase' THEN 'full' ELSE 'listed' END AS via FROM session_events WHERE event_type IN ('view', 'purchase')")

@@ -260,10 +260,13 @@ def str28(spark, d):
     return docs(spark, d).filter(F.col("text").rlike("@|[0-9]{3}")).select("doc_id", count(T.EMAIL).alias("emails"), count(T.PHONE).alias("phones"))
 
 
-@query("str29_fidelity_claims")
+@query("str29_fidelity_claims", """
+SELECT * FROM (VALUES (CAST(1 AS BIGINT), true), (2, false), (3, true), (4, false), (5, NULL)) v(id, claims) UNION ALL SELECT p_partkey + 100, p_partkey % 4 IN (0, 2) FROM part""")
 def str29(spark, d):
     rows = [(1, "this is exactly the original recipe"), (2, "this is not exactly the original"), (3, "it follows the source faithfully"), (4, "follow these steps"), (5, None)]
-    return spark.createDataFrame(rows, "id long, text string").select("id", G.claims_fidelity("text").alias("claims"))
+    said = """CASE p_partkey % 4 WHEN 0 THEN concat('made exactly as ', p_name) WHEN 1 THEN concat('not exactly a ', p_name) WHEN 2 THEN concat(p_name, ', but unchanged') ELSE p_name END"""
+    parts = table(spark, d, "part").select((F.col("p_partkey") + 100).alias("id"), F.expr(said).alias("text"))
+    return spark.createDataFrame(rows, "id long, text string").unionByName(parts).select("id", G.claims_fidelity("text").alias("claims"))
 
 
 @query("str30_step_ranges", "WITH " + L + r""", r AS (SELECT id, unnest(regexp_extract_all(line, '[0-9]+(?:-[0-9]+)?')) AS part FROM l WHERE regexp_matches(line, '(?i)steps?'))
