@@ -71,13 +71,25 @@ def fts02(spark, d):
 
 @query("fts03_all_terms", _top("matched = n_slots", "hits DESC", 20))
 def fts03(spark, d):
-    return _best(B.top(document_blocks(spark, d), query_slots(spark, d), 20, every=True))
+    return _shown(S.top(S.only_all(case_hits(spark, d)), ["doc_id"], 20, [F.desc("hits")]))
 
 
 @query("fts04_all_then_any", f"""WITH {HITS_SQL}, m AS (SELECT *, max(CAST(matched = n_slots AS INT)) OVER (PARTITION BY query_id) AS a FROM hits),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, hits DESC, doc_id) AS rank FROM m WHERE a = 0 OR matched = n_slots)
 SELECT query_id, doc_id, rank, round(hits * 1e-1, 6) AS score, CASE WHEN a = 1 THEN 'all' ELSE 'any' END AS match FROM r WHERE rank <= 10""")
 def fts04(spark, d):
+    return _shown(S.top(S.all_then_any(case_hits(spark, d)), ["doc_id"], 10, [F.desc("matched"), F.desc("hits")]), "match")
+
+
+@query("fts03_pruned", _top("matched = n_slots", "hits DESC", 20))
+def fts03_pruned(spark, d):
+    return _best(B.top(document_blocks(spark, d), query_slots(spark, d), 20, every=True))
+
+
+@query("fts04_pruned", f"""WITH {HITS_SQL}, m AS (SELECT *, max(CAST(matched = n_slots AS INT)) OVER (PARTITION BY query_id) AS a FROM hits),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched DESC, hits DESC, doc_id) AS rank FROM m WHERE a = 0 OR matched = n_slots)
+SELECT query_id, doc_id, rank, round(hits * 1e-1, 6) AS score, CASE WHEN a = 1 THEN 'all' ELSE 'any' END AS match FROM r WHERE rank <= 10""")
+def fts04_pruned(spark, d):
     found = B.top(document_blocks(spark, d), query_slots(spark, d), 10, by_match=True)
     # the first of a query has all terms if any document has
     whole = F.max(F.col("matched") == F.col("n_slots")).over(Window.partitionBy("query_id"))  # ten rows a query
@@ -136,6 +148,11 @@ def fts08(spark, d):
 
 @query("fts09_top_k", _top("true", "hits DESC", 5))
 def fts09(spark, d):
+    return _shown(S.top(case_hits(spark, d), ["doc_id"], 5, [F.desc("hits")]))
+
+
+@query("fts09_pruned", _top("true", "hits DESC", 5))
+def fts09_pruned(spark, d):
     return _best(B.top(document_blocks(spark, d), query_slots(spark, d), 5))
 
 
