@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +27,27 @@ def appended(log: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
 def cas(updates: DataFrame) -> DataFrame:
     """Compare-and-set in seq order: an update (expected) is accepted iff it names the current revision.
 
-    Adds accepted and revision (after the event). Folds inside one session, which is ordered work.
+    Gives session_id, seq, accepted and revision (after the event); ties of seq go by expected, a
+    null expected is refused, null sessions are one session. A session's rows pass through its task
+    in sorted batches, of which only the revision is kept: memory doesn't grow with a session.
     """
-    fold = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("seq", "expected"))),
-        F.struct(F.lit(0).cast("long").alias("rev"), F.array().cast("array<struct<seq: long, accepted: boolean, revision: long>>").alias("out")),
-        lambda s, e: F.struct(
-            F.when(e["expected"] == s["rev"], s["rev"] + 1).otherwise(s["rev"]).alias("rev"),
-            F.array_append(s["out"], F.struct(
-                e["seq"].alias("seq"), (e["expected"] == s["rev"]).alias("accepted"),
-                F.when(e["expected"] == s["rev"], s["rev"] + 1).otherwise(s["rev"]).alias("revision"))).alias("out")),
-        lambda s: s["out"])
-    return updates.groupBy("session_id").agg(fold.alias("o")).select("session_id", F.inline("o"))
+    def fold(batches):
+        session, revision = object(), 0
+        for batch in batches:
+            accepted, after = [], []
+            for s, expected in zip(batch["session_id"].to_pylist(), batch["expected"].to_pylist()):
+                if s != session:
+                    session, revision = s, 0
+                accepted.append(expected == revision)
+                revision += accepted[-1]
+                after.append(revision)
+            yield pa.RecordBatch.from_arrays(
+                [batch["session_id"], batch["seq"], pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], names=["session_id", "seq", "accepted", "revision"])
+
+    rows = updates.select("session_id", F.col("seq").cast("long"), F.col("expected").cast("long"))
+    kind = rows.schema["session_id"].dataType.simpleString()
+    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq", "expected").mapInArrow(
+        fold, f"session_id {kind}, seq long, accepted boolean, revision long")
 
 
 def claimed(events: DataFrame, claim: Column, cap: int) -> DataFrame:

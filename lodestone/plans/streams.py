@@ -30,6 +30,15 @@ def numbered(spark, d):
     return S.run(S.numbered(arriving(spark, d)), _folder(spark))
 
 
+@query("stream_evt02_compare_and_set", f"""WITH RECURSIVE {SESSIONS_SQL}, u AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n, event_id, k % 4 AS expected FROM session_events WHERE event_type = 'purchase'),
+f AS (SELECT session_id, n, event_id, expected = 0 AS accepted, CASE WHEN expected = 0 THEN 1 ELSE 0 END AS revision FROM u WHERE n = 1
+UNION ALL SELECT u.session_id, u.n, u.event_id, u.expected = f.revision, CASE WHEN u.expected = f.revision THEN f.revision + 1 ELSE f.revision END FROM f JOIN u ON u.session_id = f.session_id AND u.n = f.n + 1)
+SELECT session_id, event_id, accepted, CAST(revision AS BIGINT) AS revision FROM f""")
+def compare_and_set(spark, d):
+    expected = F.get_json_object("props", "$.k").cast("long") % 4
+    return S.run(S.compare_and_set(arriving(spark, d).filter("event_type = 'purchase'").withColumn("expected", expected)), _folder(spark))
+
+
 @query("stream_evt03_claims", f"WITH {SESSIONS_SQL}, c AS (SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS n FROM session_events WHERE event_type = 'click') SELECT session_id, event_id, n <= 5 AS granted FROM c")
 def claims(spark, d):
     return S.run(S.claims(arriving(spark, d).filter("event_type = 'click'"), 5), _folder(spark))

@@ -38,7 +38,8 @@ def run(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.parquet(f"{out}/rows")
 
 
-def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], start: tuple) -> DataFrame:
+def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], start: tuple, marked: bool = False) -> DataFrame:
+    """``marked``: the rows have their watermark already."""
     def fold(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
@@ -52,7 +53,7 @@ def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callabl
         held.setTimeoutTimestamp(max(last, int(rows["ts"].max().timestamp() * 1000)) + 1)
         yield out
 
-    return df.withWatermark("ts", FORGET).groupBy(*keys).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return (df if marked else df.withWatermark("ts", FORGET)).groupBy(*keys).applyInPandasWithState(fold, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def numbered(events: DataFrame) -> DataFrame:
@@ -65,6 +66,22 @@ def numbered(events: DataFrame) -> DataFrame:
     return _fold(events, ["user_id"], "session_id long, event_id long, seq long", "n long", step, (0,))
 
 
+def compare_and_set(events: DataFrame) -> DataFrame:
+    """session_id, event_id, accepted, revision: an event is accepted iff its ``expected`` is the
+    session's revision, which then grows by one. An event id that comes again (a redelivery, a
+    writer's retry) is passed over, so a replay changes nothing; a null expected is refused."""
+    def step(rows, now):
+        revision, accepted, after = now[0], [], []
+        for expected in rows.expected:
+            accepted.append(expected == revision)
+            revision += int(accepted[-1])
+            after.append(revision)
+        return pd.DataFrame({"session_id": rows.user_id, "event_id": rows.event_id, "accepted": accepted, "revision": after}), (revision,)
+
+    once = events.withWatermark("ts", FORGET).dropDuplicatesWithinWatermark(["event_id"])
+    return _fold(once, ["user_id"], "session_id long, event_id long, accepted boolean, revision long", "revision long", step, (0,), marked=True)
+
+
 def claims(events: DataFrame, cap: int) -> DataFrame:
     """session_id, event_id, granted: the first ``cap`` claims of a session are granted."""
     def step(rows, now):
