@@ -1,20 +1,21 @@
-"""Interpolated modified Kneser-Ney word bigram model, counted in Spark and memory-mapped.
-
-Counting: every task turns its texts into word hashes and sums equal bigrams; the sums are
-dealt by key range into segments, each segment is summed, sorted and written to the shared
-folder as hash array and count array, and gives per word its raw count, its numbers of
-followers seen once, twice and more often, and its number of different predecessors. Those
-are summed over segments and written as sorted arrays, too. Only the discounts' eight counts
-of counts and four totals come to the driver. Scoring maps the arrays into memory and looks
-up the sorted distinct keys of a few texts at a time; no text is shuffled.
-
-    P(w | u) = max(c(u,w) - D(c(u,w)), 0) / c(u) + g(u) * P1(w)
-    P1(w)    = max(a(w) - d(a(w)), 0) / A + g1 / (V + 1)
-
-where a(w) counts the different predecessors of w, A is their sum, D and d are the modified
-discounts for counts 1, 2 and 3 or more, and g(u), g1 are the masses that the discounts
-free. After an unseen u, P(w | u) = P1(w). A text starts after a start mark and closes with
-an end token.
+"""Interpolated modified Kneser-Ney word n-gram model, counted in Spark and memory-mapped.
+
+Counting: every task turns its texts into word hashes and sums equal n-grams; the sums are
+dealt by key range into segments. A segment of the highest order adds them up, writes them to
+the shared folder as sorted hash array and count array, and sends two things down per n-gram:
+to its last n - 1 words one more different predecessor, to its first n - 1 words a follower
+with its count. Those are added up by segments of the next lower order, written likewise and
+sent further down, to the single words. Only the counts of counts of each order and four
+totals come to the driver. Scoring maps the arrays into memory and looks up the sorted
+distinct keys of a few texts at a time; no text is shuffled.
+
+    P_k(w | h) = max(a(h,w) - D_k(a(h,w)), 0) / a(h) + g(h) * P_(k-1)(w | h without its first word)
+    P_1(w)     = max(a(w) - D_1(a(w)), 0) / A + g / (V + 1)
+
+where a(.) is the count for the highest order and the number of different predecessors below
+it, a(h) sums a(h,w) over w, A sums a(w), D_k are the modified discounts for counts 1, 2 and 3
+or more, and g is the mass that the discounts free. After an unseen h, P_k = P_(k-1). A text
+starts after order - 1 start marks and closes with an end token.
 """
 
 from __future__ import annotations
@@ -33,43 +34,47 @@ from .shared import SortedMap, bounded, hashed_words, mixed, put_array, scratch,
 BITS = np.uint64((1 << 56) - 1)
 START, END = np.uint64(1), np.uint64(2)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Larger bigram counts stand apart; numbers of neighbours stop here (over 4 * 10**9 of one word).
-BIG, MOST = 255, 2**32 - 1
-#: Tokens that one segment is planned for, that are counted and that are looked up together, and
-#: distinct bigrams that a task holds before it sends them.
+#: Rows with a count from here on stand apart, in 64 bits.
+BIG = 255
+#: Tokens times (order - 1) that one segment is planned for, tokens that are counted and that are
+#: looked up together, and distinct n-grams that a task holds before it sends them.
 SEGMENT_TOKENS, COUNTED, TOGETHER, HELD = 1_500_000, 500_000, 400_000, 1_500_000
 
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes u and w of all bigrams of the texts, and each text's number of tokens.
+def tokens(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts, one after another, which of them are tokens, and each text's number of tokens.
 
     Words have A-Z in lower case and stand between ASCII white space; each text is opened by
-    the start mark and closed by the end token.
+    order - 1 start marks, which aren't tokens, and closed by the end token.
     """
     words, counts = hashed_words(texts, lower=True)
-    counts = counts + 1
-    last = np.cumsum(counts) - 1
-    w = np.empty(int(counts.sum()), np.uint64)
-    inside = np.ones(len(w), bool)
-    inside[last] = False
-    w[inside] = np.maximum(words & BITS, np.uint64(3))
-    w[last] = END
-    u = np.empty_like(w)
-    u[1:] = w[:-1]
-    u[last - counts + 1] = START
-    return u, w, counts
-
-
-def _keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mixed(u * _FACTOR + w)
-
-
-def _sums(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and each column summed per key."""
+    stop = np.cumsum(counts + order)
+    x = np.empty(int(stop[-1]) if len(stop) else 0, np.uint64)
+    token, inside = np.ones(len(x), bool), np.ones(len(x), bool)
+    token[((stop - counts - order)[:, None] + np.arange(order - 1)).ravel()] = False
+    inside[stop - 1] = False
+    x[inside & token] = np.maximum(words & BITS, np.uint64(3))
+    x[~token] = START
+    x[stop - 1] = END
+    return x, token, counts + 1
+
+
+def _keys(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of n-grams given by their words' columns, spread over 64 bits; each is made of its context's."""
+    key = words[0]
+    if len(words) == 1:
+        return mixed(key)
+    for w in words[1:]:
+        key = mixed(key * _FACTOR + w)
+    return key
+
+
+def _sums(keys: np.ndarray, same: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys in order, the columns that are equal for equal keys, and each count summed per key."""
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[at], *(np.add.reduceat(c[order], at) if len(keys) else c for c in columns)
+    return keys[at], [x[order[at]] for x in same], [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
 
 
 def _planes(*columns: np.ndarray) -> bytes:
@@ -93,73 +98,81 @@ def _columns(blobs: list[bytes], *dtypes) -> list[np.ndarray]:
     return [np.concatenate(x) for x in out]
 
 
-def _dealt(parts: np.ndarray, *columns: np.ndarray):
-    """(part, planes) for rows sorted by part and then by the first column."""
-    cuts = np.flatnonzero(np.diff(parts)) + 1
-    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(parts)]):
+def _dealt(keys: np.ndarray, parts: int, words: list[np.ndarray], counts: list[np.ndarray]):
+    """(part, planes of words and counts) for each segment that the keys belong to."""
+    part = segment_of(keys, parts)
+    order = np.lexsort((*words[::-1], part))
+    part = part[order]
+    columns = [c[order] for c in (*words, *counts)]
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(part)]):
         if hi > lo:
-            yield int(parts[lo]), _planes(*(c[lo:hi] for c in columns))
+            yield int(part[lo]), _planes(*(c[lo:hi] for c in columns))
+
+
+class Counts:
+    """Counts by key in sorted segments: a byte each; rows with larger ones again in full."""
+
+    def __init__(self, uri: str, parts: int, names: tuple[str, ...]):
+        self.small, self.large = SortedMap(uri, parts, dict.fromkeys(names, "|u1")), SortedMap(f"{uri}/large", parts, dict.fromkeys(names, "<i8"))
+
+    def put(self, part: int, keys: np.ndarray, counts: dict[str, np.ndarray]) -> None:
+        big = np.any([c >= BIG for c in counts.values()], axis=0)
+        self.small.put(part, keys, **{n: np.minimum(c, BIG) for n, c in counts.items()})
+        self.large.put(part, keys[big], **{n: c[big] for n, c in counts.items()})
+
+    def seal(self, present: list[int]) -> None:
+        self.small.seal(present)
+        self.large.seal(present)
+
+    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
+        """Counts of keys in any order, 0 for absent ones."""
+        keys, at = np.unique(keys, return_inverse=True)
+        got = {n: c.astype(np.int64) for n, c in self.small.find(keys)[1].items()}
+        big = np.flatnonzero(np.any([c >= BIG for c in got.values()], axis=0))
+        if len(big):
+            for n, c in self.large.find(keys[big])[1].items():
+                got[n][big] = c
+        return {n: c[at] for n, c in got.items()}
 
 
 class KneserNey:
-    """A counted model: its folder, its number of segments, and its totals and discounts."""
-
-    PAIR = {"c": "|u1"}
-    WORD = {"c": "<i8", "n1": "<u4", "n2": "<u4", "n3": "<u4", "a": "<u4"}
-
-    def __init__(self, uri: str, parts: int, totals: dict):
-        self.uri, self.parts, self.totals = uri, parts, totals
-
-    @property
-    def pairs(self) -> SortedMap:
-        return SortedMap(f"{self.uri}/pairs", self.parts, self.PAIR)
-
-    @property
-    def large(self) -> SortedMap:
-        return SortedMap(f"{self.uri}/large", self.parts, {"c": "<i8"})
-
-    @property
-    def words(self) -> SortedMap:
-        return SortedMap(f"{self.uri}/words", self.parts, self.WORD)
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted keys; counts from 255 on stand in a second, small array."""
-        count = self.pairs.find(keys)[1]["c"].astype(np.int64)
-        many = np.flatnonzero(count == BIG)
-        if len(many):
-            count[many] = self.large.find(keys[many])[1]["c"]
-        return count
-
-    def word_counts(self, words: np.ndarray) -> dict[str, np.ndarray]:
-        """Counts of distinct word hashes in any order."""
-        keys = mixed(words)
-        order = np.argsort(keys)
-        got = self.words.find(keys[order])[1]
-        out = {}
-        for name, values in got.items():
-            out[name] = np.empty_like(values)
-            out[name][order] = values
-        return out
-
-    def log_probs(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P(w | u) for each pair, and each w's raw count in training."""
-        t = self.totals
-        vocabulary, at = np.unique(np.concatenate([u, w]), return_inverse=True)
-        words = self.word_counts(vocabulary)
-        ui, wi = at[: len(u)], at[len(u) :]
-        low, high = np.array([0, *t["discounts1"]]), np.array([0, *t["discounts2"]])
-        a = words["a"]
-        one = np.maximum(a - low[np.minimum(a, 3)], 0) / max(t["A"], 1) + t["mass1"] / (t["V"] + 1)
-        keys, at = np.unique(_keys(u, w), return_inverse=True)
-        c = self.pair_counts(keys)[at]
-        follows = words["c"].copy()
-        follows[vocabulary == END] = 0
-        total = follows[ui]
-        free = high[1] * words["n1"] + high[2] * words["n2"] + high[3] * words["n3"]
-        safe = np.maximum(total, 1)
-        p = np.maximum(c - high[np.minimum(c, 3)], 0) / safe + np.where(total > 0, free[ui] / safe, 1.0) * one[wi]
-        raw = words["c"][wi]
-        raw[w == START] = 0
+    """A counted model: its folder, its number of segments, its order, and its totals and discounts."""
+
+    #: raw count, different predecessors (or the count, in the highest order), and of the followers
+    #: the sum of their counts and the numbers of those with counts 1, 2, 3 or more.
+    COLUMNS = ("c", "a", "total", "n1", "n2", "n3")
+
+    def __init__(self, uri: str, parts: int, order: int, totals: dict):
+        self.uri, self.parts, self.order, self.totals = uri, parts, order, totals
+
+    def names(self, k: int) -> tuple[str, ...]:
+        return ("a",) if k == self.order else self.COLUMNS[1:] if k > 1 else self.COLUMNS
+
+    def counts(self, k: int) -> Counts:
+        """The n-grams of ``k`` words."""
+        return Counts(f"{self.uri}/{k}", self.parts, self.names(k))
+
+    def log_probs(self, x: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of each token after its context, and its raw count in training."""
+        t, at = self.totals, np.flatnonzero(token)
+        of = self.counts(1).find(mixed(x))
+        raw, a = of["c"][at], of["a"][at]
+        p = np.maximum(a - np.array([0, *t["discounts"][0]])[np.minimum(a, 3)], 0) / max(t["A"], 1) + t["mass"] / (t["V"] + 1)
+        key = x
+        for k in range(2, self.order + 1):
+            # positions before a text's marks get keys that span two texts; no token has them as its context
+            key = mixed(np.r_[key[:1], key[:-1]] * _FACTOR + x)
+            d = np.array([0, *t["discounts"][k - 1]])
+            total, n1, n2, n3 = (of[n][at - 1] for n in self.COLUMNS[2:])
+            if k < self.order:
+                of = self.counts(k).find(key)
+                a = of["a"][at]
+            else:
+                a = self.counts(k).find(key[at])["a"]
+            safe = np.maximum(total, 1)
+            free = d[1] * n1 + d[2] * n2 + d[3] * n3
+            p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + np.where(total > 0, free / safe, 1.0) * p
         return np.log10(p), raw
 
 
@@ -177,101 +190,105 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def train(texts: DataFrame, text_col: str = "text") -> KneserNey:
-    """Count the model over every row of ``texts``; null text is an empty one."""
+def _note(notes: list[str], k: int, part: int, sums: list[int]) -> str:
+    """What the driver gets to know, by order: segments written, and sums over them."""
+    out: dict[str, dict] = {str(k): {"own": [part], "sums": [int(x) for x in sums]}}
+    for note in map(json.loads, notes):
+        for order, add in note.items():
+            held = out.setdefault(order, {"own": [], "sums": [0] * len(add["sums"])})
+            held["own"] += add["own"]
+            held["sums"] = [a + b for a, b in zip(held["sums"], add["sums"])]
+    return json.dumps(out)
+
+
+def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> KneserNey:
+    """Count the model of ``order`` (2 or more) over every row of ``texts``; null text is an empty one."""
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     spark = texts.sparkSession
     # a token of prose takes about six bytes
     size = texts.agg(F.sum(F.octet_length(text_col) + 1)).first()[0] or 0
-    parts = max(1, ceil(size / 6 / SEGMENT_TOKENS))
-    uri = scratch(spark, "kneser-ney")
-    column = text_col
+    parts = max(1, ceil(size / 6 * (order - 1) / SEGMENT_TOKENS))
+    model = KneserNey(scratch(spark, "kneser-ney"), parts, order, {})
+    column, schema = text_col, pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("note", pa.string())])
 
     def count(batches):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def sent():
-            u, w, n = map(np.concatenate, zip(*held))
-            part = segment_of(_keys(u, w), parts)
-            order = np.lexsort((w, u, part))
-            u, w, n, part = u[order], w[order], n[order], part[order]
-            at = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])])
-            n = np.add.reduceat(n, at).astype(np.uint32)
-            rows = list(_dealt(part[at], u[at], w[at], n))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["part", "blob"])
+            keys, *columns = map(np.concatenate, zip(*held))
+            keys, words, (n,) = _sums(keys, columns[:order], columns[order:])
+            rows = list(_dealt(keys, parts, words, [n.astype(np.uint32)]))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.nulls(len(rows), pa.string())], schema=schema)
 
         for batch in bounded(batches, column, 6 * COUNTED):
-            u, w, _ = tokens(batch[column].to_pylist())
-            _, at, n = np.unique(_keys(u, w), return_index=True, return_counts=True)
-            held.append((u[at], w[at], n.astype(np.int64)))
-            size += len(at)
+            x, token, _ = tokens(batch[column].to_pylist(), order)
+            last = np.flatnonzero(token)
+            keys = _keys([x[last - k] for k in range(order - 1, -1, -1)])
+            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+            last = last[at]
+            held.append((keys, *(x[last - k] for k in range(order - 1, -1, -1)), n.astype(np.int64)))
+            size += len(keys)
             if size > HELD:
                 yield sent()
                 held, size = [], 0
         if held:
             yield sent()
 
-    model = KneserNey(uri, parts, {})
-    pairs, large, words = model.pairs, model.large, model.words
-    blobs = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("own", pa.int32()), *((f"k{k}", pa.int64()) for k in (1, 2, 3, 4))])
-    sums_of = ("n", "v", "a", "a1", "a2", "a3", "a4", "more", "k1", "k2", "k3", "k4")
-    counted = pa.schema([("part", pa.int32()), ("owns", pa.list_(pa.int32())), *((c, pa.int64()) for c in sums_of)])
-
-    def segment(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        u, w, n = _columns(table["blob"].to_pylist(), "<u8", "<u8", "<u4")
-        keys = _keys(u, w)
-        order = np.argsort(keys, kind="stable")
-        keys, u, w, n = keys[order], u[order], w[order], n[order].astype(np.int64)
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        keys, u, w, n = keys[at], u[at], w[at], np.add.reduceat(n, at)
-        pairs.put(part, keys, c=np.minimum(n, BIG))
-        large.put(part, keys[n >= BIG], c=n[n >= BIG])
-        zero = np.zeros(len(n), np.int64)
-        # as the left word: followers by count; as the right word: raw count and one predecessor
-        got = _sums(
-            np.concatenate([mixed(u), mixed(w)]), np.concatenate([np.where(u == START, n, 0), n]),
-            *(np.concatenate([x.astype(np.int64), zero]) for x in (n == 1, n == 2, n >= 3)), np.concatenate([zero, zero + 1]))
-        rows = list(_dealt(segment_of(got[0], parts), got[0], *(x.astype(np.uint64) for x in got[1:])))
-        times = [[int((n == k).sum())] + [0] * (len(rows) - 1) for k in (1, 2, 3, 4)]
-        return pa.Table.from_arrays(
-            [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.array([part] + [None] * (len(rows) - 1), pa.int32()),
-             *(pa.array(t, pa.int64()) for t in times)], schema=blobs)
-
-    start = mixed(np.array([START]))[0]
-
-    def by_word(table: pa.Table) -> pa.Table:
-        keys, *values = _sums(*_columns(table["blob"].to_pylist(), *["<u8"] * 6))
-        c, n1, n2, n3, a = (x.view(np.int64) for x in values)
-        words.put(table["part"][0].as_py(), keys, c=c, **{k: np.minimum(x, MOST) for k, x in (("n1", n1), ("n2", n2), ("n3", n3), ("a", a))})
-        true = keys != start
-        c, a = c[true], a[true]
-        sums = [c.sum(), len(c), a.sum(), *((a == k).sum() for k in (1, 2, 3, 4)), (a >= 3).sum()]
-        sums += [np.sum(table[f"k{k}"].to_numpy()) for k in (1, 2, 3, 4)]
-        return pa.Table.from_arrays(
-            [table["part"][:1], pa.array([table["own"].drop_null().to_pylist()], pa.list_(pa.int32())), *(pa.array([int(x)], pa.int64()) for x in sums)], schema=counted)
-
-    made = (  # a row per segment
-        texts.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, "part int, blob binary")
-        .groupBy("part").applyInArrow(segment, "part int, blob binary, own int, k1 long, k2 long, k3 long, k4 long")
-        .groupBy("part").applyInArrow(by_word, "part int, owns array<int>, " + ", ".join(f"{c} long" for c in sums_of)).collect()
-    )
-    words.seal(r.part for r in made)
-    for table in (pairs, large):
-        table.seal(p for r in made for p in r.owns)
-    n, v, a, *rest = (sum(r[c] for r in made) for c in sums_of)
-    seen, more, of_pairs = rest[:4], rest[4], rest[5:]
-    low = discounts(seen)
-    model.totals = {
-        "N": n, "V": v, "A": a, "discounts1": low, "discounts2": discounts(of_pairs),
-        "mass1": (low[0] * seen[0] + low[1] * seen[1] + low[2] * more) / a if a else 1.0,
-    }
+    def segment(k: int):
+        """Add up a segment of the n-grams of ``k`` words, store it, send its sums to those of ``k`` - 1."""
+        top = k == order
+        table_of, width = model.counts(k), 1 if top else len(model.COLUMNS)
+
+        def add(table: pa.Table) -> pa.Table:
+            part = table["part"][0].as_py()
+            columns = _columns(table["blob"].to_pylist(), *["<u8"] * k, *(["<u4"] if top else ["<u8"] * width))
+            words, counts = columns[:k], [x.astype(np.int64) for x in columns[k:]]
+            keys, words, counts = _sums(_keys(words), words, counts)
+            by = {"c": counts[0], "a": counts[0]} if top else dict(zip(model.COLUMNS, counts))
+            table_of.put(part, keys, {n: by[n] for n in model.names(k)})
+            c, a = by["c"], by["a"]
+            sums = [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum(), c.sum(), (c > 0).sum()]
+            rows = []
+            if k > 1:
+                # what is only a context isn't counted itself
+                own = np.flatnonzero(a)
+                words, c, a = [x[own] for x in words], c[own], a[own]
+                zero, one = np.zeros(len(a), np.int64), np.ones(len(a), np.int64)
+                ends = [np.concatenate(pair) for pair in zip(words[1:], words[:-1])]
+                sent = [np.concatenate(pair) for pair in ((c, zero), (one, zero), (zero, a), (zero, a == 1), (zero, a == 2), (zero, a >= 3))]
+                below, ends, sent = _sums(_keys(ends), ends, sent)
+                rows = list(_dealt(below, parts, ends, [x.astype(np.uint64) for x in sent]))
+            rows = rows or [(part, b"")]
+            note = _note(table["note"].drop_null().to_pylist(), k, part, sums)
+            return pa.Table.from_arrays(
+                [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.array([note] + [None] * (len(rows) - 1), pa.string())], schema=schema)
+
+        return add
+
+    made = texts.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, "part int, blob binary, note string")
+    for k in range(order, 0, -1):
+        made = made.groupBy("part").applyInArrow(segment(k), "part int, blob binary, note string")
+    found: dict[str, dict] = {}
+    for row in made.select("note").collect():  # a row per segment
+        for k, add in json.loads(row.note).items():
+            held = found.setdefault(k, {"own": [], "sums": [0] * len(add["sums"])})
+            held["own"] += add["own"]
+            held["sums"] = [a + b for a, b in zip(held["sums"], add["sums"])]
+    for k in range(1, order + 1):
+        model.counts(k).seal(found.get(str(k), {"own": []})["own"])
+    sums = [found.get(str(k), {"sums": [0] * 8})["sums"] for k in range(1, order + 1)]
+    of_order = [discounts(x[:4]) for x in sums]
+    n1, n2, _, _, more, a, n, v = sums[0]
+    low = of_order[0]
+    model.totals = {"N": n, "V": v, "A": a, "discounts": of_order, "mass": (low[0] * n1 + low[1] * n2 + low[2] * more) / a if a else 1.0}
     return model
 
 
 def save_totals(model: KneserNey) -> str:
     """Write the totals beside the arrays; returns their JSON."""
-    text = json.dumps({"parts": model.parts, **model.totals})
+    text = json.dumps({"parts": model.parts, "order": model.order, **model.totals})
     put_array(model.uri, "totals.json", np.frombuffer(text.encode(), np.uint8))
     return text
 
@@ -288,9 +305,9 @@ def score(texts: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
 
     def scored(batches):
         for batch in bounded(batches, "text", 6 * TOGETHER):
-            u, w, counts = tokens(batch["text"].to_pylist())
+            x, token, counts = tokens(batch["text"].to_pylist(), model.order)
             first = np.cumsum(counts) - counts
-            logs, raw = model.log_probs(u, w)
+            logs, raw = model.log_probs(x, token)
             base = np.log10(raw + 0.1) - lower
             total, simple, known = (np.add.reduceat(x, first) for x in (logs, base, (raw > 0).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
@@ -307,13 +324,13 @@ def held_out(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
-    """Train on the rows outside the held-out fold, score every row.
+def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, order: int = 3) -> DataFrame:
+    """Train a model of ``order`` on the rows outside the held-out fold, score every row.
 
     Adds held_out, train_tokens and perplexity. An empty table gives an empty result; where no
     row is left for training, every word is unknown and has probability 1 / (V + 1) = 1.
     """
-    model = train(documents.filter(~held_out(id_col, folds)), text_col)
+    model = train(documents.filter(~held_out(id_col, folds)), text_col, order)
     save_totals(model)
     out = score(documents, model, id_col, text_col)
     return out.withColumn("held_out", held_out(id_col, folds)).withColumn("train_tokens", F.lit(model.totals["N"]).cast("long")).withColumn(

@@ -19,47 +19,52 @@ def texts(seed=4):
     return rows + [(500, None), (501, ""), (502, "zz\tunseen\x0bwords\u00a0glued"), (503, "a " * 700)]
 
 
-def direct(rows):
+def direct(rows, order):
     """Interpolated modified Kneser-Ney straight from its definition."""
     def tokens(t):
         return lower(t).replace("\t", " ").replace("\x0b", " ").replace("\n", " ").split(" ") if t else []
 
-    train = [["<s>", *[x for x in tokens(t) if x], "</s>"] for i, t in rows if zlib.crc32(str(i).encode()) % 10]
-    pairs = Counter(p for t in train for p in zip(t, t[1:]))
-    raw = Counter(w for t in train for w in t[1:])
-    before = Counter(w for _, w in pairs)
-    n, v, total = sum(raw.values()), len(raw), sum(before.values())
-    count = lambda c: [sum(x == k for x in c.values()) for k in (1, 2, 3, 4)]
-    high, low = kneser_ney.discounts(count(pairs)), kneser_ney.discounts(count(before))
-    d = lambda own, c: own[min(c, 3) - 1] if c else 0
-    mass = sum(d(low, c) for c in before.values()) / total
+    marked = lambda t: ["<s>"] * (order - 1) + [x for x in tokens(t) if x] + ["</s>"]
+    train = [marked(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    raw = Counter(w for t in train for w in t if w != "<s>")
+    a = {order: Counter(tuple(t[i : i + order]) for t in train for i in range(len(t) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        a[k] = Counter(g[1:] for g in a[k + 1])
+    n, v, total = sum(raw.values()), len(raw), sum(a[1].values())
+    d = {k: kneser_ney.discounts([sum(x == j for x in c.values()) for j in (1, 2, 3, 4)]) for k, c in a.items()}
+    cut = lambda k, c: d[k][min(c, 3) - 1] if c else 0
+    mass = sum(cut(1, c) for c in a[1].values()) / total
     follow, free = Counter(), Counter()
-    for (u, _), c in pairs.items():
-        follow[u] += c
-        free[u] += d(high, c)
-
-    def prob(u, w):
-        one = max(before[w] - d(low, before[w]), 0) / total + mass / (v + 1)
-        if not follow[u]:
-            return one
-        c = pairs[u, w]
-        return max(c - d(high, c), 0) / follow[u] + free[u] / follow[u] * one
+    for k in range(2, order + 1):
+        for g, c in a[k].items():
+            follow[g[:-1]] += c
+            free[g[:-1]] += cut(k, c)
+
+    def prob(h, w):
+        if not h:
+            return max(a[1][w,] - cut(1, a[1][w,]), 0) / total + mass / (v + 1)
+        if not follow[h]:
+            return prob(h[1:], w)
+        k = len(h) + 1
+        c = a[k][*h, w]
+        return max(c - cut(k, c), 0) / follow[h] + free[h] / follow[h] * prob(h[1:], w)
 
     out = {}
     for i, t in rows:
-        w = ["<s>", *[x for x in tokens(t) if x], "</s>"]
-        out[i] = (len(w) - 1, sum(raw[x] > 0 for x in w[1:]), n, sum(math.log10((raw[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w[1:]),
-                  sum(math.log10(prob(a, b)) for a, b in zip(w, w[1:])), prob, raw)
+        w = marked(t)
+        own = w[order - 1 :]
+        logs = [math.log10(prob(tuple(w[j - order + 1 : j]), w[j])) for j in range(order - 1, len(w))]
+        out[i] = (len(own), sum(raw[x] > 0 for x in own), n, sum(math.log10((raw[x] + 0.1) / (n + 0.1 * (v + 1))) for x in own), sum(logs), prob, raw)
     return out
 
 
-@pytest.mark.parametrize("segment", [50, 2_000_000])
-def test_kneser_ney_against_definition(spark, monkeypatch, segment):
+@pytest.mark.parametrize("order, segment", [(2, 50), (3, 100), (3, 2_000_000), (4, 300)])
+def test_kneser_ney_against_definition(spark, monkeypatch, order, segment):
     monkeypatch.setattr(kneser_ney, "SEGMENT_TOKENS", segment)
     monkeypatch.setattr(kneser_ney, "TOGETHER", 100)
     rows = texts()
-    want = direct(rows)
-    got = kneser_ney.score_documents(frame(spark, rows)).collect()
+    want = direct(rows, order)
+    got = kneser_ney.score_documents(frame(spark, rows), order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         n, known, total, base, score = want[r.doc_id][:5]
@@ -67,10 +72,33 @@ def test_kneser_ney_against_definition(spark, monkeypatch, segment):
         assert r.base_score == pytest.approx(base, abs=1e-6) and r.score == pytest.approx(score, abs=1e-6)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0)
     prob, raw = want[0][5:]
-    for u in ("a", "<s>", "never"):
-        assert sum(prob(u, w) for w in raw) + prob(u, "unknown") == pytest.approx(1)
-    held = [r for r in got if r.held_out and r.n_tokens > 5]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    for h in (("a", "b", "c"), ("<s>",) * 3, ("<s>", "<s>", "a"), ("never", "a", "b"), ("a", "b", "never")):
+        h = h[4 - order :]
+        assert sum(prob(h, w) for w in raw) + prob(h, "unknown") == pytest.approx(1)
+    if order == 2:  # these words are drawn one by one: longer contexts can't help with them
+        held = [r for r in got if r.held_out and r.n_tokens > 5]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_kneser_ney_uses_longer_contexts(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        w = [rng.randrange(12), rng.randrange(12)]
+        while len(w) < 60:
+            w.append((w[-1] + w[-2]) % 12 if rng.random() < 0.9 else rng.randrange(12))
+        rows.append((i, " ".join(f"w{x}" for x in w)))
+    held = {k: sum(r.score for r in kneser_ney.score_documents(frame(spark, rows), order=k).collect() if r.held_out) for k in (2, 3)}
+    assert held[3] > 0.5 * held[2]
+
+
+def test_kneser_ney_counts_above_a_byte_and_order(spark):
+    rows = [(i, "a b a b c") for i in range(400)]
+    want = direct(rows, 3)
+    got = kneser_ney.score_documents(frame(spark, rows)).collect()
+    assert all(r.score == pytest.approx(want[r.doc_id][4], abs=1e-9) and r.train_tokens == want[r.doc_id][2] for r in got)
+    with pytest.raises(ValueError):
+        kneser_ney.train(frame(spark, rows), order=1)
 
 
 def test_kneser_ney_without_training_rows(spark):
