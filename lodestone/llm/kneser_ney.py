@@ -77,37 +77,47 @@ def _sums(keys: np.ndarray, same: list[np.ndarray], counts: list[np.ndarray]) ->
     return keys[at], [x[order[at]] for x in same], [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
 
 
-def _planes(*columns: np.ndarray) -> bytes:
-    """Columns as byte planes, the first (sorted) one as differences: what repeats stands together,
-    so that the shuffle's compression leaves little but the hashes."""
-    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in (first, *columns[1:]))
-
-
-def _columns(blobs: list[bytes], *dtypes) -> list[np.ndarray]:
-    """The columns of several ``_planes``, one after another."""
-    width = sum(np.dtype(d).itemsize for d in dtypes)
-    out = [[] for _ in dtypes]
-    for blob in blobs:
-        n, at = len(blob) // width, 0
-        for held, dtype in zip(out, map(np.dtype, dtypes)):
-            size = dtype.itemsize
-            held.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * size, at).reshape(size, n).T).view(dtype).ravel())
-            at += n * size
-        out[0][-1] = np.cumsum(out[0][-1], dtype=dtypes[0])
-    return [np.concatenate(x) for x in out]
+def _packed(words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """Rows sorted by their first word: the distinct words once, rows as numbers of those and counts, each
+    column in the narrowest type, as byte planes, compressed."""
+    vocabulary, ids = np.unique(np.concatenate(words), return_inverse=True)
+    ids = np.split(ids.astype(np.uint64), len(words))
+    ids[0] = np.diff(ids[0], prepend=np.uint64(0))
+    columns = [np.diff(vocabulary, prepend=np.uint64(0)), *ids, *counts]
+    columns = [c.astype(np.min_scalar_type(int(c.max()))) for c in columns]
+    body = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+    head = np.array([len(body), *(n for c in columns for n in (len(c), c.itemsize))], "<u8").tobytes()
+    return head + pa.Codec("zstd", 3).compress(body, asbytes=True)
+
+
+def _unpacked(blobs: list[bytes], k: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The ``k`` columns of words and ``width`` of counts of several ``_packed``, one after another."""
+    words, counts = [[np.empty(0, np.uint64)] for _ in range(k)], [[np.empty(0, np.int64)] for _ in range(width)]
+    for blob in filter(None, blobs):
+        size, *shapes = np.frombuffer(blob, "<u8", 1 + 2 * (1 + k + width)).tolist()
+        body = pa.Codec("zstd").decompress(blob[8 * (1 + len(shapes)) :], size, asbytes=True)
+        at, columns = 0, []
+        for n, each in zip(shapes[::2], shapes[1::2]):
+            columns.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * each, at).reshape(each, n).T).view(f"<u{each}").ravel())
+            at += n * each
+        vocabulary, first = (np.cumsum(c, dtype=np.uint64) for c in columns[:2])
+        for held, ids in zip(words, (first, *columns[2 : k + 1])):
+            held.append(vocabulary[ids.astype(np.int64)])
+        for held, c in zip(counts, columns[k + 1 :]):
+            held.append(c.astype(np.int64))
+    return [np.concatenate(x) for x in words], [np.concatenate(x) for x in counts]
 
 
 def _dealt(keys: np.ndarray, parts: int, words: list[np.ndarray], counts: list[np.ndarray]):
-    """(part, planes of words and counts) for each segment that the keys belong to."""
+    """(part, packed words and counts) for each segment that the keys belong to."""
     part = segment_of(keys, parts)
     order = np.lexsort((*words[::-1], part))
     part = part[order]
-    columns = [c[order] for c in (*words, *counts)]
+    words, counts = [x[order] for x in words], [x[order] for x in counts]
     cuts = np.flatnonzero(np.diff(part)) + 1
     for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(part)]):
         if hi > lo:
-            yield int(part[lo]), _planes(*(c[lo:hi] for c in columns))
+            yield int(part[lo]), _packed([x[lo:hi] for x in words], [x[lo:hi] for x in counts])
 
 
 class Counts:
@@ -219,7 +229,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> KneserNey
         def sent():
             keys, *columns = map(np.concatenate, zip(*held))
             keys, words, (n,) = _sums(keys, columns[:order], columns[order:])
-            rows = list(_dealt(keys, parts, words, [n.astype(np.uint32)]))
+            rows = list(_dealt(keys, parts, words, [n]))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.nulls(len(rows), pa.string())], schema=schema)
 
         for batch in bounded(batches, column, 6 * COUNTED):
@@ -243,8 +253,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> KneserNey
 
         def add(table: pa.Table) -> pa.Table:
             part = table["part"][0].as_py()
-            columns = _columns(table["blob"].to_pylist(), *["<u8"] * k, *(["<u4"] if top else ["<u8"] * width))
-            words, counts = columns[:k], [x.astype(np.int64) for x in columns[k:]]
+            words, counts = _unpacked(table["blob"].to_pylist(), k, width)
             keys, words, counts = _sums(_keys(words), words, counts)
             by = {"c": counts[0], "a": counts[0]} if top else dict(zip(model.COLUMNS, counts))
             table_of.put(part, keys, {n: by[n] for n in model.names(k)})
@@ -259,7 +268,7 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> KneserNey
                 ends = [np.concatenate(pair) for pair in zip(words[1:], words[:-1])]
                 sent = [np.concatenate(pair) for pair in ((c, zero), (one, zero), (zero, a), (zero, a == 1), (zero, a == 2), (zero, a >= 3))]
                 below, ends, sent = _sums(_keys(ends), ends, sent)
-                rows = list(_dealt(below, parts, ends, [x.astype(np.uint64) for x in sent]))
+                rows = list(_dealt(below, parts, ends, sent))
             rows = rows or [(part, b"")]
             note = _note(table["note"].drop_null().to_pylist(), k, part, sums)
             return pa.Table.from_arrays(
