@@ -1,6 +1,6 @@
 """Exact rational amounts as (num, den) pairs of 64-bit integers, units and conversion.
 
-An amount that doesn't fit is null, never rounded.
+An amount that doesn't fit is null, never rounded; ``wide`` has amounts of any size.
 """
 
 from __future__ import annotations
@@ -140,16 +140,21 @@ def factor(unit: Column) -> Column:
     return out
 
 
+def refusal(source: Column, target: Column) -> Column:
+    """Why an amount can't be converted; null if it can."""
+    a, b = canonical_unit(source), canonical_unit(target)
+    fa, fb = unit_family(source), unit_family(target)
+    return F.when((fa == "none") & (fb == "none"), F.lit(None)).when(a.isNull() | b.isNull(), "unknown_unit").when(fa != fb, "different_dimension").otherwise(F.lit(None))
+
+
 def convert(amount: Column, source: Column, target: Column) -> Column:
     """struct(amount, refusal): refuses unknown units and those of another dimension; a number
     without unit converts to itself."""
     a, b = canonical_unit(source), canonical_unit(target)
     fa, fb = unit_family(source), unit_family(target)
-    refusal = (
-        F.when((fa == "none") & (fb == "none"), F.lit(None)).when(a.isNull() | b.isNull(), "unknown_unit").when(fa != fb, "different_dimension").otherwise(F.lit(None))
-    )
+    why = refusal(source, target)
     value = F.when((fa == "none") & (fb == "none"), amount).otherwise(over(times(amount, factor(a)), factor(b)))
-    return F.struct(F.when(refusal.isNull(), value).alias("amount"), refusal.alias("refusal"))
+    return F.struct(F.when(why.isNull(), value).alias("amount"), why.alias("refusal"))
 
 
 def iso_minutes(x: Column) -> Column:

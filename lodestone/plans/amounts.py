@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..functions import rational as R
+from ..functions import wide as W
 from ..sources.tables import table
 
 AMOUNTS = [(1, "3"), (2, "1.5"), (3, "1/2"), (4, "1 1/2"), (5, "6/4"), (6, "to taste"), (7, "1-2"), (8, "1/0"), (9, "2 cups"), (10, "0"), (11, ""), (12, "10/5"), (13, "0.25")]
@@ -105,6 +106,31 @@ def mth06(spark, d):
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.text(scaled).alias("scaled"), (F.col("l_orderkey") % 7 == 0).alias("unknown"))
 
 
+@query("mth05_wide_conversion", """
+WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (CAST(l_partkey AS HUGEINT) * 100000000000000 + l_orderkey) * 45359237 AS n, CAST(l_linenumber * 100 AS HUGEINT) AS m, ['lb', 'cup', 'pinch'][1 + l_partkey % 3] AS f FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE f WHEN 'lb' THEN CAST(n // gcd(n, m) AS VARCHAR) || CASE WHEN m // gcd(n, m) = 1 THEN '' ELSE '/' || CAST(m // gcd(n, m) AS VARCHAR) END END AS milligrams,
+  CASE f WHEN 'cup' THEN 'different_dimension' WHEN 'pinch' THEN 'unknown_unit' END AS refusal FROM q""")
+def mth05_wide(spark, d):
+    """Amounts whose milligrams don't fit 64 bits."""
+    unit = F.element_at(F.array(*map(F.lit, ("lb", "cup", "pinch"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    amount = W.reduced(F.col("l_partkey") * F.lit(100_000_000_000_000) + F.col("l_orderkey"), F.col("l_linenumber"))
+    c = W.convert(amount, unit, F.lit("mg"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c.alias("c")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", W.text(F.col("c.amount")).alias("milligrams"), "c.refusal")
+
+
+@query("mth06_wide_scaling", """
+WITH q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey AS HUGEINT) * 1000000000000 + l_linenumber AS a, CAST(l_suppkey AS HUGEINT) * 1000000000000 + 6 AS t, CAST(l_orderkey % 7 AS HUGEINT) AS s FROM lineitem), p AS (SELECT *, a * t AS n FROM q)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN s > 0 THEN CAST(n // gcd(n, s) AS VARCHAR) || CASE WHEN s // gcd(n, s) = 1 THEN '' ELSE '/' || CAST(s // gcd(n, s) AS VARCHAR) END END AS scaled, s = 0 AS unknown FROM p""")
+def mth06_wide(spark, d):
+    """Target over source servings times amounts, whose product has about 100 bits."""
+    trillion = F.lit(1_000_000_000_000)
+    amount, target = W.reduced(F.col("l_partkey") * trillion + F.col("l_linenumber"), F.lit(1)), W.reduced(F.col("l_suppkey") * trillion + 6, F.lit(1))
+    scaled = W.over(W.times(amount, target), W.reduced(F.col("l_orderkey") % 7, F.lit(1)))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", W.text(scaled).alias("scaled"), (F.col("l_orderkey") % 7 == 0).alias("unknown"))
+
+
 #: A written number per customer, in both dialects of SQL.
 _RAW = """CASE c_custkey % 6 WHEN 0 THEN concat(c_custkey, '.5') WHEN 1 THEN 'NaN' WHEN 2 THEN concat('-', c_custkey) WHEN 3 THEN concat(c_custkey, ' g') WHEN 4 THEN concat(c_custkey, 'e1') END"""
 
