@@ -1,7 +1,7 @@
 """Streaming twins of the session folds: the same events in any number of micro-batches.
 
 Late rows: the watermark is one hour on ``ts``; windows drop what comes later. The folds keep
-one small state per session (or per session and call) and see a session's rows in time order
+one small state per session and see a session's rows in time order
 within a micro-batch; rows that arrive in a later micro-batch are appended after it, as in a log.
 The folds' watermark is ``FORGET``: rows that come later are dropped, and so is the state of a
 session that was silent so long, so that states are in proportion to the sessions alive.
@@ -9,6 +9,7 @@ session that was silent so long, so that states are in proportion to the session
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -38,8 +39,8 @@ def run(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
     return df.sparkSession.read.parquet(f"{out}/rows")
 
 
-def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]], start: tuple, marked: bool = False) -> DataFrame:
-    """``marked``: the rows have their watermark already."""
+def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callable[[pd.DataFrame, tuple, int], tuple[pd.DataFrame, tuple]], start: tuple, marked: bool = False) -> DataFrame:
+    """``step`` gets a group's rows, its state and the watermark in ms; ``marked``: the rows have their watermark already."""
     def fold(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
@@ -48,7 +49,7 @@ def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callabl
         now = held.get if held.exists else start
         # one session's rows of one micro-batch, which maxFilesPerTrigger bounds
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out, now = step(rows, now)
+        out, now = step(rows, now, last)
         held.update(now)
         held.setTimeoutTimestamp(max(last, int(rows["ts"].max().timestamp() * 1000)) + 1)
         yield out
@@ -58,7 +59,7 @@ def _fold(df: DataFrame, keys: list[str], output: str, state: str, step: Callabl
 
 def numbered(events: DataFrame) -> DataFrame:
     """session_id, event_id, seq: a counter per session that goes on from batch to batch."""
-    def step(rows, now):
+    def step(rows, now, _):
         n = now[0]
         out = pd.DataFrame({"session_id": rows.user_id, "event_id": rows.event_id, "seq": range(n + 1, n + 1 + len(rows))})
         return out, (n + len(rows),)
@@ -70,7 +71,7 @@ def compare_and_set(events: DataFrame) -> DataFrame:
     """session_id, event_id, accepted, revision: an event is accepted iff its ``expected`` is the
     session's revision, which then grows by one. An event id that comes again (a redelivery, a
     writer's retry) is passed over, so a replay changes nothing; a null expected is refused."""
-    def step(rows, now):
+    def step(rows, now, _):
         revision, accepted, after = now[0], [], []
         for expected in rows.expected:
             accepted.append(expected == revision)
@@ -84,7 +85,7 @@ def compare_and_set(events: DataFrame) -> DataFrame:
 
 def claims(events: DataFrame, cap: int) -> DataFrame:
     """session_id, event_id, granted: the first ``cap`` claims of a session are granted."""
-    def step(rows, now):
+    def step(rows, now, _):
         n = now[0]
         out = pd.DataFrame({"session_id": rows.user_id, "event_id": rows.event_id, "granted": [n + i < cap for i in range(len(rows))]})
         return out, (n + len(rows),)
@@ -93,13 +94,25 @@ def claims(events: DataFrame, cap: int) -> DataFrame:
 
 
 def stalls(events: DataFrame, nth: int = 3) -> DataFrame:
-    """session_id, event_id of each ``nth`` identical call (type and payload)."""
-    def step(rows, now):
-        n = now[0]
-        hit = [i for i in range(len(rows)) if n + i + 1 == nth]
-        return pd.DataFrame({"session_id": rows.user_id.iloc[hit], "event_id": rows.event_id.iloc[hit]}), (n + len(rows),)
-
-    return _fold(events, ["user_id", "event_type", "props"], "session_id long, event_id long", "n long", step, (0,))
+    """session_id, event_id of each ``nth`` identical call (type and payload).
+
+    A session's state holds a count for each of its calls, and goes without those that were silent for ``FORGET``.
+    """
+    def step(rows, now, watermark):
+        counts = {(kind, props): (n, until) for kind, props, n, until in json.loads(now[0])}
+        at = rows.ts.to_numpy().astype("datetime64[ms]").astype("int64").tolist()
+        hit, came = [], set()
+        for i, (kind, props, ms) in enumerate(zip(rows.event_type, rows.props, at)):
+            call = (kind, props)
+            n = counts[call][0] + 1 if call in counts else 1
+            counts[call] = (n, max(watermark, ms) + 1)
+            came.add(call)
+            if n == nth:
+                hit.append(i)
+        kept = [[*call, n, until] for call, (n, until) in counts.items() if call in came or until >= watermark]
+        return pd.DataFrame({"session_id": rows.user_id.iloc[hit], "event_id": rows.event_id.iloc[hit]}), (json.dumps(kept),)
+
+    return _fold(events, ["user_id"], "session_id long, event_id long", "calls string", step, ("[]",))
 
 
 def retained(events: DataFrame, before: str, kinds: tuple[str, ...]) -> DataFrame:

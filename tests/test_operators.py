@@ -401,3 +401,27 @@ def test_best_rows_of_tasks_hold_the_best_of_all(spark):
     assert len(near) == sum(r.distance <= 0.1 for r in every)
     owners = {(r.query_id, r.g): (round(r.distance, 9), r.chunks) for r in vectors.owner_distances(v.select("g", "v", F.lit(0).cast("long").alias("overlap")), asked, ["g"]).collect()}
     assert owners == {(q, g): (min(r.distance for r in every if (r.query_id, r.g) == (q, g)), sum((r.query_id, r.g) == (q, g) for r in every)) for q, g in {(r.query_id, r.g) for r in every}}
+
+
+def test_stalls_keep_one_state_per_session(spark, tmp_path):
+    import datetime
+
+    from lodestone.streaming import sessions
+
+    day = lambda d, h=0: datetime.datetime(2024, 1, 1, h) + datetime.timedelta(days=d)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    files = [
+        [(1, day(0), 1, "a", 0.0, "x"), (2, day(0, 1), 1, "a", 0.0, None), (3, day(1), 1, "a", 0.0, "x"), (4, day(1), 2, "a", 0.0, "x")],
+        [(5, day(2), 1, "a", 0.0, "x"), (6, day(2), 1, "a", 0.0, None), (7, day(3), 1, "b", 0.0, "x"), (8, day(3), 1, "a", 0.0, None)],
+        [(9, day(80), 3, "a", 0.0, "x"), (10, day(80), 1, "b", 0.0, "x")],
+        # calls that come again at once go on; the others of session 1 are forgotten here
+        [(11, day(81), 1, "b", 0.0, "x"), (12, day(81), 2, "a", 0.0, "x"), (13, day(82), 2, "a", 0.0, "x")],
+        [(14, day(83), 1, "a", 0.0, "x"), (15, day(83, 1), 1, "a", 0.0, "x"), (16, day(83, 2), 1, "a", 0.0, "x")],
+    ]
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    found = sessions.stalls(sessions.read_events(spark, f"{tmp_path}/in", "*.parquet", 1))
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "[user_id#" in plan.split("FlatMapGroupsInPandasWithState")[1].split("\n")[0].replace("['user_id", "[user_id#")
+    got = {(r.session_id, r.event_id) for r in sessions.run(found, f"{tmp_path}/out").collect()}
+    assert got == {(1, 5), (1, 8), (1, 11), (2, 13), (1, 16)}
