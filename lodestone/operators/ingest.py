@@ -67,7 +67,7 @@ def rebuilt(df: DataFrame, column: str, expected) -> tuple[DataFrame, DataFrame]
 def normalised(docs: DataFrame) -> DataFrame:
     """Documents as typed nested records with flags and a quarantine status."""
     t = F.col("text")
-    steps = F.filter(F.transform(F.split(t, "\n"), F.trim), lambda x: x != "")
+    steps = F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     flags = F.array_compact(F.array(
         F.when(F.length(t) < 30, "too_short"), F.when(t.contains("|"), "list_layout"), F.when(t.rlike(r"[*#$%&]{3}"), "symbols"), F.when(t.rlike(T.EMAIL), "contact_data")))
     title = F.element_at(F.split(t, r"[.\n]"), 1)
