@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -69,20 +70,27 @@ def ascii_fractions(x: Column) -> Column:
     return t
 
 
-#: What personal data looks like and what stands in its place, in the order of replacement.
+#: What personal data looks like and what stands in its place, in the order of replacement. A word (``\b``) is
+#: one of any alphabet (``whole_words``); white space is ASCII's.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(?:\+\d[\d\s().-]{7,}\d|\b\d{3}[-.\s]?\d{3}[-.\s]?\d{4}\b|\(\d{3}\)\s*\d{3}[-.\s]?\d{4})"
+PHONE = r"(?:\+\d[\d\s\x0B().-]{7,}\d|\b\d{3}[-.\s\x0B]?\d{3}[-.\s\x0B]?\d{4}\b|\(\d{3}\)[\s\x0B]*\d{3}[-.\s\x0B]?\d{4})"
 STREETS = "street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|court|ct|circle|cir|place|pl|terrace|ter|way|plaza|parkway|pkwy"
-ADDRESS = rf"(?i)\b\d{{1,6}}\s+[A-Za-z0-9.'-]{{2,}}(?:\s+[A-Za-z0-9.'-]{{2,}}){{0,3}}\s+(?:{STREETS})\b\.?"
-NAMED = r"\bmy\s+[A-Z][a-zA-Z'-]{1,40}(?:\s+[A-Z][a-zA-Z'-]{1,40})?"
+ADDRESS = rf"(?i)\b\d{{1,6}}[\s\x0B]+[A-Za-z0-9.'-]{{2,}}(?:[\s\x0B]+[A-Za-z0-9.'-]{{2,}}){{0,3}}[\s\x0B]+(?:{STREETS})\b\.?"
+NAMED = r"\bmy[\s\x0B]+[A-Z][a-zA-Z'-]{1,40}(?:[\s\x0B]+[A-Z][a-zA-Z'-]{1,40})?"
 MARKS = ((EMAIL, "[redacted-email]"), (PHONE, "[redacted-phone]"), (ADDRESS, "[redacted-address]"), (NAMED, "my [redacted-name]"))
 
 
+def whole_words(pattern: str) -> str:
+    """The pattern with ``\\b``, each beside a word character of its own, at words of any alphabet; Java's differs from version to version."""
+    w = r"[\p{L}\p{M}\p{N}_]"
+    return re.sub(r"\\b(?=\\d|\w)", lambda _: f"(?<!{w})", pattern).replace(r"\b", f"(?!{w})")
+
+
 def scrubbed(x: Column, limit: int = 500) -> Column:
     """Each kind of personal data replaced by its mark, then cut to ``limit`` characters; null as empty."""
     t = F.coalesce(x, F.lit(""))
     for pattern, mark in MARKS:
-        t = F.regexp_replace(t, pattern, mark)
+        t = F.regexp_replace(t, whole_words(pattern), mark)
     return F.substring(t, 1, limit)
 
 

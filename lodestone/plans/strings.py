@@ -134,9 +134,19 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+#: DuckDB's \b knows words of ASCII only: there, letters of other alphabets stand between two ``_`` while it looks for whole words.
+_OTHER = r"([^\x00-\x7F\P{L}]|[^\x00-\x7F\P{M}]|[^\x00-\x7F\P{N}])"
+
+
+def _worded(text: str) -> str:
+    return rf"regexp_replace({text}, '{_OTHER}', '_\1_', 'g')"
+
+
 _SCRUB = "coalesce(line, '')"
 for _pattern, _mark in T.MARKS:
-    _SCRUB = f"regexp_replace({_SCRUB}, {_quoted(_pattern)}, {_quoted(_mark)}, 'g')"
+    _SCRUB = f"regexp_replace({_worded(_SCRUB)}, {_quoted(_pattern)}, {_quoted(_mark)}, 'g')" if r"\b" in _pattern else f"regexp_replace({_SCRUB}, {_quoted(_pattern)}, {_quoted(_mark)}, 'g')"
+    if r"\b" in _pattern:
+        _SCRUB = rf"regexp_replace({_SCRUB}, '_{_OTHER}_', '\1', 'g')"
 
 
 @query("str13_scrubbed", "WITH " + L + ", x AS (SELECT id, line FROM l UNION ALL SELECT -1 - doc_id, text FROM documents) SELECT id, substring(" + _SCRUB + ", 1, 500) AS t FROM x")
@@ -253,10 +263,10 @@ def str27(spark, d):
 
 
 @query("str28_privacy_scan", f"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, {_quoted(T.EMAIL)})) AS BIGINT) AS emails, CAST(len(regexp_extract_all(text, {_quoted(T.PHONE)})) AS BIGINT) AS phones FROM documents
+SELECT doc_id, CAST(len(regexp_extract_all(text, {_quoted(T.EMAIL)})) AS BIGINT) AS emails, CAST(len(regexp_extract_all({_worded('text')}, {_quoted(T.PHONE)})) AS BIGINT) AS phones FROM documents
 WHERE regexp_matches(text, '@|[0-9]{{3}}')""")
 def str28(spark, d):
-    count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
+    count = lambda pattern: F.regexp_count("text", F.lit(T.whole_words(pattern))).cast("long")
     return docs(spark, d).filter(F.col("text").rlike("@|[0-9]{3}")).select("doc_id", count(T.EMAIL).alias("emails"), count(T.PHONE).alias("phones"))
 
 
