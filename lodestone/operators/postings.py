@@ -41,10 +41,23 @@ def terms(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     return docs.select(*keys, F.explode(tokens(F.col(text))).alias("term")).groupBy("term", *keys).agg(F.count("*").alias("n"))
 
 
-def lexemes(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(term, keys, at): sorted positions, from 1, of each stemmed word outside the stop list."""
+def forms(term: Column) -> Column:
+    """Every word that ``stemmed`` can turn into the term, and some that it doesn't."""
+    out = [term]
+    for ending, _, instead in ENDINGS:
+        out.append(F.when(term.endswith(instead), F.concat(F.substring(term, F.lit(1), F.length(term) - len(instead)), F.lit(ending))))
+    return F.array_compact(F.array_distinct(F.array(*out)))
+
+
+def lexemes(docs: DataFrame, keys: list[str], text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(term, keys, at): sorted positions, from 1, of each stemmed word outside the stop list.
+
+    With ``wanted``, a small table (term), only words that can be forms of its terms are stemmed at all.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     rows = docs.select(*keys, F.posexplode(words).alias("p", "word")).filter(~F.col("word").isin(STOP))
+    if wanted is not None:
+        rows = rows.join(F.broadcast(wanted.select(F.explode(forms(F.col("term"))).alias("word")).distinct()), "word", "left_semi")
     return rows.groupBy(stemmed(F.col("word")).alias("term"), *keys).agg(F.sort_array(F.collect_list(F.col("p") + 1)).alias("at"))
 
 

@@ -1,6 +1,6 @@
-"""Full-text search over many queries at once, on inverted tables (``postings``).
+"""Full-text search over many queries at once, on the texts or on inverted tables (``postings``).
 
-A search reads the rows of the terms that some query asks for and shuffles no more than its
+A search keeps the occurrences of the terms that some query asks for and shuffles no more than its
 hits. Tokens are unstemmed runs of a-z and 0-9; cover density ranks stemmed words.
 """
 
@@ -16,6 +16,8 @@ from . import postings as P
 
 #: Weight of one occurrence, of pantry terms and of title terms.
 WEIGHT, PANTRY_WEIGHT, TITLE_WEIGHT = 0.1, 0.25, 2.0
+#: Rows that may be broadcast; parts of hits per partition of the texts.
+BROADCAST_ROWS, SPREAD = 1_000_000, 8
 #: Birds whose names also find "poultry".
 POULTRY = ("chicken", "turkey", "duck", "goose")
 
@@ -29,18 +31,32 @@ def with_synonyms(queries: DataFrame, synonyms: dict[str, list[str]]) -> DataFra
 
 
 def hits(docs: DataFrame, queries: DataFrame, keys: list[str], text: str = "text", synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """``hits_in`` of documents that have no stored table."""
-    return hits_in(P.terms(docs, keys, text), queries, keys, synonyms)
+    """``hits_in`` of documents that have no stored table: one pass over the texts that counts asked terms only."""
+    return hits_in(P.terms(docs, keys, text), queries, keys, synonyms, docs)
 
 
-def hits_in(postings: DataFrame, queries: DataFrame, keys: list[str], synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """Per query and document with any hit: matched (slots), n_slots, hits (occurrences), score."""
+def _dealt(rows: DataFrame, keys: list[str], source: DataFrame) -> DataFrame:
+    """Rows by key in parts whose number grows with the input's, so that a task's groups don't."""
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SPREAD * source.rdd.getNumPartitions())
+    return rows.repartition(parts, *keys)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """With a hint where a broadcast can hold the rows; a table from Python has no size that Spark knows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def hits_in(postings: DataFrame, queries: DataFrame, keys: list[str], synonyms: dict[str, list[str]] | None = None, source: DataFrame | None = None) -> DataFrame:
+    """Per query and document with any hit: matched (slots), n_slots, hits (occurrences), score.
+
+    ``source`` is the table whose partitions tell how many parts hits are dealt to, ``postings`` where it is None."""
     wanted = with_synonyms(queries, synonyms or {})
-    found = P.of_terms(postings, wanted).join(wanted, "term")
-    # a slot's alternatives are few rows per document: their slots are a set of at most n_slots
-    return found.groupBy("query_id", *keys).agg(
-        F.size(F.collect_set("slot")).cast("long").alias("matched"), F.first("n_slots").cast("long").alias("n_slots"), F.sum("n").alias("hits"),
-    ).withColumn("score", F.col("hits") * WEIGHT)
+    found = P.of_terms(postings, wanted).join(_small(wanted), "term").select("query_id", *keys, "slot", "n_slots", "n")
+    # both groupings are by what the rows are dealt by
+    slots = _dealt(found, ["query_id", *keys], postings if source is None else source).groupBy("query_id", *keys, "slot").agg(F.max("n_slots").alias("n_slots"), F.sum("n").alias("n"))
+    return slots.groupBy("query_id", *keys).agg(
+        F.count("*").alias("matched"), F.max("n_slots").cast("long").alias("n_slots"), F.sum("n").alias("hits")).withColumn("score", F.col("hits") * WEIGHT)
 
 
 def all_then_any(found: DataFrame) -> DataFrame:
@@ -81,17 +97,23 @@ def _density(places: pd.Series) -> pd.Series:
     return places.map(one)
 
 
-def cover_density(lexemes: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
+def needed(queries: DataFrame) -> DataFrame:
+    """(query_id, term): the distinct stemmed words that a query needs."""
+    words = queries.select("query_id", F.explode("terms").alias("word")).filter(~F.col("word").isin(P.STOP))
+    return words.select("query_id", P.stemmed(F.col("word")).alias("term")).distinct()
+
+
+def cover_density(lexemes: DataFrame, queries: DataFrame, keys: list[str], source: DataFrame | None = None) -> DataFrame:
     """(query_id, keys, score) of the documents that hold all of a query's stemmed words.
 
     Sums over minimal covers 0.1 / (1 + words inside that aren't terms). A cover is a shortest
     run of positions that holds every term; a single term gives 0.1 per occurrence. Queries
-    without a word outside the stop list find nothing. ``lexemes`` is an inverted table; only
-    documents that hold all words are ranked.
+    without a word outside the stop list find nothing. ``lexemes`` is an inverted table, stored or not; only
+    documents that hold all words are ranked. ``source`` as for ``hits_in``.
     """
-    words = queries.select("query_id", F.explode("terms").alias("word")).filter(~F.col("word").isin(P.STOP))
-    needs = words.select("query_id", P.stemmed(F.col("word")).alias("term")).distinct()
+    needs = needed(queries)
     sizes = needs.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = P.of_terms(lexemes, needs).join(needs.join(sizes, "query_id"), "term")
+    # positions move once, to their document; queries meet them there
+    found = _dealt(P.of_terms(lexemes, needs), keys, lexemes if source is None else source).join(_small(needs.join(sizes, "query_id")), "term")
     every = found.groupBy("query_id", *keys).agg(F.collect_list("at").alias("places"), F.first("need").alias("need")).filter("size(places) = need")
     return every.select("query_id", *keys, _density("places").alias("score"))

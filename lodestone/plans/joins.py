@@ -168,13 +168,11 @@ f AS (SELECT *, row_number() OVER (PARTITION BY case_id, doc_id ORDER BY src, ra
 p AS (SELECT case_id, doc_id, row_number() OVER (PARTITION BY case_id ORDER BY src, rank, doc_id) AS pool_rank FROM f WHERE n = 1)
 SELECT * FROM p WHERE pool_rank <= 20""")
 def jn19(spark, d):
-    from .search import term_table
-
-    found = term_table(spark, d)
+    found = table(spark, d, "documents")
     asked = cases(spark, d).withColumnRenamed("case_id", "query_id")
     opener = asked.select("query_id", F.slice("terms", 1, 1).alias("terms"))
-    first = S.top(S.only_all(S.hits_in(found, asked, ["doc_id"])), ["doc_id"], 15, [F.desc("hits")])
-    second = S.top(S.hits_in(found, opener, ["doc_id"]), ["doc_id"], 10, [F.col("doc_id")])
+    first = S.top(S.only_all(S.hits(found, asked, ["doc_id"])), ["doc_id"], 15, [F.desc("hits")])
+    second = S.top(S.hits(found, opener, ["doc_id"]), ["doc_id"], 10, [F.col("doc_id")])
     lists = [x.withColumnRenamed("query_id", "case_id") for x in (first, second)]
     return J.pooled(lists, ["doc_id"]).withColumn("pool_rank", F.col("pool_rank").cast("long"))
 
