@@ -44,3 +44,31 @@ def test_leaves_of_any_depth(spark):
 
 def test_no_texts(spark):
     assert leaves(spark.createDataFrame([], "id long, j string"), ["id"], "j").collect() == []
+
+
+def test_one_pass(spark):
+    """Building the leaves runs no job, and nothing is written: no round per level."""
+    df = spark.createDataFrame([(1, '{"a": [[1], {"b": {"c": [2]}}]}')], "id long, j string")
+    spark.sparkContext.setJobGroup("leaves", "leaves")
+    try:
+        found = leaves(df, ["id"], "j")
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("leaves")) == []
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert sorted((r.path, r.value) for r in found.collect()) == [("$.a[0][0]", "1"), ("$.a[1].b.c[0]", "2")]
+
+
+def test_odd_texts(spark):
+    """A thousand levels, texts that go on after their value, names that stand twice, numbers as variants write them."""
+    texts = [
+        "[" * 1000 + "]" * 1000, "[" * 1001 + "]" * 1001, "[" * 100_000 + "]" * 100_000, '{"a": 1} x', '{"a": 1, "a": 2}', "NaN", '"\\ud800"',
+        "[-0, 1.50, 1.0, 1e5, 9223372036854775808, -12, 123456789012345678901234567890123456789]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, j string")
+    got = {}
+    for r in leaves(df, ["id"], "j").collect():
+        got.setdefault(r.id, []).append((r.path, r.kind, r.value, r.malformed))
+    assert got[0] == [("$" + "[0]" * 999, "array", None, False)]
+    assert all(got[i] == [("$", None, None, True)] for i in (1, 2, 3, 4, 5))
+    assert got[6] == [("$", "string", "?", False)]
+    assert [x[1:3] for x in sorted(got[7])] == [
+        ("integer", "0"), ("number", "1.5"), ("integer", "1"), ("number", "100000.0"), ("integer", "9223372036854775808"), ("integer", "-12"), ("number", "1.2345678901234568E38")]
