@@ -29,19 +29,23 @@ def diet_rules(spark) -> DataFrame:
     return spark.createDataFrame(rows, "diet string, word string, except array<string>")
 
 
-def diet_hits(recipes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(dataset_id, source_id, diet, name): names that break a diet; excused and ``free`` names don't."""
+def diet_hits(recipes: DataFrame, rules: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(dataset_id, source_id, diet, name): names that break a diet; excused and ``free`` names don't.
+
+    The rules go to every task, so that no word's names meet in one. Hits that several rows of a
+    source give are made one in ``tasks`` tasks, by default as many as the session shuffles to.
+    """
     names = recipes.select("dataset_id", "source_id", F.explode(F.array_distinct("names")).alias("name")).withColumn("tokens", F.array_distinct(tokens(F.col("name"))))
     said = names.filter(~F.array_contains("tokens", "free")).select("dataset_id", "source_id", "name", F.explode("tokens").alias("token"))
     # a word and its plurals, so that the join is one of equal values
     forms = rules.select("diet", "except", F.explode(F.array(*(F.concat("word", F.lit(x)) for x in ("", "s", "es")))).alias("token"))
-    found = said.join(forms, "token").filter(~F.array_contains("except", F.lower("name")))
-    return found.select("dataset_id", "source_id", "diet", "name").distinct()
+    found = said.join(F.broadcast(forms), "token").filter(~F.array_contains("except", F.lower("name"))).select("dataset_id", "source_id", "diet", "name")
+    return (found.repartition(tasks, "dataset_id", "source_id") if tasks else found).distinct()
 
 
-def diet_verdicts(recipes: DataFrame, rules: DataFrame) -> DataFrame:
+def diet_verdicts(recipes: DataFrame, rules: DataFrame, tasks: int | None = None) -> DataFrame:
     """violated where a name breaks the diet; else unresolved: no hit never means safe."""
-    hits = diet_hits(recipes, rules).groupBy("dataset_id", "source_id", "diet").agg(F.count("*").alias("hits"))
+    hits = diet_hits(recipes, rules, tasks).groupBy("dataset_id", "source_id", "diet").agg(F.count("*").alias("hits"))
     every = recipes.select("dataset_id", "source_id").crossJoin(F.broadcast(rules.select("diet").distinct()))
     return every.join(hits, ["dataset_id", "source_id", "diet"], "left").select(
         "dataset_id", "source_id", "diet", F.when(F.col("hits") > 0, "violated").otherwise("unresolved").alias("verdict"))

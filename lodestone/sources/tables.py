@@ -10,6 +10,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Lines that one task gathers by order, so that its memory doesn't grow with the table.
+LINES_A_TASK = 500_000
+
+
+def tasks_for_lines(spark: SparkSession, folder: str) -> int | None:
+    """How many tasks gather so many lines each; None where the session shuffles to as many anyway. Reads the files' footers."""
+    tasks = -(-table(spark, folder, "lineitem").count() // LINES_A_TASK)
+    return tasks if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
 def recipes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order that has lines: dataset_id, source_id, title, minutes, servings, names.
 
@@ -18,8 +28,14 @@ def recipes(spark: SparkSession, folder: str) -> DataFrame:
     """
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     parts = table(spark, folder, "part").select("p_partkey", "p_name")
+    tasks = tasks_for_lines(spark, folder)
+    if tasks:
+        parts = parts.repartition(tasks, "p_partkey")
+    named = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
+    if tasks:
+        named = named.repartition(tasks, "l_orderkey")
     names = (
-        lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).groupBy("l_orderkey")
+        named.groupBy("l_orderkey")
         .agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))).alias("ls"))
         .select("l_orderkey", F.transform("ls", lambda s: s["p_name"]).alias("names"))
     )
