@@ -1,13 +1,24 @@
 """Interpolated modified Kneser-Ney word n-gram model, counted in Spark and memory-mapped.
 
-Counting: every task turns its texts into word hashes and sums equal n-grams; the sums are
-dealt by key range into segments. A segment of the highest order adds them up, writes them to
-the shared folder as sorted hash array and count array, and sends two things down per n-gram:
-to its last n - 1 words one more different predecessor, to its first n - 1 words a follower
-with its count. Those are added up by segments of the next lower order, written likewise and
-sent further down, to the single words. Only the counts of counts of each order and four
-totals come to the driver. Scoring maps the arrays into memory and looks up the sorted
-distinct keys of a few texts at a time; no text is shuffled.
+Numbering: words are counted first and numbered by falling count, so that frequent words have
+small numbers and an n-gram takes a few bytes in a shuffle; their 56-bit hashes move once.
+
+Counting: every task turns its texts into numbers and sums equal n-grams, which are dealt to
+segments by the last word of their context. So all n-grams of a context meet in one segment,
+and so do most that end in the same n - 1 words. (A word that occurs more often than a segment
+holds is split by the rest of its contexts.) A segment adds up its n-grams and writes two
+tables of sorted keys to the shared folder: its n-grams' counts, and per context the sum of
+the followers' counts and how many have counts 1, 2, 3 or more. To the last n - 1 words of each
+n-gram it sends one more different predecessor; those are added up by segments of the next
+lower order, written likewise and sent further down, to the single words. Only the counts of
+counts of each order, the words that are split and four totals come to the driver. Scoring maps
+the arrays into memory and looks up the sorted distinct keys of a few texts at a time; no text
+is shuffled.
+
+A model of all texts serves any text. Where the texts to score are known beforehand, as in
+``score_documents``, n-grams with count 1 and contexts with one follower of count 1 aren't
+stored, unless a held-out text asks for them: what a learned text has and no table holds has
+that count, so that the scores stay the same.
 
     P_k(w | h) = max(a(h,w) - D_k(a(h,w)), 0) / a(h) + g(h) * P_(k-1)(w | h without its first word)
     P_1(w)     = max(a(w) - D_1(a(w)), 0) / A + g / (V + 1)
@@ -28,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SortedMap, bounded, hashed_words, mixed, put_array, scratch, segment_of
+from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_array, scratch, segment_of
 
 #: Word hashes have 56 bits: two of 10**9 words then share one in fewer than 10 cases.
 BITS = np.uint64((1 << 56) - 1)
@@ -37,7 +48,7 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Rows with a count from here on stand apart, in 64 bits.
 BIG = 255
 #: Tokens times (order - 1) that one segment is planned for, tokens that are counted and that are
-#: looked up together, and distinct n-grams that a task holds before it sends them.
+#: looked up together, and n-grams that a task holds before it sends them.
 SEGMENT_TOKENS, COUNTED, TOGETHER, HELD = 1_500_000, 500_000, 400_000, 1_500_000
 
 
@@ -69,120 +80,262 @@ def _keys(words: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _sums(keys: np.ndarray, same: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Distinct keys in order, the columns that are equal for equal keys, and each count summed per key."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[at], [x[order[at]] for x in same], [np.add.reduceat(c[order], at) if len(at) else c for c in counts]
+def _turned(words: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns in the order of a segment's rows: the context from its last word to its first, then the word."""
+    return [*words[-2::-1], words[-1]]
+
+
+def _order(columns: list[np.ndarray]) -> np.ndarray:
+    """The order of rows by columns, the first one first; columns are joined as far as 64 bits hold them."""
+    keys: list[np.ndarray] = []
+    room = 0
+    for c in columns:
+        bits = int(c.max()).bit_length()
+        if not bits:
+            continue
+        if bits <= room:
+            keys[-1] = (keys[-1] << np.uint64(bits)) | c
+        else:
+            keys.append(c.astype(np.uint64))
+            room = 64
+        room -= bits
+    if not keys:
+        return np.arange(len(columns[0]))
+    return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+
+
+def _sums(columns: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of ``columns`` in order, the first column first, and each count summed per row."""
+    if not len(columns[0]):
+        return columns, counts
+    order = _order(columns)
+    columns = [c[order] for c in columns]
+    at = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    return [c[at] for c in columns], [np.add.reduceat(c[order], at) for c in counts]
+
+
+def _packed(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
+    """Rows in the columns' order: columns as steps from the row before (where those before it are equal),
+    each in the narrowest type, as byte planes, compressed."""
+    same, out = np.ones(len(columns[0]), bool), []
+    same[0] = False
+    for c in columns:
+        before = np.r_[np.uint64(0), c[:-1]]
+        out.append(np.where(same, c - before, c))
+        same &= c == before
+    out = [c.astype(np.min_scalar_type(int(c.max()))) for c in (*out, *counts)]
+    body = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in out)
+    return np.array([len(out[0]), *(c.itemsize for c in out)], "<u4").tobytes() + pa.Codec("zstd", 3).compress(body, asbytes=True)
+
+
+def _unpacked(blob: bytes, k: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The ``k`` columns and ``width`` counts of one ``_packed``."""
+    n, *each = np.frombuffer(blob, "<u4", 1 + k + width).tolist()
+    body = pa.Codec("zstd").decompress(blob[4 * (1 + k + width) :], n * sum(each), asbytes=True)
+    at, out = 0, []
+    for size in each:
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * size, at).reshape(size, n).T).view(f"<u{size}").ravel())
+        at += n * size
+    same, columns = np.ones(n, bool), []
+    same[0] = False
+    for c in out[:k]:
+        sums, first = np.cumsum(c, dtype=np.uint64), np.flatnonzero(~same)
+        columns.append(sums - np.repeat(sums[first] - c[first], np.diff(np.r_[first, n])))
+        same[1:] &= columns[-1][1:] == columns[-1][:-1]
+    return columns, [c.astype(np.int64) for c in out[k:]]
+
+
+def _merged(blobs: list[bytes], k: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over several ``_packed``, a few at a time: memory follows the distinct rows."""
+    held = [([np.empty(0, np.uint64)] * k, [np.empty(0, np.int64)] * width)]
+    size = 0
+
+    def summed():
+        columns, counts = zip(*held)
+        return _sums([np.concatenate(c) for c in zip(*columns)], [np.concatenate(c) for c in zip(*counts)])
 
-
-def _packed(words: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
-    """Rows sorted by their first word: the distinct words once, rows as numbers of those and counts, each
-    column in the narrowest type, as byte planes, compressed."""
-    vocabulary, ids = np.unique(np.concatenate(words), return_inverse=True)
-    ids = np.split(ids.astype(np.uint64), len(words))
-    ids[0] = np.diff(ids[0], prepend=np.uint64(0))
-    columns = [np.diff(vocabulary, prepend=np.uint64(0)), *ids, *counts]
-    columns = [c.astype(np.min_scalar_type(int(c.max()))) for c in columns]
-    body = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
-    head = np.array([len(body), *(n for c in columns for n in (len(c), c.itemsize))], "<u8").tobytes()
-    return head + pa.Codec("zstd", 3).compress(body, asbytes=True)
+    for blob in filter(None, blobs):
+        held.append(_unpacked(blob, k, width))
+        size += len(held[-1][0][0])
+        if size > max(HELD, len(held[0][0][0])):
+            held[:] = [summed()]
+            size = 0
+    return summed()
 
 
-def _unpacked(blobs: list[bytes], k: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The ``k`` columns of words and ``width`` of counts of several ``_packed``, one after another."""
-    words, counts = [[np.empty(0, np.uint64)] for _ in range(k)], [[np.empty(0, np.int64)] for _ in range(width)]
-    for blob in filter(None, blobs):
-        size, *shapes = np.frombuffer(blob, "<u8", 1 + 2 * (1 + k + width)).tolist()
-        body = pa.Codec("zstd").decompress(blob[8 * (1 + len(shapes)) :], size, asbytes=True)
-        at, columns = 0, []
-        for n, each in zip(shapes[::2], shapes[1::2]):
-            columns.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * each, at).reshape(each, n).T).view(f"<u{each}").ravel())
-            at += n * each
-        vocabulary, first = (np.cumsum(c, dtype=np.uint64) for c in columns[:2])
-        for held, ids in zip(words, (first, *columns[2 : k + 1])):
-            held.append(vocabulary[ids.astype(np.int64)])
-        for held, c in zip(counts, columns[k + 1 :]):
-            held.append(c.astype(np.int64))
-    return [np.concatenate(x) for x in words], [np.concatenate(x) for x in counts]
-
-
-def _dealt(keys: np.ndarray, parts: int, words: list[np.ndarray], counts: list[np.ndarray]):
-    """(part, packed words and counts) for each segment that the keys belong to."""
-    part = segment_of(keys, parts)
-    order = np.lexsort((*words[::-1], part))
-    part = part[order]
-    words, counts = [x[order] for x in words], [x[order] for x in counts]
+def _dealt(part: np.ndarray, columns: list[np.ndarray], counts: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    """(segment, packed sums) for each segment of the rows."""
+    (part, *columns), counts = _sums([part.astype(np.uint64), *columns], counts)
     cuts = np.flatnonzero(np.diff(part)) + 1
-    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(part)]):
-        if hi > lo:
-            yield int(part[lo]), _packed([x[lo:hi] for x in words], [x[lo:hi] for x in counts])
+    return [
+        (int(part[lo]), _packed([x[lo:hi] for x in columns], [x[lo:hi] for x in counts]))
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(part)])
+        if hi > lo
+    ]
+
 
+_SCHEMA = pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("note", pa.string())])
+_DDL = "part int, blob binary, note string"
 
-class Counts:
-    """Counts by key in sorted segments: a byte each; rows with larger ones again in full."""
 
-    def __init__(self, uri: str, parts: int, names: tuple[str, ...]):
-        self.small, self.large = SortedMap(uri, parts, dict.fromkeys(names, "|u1")), SortedMap(f"{uri}/large", parts, dict.fromkeys(names, "<i8"))
+def _rows(rows: list[tuple[int, bytes]], note: str | None = None) -> pa.RecordBatch:
+    notes = pa.array([note] + [None] * (len(rows) - 1), pa.string()) if rows else pa.nulls(0, pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), notes], schema=_SCHEMA)
 
-    def put(self, part: int, keys: np.ndarray, counts: dict[str, np.ndarray]) -> None:
-        big = np.any([c >= BIG for c in counts.values()], axis=0)
-        self.small.put(part, keys, **{n: np.minimum(c, BIG) for n, c in counts.items()})
-        self.large.put(part, keys[big], **{n: c[big] for n, c in counts.items()})
+
+class Values:
+    """Rows of counts by segment and place: a byte each; rows with larger ones again in full."""
+
+    def __init__(self, uri: str, parts: int, width: int):
+        self.uri, self.parts, self.width = uri, parts, width
+
+    def put(self, part: int, counts: list[np.ndarray]) -> None:
+        rows = np.stack(counts, 1).astype(np.int64)
+        big = np.flatnonzero((rows >= BIG).any(1))
+        put_array(self.uri, f"{part:07d}.small", np.minimum(rows, BIG).astype(np.uint8))
+        put_array(self.uri, f"{part:07d}.large", np.column_stack([big, rows[big]]).astype("<i8"))
 
     def seal(self, present: list[int]) -> None:
-        self.small.seal(present)
-        self.large.seal(present)
-
-    def find(self, keys: np.ndarray) -> dict[str, np.ndarray]:
-        """Counts of keys in any order, 0 for absent ones."""
-        keys, at = np.unique(keys, return_inverse=True)
-        got = {n: c.astype(np.int64) for n, c in self.small.find(keys)[1].items()}
-        big = np.flatnonzero(np.any([c >= BIG for c in got.values()], axis=0))
+        """State which segments exist; on the driver, when all of them are written."""
+        there = np.zeros(self.parts, np.uint8)
+        there[present] = 1
+        put_array(self.uri, "sealed", there)
+
+    def there(self, part: int) -> bool:
+        return bool(map_array(self.uri, "sealed", "|u1")[part])
+
+    def get(self, part: int, at: np.ndarray) -> np.ndarray:
+        """A row of counts for each place, zeros beyond the last."""
+        out = np.zeros((len(at), self.width), np.int64)
+        if not self.there(part):
+            return out
+        small = map_array(self.uri, f"{part:07d}.small", "|u1").reshape(-1, self.width)
+        inside = np.flatnonzero(at < len(small))
+        out[inside] = small[at[inside]]
+        big = np.flatnonzero((out >= BIG).any(1))
         if len(big):
-            for n, c in self.large.find(keys[big])[1].items():
-                got[n][big] = c
-        return {n: c[at] for n, c in got.items()}
+            large = map_array(self.uri, f"{part:07d}.large", "<i8").reshape(-1, self.width + 1)
+            out[big] = large[np.searchsorted(large[:, 0], at[big]), 1:]
+        return out
 
 
-class KneserNey:
-    """A counted model: its folder, its number of segments, its order, and its totals and discounts."""
+class Keyed:
+    """Rows of counts by key in sorted segments, which the caller names. Keys have 48 bits within a segment."""
 
-    #: raw count, different predecessors (or the count, in the highest order), and of the followers
-    #: the sum of their counts and the numbers of those with counts 1, 2, 3 or more.
-    COLUMNS = ("c", "a", "total", "n1", "n2", "n3")
+    def __init__(self, uri: str, parts: int, width: int):
+        self.uri, self.parts, self.values = uri, parts, Values(uri, parts, width)
 
-    def __init__(self, uri: str, parts: int, order: int, totals: dict):
-        self.uri, self.parts, self.order, self.totals = uri, parts, order, totals
+    def put(self, part: int, keys: np.ndarray, counts: list[np.ndarray]) -> None:
+        order = np.argsort(keys)
+        keys = keys[order]
+        put_array(self.uri, f"{part:07d}.high", (keys >> np.uint64(32)).astype("<u4"))
+        put_array(self.uri, f"{part:07d}.low", (keys >> np.uint64(16)).astype("<u2"))
+        self.values.put(part, [c[order] for c in counts])
+
+    def seal(self, present: list[int]) -> None:
+        self.values.seal(present)
+
+    def find(self, parts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is in its segment, and its row of counts (zeros where absent)."""
+        hit, out = np.zeros(len(keys), bool), np.zeros((len(keys), self.values.width), np.int64)
+        if not len(keys):
+            return hit, out
+        order = _order([parts.astype(np.uint64), keys >> np.uint64(16)])
+        for own in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+            if not self.values.there(part := int(parts[own[0]])):
+                continue
+            high, low = map_array(self.uri, f"{part:07d}.high", "<u4"), map_array(self.uri, f"{part:07d}.low", "<u2")
+            h, l = (keys[own] >> np.uint64(32)).astype("<u4"), (keys[own] >> np.uint64(16)).astype("<u2")
+            at = np.searchsorted(high, h)
+            found, left = np.zeros(len(own), bool), np.arange(len(own))
+            while len(left):  # keys with the same upper bits stand side by side
+                left = left[at[left] < len(high)]
+                left = left[high[at[left]] == h[left]]
+                ok = low[at[left]] == l[left]
+                found[left[ok]] = True
+                left = left[~ok]
+                at[left] += 1
+            found = np.flatnonzero(found)
+            hit[own[found]] = True
+            out[own[found]] = self.values.get(part, at[found])
+        return hit, out
 
-    def names(self, k: int) -> tuple[str, ...]:
-        return ("a",) if k == self.order else self.COLUMNS[1:] if k > 1 else self.COLUMNS
 
-    def counts(self, k: int) -> Counts:
-        """The n-grams of ``k`` words."""
-        return Counts(f"{self.uri}/{k}", self.parts, self.names(k))
+class KneserNey:
+    """A counted model: its folder, its number of segments, its order, and its totals and discounts.
 
-    def log_probs(self, x: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 P of each token after its context, and its raw count in training."""
+    A word's number is its rank in its segment, from 2 on, times the number of segments, plus its
+    segment; the start mark is 0, a word that isn't known has rank 1 in segment 0. ``split`` are the
+    frequent words' numbers, in order, and in how many their n-grams are dealt. ``lean``: see ``train``.
+    """
+
+    def __init__(self, uri: str, parts: int, order: int, lean: bool = False):
+        self.uri, self.parts, self.order, self.lean, self.totals = uri, parts, order, lean, {}
+        self.split = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.words, self.raw = SortedMap(f"{uri}/words", parts, {"rank": "<u4"}), Values(f"{uri}/raw", parts, 1)
+        #: different predecessors, and of the followers the sum of their counts and the numbers of those with counts 1, 2, 3 or more
+        self.single = Values(f"{uri}/1", parts, 5)
+
+    def counts(self, k: int) -> Keyed:
+        """Counts of the n-grams of ``k`` words: occurrences in the highest order, else different predecessors."""
+        return Keyed(f"{self.uri}/{k}", self.parts, 1)
+
+    def contexts(self, k: int) -> Keyed:
+        """Of the followers of ``k`` words, 2 or more: the sum of their counts and the numbers of those with counts 1, 2, 3 or more."""
+        return Keyed(f"{self.uri}/{k}-contexts", self.parts, 4)
+
+    def numbers(self, x: np.ndarray) -> np.ndarray:
+        """The number of each word hash."""
+        keys, at = np.unique(mixed(x), return_inverse=True)
+        hit, got = self.words.find(keys)
+        n = np.where(hit, got["rank"].astype(np.uint64) * np.uint64(self.parts) + segment_of(keys, self.parts).astype(np.uint64), np.uint64(self.parts))
+        n[keys == mixed(np.array([START]))[0]] = 0
+        return n[at]
+
+    def segments(self, words: list[np.ndarray]) -> np.ndarray:
+        """The segment of each n-gram, the same for all of a context of two or more words."""
+        v, rest = words[-2], words[:-2] or words[-1:]
+        frequent, times = self.split
+        sub = np.zeros(len(v), np.uint64)
+        if len(frequent):
+            at = np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)
+            own = np.flatnonzero(frequent[at] == v)
+            sub[own] = _keys([x[own] for x in rest]) % times[at[own]]
+        return segment_of(mixed(v * _FACTOR + sub), self.parts)
+
+    def _by_word(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Raw count and the row of ``single`` for each word."""
+        part, rank = (numbers % np.uint64(self.parts)).astype(np.int64), (numbers // np.uint64(self.parts)).astype(np.int64)
+        raw, rows = np.zeros(len(numbers), np.int64), np.zeros((len(numbers), 5), np.int64)
+        order = np.argsort(part, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(own):
+                raw[own] = self.raw.get(int(part[own[0]]), rank[own])[:, 0]
+                rows[own] = self.single.get(int(part[own[0]]), rank[own])
+        return raw, rows
+
+    def log_probs(self, x: np.ndarray, token: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 P of each token after its context, and its raw count in training; ``learned`` is asked of a lean model only."""
         t, at = self.totals, np.flatnonzero(token)
-        of = self.counts(1).find(mixed(x))
-        raw, a = of["c"][at], of["a"][at]
+        distinct, back = np.unique(x, return_inverse=True)
+        distinct, known = self.numbers(distinct), learned[at] & self.lean
+        raw, single = self._by_word(distinct)
+        numbers, raw, single = distinct[back], raw[back[at]], single[back]
+        a = single[at, 0]
         p = np.maximum(a - np.array([0, *t["discounts"][0]])[np.minimum(a, 3)], 0) / max(t["A"], 1) + t["mass"] / (t["V"] + 1)
-        key = x
         for k in range(2, self.order + 1):
-            # positions before a text's marks get keys that span two texts; no token has them as its context
-            key = mixed(np.r_[key[:1], key[:-1]] * _FACTOR + x)
-            d = np.array([0, *t["discounts"][k - 1]])
-            total, n1, n2, n3 = (of[n][at - 1] for n in self.COLUMNS[2:])
-            if k < self.order:
-                of = self.counts(k).find(key)
-                a = of["a"][at]
+            words = [numbers[at - j] for j in range(k - 1, -1, -1)]
+            part = self.segments(words)
+            hit, got = self.counts(k).find(part, _keys(words))
+            a = np.where(~hit & known, 1, got[:, 0])
+            if k == 2:
+                follow = single[at - 1, 1:]
             else:
-                a = self.counts(k).find(key[at])["a"]
+                hit, follow = self.contexts(k - 1).find(part, _keys(words[:-1]))
+                follow[~hit & known] = 1, 1, 0, 0
+            total, d = follow[:, 0], np.array([0, *t["discounts"][k - 1]])
             safe = np.maximum(total, 1)
-            free = d[1] * n1 + d[2] * n2 + d[3] * n3
-            p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + np.where(total > 0, free / safe, 1.0) * p
+            p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + np.where(total > 0, follow[:, 1:] @ d[1:] / safe, 1.0) * p
         return np.log10(p), raw
 
 
@@ -211,35 +364,82 @@ def _note(notes: list[str], k: int, part: int, sums: list[int]) -> str:
     return json.dumps(out)
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> KneserNey:
-    """Count the model of ``order`` (2 or more) over every row of ``texts``; null text is an empty one."""
+def _number_words(texts: DataFrame, model: KneserNey, starts: int, most: int) -> None:
+    """Count the words of learned rows and store their numbers; words with more than ``most`` tokens, and the
+    start mark of more than so many texts, are to be split."""
+    parts = model.parts
+
+    def count(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sent():
+            keys, n = map(np.concatenate, zip(*held))
+            return _rows(_dealt(segment_of(keys, parts), [keys], [n]))
+
+        for batch in bounded(batches, "text", 6 * COUNTED):
+            x, token, _ = tokens(batch["text"].to_pylist(), 1)
+            keys, n = np.unique(mixed(x[token]), return_counts=True)
+            held.append((keys, n.astype(np.int64)))
+            size += len(keys)
+            if size > HELD:
+                yield sent()
+                held, size = [], 0
+        if held:
+            yield sent()
+
+    def number(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        (keys,), (n,) = _merged(table["blob"].to_pylist(), 1, 1)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(n), np.int64)
+        rank[order] = np.arange(2, len(n) + 2)
+        model.words.put(part, keys, rank=rank)
+        model.raw.put(part, [np.r_[0, 0, n[order]]])
+        often = np.flatnonzero(n > most)
+        note = {"N": int(n.sum()), "V": len(n), "split": [(int(r) * parts + part, 1 + int(c) // most) for r, c in zip(rank[often], n[often])]}
+        return pa.Table.from_batches([_rows([(part, b"")], json.dumps(note))])
+
+    made = texts.filter("learned").select("text").mapInArrow(count, _DDL).groupBy("part").applyInArrow(number, _DDL)
+    found = [(row.part, json.loads(row.note)) for row in made.select("part", "note").collect()]  # a row per segment
+    for table in (model.words, model.raw):
+        table.seal([part for part, _ in found])
+    split = [(0, 1 + starts // most)] * (starts > most) + sorted(tuple(x) for _, note in found for x in note["split"])
+    model.split = tuple(np.array(split, np.uint64).reshape(-1, 2).T.copy())
+    model.totals = {"N": sum(note["N"] for _, note in found), "V": sum(note["V"] for _, note in found)}
+
+
+def train(texts: DataFrame, text_col: str = "text", order: int = 3, learned: Column | None = None) -> KneserNey:
+    """Count the model of ``order`` (2 or more) over every row of ``texts``; null text is an empty one.
+
+    With ``learned`` the model is lean: it learns from the rows where that holds, and scores these
+    rows and the others of ``texts``, no further texts.
+    """
     if order < 2:
         raise ValueError("the order is 2 or more")
-    spark = texts.sparkSession
+    spark, lean = texts.sparkSession, learned is not None
+    texts = texts.select(F.col(text_col).cast("string").alias("text"), F.coalesce(learned if lean else F.lit(True), F.lit(False)).alias("learned"))
     # a token of prose takes about six bytes
-    size = texts.agg(F.sum(F.octet_length(text_col) + 1)).first()[0] or 0
-    parts = max(1, ceil(size / 6 * (order - 1) / SEGMENT_TOKENS))
-    model = KneserNey(scratch(spark, "kneser-ney"), parts, order, {})
-    column, schema = text_col, pa.schema([("part", pa.int32()), ("blob", pa.binary()), ("note", pa.string())])
+    size, rows = texts.agg(F.sum(F.octet_length("text") + 1), F.count("*")).first()
+    parts = max(1, ceil((size or 0) / 6 * (order - 1) / SEGMENT_TOKENS))
+    model = KneserNey(scratch(spark, "kneser-ney"), parts, order, lean)
+    _number_words(texts, model, rows, max(1, SEGMENT_TOKENS // (2 * order - 2)))
 
     def count(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         size = 0
 
         def sent():
-            keys, *columns = map(np.concatenate, zip(*held))
-            keys, words, (n,) = _sums(keys, columns[:order], columns[order:])
-            rows = list(_dealt(keys, parts, words, [n]))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.nulls(len(rows), pa.string())], schema=schema)
-
-        for batch in bounded(batches, column, 6 * COUNTED):
-            x, token, _ = tokens(batch[column].to_pylist(), order)
-            last = np.flatnonzero(token)
-            keys = _keys([x[last - k] for k in range(order - 1, -1, -1)])
-            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
-            last = last[at]
-            held.append((keys, *(x[last - k] for k in range(order - 1, -1, -1)), n.astype(np.int64)))
-            size += len(keys)
+            columns = [np.concatenate(c) for c in zip(*held)]
+            words = columns[:order]
+            return _rows(_dealt(model.segments(words), _turned(words), columns[order:]))
+
+        for batch in bounded(batches, "text", 6 * COUNTED):
+            x, token, counts = tokens(batch["text"].to_pylist(), order)
+            last, numbers = np.flatnonzero(token), model.numbers(x)
+            own = np.repeat(batch["learned"].to_numpy(zero_copy_only=False), counts)
+            held.append([*(numbers[last - k] for k in range(order - 1, -1, -1)), own.astype(np.int64), (~own).astype(np.int64)])
+            size += len(last)
             if size > HELD:
                 yield sent()
                 held, size = [], 0
@@ -248,37 +448,47 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> KneserNey
 
     def segment(k: int):
         """Add up a segment of the n-grams of ``k`` words, store it, send its sums to those of ``k`` - 1."""
-        top = k == order
-        table_of, width = model.counts(k), 1 if top else len(model.COLUMNS)
 
         def add(table: pa.Table) -> pa.Table:
             part = table["part"][0].as_py()
-            words, counts = _unpacked(table["blob"].to_pylist(), k, width)
-            keys, words, counts = _sums(_keys(words), words, counts)
-            by = {"c": counts[0], "a": counts[0]} if top else dict(zip(model.COLUMNS, counts))
-            table_of.put(part, keys, {n: by[n] for n in model.names(k)})
-            c, a = by["c"], by["a"]
-            sums = [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum(), c.sum(), (c > 0).sum()]
-            rows = []
-            if k > 1:
-                # what is only a context isn't counted itself
-                own = np.flatnonzero(a)
-                words, c, a = [x[own] for x in words], c[own], a[own]
-                zero, one = np.zeros(len(a), np.int64), np.ones(len(a), np.int64)
-                ends = [np.concatenate(pair) for pair in zip(words[1:], words[:-1])]
-                sent = [np.concatenate(pair) for pair in ((c, zero), (one, zero), (zero, a), (zero, a == 1), (zero, a == 2), (zero, a >= 3))]
-                below, ends, sent = _sums(_keys(ends), ends, sent)
-                rows = list(_dealt(below, parts, ends, sent))
-            rows = rows or [(part, b"")]
-            note = _note(table["note"].drop_null().to_pylist(), k, part, sums)
-            return pa.Table.from_arrays(
-                [pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), pa.array([note] + [None] * (len(rows) - 1), pa.string())], schema=schema)
+            columns, (a, asked) = _merged(table["blob"].to_pylist(), k, 2)
+            words = _turned(columns)
+            kept = np.flatnonzero((a > 1) | (a > 0) & (asked > 0) if lean else a > 0)
+            model.counts(k).put(part, _keys([x[kept] for x in words]), [a[kept]])
+            sums = [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum()]
+            # columns are ordered by context
+            first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)]) if len(a) else np.empty(0, np.int64)
+            context = [x[first] for x in words[:-1]]
+            follow = [np.add.reduceat(c.astype(np.int64), first) if len(a) else a for c in (a, a == 1, a == 2, a >= 3, asked)]
+            if k > 2:
+                total, wanted = follow[0], follow.pop()
+                kept = np.flatnonzero((total > 1) | (total > 0) & (wanted > 0) if lean else total > 0)
+                model.contexts(k - 1).put(part, _keys([x[kept] for x in context]), [c[kept] for c in follow])
+                rows = _dealt(model.segments(words[1:]), _turned(words[1:]), [(a > 0).astype(np.int64), (asked > 0).astype(np.int64)])
+            else:
+                ends, none = np.concatenate([words[1], context[0]]), np.zeros(len(a), np.int64)
+                sent = [np.r_[(a > 0).astype(np.int64), np.zeros(len(first), np.int64)], *(np.r_[none, c] for c in follow[:4])]
+                some = np.flatnonzero(np.any([c > 0 for c in sent], axis=0))
+                each = np.uint64(parts)
+                rows = _dealt((ends % each)[some], [(ends // each)[some]], [c[some] for c in sent])
+            return pa.Table.from_batches([_rows(rows or [(part, b"")], _note(table["note"].drop_null().to_pylist(), k, part, sums))])
 
         return add
 
-    made = texts.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(count, "part int, blob binary, note string")
-    for k in range(order, 0, -1):
-        made = made.groupBy("part").applyInArrow(segment(k), "part int, blob binary, note string")
+    def single(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        (rank,), counts = _merged(table["blob"].to_pylist(), 1, 5)
+        dense = np.zeros((5, int(rank[-1]) + 1 if len(rank) else 0), np.int64)
+        dense[:, rank.astype(np.int64)] = counts
+        model.single.put(part, list(dense))
+        a = counts[0]
+        sums = [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum()]
+        return pa.Table.from_batches([_rows([(part, b"")], _note(table["note"].drop_null().to_pylist(), 1, part, sums))])
+
+    made = texts.mapInArrow(count, _DDL)
+    for k in range(order, 1, -1):
+        made = made.groupBy("part").applyInArrow(segment(k), _DDL)
+    made = made.groupBy("part").applyInArrow(single, _DDL)
     found: dict[str, dict] = {}
     for row in made.select("note").collect():  # a row per segment
         for k, add in json.loads(row.note).items():
@@ -286,12 +496,14 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3) -> KneserNey
             held["own"] += add["own"]
             held["sums"] = [a + b for a, b in zip(held["sums"], add["sums"])]
     for k in range(1, order + 1):
-        model.counts(k).seal(found.get(str(k), {"own": []})["own"])
-    sums = [found.get(str(k), {"sums": [0] * 8})["sums"] for k in range(1, order + 1)]
+        own = found.get(str(k), {"own": []})["own"]
+        for table in (model.single,) if k == 1 else (model.counts(k), model.contexts(k - 1)) if k > 2 else (model.counts(k),):
+            table.seal(own)
+    sums = [found.get(str(k), {"sums": [0] * 6})["sums"] for k in range(1, order + 1)]
     of_order = [discounts(x[:4]) for x in sums]
-    n1, n2, _, _, more, a, n, v = sums[0]
+    n1, n2, _, _, more, a = sums[0]
     low = of_order[0]
-    model.totals = {"N": n, "V": v, "A": a, "discounts": of_order, "mass": (low[0] * n1 + low[1] * n2 + low[2] * more) / a if a else 1.0}
+    model.totals |= {"A": a, "discounts": of_order, "mass": (low[0] * n1 + low[1] * n2 + low[2] * more) / a if a else 1.0}
     return model
 
 
@@ -302,13 +514,16 @@ def save_totals(model: KneserNey) -> str:
     return text
 
 
-def score(texts: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(texts: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", learned: Column | None = None) -> DataFrame:
     """Per row: id, n_tokens, n_known, base_score and score (log10 probabilities of the text).
 
     base_score sums log10((c + 0.1) / (N + 0.1 * (V + 1))) over tokens. perplexity is
     10 ** (-score / n_tokens). Null text is empty: its only token is the end. Repeated rows
-    are scored each; other columns are not returned.
+    are scored each; other columns are not returned. A lean model takes the rows and the
+    ``learned`` that it was trained with.
     """
+    if model.lean != (learned is not None):
+        raise ValueError("a lean model, and no other, is to be told which rows it learned from")
     t = model.totals
     lower = np.log10(t["N"] + 0.1 * (t["V"] + 1))
 
@@ -316,14 +531,16 @@ def score(texts: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col:
         for batch in bounded(batches, "text", 6 * TOGETHER):
             x, token, counts = tokens(batch["text"].to_pylist(), model.order)
             first = np.cumsum(counts) - counts
-            logs, raw = model.log_probs(x, token)
+            own = np.repeat(batch["learned"].to_numpy(zero_copy_only=False), counts + model.order - 1)
+            logs, raw = model.log_probs(x, token, own)
             base = np.log10(raw + 0.1) - lower
             total, simple, known = (np.add.reduceat(x, first) for x in (logs, base, (raw > 0).astype(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(counts.astype(np.int64)), pa.array(known), pa.array(simple), pa.array(total)],
                 names=[id_col, "n_tokens", "n_known", "base_score", "score"])
 
-    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+    own = F.coalesce(learned if learned is not None else F.lit(False), F.lit(False))
+    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), own.alias("learned")).mapInArrow(
         scored, f"{id_col} long, n_tokens long, n_known long, base_score double, score double"
     )
 
@@ -339,9 +556,10 @@ def score_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     Adds held_out, train_tokens and perplexity. An empty table gives an empty result; where no
     row is left for training, every word is unknown and has probability 1 / (V + 1) = 1.
     """
-    model = train(documents.filter(~held_out(id_col, folds)), text_col, order)
+    learned = ~held_out(id_col, folds)
+    model = train(documents, text_col, order, learned)
     save_totals(model)
-    out = score(documents, model, id_col, text_col)
+    out = score(documents, model, id_col, text_col, learned)
     return out.withColumn("held_out", held_out(id_col, folds)).withColumn("train_tokens", F.lit(model.totals["N"]).cast("long")).withColumn(
         "perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     )

@@ -1,14 +1,17 @@
 """The n-gram model, the quality classifier and top-k search against direct computation."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import kneser_ney, quality, topk
+from lodestone.llm.shared import local_path
 
 from .test_dedup import frame, lower
 
@@ -101,6 +104,54 @@ def test_kneser_ney_counts_above_a_byte_and_order(spark):
         kneser_ney.train(frame(spark, rows), order=1)
 
 
+def test_kneser_ney_takes_little_disk(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.5)), 5000)}" for _ in range(300))) for i in range(400)]
+    models, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    assert kneser_ney.score_documents(frame(spark, rows)).count() == len(rows)
+    files = [os.path.join(at, f) for at, _, names in os.walk(local_path(models[0].uri)) for f in names]
+    # hashes and counts of every n-gram took 1.6 times the text
+    assert sum(map(os.path.getsize, files)) < sum(len(t) for _, t in rows)
+
+
+@pytest.mark.parametrize("segment", [100, 2_000_000])
+def test_kneser_ney_serves_other_texts(spark, monkeypatch, segment):
+    monkeypatch.setattr(kneser_ney, "SEGMENT_TOKENS", segment)
+    rows = texts(9)
+    model = kneser_ney.train(frame(spark, [r for r in rows if zlib.crc32(str(r[0]).encode()) % 10]))
+    others = rows + [(900, "never seen a b"), (901, "a b never"), (902, "the never the")]
+    got = {r.doc_id: r for r in kneser_ney.score(frame(spark, others), model).collect()}
+    assert len(got) == len(others) and got[900].n_known == 3
+    for r in kneser_ney.score_documents(frame(spark, rows)).collect():
+        assert (r.n_tokens, r.n_known) == (got[r.doc_id].n_tokens, got[r.doc_id].n_known) and r.score == pytest.approx(got[r.doc_id].score, abs=1e-9)
+    with pytest.raises(ValueError):
+        kneser_ney.score(frame(spark, others), model, learned=F.lit(True))
+
+
+def test_kneser_ney_sums_and_tables(monkeypatch, tmp_path):
+    monkeypatch.setattr(kneser_ney, "HELD", 40)
+    rng = np.random.default_rng(3)
+    for top in (1, 3, 1 << 40):
+        want, blobs = Counter(), [b""]
+        for _ in range(30):
+            columns = [rng.integers(0, top, 25).astype(np.uint64) for _ in range(3)]
+            n = rng.integers(0, 400, 25)
+            for *key, c in zip(*columns, n):
+                want[tuple(map(int, key))] += int(c)
+            blobs += [b for _, b in kneser_ney._dealt(np.zeros(25, np.int64), columns, [n])]
+        columns, (n,) = kneser_ney._merged(blobs, 3, 1)
+        assert [(*map(int, key), int(c)) for *key, c in zip(*columns, n)] == [(*key, c) for key, c in sorted(want.items())]
+    table = kneser_ney.Keyed(str(tmp_path), 3, 2)
+    keys = (np.array([7, 7, 7, 9, 2**32 - 1, 2**32 - 1]).astype(np.uint64) << np.uint64(32)) | (np.array([1, 5, 9, 5, 0, 65535]).astype(np.uint64) << np.uint64(16))
+    table.put(2, keys[::-1].copy(), [np.array([6, 5, 4, 3, 2, 1]), np.array([0, 255, 254, 0, 10**12, 0])])
+    table.seal([2])
+    asked = np.r_[keys, keys[:2] + (np.uint64(3) << np.uint64(16)), keys[:1]]
+    hit, got = table.find(np.array([2] * 8 + [1]), asked)
+    assert hit.tolist() == [True] * 6 + [False] * 3
+    assert got.tolist() == [[1, 0], [2, 10**12], [3, 0], [4, 254], [5, 255], [6, 0]] + [[0, 0]] * 3
+
+
 def test_kneser_ney_without_training_rows(spark):
     assert kneser_ney.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
