@@ -11,9 +11,9 @@ tables of sorted keys to the shared folder: its n-grams' counts, and per context
 the followers' counts and how many have counts 1, 2, 3 or more. To the last n - 1 words of each
 n-gram it sends one more different predecessor; those are added up by segments of the next
 lower order, written likewise and sent further down, to the single words. Only the counts of
-counts of each order, the words that are split and four totals come to the driver. Scoring maps
-the arrays into memory and looks up the sorted distinct keys of a few texts at a time; no text
-is shuffled.
+counts of each order, the sums after start marks, the words that are split and three totals
+come to the driver. Scoring maps the arrays into memory and looks up the sorted keys of a few
+texts at a time; no text is shuffled.
 
 A model of all texts serves any text. Where the texts to score are known beforehand, as in
 ``score_documents``, n-grams with count 1 and contexts with one follower of count 1 aren't
@@ -293,14 +293,14 @@ class KneserNey:
         return n[at]
 
     def segments(self, words: list[np.ndarray]) -> np.ndarray:
-        """The segment of each n-gram, the same for all of a context of two or more words."""
+        """The segment of each n-gram, the same for all of a context of two or more words, unless these are start marks."""
         v, rest = words[-2], words[:-2] or words[-1:]
         frequent, times = self.split
         sub = np.zeros(len(v), np.uint64)
         if len(frequent):
             at = np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)
             own = np.flatnonzero(frequent[at] == v)
-            sub[own] = _keys([x[own] for x in rest]) % times[at[own]]
+            sub[own] = np.where(v[own] == 0, mixed(words[-1][own]), _keys([x[own] for x in rest])) % times[at[own]]
         return segment_of(mixed(v * _FACTOR + sub), self.parts)
 
     def _by_word(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,6 +333,7 @@ class KneserNey:
             else:
                 hit, follow = self.contexts(k - 1).find(part, _keys(words[:-1]))
                 follow[~hit & known] = 1, 1, 0, 0
+                follow[words[-2] == 0] = t["starts"][k - 1]
             total, d = follow[:, 0], np.array([0, *t["discounts"][k - 1]])
             safe = np.maximum(total, 1)
             p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + np.where(total > 0, follow[:, 1:] @ d[1:] / safe, 1.0) * p
@@ -462,7 +463,10 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, learned: Col
             follow = [np.add.reduceat(c.astype(np.int64), first) if len(a) else a for c in (a, a == 1, a == 2, a >= 3, asked)]
             if k > 2:
                 total, wanted = follow[0], follow.pop()
-                kept = np.flatnonzero((total > 1) | (total > 0) & (wanted > 0) if lean else total > 0)
+                # start marks alone are one context, which may lie in several segments: its sums go to the driver
+                start = context[-1] == 0
+                sums += [c[start].sum() for c in follow]
+                kept = np.flatnonzero(~start & ((total > 1) | (total > 0) & (wanted > 0) if lean else total > 0))
                 model.contexts(k - 1).put(part, _keys([x[kept] for x in context]), [c[kept] for c in follow])
                 rows = _dealt(model.segments(words[1:]), _turned(words[1:]), [(a > 0).astype(np.int64), (asked > 0).astype(np.int64)])
             else:
@@ -499,11 +503,11 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, learned: Col
         own = found.get(str(k), {"own": []})["own"]
         for table in (model.single,) if k == 1 else (model.counts(k), model.contexts(k - 1)) if k > 2 else (model.counts(k),):
             table.seal(own)
-    sums = [found.get(str(k), {"sums": [0] * 6})["sums"] for k in range(1, order + 1)]
+    sums = [found.get(str(k), {"sums": [0] * 10})["sums"] for k in range(1, order + 1)]
     of_order = [discounts(x[:4]) for x in sums]
-    n1, n2, _, _, more, a = sums[0]
+    n1, n2, _, _, more, a = sums[0][:6]
     low = of_order[0]
-    model.totals |= {"A": a, "discounts": of_order, "mass": (low[0] * n1 + low[1] * n2 + low[2] * more) / a if a else 1.0}
+    model.totals |= {"A": a, "discounts": of_order, "starts": [x[6:] for x in sums], "mass": (low[0] * n1 + low[1] * n2 + low[2] * more) / a if a else 1.0}
     return model
 
 
