@@ -2,8 +2,11 @@
 
 import random
 import sys
+import time
+from decimal import Decimal
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +64,33 @@ def test_queries_take_keys_whose_amounts_pass_64_bits(spark, tmp_path):
     got = {r.l_orderkey: r for r in queries()["mth06_wide_scaling"](spark, str(tmp_path)).collect()}
     for o, n, p, s in rows:
         assert got[o].unknown == (o % 7 == 0) and (o % 7 == 0 or Fraction(got[o].scaled) == Fraction((p * 10**12 + n) * (s * 10**12 + 6), o % 7))
+
+
+def test_decimals_and_whole_numbers_are_operands_of_one_pass(spark):
+    rng = random.Random(6)
+    rows = [(i, Decimal(rng.choice((-1, 1)) * rng.randrange(10 ** rng.choice((1, 18, 19, 38)))), Decimal(rng.randrange(-(10**9), 10**9)).scaleb(-4), rng.randrange(-3, 4)) for i in range(400)]
+    rows += [(900, None, Decimal(1), 1), (901, Decimal(2**64), None, 1), (902, Decimal(-(2**63)), Decimal(1), None), (903, Decimal(-(2**63) - 1), Decimal(1), -1), (904, Decimal(0), Decimal(0), 5)]
+    df = spark.createDataFrame(rows, "i long, a decimal(38,0), b decimal(20,4), n long")
+    shown_in_one = W.product_text([F.col("a"), F.col("b")], [F.col("n"), F.lit("-7/3")])
+    got = df.select("i", shown_in_one.alias("x"), W.text(W.over(W.times(F.col("a"), F.col("b")), W.times(F.col("n"), F.lit("-7/3")))).alias("y"))
+    got = {r.i: (r.x, r.y) for r in got.collect()}
+    for i, a, b, n in rows:
+        want = None if None in (a, b, n) or n == 0 else str(Fraction(a) * Fraction(b) / (n * Fraction(-7, 3)))
+        assert got[i] == (want, want)
+
+
+def test_floats_are_refused_and_slices_are_read():
+    with pytest.raises(TypeError):
+        W._operand(pa.array([1.5]))
+    assert list(W._operand(pa.array([Decimal(5), None, Decimal(-(2**70))], pa.decimal128(38, 0))[1:])) == [[0, -(2**70)], [0, 1]]
+
+
+def test_scaling_is_one_pass_and_a_number_is_written_at_once(spark):
+    from lodestone.catalog import queries
+
+    plan = queries()["mth06_wide_scaling"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    start = time.process_time()
+    for n in range(20_000):
+        W._written(n * 10**25)
+    assert time.process_time() - start < 0.5  # about 1.3 s where 10**4000 is made for each
