@@ -32,6 +32,7 @@ starts after order - 1 start marks and closes with an end token.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from math import ceil
 
 import numpy as np
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SortedMap, bounded, hashed_words, map_array, mixed, put_array, scratch, segment_of
+from .shared import Grown, SortedMap, bounded, hashed_words, map_array, mixed, put_array, scratch, segment_of
 
 #: Word hashes have 56 bits: two of 10**9 words then share one in fewer than 10 cases.
 BITS = np.uint64((1 << 56) - 1)
@@ -49,7 +50,9 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BIG = 255
 #: Tokens times (order - 1) that one segment is planned for, tokens that are counted and that are
 #: looked up together, and n-grams that a task holds before it sends them.
-SEGMENT_TOKENS, COUNTED, TOGETHER, HELD = 1_500_000, 500_000, 400_000, 1_500_000
+SEGMENT_TOKENS, COUNTED, TOGETHER, HELD = 3_000_000, 500_000, 400_000, 1_500_000
+#: Shelves of segments; where they would hold more than so many segments each, there are more of them.
+SHELVES, SEGMENTS = 64, 16
 
 
 def tokens(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,54 +186,117 @@ def _rows(rows: list[tuple[int, bytes]], note: str | None = None) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), notes], schema=_SCHEMA)
 
 
+class Shelf:
+    """A shelf of ``Values``, or of ``Keyed``, while its segments are written, the lowest first."""
+
+    def __init__(self, table: Values, shelf: int, keyed: bool = False):
+        self.per, self.at = table.per, []
+        names = ("small", "large", "high", "low", "index") if keyed else ("small", "large")
+        self.files = {n: Grown(table.uri, f"{shelf:07d}.{n}") for n in (*names, "at")}
+
+    def _upto(self, own: int) -> None:
+        """Where the segments up to ``own``, counted within the shelf, begin; those not written are empty."""
+        while len(self.at) <= own:
+            self.at.append((self.files["small"].size, self.files["index"].size if "index" in self.files else 0, 0))
+
+    def add(self, own: int, counts: list[np.ndarray], keys: np.ndarray | None = None) -> None:
+        self._upto(own)
+        if keys is not None:
+            order = np.argsort(keys)
+            keys, counts = keys[order], [c[order] for c in counts]
+            start, at, bits = self.files["small"].size, self.files["index"].size, (len(keys) // 4).bit_length()
+            self.at[own] = start, at, bits
+            self.files["high"].add((keys >> np.uint64(32)).astype("<u4"))
+            self.files["low"].add((keys >> np.uint64(16)).astype("<u2"))
+            each = np.bincount(_bucket(keys, np.uint64(bits)), minlength=1 << bits)
+            self.files["index"].add((start + np.r_[0, np.cumsum(each)]).astype("<u4"))
+        rows = np.stack(counts, 1).astype(np.int64)
+        big = np.flatnonzero((rows >= BIG).any(1))
+        self.files["large"].add(np.column_stack([big + self.files["small"].size, rows[big]]).astype("<i8"))
+        self.files["small"].add(np.minimum(rows, BIG).astype(np.uint8))
+
+    def close(self) -> None:
+        self._upto(self.per)
+        self.files["at"].add(np.array(self.at, "<i8"))
+        for file in self.files.values():
+            file.close()
+
+
+def _bucket(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return ((keys >> np.uint64(1)) >> (np.uint64(63) - bits)).astype(np.int64)
+
+
 class Values:
-    """Rows of counts by segment and place: a byte each; rows with larger ones again in full."""
+    """Rows of counts by segment and place: a byte each; rows with larger ones again in full.
 
-    def __init__(self, uri: str, parts: int, width: int):
-        self.uri, self.parts, self.width = uri, parts, width
+    ``per`` segments, one after another, are a shelf, in one set of files: a reader opens few of
+    them and looks up all that it asks of a shelf at once, however many segments there are.
+    """
 
-    def put(self, part: int, counts: list[np.ndarray]) -> None:
-        rows = np.stack(counts, 1).astype(np.int64)
-        big = np.flatnonzero((rows >= BIG).any(1))
-        put_array(self.uri, f"{part:07d}.small", np.minimum(rows, BIG).astype(np.uint8))
-        put_array(self.uri, f"{part:07d}.large", np.column_stack([big, rows[big]]).astype("<i8"))
+    def __init__(self, uri: str, parts: int, width: int, per: int = 1):
+        self.uri, self.parts, self.width, self.per = uri, parts, width, per
 
     def seal(self, present: list[int]) -> None:
-        """State which segments exist; on the driver, when all of them are written."""
-        there = np.zeros(self.parts, np.uint8)
+        """State which shelves exist; on the driver, when all of them are written."""
+        there = np.zeros(-(-self.parts // self.per), np.uint8)
         there[present] = 1
         put_array(self.uri, "sealed", there)
 
-    def there(self, part: int) -> bool:
-        return bool(map_array(self.uri, "sealed", "|u1")[part])
-
-    def get(self, part: int, at: np.ndarray) -> np.ndarray:
-        """A row of counts for each place, zeros beyond the last."""
-        out = np.zeros((len(at), self.width), np.int64)
-        if not self.there(part):
-            return out
-        small = map_array(self.uri, f"{part:07d}.small", "|u1").reshape(-1, self.width)
-        inside = np.flatnonzero(at < len(small))
-        out[inside] = small[at[inside]]
+    def there(self, shelf: int) -> bool:
+        return bool(map_array(self.uri, "sealed", "|u1")[shelf])
+
+    def at(self, shelf: int) -> np.ndarray:
+        """Per segment of the shelf and for its end: rows and index entries before it, bits of its index."""
+        return map_array(self.uri, f"{shelf:07d}.at", "<i8").reshape(-1, 3)
+
+    def rows(self, shelf: int, at: np.ndarray) -> np.ndarray:
+        """The counts of rows of a shelf."""
+        out = map_array(self.uri, f"{shelf:07d}.small", "|u1").reshape(-1, self.width)[at].astype(np.int64)
         big = np.flatnonzero((out >= BIG).any(1))
         if len(big):
-            large = map_array(self.uri, f"{part:07d}.large", "<i8").reshape(-1, self.width + 1)
+            large = map_array(self.uri, f"{shelf:07d}.large", "<i8").reshape(-1, self.width + 1)
             out[big] = large[np.searchsorted(large[:, 0], at[big]), 1:]
         return out
 
+    def get(self, parts: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """A row of counts for each segment and place, zeros beyond the segment's last."""
+        out = np.zeros((len(parts), self.width), np.int64)
+        for shelf, own in _by_shelf(parts, self.per, _order([parts.astype(np.uint64), place.astype(np.uint64)])):
+            if self.there(shelf):
+                at, local = self.at(shelf)[:, 0], parts[own] - shelf * self.per
+                row = at[local] + place[own]
+                inside = row < at[local + 1]
+                out[own[inside]] = self.rows(shelf, row[inside])
+        return out
+
+
+def _by_shelf(parts: np.ndarray, per: int, order: np.ndarray):
+    """(shelf, rows) for rows in ``order``, which is by segment."""
+    shelf = parts[order] // per
+    cuts = np.flatnonzero(np.diff(shelf)) + 1
+    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(order)]):
+        if hi > lo:
+            yield int(shelf[lo]), order[lo:hi]
+
 
 class Keyed:
-    """Rows of counts by key in sorted segments, which the caller names. Keys have 48 bits within a segment."""
+    """Rows of counts by key in segments, which the caller names. Keys have 48 bits within a segment.
+
+    A segment's keys are in order; an index tells where those with the same upper bits begin, two to
+    four of them on average.
+    """
 
-    def __init__(self, uri: str, parts: int, width: int):
-        self.uri, self.parts, self.values = uri, parts, Values(uri, parts, width)
+    def __init__(self, uri: str, parts: int, width: int, per: int = 1):
+        self.uri, self.parts, self.values = uri, parts, Values(uri, parts, width, per)
+
+    def shelf(self, shelf: int) -> Shelf:
+        return Shelf(self.values, shelf, keyed=True)
 
     def put(self, part: int, keys: np.ndarray, counts: list[np.ndarray]) -> None:
-        order = np.argsort(keys)
-        keys = keys[order]
-        put_array(self.uri, f"{part:07d}.high", (keys >> np.uint64(32)).astype("<u4"))
-        put_array(self.uri, f"{part:07d}.low", (keys >> np.uint64(16)).astype("<u2"))
-        self.values.put(part, [c[order] for c in counts])
+        """A shelf of one segment."""
+        shelf = self.shelf(part)
+        shelf.add(0, counts, keys)
+        shelf.close()
 
     def seal(self, present: list[int]) -> None:
         self.values.seal(present)
@@ -238,26 +304,33 @@ class Keyed:
     def find(self, parts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is in its segment, and its row of counts (zeros where absent)."""
         hit, out = np.zeros(len(keys), bool), np.zeros((len(keys), self.values.width), np.int64)
-        if not len(keys):
-            return hit, out
-        order = _order([parts.astype(np.uint64), keys >> np.uint64(16)])
-        for own in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
-            if not self.values.there(part := int(parts[own[0]])):
+        order = _order([parts.astype(np.uint64), keys >> np.uint64(16)]) if len(keys) else np.empty(0, np.int64)
+        for shelf, own in _by_shelf(parts, self.values.per, order):
+            if not self.values.there(shelf):
                 continue
-            high, low = map_array(self.uri, f"{part:07d}.high", "<u4"), map_array(self.uri, f"{part:07d}.low", "<u2")
-            h, l = (keys[own] >> np.uint64(32)).astype("<u4"), (keys[own] >> np.uint64(16)).astype("<u2")
-            at = np.searchsorted(high, h)
-            found, left = np.zeros(len(own), bool), np.arange(len(own))
-            while len(left):  # keys with the same upper bits stand side by side
-                left = left[at[left] < len(high)]
-                left = left[high[at[left]] == h[left]]
-                ok = low[at[left]] == l[left]
-                found[left[ok]] = True
+            high, low, index = (map_array(self.uri, f"{shelf:07d}.{n}", t) for n, t in (("high", "<u4"), ("low", "<u2"), ("index", "<u4")))
+            key = keys[own] >> np.uint64(16)
+            segment = parts[own] - shelf * self.values.per
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])])  # equal ones are asked once
+            times = np.diff(np.r_[first, len(own)])
+            key = key[first]
+            at = self.values.at(shelf)[segment[first]]
+            written = self.values.at(shelf)[segment[first] + 1, 1] > at[:, 1]
+            entry = np.where(written, at[:, 1] + _bucket(key << np.uint64(16), at[:, 2].astype(np.uint64)), 0)
+            here, end = (index[entry + k].astype(np.int64) * written for k in (0, 1)) if len(index) else (np.zeros(len(key), np.int64),) * 2
+            h, l = (key >> np.uint64(16)).astype("<u4"), key.astype("<u2")
+            found, left = np.full(len(key), -1), np.flatnonzero(here < end)
+            while len(left):
+                place = here[left]
+                ok = (high[place] == h[left]) & (low[place] == l[left])
+                found[left[ok]] = place[ok]
                 left = left[~ok]
-                at[left] += 1
-            found = np.flatnonzero(found)
-            hit[own[found]] = True
-            out[own[found]] = self.values.get(part, at[found])
+                here[left] += 1
+                left = left[here[left] < end[left]]
+            some = np.flatnonzero(found >= 0)
+            rows = np.zeros((len(key), self.values.width), np.int64)
+            rows[some] = self.values.rows(shelf, found[some])
+            hit[own], out[own] = np.repeat(found >= 0, times), np.repeat(rows, times, axis=0)
         return hit, out
 
 
@@ -270,19 +343,22 @@ class KneserNey:
     """
 
     def __init__(self, uri: str, parts: int, order: int, lean: bool = False):
+        shelves = min(parts, max(SHELVES, ceil(parts / SEGMENTS)))
+        self.per = ceil(parts / shelves)
+        parts = shelves * self.per  # so that a shelf has a range of words' keys, as a segment has
         self.uri, self.parts, self.order, self.lean, self.totals = uri, parts, order, lean, {}
         self.split = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.words, self.raw = SortedMap(f"{uri}/words", parts, {"rank": "<u4"}), Values(f"{uri}/raw", parts, 1)
+        self.words, self.raw = SortedMap(f"{uri}/words", shelves, {"rank": "<u4"}), Values(f"{uri}/raw", parts, 1, self.per)
         #: different predecessors, and of the followers the sum of their counts and the numbers of those with counts 1, 2, 3 or more
-        self.single = Values(f"{uri}/1", parts, 5)
+        self.single = Values(f"{uri}/1", parts, 5, self.per)
 
     def counts(self, k: int) -> Keyed:
         """Counts of the n-grams of ``k`` words: occurrences in the highest order, else different predecessors."""
-        return Keyed(f"{self.uri}/{k}", self.parts, 1)
+        return Keyed(f"{self.uri}/{k}", self.parts, 1, self.per)
 
     def contexts(self, k: int) -> Keyed:
         """Of the followers of ``k`` words, 2 or more: the sum of their counts and the numbers of those with counts 1, 2, 3 or more."""
-        return Keyed(f"{self.uri}/{k}-contexts", self.parts, 4)
+        return Keyed(f"{self.uri}/{k}-contexts", self.parts, 4, self.per)
 
     def numbers(self, x: np.ndarray) -> np.ndarray:
         """The number of each word hash."""
@@ -306,13 +382,7 @@ class KneserNey:
     def _by_word(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Raw count and the row of ``single`` for each word."""
         part, rank = (numbers % np.uint64(self.parts)).astype(np.int64), (numbers // np.uint64(self.parts)).astype(np.int64)
-        raw, rows = np.zeros(len(numbers), np.int64), np.zeros((len(numbers), 5), np.int64)
-        order = np.argsort(part, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
-            if len(own):
-                raw[own] = self.raw.get(int(part[own[0]]), rank[own])[:, 0]
-                rows[own] = self.single.get(int(part[own[0]]), rank[own])
-        return raw, rows
+        return self.raw.get(part, rank)[:, 0], self.single.get(part, rank)
 
     def log_probs(self, x: np.ndarray, token: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P of each token after its context, and its raw count in training; ``learned`` is asked of a lean model only."""
@@ -354,9 +424,9 @@ def discounts(n: list[int]) -> list[float]:
     return out
 
 
-def _note(notes: list[str], k: int, part: int, sums: list[int]) -> str:
-    """What the driver gets to know, by order: segments written, and sums over them."""
-    out: dict[str, dict] = {str(k): {"own": [part], "sums": [int(x) for x in sums]}}
+def _note(notes: list[str], k: int, shelf: int, sums: Iterable[int]) -> str:
+    """What the driver gets to know, by order: shelves written, and sums over them."""
+    out: dict[str, dict] = {str(k): {"own": [shelf], "sums": [int(x) for x in sums]}}
     for note in map(json.loads, notes):
         for order, add in note.items():
             held = out.setdefault(order, {"own": [], "sums": [0] * len(add["sums"])})
@@ -390,26 +460,45 @@ def _number_words(texts: DataFrame, model: KneserNey, starts: int, most: int) ->
             yield sent()
 
     def number(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        (keys,), (n,) = _merged(table["blob"].to_pylist(), 1, 1)
-        order = np.argsort(-n, kind="stable")
-        rank = np.empty(len(n), np.int64)
-        rank[order] = np.arange(2, len(n) + 2)
-        model.words.put(part, keys, rank=rank)
-        model.raw.put(part, [np.r_[0, 0, n[order]]])
-        often = np.flatnonzero(n > most)
-        note = {"N": int(n.sum()), "V": len(n), "split": [(int(r) * parts + part, 1 + int(c) // most) for r, c in zip(rank[often], n[often])]}
-        return pa.Table.from_batches([_rows([(part, b"")], json.dumps(note))])
-
-    made = texts.filter("learned").select("text").mapInArrow(count, _DDL).groupBy("part").applyInArrow(number, _DDL)
-    found = [(row.part, json.loads(row.note)) for row in made.select("part", "note").collect()]  # a row per segment
+        shelf, note = table["part"][0].as_py() // model.per, {"N": 0, "V": 0, "split": []}
+        stored, counts = {n: Grown(model.words.uri, f"{shelf:07d}.{n}") for n in ("key", "rank")}, Shelf(model.raw, shelf)
+        for part, blobs in _segments(table):
+            (keys,), (n,) = _merged(blobs, 1, 1)
+            order = np.argsort(-n, kind="stable")
+            rank = np.empty(len(n), np.int64)
+            rank[order] = np.arange(2, len(n) + 2)
+            stored["key"].add(keys.astype("<u8"))
+            stored["rank"].add(rank.astype("<u4"))
+            counts.add(part - shelf * model.per, [np.r_[0, 0, n[order]]])
+            often = np.flatnonzero(n > most)
+            note["N"] += int(n.sum())
+            note["V"] += len(n)
+            note["split"] += [(int(r) * parts + part, 1 + int(c) // most) for r, c in zip(rank[often], n[often])]
+        for file in (*stored.values(), counts):
+            file.close()
+        return pa.Table.from_batches([_rows([(shelf, b"")], json.dumps(note))])
+
+    made = _shelved(texts.filter("learned").select("text").mapInArrow(count, _DDL), model.per).applyInArrow(number, _DDL)
+    found = [(row.part, json.loads(row.note)) for row in made.select("part", "note").collect()]  # a row per shelf
     for table in (model.words, model.raw):
-        table.seal([part for part, _ in found])
+        table.seal([shelf for shelf, _ in found])
     split = [(0, 1 + starts // most)] * (starts > most) + sorted(tuple(x) for _, note in found for x in note["split"])
     model.split = tuple(np.array(split, np.uint64).reshape(-1, 2).T.copy())
     model.totals = {"N": sum(note["N"] for _, note in found), "V": sum(note["V"] for _, note in found)}
 
 
+def _shelved(sent: DataFrame, per: int):
+    return sent.groupBy(F.floor(F.col("part") / per))
+
+
+def _segments(table: pa.Table):
+    """(segment, blobs) of a shelf, the lowest first."""
+    parts, blobs = table["part"].to_numpy(), table["blob"]
+    order = np.argsort(parts, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+        yield int(parts[own[0]]), blobs.take(pa.array(own)).to_pylist()
+
+
 def train(texts: DataFrame, text_col: str = "text", order: int = 3, learned: Column | None = None) -> KneserNey:
     """Count the model of ``order`` (2 or more) over every row of ``texts``; null text is an empty one.
 
@@ -448,53 +537,71 @@ def train(texts: DataFrame, text_col: str = "text", order: int = 3, learned: Col
             yield sent()
 
     def segment(k: int):
-        """Add up a segment of the n-grams of ``k`` words, store it, send its sums to those of ``k`` - 1."""
+        """Add up a shelf's segments of the n-grams of ``k`` words, store them, send their sums to those of ``k`` - 1."""
 
         def add(table: pa.Table) -> pa.Table:
-            part = table["part"][0].as_py()
-            columns, (a, asked) = _merged(table["blob"].to_pylist(), k, 2)
-            words = _turned(columns)
-            kept = np.flatnonzero((a > 1) | (a > 0) & (asked > 0) if lean else a > 0)
-            model.counts(k).put(part, _keys([x[kept] for x in words]), [a[kept]])
-            sums = [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum()]
-            # columns are ordered by context
-            first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)]) if len(a) else np.empty(0, np.int64)
-            context = [x[first] for x in words[:-1]]
-            follow = [np.add.reduceat(c.astype(np.int64), first) if len(a) else a for c in (a, a == 1, a == 2, a >= 3, asked)]
-            if k > 2:
-                total, wanted = follow[0], follow.pop()
-                # start marks alone are one context, which may lie in several segments: its sums go to the driver
-                start = context[-1] == 0
-                sums += [c[start].sum() for c in follow]
-                kept = np.flatnonzero(~start & ((total > 1) | (total > 0) & (wanted > 0) if lean else total > 0))
-                model.contexts(k - 1).put(part, _keys([x[kept] for x in context]), [c[kept] for c in follow])
-                rows = _dealt(model.segments(words[1:]), _turned(words[1:]), [(a > 0).astype(np.int64), (asked > 0).astype(np.int64)])
-            else:
-                ends, none = np.concatenate([words[1], context[0]]), np.zeros(len(a), np.int64)
-                sent = [np.r_[(a > 0).astype(np.int64), np.zeros(len(first), np.int64)], *(np.r_[none, c] for c in follow[:4])]
-                some = np.flatnonzero(np.any([c > 0 for c in sent], axis=0))
-                each = np.uint64(parts)
-                rows = _dealt((ends % each)[some], [(ends // each)[some]], [c[some] for c in sent])
-            return pa.Table.from_batches([_rows(rows or [(part, b"")], _note(table["note"].drop_null().to_pylist(), k, part, sums))])
+            shelf = table["part"][0].as_py() // model.per
+            stored, contexts = model.counts(k).shelf(shelf), model.contexts(k - 1).shelf(shelf) if k > 2 else None
+            sums, rows, held = np.zeros(10 if k > 2 else 6, np.int64), [], []
+
+            def sent():
+                part, *columns = (np.concatenate(c) for c in zip(*(c for c, _ in held)))
+                rows.extend(_dealt(part, columns, [np.concatenate(c) for c in zip(*(n for _, n in held))]))
+                held.clear()
+
+            for part, blobs in _segments(table):
+                columns, (a, asked) = _merged(blobs, k, 2)
+                words = _turned(columns)
+                kept = np.flatnonzero((a > 1) | (a > 0) & (asked > 0) if lean else a > 0)
+                stored.add(part - shelf * model.per, [a[kept]], _keys([x[kept] for x in words]))
+                sums[:6] += [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum()]
+                # columns are ordered by context
+                first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns[:-1]], axis=0)]) if len(a) else np.empty(0, np.int64)
+                context = [x[first] for x in words[:-1]]
+                follow = [np.add.reduceat(c.astype(np.int64), first) if len(a) else a for c in (a, a == 1, a == 2, a >= 3, asked)]
+                if k > 2:
+                    total, wanted = follow[0], follow.pop()
+                    # start marks alone are one context, which may lie in several segments: its sums go to the driver
+                    start = context[-1] == 0
+                    sums[6:] += [c[start].sum() for c in follow]
+                    kept = np.flatnonzero(~start & ((total > 1) | (total > 0) & (wanted > 0) if lean else total > 0))
+                    contexts.add(part - shelf * model.per, [c[kept] for c in follow], _keys([x[kept] for x in context]))
+                    held.append(([model.segments(words[1:]), *_turned(words[1:])], [(a > 0).astype(np.int64), (asked > 0).astype(np.int64)]))
+                else:
+                    ends, none = np.concatenate([words[1], context[0]]), np.zeros(len(a), np.int64)
+                    counts = [np.r_[(a > 0).astype(np.int64), np.zeros(len(first), np.int64)], *(np.r_[none, c] for c in follow[:4])]
+                    some = np.flatnonzero(np.any([c > 0 for c in counts], axis=0))
+                    ends, each = ends[some], np.uint64(model.parts)
+                    held.append(([ends % each, ends // each], [c[some] for c in counts]))
+                if sum(len(c[0]) for c, _ in held) > HELD // 2:
+                    sent()
+            if held:
+                sent()
+            for shelves in filter(None, (stored, contexts)):
+                shelves.close()
+            return pa.Table.from_batches([_rows(rows or [(shelf * model.per, b"")], _note(table["note"].drop_null().to_pylist(), k, shelf, sums))])
 
         return add
 
     def single(table: pa.Table) -> pa.Table:
-        part = table["part"][0].as_py()
-        (rank,), counts = _merged(table["blob"].to_pylist(), 1, 5)
-        dense = np.zeros((5, int(rank[-1]) + 1 if len(rank) else 0), np.int64)
-        dense[:, rank.astype(np.int64)] = counts
-        model.single.put(part, list(dense))
-        a = counts[0]
-        sums = [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum()]
-        return pa.Table.from_batches([_rows([(part, b"")], _note(table["note"].drop_null().to_pylist(), 1, part, sums))])
+        shelf = table["part"][0].as_py() // model.per
+        stored, sums = Shelf(model.single, shelf), np.zeros(6, np.int64)
+        for part, blobs in _segments(table):
+            (rank,), counts = _merged(blobs, 1, 5)
+            dense = np.zeros((5, int(rank[-1]) + 1 if len(rank) else 0), np.int64)
+            dense[:, rank.astype(np.int64)] = counts
+            stored.add(part - shelf * model.per, list(dense))
+            a = counts[0]
+            sums += [*((a == j).sum() for j in (1, 2, 3, 4)), (a >= 3).sum(), a.sum()]
+        stored.close()
+        return pa.Table.from_batches([_rows([(shelf * model.per, b"")], _note(table["note"].drop_null().to_pylist(), 1, shelf, sums))])
 
     made = texts.mapInArrow(count, _DDL)
     for k in range(order, 1, -1):
-        made = made.groupBy("part").applyInArrow(segment(k), _DDL)
-    made = made.groupBy("part").applyInArrow(single, _DDL)
+        made = _shelved(made, model.per).applyInArrow(segment(k), _DDL)
+    made = _shelved(made, model.per).applyInArrow(single, _DDL)
     found: dict[str, dict] = {}
-    for row in made.select("note").collect():  # a row per segment
+    for row in made.select("note").collect():  # a row per shelf
         for k, add in json.loads(row.note).items():
             held = found.setdefault(k, {"own": [], "sums": [0] * len(add["sums"])})
             held["own"] += add["own"]

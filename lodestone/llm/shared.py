@@ -103,6 +103,32 @@ def put_array(uri: str, name: str, values: np.ndarray) -> None:
     store.move(part, f"{at}/{name}")
 
 
+class Grown:
+    """An array segment written piece by piece, under a temporary name until it is closed."""
+
+    def __init__(self, uri: str, name: str):
+        self.path, self.size = local_path(uri), 0
+        at = self.path
+        if self.path:
+            os.makedirs(at, exist_ok=True)
+        else:
+            self.store, at = _store(uri)
+            self.store.create_dir(at, recursive=True)
+        self.part, self.final = f"{at}/.{name}.{uuid.uuid4().hex}", f"{at}/{name}"
+        self.out = open(self.part, "wb") if self.path else self.store.open_output_stream(self.part)
+
+    def add(self, values: np.ndarray) -> None:
+        self.out.write(np.ascontiguousarray(values).tobytes())
+        self.size += len(values)
+
+    def close(self) -> None:
+        self.out.close()
+        if self.path:
+            os.replace(self.part, self.final)
+        else:
+            self.store.move(self.part, self.final)
+
+
 _mapped: dict[tuple[str, str], np.ndarray] = {}
 
 

@@ -152,6 +152,38 @@ def test_kneser_ney_sums_and_tables(monkeypatch, tmp_path):
     assert got.tolist() == [[1, 0], [2, 10**12], [3, 0], [4, 254], [5, 255], [6, 0]] + [[0, 0]] * 3
 
 
+def test_kneser_ney_files_and_messages_do_not_grow_with_segments(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SEGMENT_TOKENS", 40)
+    monkeypatch.setattr(kneser_ney, "SHELVES", 3)
+    monkeypatch.setattr(kneser_ney, "SEGMENTS", 100)
+    monkeypatch.setattr(kneser_ney, "TOGETHER", 200)
+    rows, models, train = texts(11), [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    got, want = kneser_ney.score_documents(frame(spark, rows)).collect(), direct(rows, 3)
+    assert all(r.score == pytest.approx(want[r.doc_id][4], abs=1e-6) and r.n_known == want[r.doc_id][1] for r in got)
+    files = [f for _, _, names in os.walk(local_path(models[0].uri)) for f in names]
+    assert models[0].parts > 90 and models[0].per > 30 and len(files) < 30 * 3
+
+
+def test_kneser_ney_looks_up_segments_of_a_shelf_at_once(tmp_path):
+    rng = np.random.default_rng(7)
+    table, want = kneser_ney.Keyed(str(tmp_path), 11, 2, 4), {}
+    for shelf in (0, 2):
+        own = table.shelf(shelf)
+        for local in (0, 1, 3) if shelf == 0 else (1, 2):
+            keys = np.unique(rng.integers(0, 1 << 63, int(rng.choice([0, 1, 5, 4000])), dtype=np.uint64) >> np.uint64(16)) << np.uint64(16)
+            counts = [rng.integers(0, 300, len(keys)), rng.integers(0, 10**10, len(keys))]
+            own.add(local, counts, keys)
+            want |= {(4 * shelf + local, int(k)): (int(a), int(b)) for k, a, b in zip(keys, *counts)}
+        own.close()
+    table.seal([0, 2])
+    asked = [*want, *want, *((p, k) for p in range(11) for k in (0, 5 << 16, 1 << 62))]
+    rng.shuffle(asked)
+    hit, got = table.find(np.array([p for p, _ in asked]), np.array([k for _, k in asked], np.uint64))
+    assert hit.tolist() == [a in want for a in map(tuple, asked)]
+    assert [tuple(r) for r in got.tolist()] == [want.get(a, (0, 0)) for a in map(tuple, asked)]
+
+
 def test_kneser_ney_without_training_rows(spark):
     assert kneser_ney.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
