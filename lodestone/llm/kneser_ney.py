@@ -260,23 +260,27 @@ class Values:
 
     def get(self, parts: np.ndarray, place: np.ndarray) -> np.ndarray:
         """A row of counts for each segment and place, zeros beyond the segment's last."""
-        out = np.zeros((len(parts), self.width), np.int64)
-        for shelf, own in _by_shelf(parts, self.per, _order([parts.astype(np.uint64), place.astype(np.uint64)])):
+        order = _order([parts.astype(np.uint64), place.astype(np.uint64)]) if len(parts) else np.empty(0, np.int64)
+        segment, place = parts[order], place[order]
+        rows = np.zeros((len(parts), self.width), np.int64)
+        for shelf, own in _by_shelf(segment, self.per):
             if self.there(shelf):
-                at, local = self.at(shelf)[:, 0], parts[own] - shelf * self.per
+                at, local = self.at(shelf)[:, 0], segment[own] - shelf * self.per
                 row = at[local] + place[own]
-                inside = row < at[local + 1]
-                out[own[inside]] = self.rows(shelf, row[inside])
+                inside = np.flatnonzero(row < at[local + 1])
+                rows[own][inside] = self.rows(shelf, row[inside])
+        out = np.empty_like(rows)
+        out[order] = rows
         return out
 
 
-def _by_shelf(parts: np.ndarray, per: int, order: np.ndarray):
-    """(shelf, rows) for rows in ``order``, which is by segment."""
-    shelf = parts[order] // per
+def _by_shelf(segments: np.ndarray, per: int):
+    """(shelf, slice) for segments in order."""
+    shelf = segments // per
     cuts = np.flatnonzero(np.diff(shelf)) + 1
-    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(order)]):
+    for lo, hi in zip(np.r_[0, cuts].tolist(), np.r_[cuts, len(shelf)].tolist()):
         if hi > lo:
-            yield int(shelf[lo]), order[lo:hi]
+            yield int(shelf[lo]), slice(lo, hi)
 
 
 class Keyed:
@@ -304,35 +308,44 @@ class Keyed:
     def find(self, parts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is in its segment, and its row of counts (zeros where absent)."""
         hit, out = np.zeros(len(keys), bool), np.zeros((len(keys), self.values.width), np.int64)
-        order = _order([parts.astype(np.uint64), keys >> np.uint64(16)]) if len(keys) else np.empty(0, np.int64)
-        for shelf, own in _by_shelf(parts, self.values.per, order):
-            if not self.values.there(shelf):
-                continue
-            high, low, index = (map_array(self.uri, f"{shelf:07d}.{n}", t) for n, t in (("high", "<u4"), ("low", "<u2"), ("index", "<u4")))
-            key = keys[own] >> np.uint64(16)
-            segment = parts[own] - shelf * self.values.per
-            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])])  # equal ones are asked once
-            times = np.diff(np.r_[first, len(own)])
-            key = key[first]
-            at = self.values.at(shelf)[segment[first]]
-            written = self.values.at(shelf)[segment[first] + 1, 1] > at[:, 1]
-            entry = np.where(written, at[:, 1] + _bucket(key << np.uint64(16), at[:, 2].astype(np.uint64)), 0)
-            here, end = (index[entry + k].astype(np.int64) * written for k in (0, 1)) if len(index) else (np.zeros(len(key), np.int64),) * 2
-            h, l = (key >> np.uint64(16)).astype("<u4"), key.astype("<u2")
-            found, left = np.full(len(key), -1), np.flatnonzero(here < end)
-            while len(left):
-                place = here[left]
-                ok = (high[place] == h[left]) & (low[place] == l[left])
-                found[left[ok]] = place[ok]
-                left = left[~ok]
-                here[left] += 1
-                left = left[here[left] < end[left]]
-            some = np.flatnonzero(found >= 0)
-            rows = np.zeros((len(key), self.values.width), np.int64)
-            rows[some] = self.values.rows(shelf, found[some])
-            hit[own], out[own] = np.repeat(found >= 0, times), np.repeat(rows, times, axis=0)
+        if not len(keys):
+            return hit, out
+        order = _order([parts.astype(np.uint64), keys >> np.uint64(16)])
+        segment, key = parts[order], keys[order] >> np.uint64(16)
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])])  # equal ones are asked once
+        times = np.diff(np.r_[first, len(order)])
+        segment, key = segment[first], key[first]
+        found, rows = np.zeros(len(key), bool), np.zeros((len(key), self.values.width), np.int64)
+        for shelf, own in _by_shelf(segment, self.values.per):
+            if self.values.there(shelf):
+                at = self._places(shelf, segment[own] - shelf * self.values.per, key[own])
+                there = np.flatnonzero(at >= 0)
+                found[own][there] = True
+                rows[own][there] = self.values.rows(shelf, at[there])
+        hit[order], out[order] = np.repeat(found, times), np.repeat(rows, times, axis=0)
         return hit, out
 
+    def _places(self, shelf: int, own: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The row of each key of 48 bits in the shelf, -1 where absent; ``own`` is its segment within the shelf."""
+        high, low, index = (map_array(self.uri, f"{shelf:07d}.{n}", t) for n, t in (("high", "<u4"), ("low", "<u2"), ("index", "<u4")))
+        out = np.full(len(key), -1)
+        if not len(high):
+            return out
+        at = self.values.at(shelf)
+        bits, entry = at[own, 2].astype(np.uint64), at[own, 1]
+        entry = np.where(at[own + 1, 1] > entry, entry + _bucket(key << np.uint64(16), bits), -1)  # some segments aren't written
+        here, end = index[entry].astype(np.int64), index[entry + 1].astype(np.int64)
+        h, l = (key >> np.uint64(16)).astype("<u4"), key.astype("<u2")
+        left = np.flatnonzero((here < end) & (entry >= 0))
+        here, end, h, l = here[left], end[left], h[left], l[left]
+        while len(left):
+            ok = (high[here] == h) & (low[here] == l)
+            out[left[ok]] = here[ok]
+            here += 1
+            more = np.flatnonzero(~ok & (here < end))
+            left, here, end, h, l = left[more], here[more], end[more], h[more], l[more]
+        return out
+
 
 class KneserNey:
     """A counted model: its folder, its number of segments, its order, and its totals and discounts.
@@ -406,7 +419,8 @@ class KneserNey:
                 follow[words[-2] == 0] = t["starts"][k - 1]
             total, d = follow[:, 0], np.array([0, *t["discounts"][k - 1]])
             safe = np.maximum(total, 1)
-            p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + np.where(total > 0, follow[:, 1:] @ d[1:] / safe, 1.0) * p
+            free = follow[:, 1] * d[1] + follow[:, 2] * d[2] + follow[:, 3] * d[3]
+            p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + np.where(total > 0, free / safe, 1.0) * p
         return np.log10(p), raw
 
 

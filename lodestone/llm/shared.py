@@ -142,7 +142,7 @@ def map_array(uri: str, name: str, dtype) -> np.ndarray:
         file = f"{path}/{name}" if path else _fetched(uri, name)
         if file is None or not os.path.exists(file):
             raise FileNotFoundError(f"no segment {name} in {uri}: is spark.checkpoint.dir shared by all machines?")
-        _mapped[key] = np.memmap(file, dtype, "r") if os.path.getsize(file) else np.empty(0, dtype)
+        _mapped[key] = np.memmap(file, dtype, "r").view(np.ndarray) if os.path.getsize(file) else np.empty(0, dtype)
     return _mapped[key]
 
 
