@@ -8,7 +8,10 @@ segments by the last word of their context. So all n-grams of a context meet in
 and so do most that end in the same n - 1 words. (A word that occurs more often than a segment
 holds is split by the rest of its contexts.) A segment adds up its n-grams and writes two
 tables of sorted keys to the shared folder: its n-grams' counts, and per context the sum of
-the followers' counts and how many have counts 1, 2, 3 or more. To the last n - 1 words of each
+the followers' counts and how many have counts 1, 2, 3 or more. Segments stand side by side on
+shelves: a task works on a shelf's segments one by one and sends their sums on together, and
+they share a set of files, so that neither files nor lookups nor messages grow with the square
+of the input. To the last n - 1 words of each
 n-gram it sends one more different predecessor; those are added up by segments of the next
 lower order, written likewise and sent further down, to the single words. Only the counts of
 counts of each order, the sums after start marks, the words that are split and three totals
@@ -204,7 +207,7 @@ class Shelf:
         if keys is not None:
             order = np.argsort(keys)
             keys, counts = keys[order], [c[order] for c in counts]
-            start, at, bits = self.files["small"].size, self.files["index"].size, (len(keys) // 4).bit_length()
+            start, at, bits = self.files["small"].size, self.files["index"].size, (len(keys) // 3).bit_length()
             self.at[own] = start, at, bits
             self.files["high"].add((keys >> np.uint64(32)).astype("<u4"))
             self.files["low"].add((keys >> np.uint64(16)).astype("<u2"))
@@ -259,18 +262,14 @@ class Values:
         return out
 
     def get(self, parts: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """A row of counts for each segment and place, zeros beyond the segment's last."""
-        order = _order([parts.astype(np.uint64), place.astype(np.uint64)]) if len(parts) else np.empty(0, np.int64)
-        segment, place = parts[order], place[order]
-        rows = np.zeros((len(parts), self.width), np.int64)
-        for shelf, own in _by_shelf(segment, self.per):
+        """A row of counts for each segment and place, zeros beyond the segment's last; segments are in order."""
+        out = np.zeros((len(parts), self.width), np.int64)
+        for shelf, own in _by_shelf(parts, self.per):
             if self.there(shelf):
-                at, local = self.at(shelf)[:, 0], segment[own] - shelf * self.per
+                at, local = self.at(shelf)[:, 0], parts[own] - shelf * self.per
                 row = at[local] + place[own]
                 inside = np.flatnonzero(row < at[local + 1])
-                rows[own][inside] = self.rows(shelf, row[inside])
-        out = np.empty_like(rows)
-        out[order] = rows
+                out[own][inside] = self.rows(shelf, row[inside])
         return out
 
 
@@ -286,8 +285,8 @@ def _by_shelf(segments: np.ndarray, per: int):
 class Keyed:
     """Rows of counts by key in segments, which the caller names. Keys have 48 bits within a segment.
 
-    A segment's keys are in order; an index tells where those with the same upper bits begin, two to
-    four of them on average.
+    A segment's keys are in order; an index tells where those with the same upper bits begin, three of them
+    at most on average.
     """
 
     def __init__(self, uri: str, parts: int, width: int, per: int = 1):
@@ -395,7 +394,10 @@ class KneserNey:
     def _by_word(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Raw count and the row of ``single`` for each word."""
         part, rank = (numbers % np.uint64(self.parts)).astype(np.int64), (numbers // np.uint64(self.parts)).astype(np.int64)
-        return self.raw.get(part, rank)[:, 0], self.single.get(part, rank)
+        order = _order([part.astype(np.uint64), rank.astype(np.uint64)]) if len(part) else np.empty(0, np.int64)
+        raw, rows = np.empty(len(part), np.int64), np.empty((len(part), 5), np.int64)
+        raw[order], rows[order] = self.raw.get(part[order], rank[order])[:, 0], self.single.get(part[order], rank[order])
+        return raw, rows
 
     def log_probs(self, x: np.ndarray, token: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 P of each token after its context, and its raw count in training; ``learned`` is asked of a lean model only."""
@@ -403,25 +405,31 @@ class KneserNey:
         distinct, back = np.unique(x, return_inverse=True)
         distinct, known = self.numbers(distinct), learned[at] & self.lean
         raw, single = self._by_word(distinct)
-        numbers, raw, single = distinct[back], raw[back[at]], single[back]
-        a = single[at, 0]
-        p = np.maximum(a - np.array([0, *t["discounts"][0]])[np.minimum(a, 3)], 0) / max(t["A"], 1) + t["mass"] / (t["V"] + 1)
+        numbers, word = distinct[back], back[at]
+        a = single[:, 0]
+        p = (np.maximum(a - np.array([0, *t["discounts"][0]])[np.minimum(a, 3)], 0) / max(t["A"], 1) + t["mass"] / (t["V"] + 1))[word]
+        # of a word as the context
+        safe, rest = (c[back[at - 1]] for c in _shares(single[:, 1:], t["discounts"][1]))
         for k in range(2, self.order + 1):
             words = [numbers[at - j] for j in range(k - 1, -1, -1)]
             part = self.segments(words)
             hit, got = self.counts(k).find(part, _keys(words))
             a = np.where(~hit & known, 1, got[:, 0])
-            if k == 2:
-                follow = single[at - 1, 1:]
-            else:
+            if k > 2:
                 hit, follow = self.contexts(k - 1).find(part, _keys(words[:-1]))
                 follow[~hit & known] = 1, 1, 0, 0
                 follow[words[-2] == 0] = t["starts"][k - 1]
-            total, d = follow[:, 0], np.array([0, *t["discounts"][k - 1]])
-            safe = np.maximum(total, 1)
-            free = follow[:, 1] * d[1] + follow[:, 2] * d[2] + follow[:, 3] * d[3]
-            p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + np.where(total > 0, free / safe, 1.0) * p
-        return np.log10(p), raw
+                safe, rest = _shares(follow, t["discounts"][k - 1])
+            d = np.array([0, *t["discounts"][k - 1]])
+            p = np.maximum(a - d[np.minimum(a, 3)], 0) / safe + rest * p
+        return np.log10(p), raw[word]
+
+
+def _shares(follow: np.ndarray, d: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Of contexts' followers, the sum of their counts (1 at least) and the share that the discounts free; 1 without followers."""
+    total, *n = follow.T
+    safe = np.maximum(total, 1)
+    return safe, np.where(total > 0, (n[0] * d[0] + n[1] * d[1] + n[2] * d[2]) / safe, 1.0)
 
 
 def discounts(n: list[int]) -> list[float]:
