@@ -10,8 +10,8 @@ holds is split by the rest of its contexts.) A segment adds up its n-grams and w
 tables of sorted keys to the shared folder: its n-grams' counts, and per context the sum of
 the followers' counts and how many have counts 1, 2, 3 or more. Segments stand side by side on
 shelves: a task works on a shelf's segments one by one and sends their sums on together, and
-they share a set of files, so that neither files nor lookups nor messages grow with the square
-of the input. To the last n - 1 words of each
+they share a set of files, so that files and lookups are few. (A task of the first count still
+sends a message to each segment whenever it has held enough n-grams.) To the last n - 1 words of each
 n-gram it sends one more different predecessor; those are added up by segments of the next
 lower order, written likewise and sent further down, to the single words. Only the counts of
 counts of each order, the sums after start marks, the words that are split and three totals
@@ -126,7 +126,8 @@ def _packed(columns: list[np.ndarray], counts: list[np.ndarray]) -> bytes:
     same, out = np.ones(len(columns[0]), bool), []
     same[0] = False
     for c in columns:
-        before = np.r_[np.uint64(0), c[:-1]]
+        before = np.zeros_like(c)
+        before[1:] = c[:-1]
         out.append(np.where(same, c - before, c))
         same &= c == before
     out = [c.astype(np.min_scalar_type(int(c.max()))) for c in (*out, *counts)]
@@ -146,7 +147,9 @@ def _unpacked(blob: bytes, k: int, width: int) -> tuple[list[np.ndarray], list[n
     same[0] = False
     for c in out[:k]:
         sums, first = np.cumsum(c, dtype=np.uint64), np.flatnonzero(~same)
-        columns.append(sums - np.repeat(sums[first] - c[first], np.diff(np.r_[first, n])))
+        times = np.full(len(first), n)
+        times[:-1] = first[1:]
+        columns.append(sums - np.repeat(sums[first] - c[first], times - first))
         same[1:] &= columns[-1][1:] == columns[-1][:-1]
     return columns, [c.astype(np.int64) for c in out[k:]]
 

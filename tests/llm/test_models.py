@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import kneser_ney, quality, topk
+from lodestone.llm import kneser_ney, quality, shared, topk
 from lodestone.llm.shared import local_path
 
 from .test_dedup import frame, lower
@@ -184,6 +184,19 @@ def test_kneser_ney_looks_up_segments_of_a_shelf_at_once(tmp_path):
     assert [tuple(r) for r in got.tolist()] == [want.get(a, (0, 0)) for a in map(tuple, asked)]
 
 
+def test_segments_grow_in_any_store_and_appear_whole(monkeypatch, tmp_path):
+    for remote in (False, True):
+        if remote:
+            monkeypatch.setattr(shared, "local_path", lambda uri: None)
+        uri = f"file://{tmp_path}/{remote}"
+        for _ in range(2):  # a task may run twice
+            file = shared.Grown(uri, "x")
+            file.add(np.arange(3))
+            file.add(np.arange(3, 5))
+            file.close()
+        assert shared.map_array(uri, "x", "<i8").tolist() == [0, 1, 2, 3, 4] and os.listdir(f"{tmp_path}/{remote}") == ["x"]
+
+
 def test_kneser_ney_without_training_rows(spark):
     assert kneser_ney.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
